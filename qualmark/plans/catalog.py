@@ -1,0 +1,28 @@
+"""Registered queries, grouped like the operator inventory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import parse
+from ..operators import metrics
+from ..sources import views
+from . import sqlviews as V
+from .registry import query
+
+
+def scored_responses(spark, sf_dir):
+    r = views.responses(spark, sf_dir)
+    return r.withColumn("score", parse.extract_score(F.col("response")))
+
+
+# ---- C2 / A4: the flagship --------------------------------------------------
+
+@query("pearson_by_dimension", V.with_views(V.RESP, V.SCORED) + """
+SELECT dimension, model, CAST(count(*) AS BIGINT) AS n,
+       round(CASE WHEN stddev_pop(rating) * stddev_pop(score) = 0 THEN NULL
+                  ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r
+FROM scored WHERE score <> 999 GROUP BY dimension, model""")
+def q_pearson_by_dimension(spark, sf_dir):
+    s = scored_responses(spark, sf_dir).filter(F.col("score") != 999)
+    return metrics.pearson_by_group(s, ["dimension", "model"], "rating", "score")
