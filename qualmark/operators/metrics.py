@@ -131,17 +131,18 @@ def multilabel_report(df: DataFrame, y: str = "y_true", p: str = "y_pred",
         F.first("rows").alias("rows"), F.first("s_p").alias("s_p"),
         F.first("s_r").alias("s_r"), F.first("s_f").alias("s_f"),
     )
+    def avg_row(name, pr, rc, f):
+        return F.struct(F.lit(name).alias("row_label"), pr.alias("prec"), rc.alias("rec"),
+                        f.alias("f1"), F.col("support").alias("support"))
+
     avgs = tot.select(F.inline(F.array(
-        F.struct(F.lit("micro avg").alias("row_label"),
-                 safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("prec"),
-                 safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("rec"),
-                 f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"),
-                 F.col("support").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("m_p"), F.col("m_r"), F.col("m_f"), F.col("support")),
-        F.struct(F.lit("weighted avg"), F.col("w_p"), F.col("w_r"), F.col("w_f"), F.col("support")),
-        F.struct(F.lit("samples avg"), safe_ratio(F.col("s_p"), F.col("rows")),
-                 safe_ratio(F.col("s_r"), F.col("rows")),
-                 safe_ratio(F.col("s_f"), F.col("rows")), F.col("support")),
+        avg_row("micro avg", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+                safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+                f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))),
+        avg_row("macro avg", F.col("m_p"), F.col("m_r"), F.col("m_f")),
+        avg_row("weighted avg", F.col("w_p"), F.col("w_r"), F.col("w_f")),
+        avg_row("samples avg", safe_ratio(F.col("s_p"), F.col("rows")),
+                safe_ratio(F.col("s_r"), F.col("rows")), safe_ratio(F.col("s_f"), F.col("rows"))),
     )))
     out = per_label.unionByName(avgs)
     return out.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import parse
 from ..operators import metrics
 from ..sources import views
@@ -26,3 +27,742 @@ FROM scored WHERE score <> 999 GROUP BY dimension, model""")
 def q_pearson_by_dimension(spark, sf_dir):
     s = scored_responses(spark, sf_dir).filter(F.col("score") != 999)
     return metrics.pearson_by_group(s, ["dimension", "model"], "rating", "score")
+
+
+# ---- X: response parsing -------------------------------------------------------
+
+@query("extract_score", V.with_views(V.RESP, V.SCORED) +
+       "SELECT item_id, dimension, model, score FROM scored")
+def q_extract_score(spark, sf_dir):
+    return scored_responses(spark, sf_dir).select("item_id", "dimension", "model", "score")
+
+
+@query("drop_unparsed", V.with_views(V.RESP, V.SCORED) +
+       "SELECT item_id, dimension, model, rating, score FROM scored WHERE score <> 999")
+def q_drop_unparsed(spark, sf_dir):
+    from ..operators import rows
+    return rows.drop_unparsed(scored_responses(spark, sf_dir)).select(
+        "item_id", "dimension", "model", "rating", "score")
+
+
+@query("parse_rate", V.with_views(V.RESP, V.SCORED) + """
+SELECT dimension, model, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN score = 999 THEN 1 ELSE 0 END) AS BIGINT) AS n_unparsed,
+       round(avg(CASE WHEN score = 999 THEN 1.0 ELSE 0.0 END), 6) AS unparsed_rate
+FROM scored GROUP BY dimension, model""")
+def q_parse_rate(spark, sf_dir):
+    return metrics.parse_rate(scored_responses(spark, sf_dir))
+
+
+def thinking_responses(spark, sf_dir):
+    """V-RESP replies, some wrapped in reasoning with one or two markers."""
+    r = views.responses(spark, sf_dir)
+    k = F.col("item_id")
+    text = (F.when(k % 3 == 0, F.concat(F.lit("plan for "), F.col("dimension"),
+                                         F.lit("\n</think>\n\n"), F.col("response")))
+            .when(k % 3 == 1, F.concat(F.lit("a</think>b</think>\n"), F.col("response")))
+            .otherwise(F.col("response")))
+    return r.select("item_id", text.alias("raw"))
+
+
+THINK_SQL = V.with_views(V.RESP) + r"""
+, th AS (
+  SELECT item_id, CASE item_id % 3
+      WHEN 0 THEN 'plan for ' || dimension || chr(10) || '</think>' || chr(10) || chr(10) || response
+      WHEN 1 THEN 'a</think>b</think>' || chr(10) || response
+      ELSE response END AS raw FROM resp)
+, sp AS (
+  SELECT item_id,
+    CASE WHEN regexp_matches(raw, '(?s)^(.*)</think>(.*)$') THEN regexp_extract(raw, '(?s)^(.*)</think>(.*)$', 1) ELSE '' END AS r0,
+    CASE WHEN regexp_matches(raw, '(?s)^(.*)</think>(.*)$') THEN regexp_extract(raw, '(?s)^(.*)</think>(.*)$', 2) ELSE raw END AS c0
+  FROM th)
+SELECT item_id, trim(r0, chr(10)) AS reasoning, trim(c0, chr(10)) AS content,
+  """ + V.extract_score("trim(c0, chr(10))") + " AS score FROM sp"
+
+
+@query("split_thinking", THINK_SQL)
+def q_split_thinking(spark, sf_dir):
+    from ..functions import parse as P
+    t = thinking_responses(spark, sf_dir)
+    reasoning, content = P.split_thinking(F.col("raw"))
+    return t.select("item_id", reasoning.alias("reasoning"), content.alias("content")) \
+        .withColumn("score", P.extract_score(F.col("content")))
+
+
+GEN_SQL_VIEW = f"""gen AS (
+  SELECT doc_id AS item_id,
+    CASE doc_id % 4
+      WHEN 0 THEN '{{"question": "' || q || '", "error_label": "' || l || '"}}'
+      WHEN 1 THEN '```json' || chr(10) || '{{"question": "' || q || '", "error_label": "' || l || '"}}' || chr(10) || '```'
+      WHEN 2 THEN '{{''question'': ''' || q || ''', ''error_label'': ''' || l || '''}}'
+      ELSE 'no json here ' || CAST(doc_id AS VARCHAR) END AS response,
+    l AS target_label
+  FROM (SELECT doc_id, 'What does document ' || CAST(doc_id AS VARCHAR) || ' say about ' || source || '?' AS q,
+               {V.label_string('doc_id')} AS l FROM documents))"""
+
+
+def sql_json_field(text: str, field: str) -> str:
+    s = V.ustrip(text)
+    stripped = (f"(CASE WHEN starts_with({s}, '```json') THEN regexp_replace(regexp_replace({s}, '^```json', ''), '```$', '') "
+                f"WHEN starts_with({s}, '```') THEN (CASE WHEN ends_with(substr({s}, 4), '```') "
+                f"THEN substr({s}, 4, length({s}) - 6) ELSE substr({s}, 4) END) ELSE {s} END)")
+    dq = f"replace({stripped}, '''', '\"')"
+    v1 = f"(CASE WHEN json_valid({stripped}) THEN {stripped} ELSE 'null' END)"
+    v2 = f"(CASE WHEN json_valid({dq}) THEN {dq} ELSE 'null' END)"
+    return (f"(CASE WHEN json_type({v1}) = 'OBJECT' THEN json_extract_string({v1}, '$.{field}') "
+            f"WHEN json_type({v2}) = 'OBJECT' THEN json_extract_string({v2}, '$.{field}') END)")
+
+
+@query("parse_generated_json", V.with_views(GEN_SQL_VIEW) +
+       f"SELECT item_id, {sql_json_field('response', 'question')} AS question, "
+       f"{sql_json_field('response', 'error_label')} AS error_label FROM gen")
+def q_parse_generated_json(spark, sf_dir):
+    from ..functions import parse as P
+    g = views.generated(spark, sf_dir)
+    j = P.parse_generated_json(F.col("response"))
+    return g.select("item_id", j["question"].alias("question"), j["error_label"].alias("error_label"))
+
+
+REVL_SQL = V.REV + """, revl AS (
+  SELECT item_id, r.reviewer AS reviewer,
+         CASE WHEN r.v IS NULL THEN 'n/a' ELSE ' ' || printf('%.2f', r.v) || chr(10) END AS response
+  FROM (SELECT item_id, unnest([{'reviewer': 'gemini', 'v': "check-gemini"},
+                                {'reviewer': 'gpt', 'v': "check-gpt"},
+                                {'reviewer': 'claude', 'v': "check-claude"}]) AS r FROM rev))"""
+
+
+@query("parse_confidence", V.with_views(REVL_SQL) +
+       f"SELECT item_id, reviewer, TRY_CAST({V.ustrip('response')} AS DOUBLE) AS confidence FROM revl")
+def q_parse_confidence(spark, sf_dir):
+    from ..functions import parse as P
+    r = views.review_long(spark, sf_dir)
+    return r.select("item_id", "reviewer", P.parse_confidence(F.col("response")).alias("confidence"))
+
+
+# ---- A: metrics ---------------------------------------------------------------
+
+ML_SQL = V.with_views(V.LOGIT) + f""", ml AS (
+  SELECT item_id, logits, {V.binarize('true_labels')} AS y_true,
+         list_transform({V.sigmoid_list('logits')}, lambda p: CAST(p > 0.5 AS INTEGER)) AS y_pred
+  FROM logit)
+, cells AS (
+  SELECT item_id, i, y_true[i + 1] AS y, y_pred[i + 1] AS p
+  FROM ml, range(0, {len(vocab.LABELS)}) t(i))
+, per AS (
+  SELECT i, sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn FROM cells GROUP BY i)
+, rowstat AS (
+  SELECT item_id, list_sum(list_transform(range(0, {len(vocab.LABELS)}), lambda i: y_true[i + 1] * y_pred[i + 1])) AS inter,
+         list_sum(y_true) AS ny, list_sum(y_pred) AS np, CAST(y_true = y_pred AS INTEGER) AS exact FROM ml)
+"""
+
+
+def sql_ratio(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+@query("multilabel_metrics", ML_SQL + f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM rowstat) AS n,
+       round((SELECT {sql_ratio('sum(exact)', 'count(*)')} FROM rowstat), 6) AS accuracy,
+       round({sql_ratio('sum(tp)', 'sum(tp) + sum(fp)')}, 6) AS micro_precision,
+       round({sql_ratio('sum(tp)', 'sum(tp) + sum(fn)')}, 6) AS micro_recall,
+       round({sql_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, 6) AS micro_f1,
+       round(avg({sql_ratio('2 * tp', '2 * tp + fp + fn')}), 6) AS macro_f1
+FROM per""")
+def q_multilabel_metrics(spark, sf_dir):
+    return metrics.multilabel_metrics(prediction_table(spark, sf_dir))
+
+
+def prediction_table(spark, sf_dir):
+    from ..functions import labels as lb
+    lg = views.logits(spark, sf_dir)
+    return lg.select("item_id", "logits", lb.binarize(F.col("true_labels")).alias("y_true"),
+                     lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(None)).alias("y_pred"))
+
+
+REPORT_ROWS = "(" + " UNION ALL ".join(
+    f"SELECT {i} AS i, {V.lit(lab)} AS name" for i, lab in enumerate(vocab.LABELS)) + ")"
+
+
+@query("multilabel_report", ML_SQL + f""", lr AS (
+  SELECT n.name AS row_label, {sql_ratio('tp', 'tp + fp')} AS prec, {sql_ratio('tp', 'tp + fn')} AS rec,
+         {sql_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, CAST(tp + fn AS BIGINT) AS support
+  FROM per JOIN {REPORT_ROWS} n ON n.i = per.i)
+, allrows AS (
+  SELECT row_label, prec, rec, f1, support FROM lr
+  UNION ALL
+  SELECT 'micro avg', {sql_ratio('sum(tp)', 'sum(tp) + sum(fp)')}, {sql_ratio('sum(tp)', 'sum(tp) + sum(fn)')},
+         {sql_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, CAST(sum(tp + fn) AS BIGINT) FROM per
+  UNION ALL
+  SELECT 'macro avg', avg(prec), avg(rec), avg(f1), CAST(sum(support) AS BIGINT) FROM lr
+  UNION ALL
+  SELECT 'weighted avg', {sql_ratio('sum(prec * support)', 'sum(support)')}, {sql_ratio('sum(rec * support)', 'sum(support)')},
+         {sql_ratio('sum(f1 * support)', 'sum(support)')}, CAST(sum(support) AS BIGINT) FROM lr
+  UNION ALL
+  SELECT 'samples avg',
+         (SELECT avg({sql_ratio('inter', 'np')}) FROM rowstat), (SELECT avg({sql_ratio('inter', 'ny')}) FROM rowstat),
+         (SELECT avg({sql_ratio('2 * inter', 'ny + np')}) FROM rowstat), CAST(sum(support) AS BIGINT) FROM lr)
+SELECT row_label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, support FROM allrows""")
+def q_multilabel_report(spark, sf_dir):
+    return metrics.multilabel_report(prediction_table(spark, sf_dir))
+
+
+BIN_COUNTS = V.with_views(V.BIN) + """, bc AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+         count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+         count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn,
+         count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM bin)
+"""
+
+
+@query("binary_metrics", BIN_COUNTS + f"""
+SELECT CAST(n AS BIGINT) AS n, round({sql_ratio('tp + tn', 'n')}, 6) AS accuracy,
+       round({sql_ratio('tp', 'tp + fp')}, 6) AS precision, round({sql_ratio('tp', 'tp + fn')}, 6) AS recall,
+       round({sql_ratio('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM bc""")
+def q_binary_metrics(spark, sf_dir):
+    return metrics.binary_metrics(views.binary_labels(spark, sf_dir))
+
+
+@query("binary_report", BIN_COUNTS + f""", k AS (
+  SELECT n, tp, fp, fn, tn,
+    {sql_ratio('tn', 'tn + fn')} AS p0, {sql_ratio('tn', 'tn + fp')} AS r0, {sql_ratio('2 * tn', '2 * tn + fn + fp')} AS f0,
+    {sql_ratio('tp', 'tp + fp')} AS p1, {sql_ratio('tp', 'tp + fn')} AS r1, {sql_ratio('2 * tp', '2 * tp + fp + fn')} AS f1_,
+    tn + fp AS s0, tp + fn AS s1 FROM bc)
+SELECT * FROM (
+  SELECT '0' AS row_label, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, CAST(s0 AS BIGINT) AS support FROM k
+  UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1_, 6), CAST(s1 AS BIGINT) FROM k
+  UNION ALL SELECT 'accuracy', NULL, NULL, round({sql_ratio('tp + tn', 'n')}, 6), CAST(n AS BIGINT) FROM k
+  UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1_) / 2, 6), CAST(n AS BIGINT) FROM k
+  UNION ALL SELECT 'weighted avg', round({sql_ratio('p0 * s0 + p1 * s1', 'n')}, 6), round({sql_ratio('r0 * s0 + r1 * s1', 'n')}, 6),
+                   round({sql_ratio('f0 * s0 + f1_ * s1', 'n')}, 6), CAST(n AS BIGINT) FROM k)""")
+def q_binary_report(spark, sf_dir):
+    return metrics.binary_report(views.binary_labels(spark, sf_dir))
+
+
+def sql_bce(x: str, y: str) -> str:
+    return f"(greatest({x}, 0.0) - {x} * {y} + ln(1 + exp(-abs({x}))))"
+
+
+@query("bce_loss", ML_SQL + f"""
+, el AS (SELECT {sql_bce('logits[i + 1]', 'CAST(y_true[i + 1] AS DOUBLE)')} AS l
+         FROM ml, range(0, {len(vocab.LABELS)}) t(i))
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM ml) AS n, round(avg(l), 6) AS bce_mean, round(sum(l), 6) AS bce_sum FROM el""")
+def q_bce_loss(spark, sf_dir):
+    return metrics.bce_loss(prediction_table(spark, sf_dir))
+
+
+@query("focal_loss", ML_SQL + f"""
+, el AS (SELECT {sql_bce('logits[i + 1]', 'CAST(y_true[i + 1] AS DOUBLE)')} AS b
+         FROM ml, range(0, {len(vocab.LABELS)}) t(i))
+, fl AS (SELECT {vocab.FOCAL_ALPHA} * pow(1.0 - exp(-b), {vocab.FOCAL_GAMMA}) * b AS l FROM el)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM ml) AS n, round(avg(l), 6) AS focal_mean, round(sum(l), 6) AS focal_sum FROM fl""")
+def q_focal_loss(spark, sf_dir):
+    return metrics.focal_loss(prediction_table(spark, sf_dir))
+
+
+# ---- L: label algebra -----------------------------------------------------------
+
+def lab_view(spark, sf_dir, keep_null=False):
+    return views.labeled_docs(spark, sf_dir, keep_null)
+
+
+@query("parse_labels", V.with_views(V.LAB) +
+       f"SELECT item_id, array_to_string({V.parse_labels('error_label')}, '; ') AS labels, "
+       f"CAST(len({V.parse_labels('error_label')}) AS INTEGER) AS n_labels FROM lab")
+def q_parse_labels(spark, sf_dir):
+    from ..functions import labels as lb
+    arr = lb.parse_labels(F.col("error_label"))
+    return lab_view(spark, sf_dir).select("item_id", F.array_join(arr, "; ").alias("labels"),
+                                          F.size(arr).alias("n_labels"))
+
+
+@query("parse_labels_raw", V.with_views(V.LAB) +
+       f"SELECT item_id, array_to_string({V.parse_labels_raw('error_label')}, '|') AS tokens, "
+       f"CAST(len({V.parse_labels_raw('error_label')}) AS INTEGER) AS n_tokens FROM lab")
+def q_parse_labels_raw(spark, sf_dir):
+    from ..functions import labels as lb
+    arr = lb.parse_labels_raw(F.col("error_label"))
+    return lab_view(spark, sf_dir).select("item_id", F.array_join(arr, "|").alias("tokens"),
+                                          F.size(arr).alias("n_tokens"))
+
+
+@query("binarize_labels", V.with_views(V.LAB) +
+       f"SELECT item_id, array_to_string({V.binarize(V.parse_labels('error_label'))}, ',') AS indicators FROM lab")
+def q_binarize_labels(spark, sf_dir):
+    from ..functions import labels as lb
+    ind = lb.binarize(lb.parse_labels(F.col("error_label")))
+    return lab_view(spark, sf_dir).select(
+        "item_id", F.array_join(F.transform(ind, lambda x: x.cast("string")), ",").alias("indicators"))
+
+
+PRED_SQL = V.with_views(V.LOGIT) + f""", pr AS (
+  SELECT item_id, logits, true_labels, {V.sigmoid_list('logits')} AS probs,
+         list_transform({V.sigmoid_list('logits')}, lambda p: CAST(p > 0.5 AS INTEGER)) AS ind FROM logit)
+"""
+
+
+@query("decode_labels", PRED_SQL + f"SELECT item_id, {V.decode('ind')} AS pred_error FROM pr")
+def q_decode_labels(spark, sf_dir):
+    from ..functions import labels as lb
+    lg = views.logits(spark, sf_dir)
+    ind = lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(None))
+    return lg.select("item_id", lb.decode(ind).alias("pred_error"))
+
+
+# per-label thresholds used to exercise the list form
+LIST_THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.5, 0.5, 0.5, 0.5, 0.5, 0.9]
+
+
+@query("sigmoid_threshold", V.with_views(V.LOGIT) +
+       f"SELECT item_id, array_to_string(list_transform(range(0, 11), lambda i: "
+       f"CAST(1.0 / (1.0 + exp(-logits[i + 1])) > {LIST_THRESHOLDS}[i + 1] AS INTEGER)), ',') AS indicators FROM logit")
+def q_sigmoid_threshold(spark, sf_dir):
+    from ..functions import labels as lb
+    lg = views.logits(spark, sf_dir)
+    ind = lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(LIST_THRESHOLDS))
+    return lg.select("item_id", F.array_join(F.transform(ind, lambda x: x.cast("string")), ",")
+                     .alias("indicators"))
+
+
+@query("label_probs", PRED_SQL + "SELECT item_id, " + ", ".join(
+    f"round(probs[{i + 1}], 6) AS {V.lit(lab + '_prob').replace(chr(39), chr(34))}"
+    for i, lab in enumerate(vocab.LABELS)) + " FROM pr")
+def q_label_probs(spark, sf_dir):
+    from ..functions import labels as lb
+    lg = views.logits(spark, sf_dir).withColumn("p", lb.sigmoid(F.col("logits")))
+    return lg.select("item_id", *[F.round(F.col("p")[i], 6).alias(f"{lab}_prob")
+                                  for i, lab in enumerate(vocab.LABELS)])
+
+
+@query("softmax_argmax", V.with_views(V.LOGIT) + """, two AS (
+  SELECT item_id, [logits[1], logits[2]] AS l FROM logit)
+, sm AS (SELECT item_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM two)
+, pr AS (SELECT item_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM sm)
+SELECT item_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS verify_label,
+       round(p[2], 6) AS positive_prob FROM pr""")
+def q_softmax_argmax(spark, sf_dir):
+    from ..functions import labels as lb
+    lg = views.logits(spark, sf_dir)
+    p = lb.softmax(F.slice(F.col("logits"), 1, 2))
+    return lg.select("item_id", p.alias("p")).select(
+        "item_id", lb.argmax(F.col("p")).alias("verify_label"),
+        F.round(F.col("p")[1], 6).alias("positive_prob"))
+
+
+@query("labels_equal", V.with_views(GEN_SQL_VIEW) + f"""
+, g2 AS (SELECT item_id, {sql_json_field('response', 'error_label')} AS gl,
+                {V.label_string('item_id + 1')} AS other FROM gen)
+, t AS (SELECT item_id, list_transform({V.parse_labels_raw('gl')}, lambda x: lower(x)) AS a,
+               list_transform({V.parse_labels_raw('other')}, lambda x: lower(x)) AS b FROM g2)
+SELECT item_id, CAST(list_sort(list_distinct(a)) = list_sort(list_distinct(b)) AND len(a) = len(b) AS INTEGER) AS equal
+FROM t WHERE a IS NOT NULL""")
+def q_labels_equal(spark, sf_dir):
+    from ..functions import labels as lb
+    from ..functions import parse as P
+    from ..sources.views import _label_string
+    g = views.generated(spark, sf_dir)
+    a = lb.parse_labels_raw(P.parse_generated_json(F.col("response"))["error_label"])
+    b = lb.parse_labels_raw(_label_string(F.col("item_id") + 1))
+    return g.select("item_id", a.alias("a"), b.alias("b")).filter(F.col("a").isNotNull()) \
+        .select("item_id", lb.labels_equal(F.col("a"), F.col("b")).cast("int").alias("equal"))
+
+
+# ---- A1-A3, O1-O2: label statistics -----------------------------------------------
+
+DIST_SQL = V.with_views(V.LAB) + f""", tok AS (SELECT unnest({V.parse_labels_raw('error_label')}) AS label FROM lab)
+, dist AS (SELECT label, CAST(count(*) AS BIGINT) AS count FROM tok GROUP BY label)
+, distp AS (SELECT label, count, CAST(count AS DOUBLE) / (SELECT sum(count) FROM dist) AS proportion FROM dist)
+"""
+
+
+@query("label_distribution", DIST_SQL + "SELECT label, count, round(proportion, 6) AS proportion FROM distp")
+def q_label_distribution(spark, sf_dir):
+    from ..operators import distribution as D
+    d = D.label_distribution(lab_view(spark, sf_dir))
+    return d.select("label", "count", F.round("proportion", 6).alias("proportion"))
+
+
+@query("sort_distribution", DIST_SQL +
+       "SELECT label, count, CAST(row_number() OVER (ORDER BY count DESC, label) AS INTEGER) AS rank FROM distp")
+def q_sort_distribution(spark, sf_dir):
+    from pyspark.sql import Window
+    from ..operators import distribution as D
+    d = D.label_distribution(lab_view(spark, sf_dir))
+    # the window runs over the aggregated table: one row per distinct label
+    w = Window.orderBy(F.desc("count"), F.asc("label"))
+    return D.sort_distribution(d).select("label", "count", F.row_number().over(w).alias("rank"))
+
+
+def _factor_values() -> str:
+    names = sorted(set(vocab.DEFAULT_DIFFICULTY) | set(vocab.DEFAULT_IMPORTANCE))
+    rows = ", ".join(
+        f"({V.lit(n)}, {vocab.DEFAULT_DIFFICULTY.get(n, 'NULL')}, {vocab.DEFAULT_IMPORTANCE.get(n, 'NULL')})"
+        for n in names)
+    return f"fac(label, difficulty, importance) AS (VALUES {rows})"
+
+
+WEIGHTS_SQL = DIST_SQL + f""", {_factor_values()}
+, w0 AS (
+  SELECT d.label, d.proportion AS base_proportion, d.count,
+         CAST(coalesce(f.difficulty, 1.0) AS DOUBLE) AS difficulty,
+         CAST(coalesce(f.importance, 1.0) AS DOUBLE) AS importance,
+         CASE WHEN d.count < (SELECT avg(count) FROM dist)
+              THEN {vocab.DEFAULT_MIN_BOOST} + {round(vocab.DEFAULT_MAX_BOOST - vocab.DEFAULT_MIN_BOOST, 12)} * ({V.md5_u32(vocab.SPLIT_SEED, 'd.label')} / 4294967296.0)
+              ELSE 1.0 END AS freq_boost
+  FROM distp d LEFT JOIN fac f ON f.label = d.label)
+, w1 AS (SELECT *, base_proportion * difficulty * importance * freq_boost AS final_weight_raw FROM w0)
+, w2 AS (SELECT *, final_weight_raw / (SELECT sum(final_weight_raw) FROM w1) AS final_weight_norm FROM w1)
+"""
+
+
+def weights_df(spark, sf_dir, labeled=None):
+    from ..operators import distribution as D
+    src = labeled if labeled is not None else lab_view(spark, sf_dir)
+    return D.label_weights(D.label_distribution(src), vocab.DEFAULT_DIFFICULTY,
+                           vocab.DEFAULT_IMPORTANCE)
+
+
+@query("label_weights", WEIGHTS_SQL + """
+SELECT label, round(base_proportion, 6) AS base_proportion, count, round(difficulty, 6) AS difficulty,
+       round(importance, 6) AS importance, round(freq_boost, 6) AS freq_boost,
+       round(final_weight_raw, 6) AS final_weight_raw, round(final_weight_norm, 6) AS final_weight_norm FROM w2""")
+def q_label_weights(spark, sf_dir):
+    w = weights_df(spark, sf_dir)
+    return w.select("label", *[F.round(c, 6).alias(c) for c in
+                               ("base_proportion",)], "count",
+                    *[F.round(c, 6).alias(c) for c in ("difficulty", "importance", "freq_boost",
+                                                       "final_weight_raw", "final_weight_norm")])
+
+
+@query("sort_weights", WEIGHTS_SQL +
+       "SELECT label, round(final_weight_norm, 6) AS final_weight_norm, "
+       "CAST(row_number() OVER (ORDER BY final_weight_norm DESC, label) AS INTEGER) AS rank FROM w2")
+def q_sort_weights(spark, sf_dir):
+    from pyspark.sql import Window
+    from ..operators import distribution as D
+    w = D.sort_weights(weights_df(spark, sf_dir))
+    win = Window.orderBy(F.desc("final_weight_norm"), F.asc("label"))
+    return w.select("label", F.round("final_weight_norm", 6).alias("final_weight_norm"),
+                    F.row_number().over(win).alias("rank"))
+
+
+# ---- V1-V3, J6, P8, A2: voting --------------------------------------------------------
+
+REVIEW_COLS = ["check-gemini", "check-gpt", "check-claude"]
+LOWP = V.list_lit(vocab.LOW_PRECISION_LABELS)
+
+
+def _sql_votes(thres: str) -> str:
+    return " + ".join(f'(CASE WHEN "{c}" >= {thres} AND NOT isnan("{c}") THEN 1 ELSE 0 END)'
+                      for c in REVIEW_COLS)
+
+
+THRES_SQL = V.with_views(V.REV) + f""", rq AS (
+  SELECT *, coalesce(list_has_any({V.parse_labels_raw('error_label')}, {LOWP}), false) AS low FROM rev)
+"""
+
+
+@query("required_thresholds", THRES_SQL + f"""
+SELECT item_id,
+       CAST(CASE WHEN low THEN {vocab.LOW_PRECISION_THRESHOLD} ELSE {vocab.DEFAULT_REVIEW_THRESHOLD} END AS DOUBLE) AS thres_by_threshold,
+       CAST({vocab.DEFAULT_VOTES} AS INTEGER) AS votes_by_threshold,
+       CAST({vocab.DEFAULT_REVIEW_THRESHOLD} AS DOUBLE) AS thres_by_vote,
+       CAST(CASE WHEN low THEN {vocab.LOW_PRECISION_VOTES} ELSE {vocab.DEFAULT_VOTES} END AS INTEGER) AS votes_by_vote
+FROM rq""")
+def q_required_thresholds(spark, sf_dir):
+    from ..operators import voting as VT
+    r = views.review_scores(spark, sf_dir)
+    a = VT.required_thresholds(r, by="threshold", low_precision=vocab.LOW_PRECISION_LABELS)
+    b = VT.required_thresholds(a.withColumnRenamed("required_thres", "thres_by_threshold")
+                               .withColumnRenamed("required_vote", "votes_by_threshold"),
+                               by="vote", low_precision=vocab.LOW_PRECISION_LABELS)
+    return b.select("item_id", "thres_by_threshold", "votes_by_threshold",
+                    F.col("required_thres").alias("thres_by_vote"),
+                    F.col("required_vote").alias("votes_by_vote"))
+
+
+VOTE_SQL = THRES_SQL + f""", vt AS (
+  SELECT *, CAST(CASE WHEN low THEN {vocab.LOW_PRECISION_THRESHOLD} ELSE {vocab.DEFAULT_REVIEW_THRESHOLD} END AS DOUBLE) AS required_thres,
+         CAST({vocab.DEFAULT_VOTES} AS INTEGER) AS required_vote FROM rq)
+, vv AS (SELECT *, CAST({_sql_votes('required_thres')} AS INTEGER) AS vote FROM vt)
+"""
+
+
+def _voted(spark, sf_dir, with_score):
+    from ..operators import voting as VT
+    r = views.review_scores(spark, sf_dir)
+    return VT.vote_filter(r, REVIEW_COLS, "vote", vocab.DEFAULT_REVIEW_THRESHOLD,
+                          vocab.LOW_PRECISION_LABELS, by="threshold", return_with_score=with_score)
+
+
+@query("vote_filter", VOTE_SQL +
+       "SELECT item_id, error_label, vote, required_vote, required_thres FROM vv WHERE vote >= required_vote")
+def q_vote_filter(spark, sf_dir):
+    return _voted(spark, sf_dir, True).select("item_id", "error_label", "vote", "required_vote",
+                                              "required_thres")
+
+
+@query("drop_helper_cols", VOTE_SQL +
+       'SELECT item_id, error_label, "check-gemini", "check-gpt", "check-claude" FROM vv WHERE vote >= required_vote')
+def q_drop_helper_cols(spark, sf_dir):
+    return _voted(spark, sf_dir, False)
+
+
+@query("avg_filter", V.with_views(V.REV) + f"""
+, av AS (SELECT item_id, list_filter(["check-gemini", "check-gpt", "check-claude"], lambda x: x IS NOT NULL AND NOT isnan(x)) AS v FROM rev)
+SELECT item_id, list_sum(v) / len(v) AS avg_score FROM av
+WHERE len(v) > 0 AND list_sum(v) / len(v) >= {vocab.DEFAULT_REVIEW_THRESHOLD} - 0.15""")
+def q_avg_filter(spark, sf_dir):
+    from ..operators import voting as VT
+    r = views.review_scores(spark, sf_dir)
+    return VT.vote_filter(r, REVIEW_COLS, "avg", vocab.DEFAULT_REVIEW_THRESHOLD - 0.15,
+                          return_with_score=True).select("item_id", "avg_score")
+
+
+@query("accepted_label_counts", VOTE_SQL + f"""
+, tok AS (SELECT unnest({V.parse_labels_raw('error_label')}) AS label FROM vv WHERE vote >= required_vote)
+SELECT label, CAST(count(*) AS BIGINT) AS count FROM tok WHERE label <> '' GROUP BY label""")
+def q_accepted_label_counts(spark, sf_dir):
+    from ..operators import distribution as D
+    return D.accepted_label_counts(_voted(spark, sf_dir, False))
+
+
+@query("merge_reviews", V.with_views(V.LAB, REVL_SQL) + f"""
+, conf AS (SELECT item_id, reviewer, TRY_CAST({V.ustrip('response')} AS DOUBLE) AS confidence FROM revl)
+, wide AS (SELECT item_id,
+    max(confidence) FILTER (WHERE reviewer = 'gemini') AS "check-gemini",
+    max(confidence) FILTER (WHERE reviewer = 'gpt') AS "check-gpt",
+    max(confidence) FILTER (WHERE reviewer = 'claude') AS "check-claude" FROM conf GROUP BY item_id)
+SELECT lab.item_id, lab.error_label, wide."check-gemini", wide."check-gpt", wide."check-claude"
+FROM lab LEFT JOIN wide ON wide.item_id = lab.item_id""")
+def q_merge_reviews(spark, sf_dir):
+    from ..functions import parse as P
+    from ..operators import voting as VT
+    conf = views.review_long(spark, sf_dir).select(
+        "item_id", "reviewer", P.parse_confidence(F.col("response")).alias("confidence"))
+    return VT.merge_reviews(lab_view(spark, sf_dir), conf)
+
+
+# ---- J / R: prompts ---------------------------------------------------------------
+
+def qa_view(spark, sf_dir):
+    return views.qa_items(spark, sf_dir)
+
+
+def qa_labeled_filled(spark, sf_dir):
+    """V-QA rows with their document's label; rows without one get ``''``."""
+    from ..operators import rows
+    lab = lab_view(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "error_label")
+    return rows.fill_empty(qa_view(spark, sf_dir).join(lab, "doc_id", "left"))
+
+
+def seed_view(spark, sf_dir):
+    return views.labeled_qa(spark, sf_dir)
+
+
+def templates_df(spark):
+    from ..operators import prompts
+    return prompts.packaged_templates(spark)
+
+
+def _tpl_sql() -> str:
+    from ..operators import prompts
+    return V.templates_values(prompts.template_rows())
+
+
+QA_SLOTS_SQL = [("#passage", "passage"), ("#answer", "answer"), ("#question", "question")]
+
+
+@query("all_dimensions", V.with_views(V.QA, V.QA_DIM) + "SELECT item_id, dimension FROM qad")
+def q_all_dimensions(spark, sf_dir):
+    from ..operators import prompts
+    return prompts.all_dimensions(qa_view(spark, sf_dir).select("item_id"))
+
+
+LABD_SQL = V.with_views(V.LAB) + f", labd AS (SELECT lab.*, unnest({V.DIMS}) AS dimension FROM lab)\n"
+
+
+@query("relevant_errors", LABD_SQL +
+       f"SELECT item_id, dimension, array_to_string({V.relevant('error_label', 'dimension')}, '; ') AS relevant FROM labd")
+def q_relevant_errors(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(lab_view(spark, sf_dir))
+    return x.select("item_id", "dimension", F.array_join(
+        prompts.relevant_errors(F.col("error_label"), F.col("dimension")), "; ").alias("relevant"))
+
+
+@query("describe_errors", LABD_SQL +
+       f"SELECT item_id, dimension, {V.describe(V.relevant('error_label', 'dimension'))} AS evidence FROM labd")
+def q_describe_errors(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(lab_view(spark, sf_dir))
+    return x.select("item_id", "dimension", prompts.describe_errors(
+        prompts.relevant_errors(F.col("error_label"), F.col("dimension"))).alias("evidence"))
+
+
+def _direct_prompt_sql():
+    return (V.with_views(V.QA, V.QA_DIM, _tpl_sql()) +
+            f"SELECT q.item_id, q.dimension, {V.fill('t.body', QA_SLOTS_SQL)} AS prompt "
+            "FROM qad q JOIN tpl t ON t.kind = 'direct' AND t.dimension = q.dimension")
+
+
+@query("attach_template", V.with_views(V.QA, V.QA_DIM, _tpl_sql()) +
+       "SELECT q.item_id, q.dimension, t.body AS template FROM qad q "
+       "JOIN tpl t ON t.kind = 'direct' AND t.dimension = q.dimension")
+def q_attach_template(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_view(spark, sf_dir).select("item_id"))
+    return prompts.attach_template(x, templates_df(spark), "direct").select(
+        "item_id", "dimension", "template")
+
+
+@query("render_prompt", _direct_prompt_sql())
+def q_render_prompt(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    return prompts.render_prompt(x, templates_df(spark)).select("item_id", "dimension", "prompt")
+
+
+@query("load_templates", _direct_prompt_sql())
+def q_load_templates(spark, sf_dir):
+    """Direct prompts with templates read by ``spark.read.text(wholetext)``."""
+    from ..operators import prompts
+    from ..sources import tables
+    tpl = tables.load_templates(spark, prompts.TEMPLATE_ROOT)
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    return prompts.render_prompt(x, tpl).select("item_id", "dimension", "prompt")
+
+
+def _error_fill(label="error_label"):
+    ev = V.describe(V.relevant(label, "q.dimension"))
+    return V.fill("t.body", QA_SLOTS_SQL + [("#error", ev)])
+
+
+ERR_BASE = V.with_views(V.QA, V.LAB, V.QA_LAB, _tpl_sql()) + \
+    f", qald AS (SELECT qal.*, unnest({V.DIMS}) AS dimension FROM qal)\n"
+
+
+@query("render_error_prompt", ERR_BASE +
+       f"SELECT q.item_id, q.dimension, {_error_fill()} AS prompt FROM qald q "
+       "JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension")
+def q_render_error_prompt(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_labeled_filled(spark, sf_dir))
+    return prompts.render_error_prompt(x, templates_df(spark)).select("item_id", "dimension", "prompt")
+
+
+@query("render_api_prompt", ERR_BASE +
+       f"SELECT q.item_id, q.dimension, {V.lit(vocab.SYSTEM_EVALUATOR)} AS system, "
+       f"CASE WHEN error_label = '' THEN {V.fill('t.body', QA_SLOTS_SQL)} ELSE {_error_fill()} END AS user "
+       "FROM qald q JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension")
+def q_render_api_prompt(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_labeled_filled(spark, sf_dir))
+    x = prompts.with_messages(prompts.render_error_prompt(x, templates_df(spark), keep_empty_slot=True))
+    return x.select("item_id", "dimension", F.col("messages")[0]["content"].alias("system"),
+                    F.col("messages")[1]["content"].alias("user"))
+
+
+@query("render_batch", ERR_BASE +
+       f"SELECT q.item_id, q.dimension, {V.lit(vocab.SYSTEM_EVALUATOR)} AS system, {_error_fill()} AS user "
+       "FROM qald q JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension")
+def q_render_batch(spark, sf_dir):
+    from ..operators import prompts
+    lab = lab_view(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "error_label")
+    qa = qa_view(spark, sf_dir).join(lab, "doc_id", "left")
+    x = prompts.render_batch(qa, templates_df(spark), error_aware=True)
+    return x.select("item_id", "dimension", F.col("messages")[0]["content"].alias("system"),
+                    F.col("messages")[1]["content"].alias("user"))
+
+
+@query("build_messages", "WITH dp AS (" + _direct_prompt_sql().replace("WITH ", "WITH ", 1) + ")\n" +
+       f"SELECT item_id, dimension, 0 AS pos, 'system' AS role, {V.lit(vocab.SYSTEM_EVALUATOR)} AS content FROM dp "
+       "UNION ALL SELECT item_id, dimension, 1, 'user', prompt FROM dp")
+def q_build_messages(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    x = prompts.with_messages(prompts.render_prompt(x, templates_df(spark)))
+    return x.select("item_id", "dimension", F.posexplode("messages").alias("pos", "m")).select(
+        "item_id", "dimension", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+CHAT_SQL = ("SELECT conv_id, " + V.lit(vocab.CHAT_BEGIN) + " || string_agg(" + V.lit(vocab.CHAT_HEADER_START) +
+            " || role || " + V.lit(vocab.CHAT_HEADER_END) + " || " + V.ustrip("text") + " || " +
+            V.lit(vocab.CHAT_TURN_END) + ", '' ORDER BY turn) || " +
+            V.lit(vocab.CHAT_HEADER_START + "assistant" + vocab.CHAT_HEADER_END) +
+            " AS chat FROM conversations GROUP BY conv_id")
+
+
+@query("render_chat", CHAT_SQL)
+def q_render_chat(spark, sf_dir):
+    from ..operators import prompts
+    return prompts.chat_transcripts(views.chats(spark, sf_dir))
+
+
+SEED_SQL = V.with_views(V.QA, V.LAB, V.SEED)
+
+FEW_SHOT_SQL_EXPR = ("'---' || chr(10) || '        Passage: ' || {p}passage || chr(10) || '        Answer: ' || {p}answer"
+                     " || chr(10) || '        Question: ' || {p}question || chr(10) || '        Error_label: ' || {p}error_label"
+                     " || chr(10) || '    ---'")
+
+
+@query("few_shot_block", SEED_SQL + "SELECT item_id, " + FEW_SHOT_SQL_EXPR.format(p="") + " AS block FROM seed")
+def q_few_shot_block(spark, sf_dir):
+    from ..functions import text as tx
+    s = seed_view(spark, sf_dir)
+    return s.select("item_id", tx.few_shot_block(F.col("passage"), F.col("answer"), F.col("question"),
+                                                 F.col("error_label")).alias("block"))
+
+
+@query("render_review_prompt", V.with_views(V.QA, V.LAB, V.SEED, _tpl_sql()) +
+       "SELECT item_id, " + V.fill("(SELECT body FROM tpl WHERE kind = 'review')",
+                                   [("{{PASSAGE}}", "passage"), ("{{ANSWER}}", "answer"),
+                                    ("{{QUESTION}}", "question"), ("{{ERROR}}", "error_label")]) +
+       " AS prompt FROM seed")
+def q_render_review_prompt(spark, sf_dir):
+    from ..operators import prompts
+    return prompts.render_review_prompt(seed_view(spark, sf_dir), templates_df(spark)) \
+        .select("item_id", "prompt")
+
+
+@query("render_identify_prompt", V.with_views(V.QA, _tpl_sql()) +
+       "SELECT item_id, " + V.fill("(SELECT body FROM tpl WHERE kind = 'identify')", QA_SLOTS_SQL) +
+       " AS prompt FROM qa")
+def q_render_identify_prompt(spark, sf_dir):
+    from ..operators import prompts
+    return prompts.render_identify_prompt(qa_view(spark, sf_dir), templates_df(spark)) \
+        .select("item_id", "prompt")
+
+
+SEP = vocab.sep_token("roberta")
+
+
+@query("identifier_text", V.with_views(V.QA) +
+       f"SELECT item_id, question || {V.lit(SEP)} || answer || {V.lit(SEP)} || passage AS text FROM qa")
+def q_identifier_text(spark, sf_dir):
+    from ..operators import prompts
+    q = qa_view(spark, sf_dir)
+    return q.select("item_id", prompts.identifier_text(F.col("question"), F.col("answer"),
+                                                       F.col("passage")).alias("text"))
+
+
+@query("verifier_text", SEED_SQL +
+       f"SELECT item_id, error_label || {V.lit(SEP)} || question || {V.lit(SEP)} || answer || "
+       f"{V.lit(SEP)} || passage AS text FROM seed")
+def q_verifier_text(spark, sf_dir):
+    from ..operators import prompts
+    s = seed_view(spark, sf_dir)
+    return s.select("item_id", prompts.verifier_text(F.col("error_label"), F.col("question"),
+                                                     F.col("answer"), F.col("passage")).alias("text"))
+
+
+@query("truncate_tokens", V.with_views(V.QA) + f"""
+, tk AS (SELECT item_id, regexp_split_to_array({V.ustrip(f"question || {V.lit(SEP)} || answer || {V.lit(SEP)} || passage")}, '\\s+') AS toks FROM qa)
+SELECT item_id, array_to_string(toks[1:{vocab.MAX_TOKENS}], ' ') AS text,
+       CAST(len(toks[1:{vocab.MAX_TOKENS}]) AS INTEGER) AS n_tokens FROM tk""")
+def q_truncate_tokens(spark, sf_dir):
+    from ..functions import text as tx
+    from ..operators import prompts
+    q = qa_view(spark, sf_dir)
+    t = tx.truncate_tokens(prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage")))
+    return q.select("item_id", t.alias("text")).withColumn(
+        "n_tokens", F.size(F.split(F.col("text"), " ")))

@@ -39,6 +39,7 @@ def extract_score(e: str) -> str:
 
 
 def label_string(k: str) -> str:
+    k = f"({k})"
     none_of = f"({k} % 5 <> 0 AND {k} % 7 <> 0 AND {k} % 11 <> 0)"
     return (f"concat_ws(';', CASE WHEN {k} % 5 = 0 THEN ' Vague' END, "
             f"CASE WHEN {k} % 7 = 0 THEN 'Off Topic ' END, "
@@ -121,3 +122,54 @@ BIN = """bin AS (
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+
+def desc_case(x: str) -> str:
+    """SQL CASE mapping a label to its evidence line (NULL if unknown)."""
+    whens = " ".join(f"WHEN {lit(lab)} THEN {lit(vocab.describe_label_line(lab))}"
+                     for lab in vocab.LABELS)
+    return f"(CASE {x} {whens} END)"
+
+
+def relevant_case(dim: str) -> str:
+    whens = " ".join(f"WHEN {lit(d)} THEN {list_lit(labs)}"
+                     for d, labs in vocab.DIMENSION_LABELS.items())
+    return f"(CASE {dim} {whens} END)"
+
+
+def relevant(labels_expr: str, dim: str) -> str:
+    return f"list_filter({parse_labels(labels_expr)}, lambda x: list_contains({relevant_case(dim)}, x))"
+
+
+def describe(arr: str) -> str:
+    return (f"array_to_string(list_filter(list_transform({arr}, lambda x: {desc_case('x')}), "
+            f"lambda x: x IS NOT NULL), chr(10))")
+
+
+def sigmoid_list(e: str) -> str:
+    return f"list_transform({e}, lambda x: 1.0 / (1.0 + exp(-x)))"
+
+
+def decode(ind: str) -> str:
+    return (f"array_to_string(list_filter(list_transform(range(0, {len(vocab.LABELS)}), "
+            f"lambda i: CASE WHEN {ind}[i + 1] = 1 THEN {VOCAB}[i + 1] END), "
+            f"lambda x: x IS NOT NULL), '; ')")
+
+
+def templates_values(rows) -> str:
+    vals = ", ".join(f"({lit(k)}, {lit(d)}, {lit(b)})" for k, d, b in rows)
+    return f"tpl(kind, dimension, body) AS (VALUES {vals})"
+
+
+def fill(template: str, slots) -> str:
+    out = template
+    for name, val in slots:
+        out = f"replace({out}, {lit(name)}, {val})"
+    return out
+
+
+QA_DIM = f"""qad AS (SELECT qa.*, unnest({DIMS}) AS dimension FROM qa)"""
+
+QA_LAB = f"""qal AS (
+  SELECT qa.*, coalesce(lab.error_label, '') AS error_label
+  FROM qa LEFT JOIN lab ON lab.item_id = qa.doc_id)"""

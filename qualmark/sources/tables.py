@@ -73,7 +73,7 @@ def load_templates(spark: SparkSession, root: str) -> DataFrame:
     Whole files are read as one row each (``wholetext``). The table is tiny
     (one row per kind and dimension) and is broadcast by its users.
     """
-    df = (spark.read.option("wholetext", "true").text(os.path.join(root, "*", "*.txt"))
+    df = (spark.read.text(os.path.join(root, "*", "*.txt"), wholetext=True)
           .select(F.col("value").alias("body"),
                   F.input_file_name().alias("_path")))
     parts = F.split(F.col("_path"), "/")
