@@ -766,3 +766,242 @@ def q_truncate_tokens(spark, sf_dir):
     t = tx.truncate_tokens(prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage")))
     return q.select("item_id", t.alias("text")).withColumn(
         "n_tokens", F.size(F.split(F.col("text"), " ")))
+
+
+# ---- P / J: rows and key joins -------------------------------------------------------
+
+@query("drop_unlabeled", V.with_views(V.LAB_NULL) +
+       "SELECT item_id, error_label FROM labn WHERE error_label IS NOT NULL")
+def q_drop_unlabeled(spark, sf_dir):
+    from ..operators import rows
+    return rows.drop_unlabeled(lab_view(spark, sf_dir, keep_null=True))
+
+
+@query("fill_empty", V.with_views(V.LAB_NULL) +
+       "SELECT item_id, coalesce(error_label, '') AS error_label FROM labn")
+def q_fill_empty(spark, sf_dir):
+    from ..operators import rows
+    return rows.fill_empty(lab_view(spark, sf_dir, keep_null=True))
+
+
+@query("cast_label", V.with_views(V.LAB) +
+       "SELECT lab.item_id, lab.error_label AS pred_error, CAST(l.quality AS INTEGER) AS label "
+       "FROM lab JOIN labels l ON l.doc_id = lab.item_id")
+def q_cast_label(spark, sf_dir):
+    from ..operators import rows
+    lb = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("item_id"), F.col("quality").alias("label"))
+    x = lab_view(spark, sf_dir).withColumnRenamed("error_label", "pred_error").join(lb, "item_id")
+    return rows.cast_label(x, "label", ["pred_error"])
+
+
+@query("exclude_clean", V.with_views(V.LAB) +
+       "SELECT item_id, error_label FROM lab WHERE error_label <> 'No Error'")
+def q_exclude_clean(spark, sf_dir):
+    from ..operators import rows
+    return rows.exclude_clean(lab_view(spark, sf_dir))
+
+
+@query("model_family",
+       "SELECT doc_id AS item_id, split_part(source, '_', 1) || '_GPT-4' AS source_tag, "
+       "split_part(lang || '-' || source, '-', 1) AS family FROM documents")
+def q_model_family(spark, sf_dir):
+    from ..operators import rows
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+    return d.select(F.col("doc_id").alias("item_id"),
+                    rows.generated_source(F.col("source")).alias("source_tag"),
+                    rows.model_family(F.concat_ws("-", "lang", "source")).alias("family"))
+
+
+MODELS = ["m0", "m1", "m2"]
+
+
+def _wide_sql():
+    cols = []
+    for d in vocab.DIMENSIONS:
+        for m in MODELS:
+            cond = f"dimension = {V.lit(d)} AND model = {V.lit(m)}"
+            cols.append(f'max(CASE WHEN {cond} THEN response END) AS "{d}_{m}"')
+            cols.append(f'max(CASE WHEN {cond} THEN score END) AS "{d}_{m}_score"')
+    return V.with_views(V.RESP, V.SCORED) + "SELECT item_id, " + ", ".join(cols) + \
+        " FROM scored GROUP BY item_id"
+
+
+@query("wide_scores", _wide_sql())
+def q_wide_scores(spark, sf_dir):
+    from ..operators import rows
+    return rows.wide_scores(scored_responses(spark, sf_dir), vocab.DIMENSIONS, MODELS)
+
+
+@query("pair_rating_pred", V.with_views(V.RESP, V.SCORED) +
+       "SELECT r.item_id, r.dimension, r.rating, s.model, s.score FROM resp r "
+       "JOIN scored s ON s.item_id = r.item_id AND s.dimension = r.dimension")
+def q_pair_rating_pred(spark, sf_dir):
+    from ..operators import rows
+    s = scored_responses(spark, sf_dir)
+    ratings = s.select("item_id", "dimension", "rating")
+    preds = s.select("item_id", "dimension", "model", "score")
+    return rows.pair_rating_pred(ratings, preds)
+
+
+@query("meta_evaluate", V.with_views(V.RESP, V.SCORED) + """
+SELECT dimension, model, CAST(count(*) AS BIGINT) AS n,
+       round(CASE WHEN stddev_pop(rating) * stddev_pop(score) = 0 THEN NULL
+                  ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r
+FROM scored WHERE score <> 999 GROUP BY dimension, model""")
+def q_meta_evaluate(spark, sf_dir):
+    from . import jobs
+    r = views.responses(spark, sf_dir)
+    return jobs.meta_evaluate(r.select("item_id", "dimension", "model", "response"),
+                              r.select("item_id", "dimension", "rating"))
+
+
+REQ_SQL = V.with_views(V.QA, V.QA_DIM, V.RESP) + \
+    f", req AS (SELECT item_id, dimension, unnest({V.list_lit(MODELS)}) AS model FROM qad)\n"
+
+
+def requests_df(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.all_dimensions(qa_view(spark, sf_dir).select("item_id"))
+    return x.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+
+
+@query("pending_rows", REQ_SQL +
+       "SELECT item_id, dimension, model FROM req WHERE NOT EXISTS (SELECT 1 FROM resp r WHERE "
+       "r.item_id = req.item_id AND r.dimension = req.dimension AND r.model = req.model AND r.response <> '')")
+def q_pending_rows(spark, sf_dir):
+    from ..operators import rows
+    done = views.responses(spark, sf_dir).filter(F.col("response") != "")
+    return rows.pending_rows(requests_df(spark, sf_dir), done)
+
+
+@query("join_recorded_responses", REQ_SQL +
+       f"SELECT req.item_id, req.dimension, req.model, {V.extract_score('r.response')} AS score "
+       "FROM req JOIN resp r ON r.item_id = req.item_id AND r.dimension = req.dimension AND r.model = req.model")
+def q_join_recorded_responses(spark, sf_dir):
+    from ..operators import rows
+    rec = rows.with_score(views.responses(spark, sf_dir)).select("item_id", "dimension", "model", "score")
+    return rows.join_recorded_responses(requests_df(spark, sf_dir), rec)
+
+
+@query("attach_predictions", PRED_SQL +
+       "SELECT item_id, array_to_string(true_labels, '; ') AS true_labels, " + V.decode("ind") +
+       " AS pred_error FROM pr")
+def q_attach_predictions(spark, sf_dir):
+    from ..functions import labels as lb
+    from ..operators import rows
+    lg = views.logits(spark, sf_dir)
+    truth = lg.select("item_id", F.array_join("true_labels", "; ").alias("true_labels"))
+    preds = lg.select("item_id", lb.decode(lb.above(lb.sigmoid(F.col("logits")),
+                                                    lb.thresholds(None))).alias("pred_error"))
+    return rows.attach_predictions(truth, preds)
+
+
+# ---- V / J8 / R8: sampling ------------------------------------------------------------
+
+def dist_sql(src: str) -> str:
+    return f""", tok AS (SELECT unnest({V.parse_labels_raw('error_label')}) AS label FROM {src})
+, dist AS (SELECT label, CAST(count(*) AS BIGINT) AS count FROM tok GROUP BY label)
+, distp AS (SELECT label, count, CAST(count AS DOUBLE) / (SELECT sum(count) FROM dist) AS proportion FROM dist)
+"""
+
+
+SEED_WEIGHTS_SQL = (V.with_views(V.QA, V.LAB, V.SEED) + dist_sql("seed") +
+                    WEIGHTS_SQL[WEIGHTS_SQL.index(", fac(label"):])
+
+DRAW_SQL = SEED_WEIGHTS_SQL + f""", cum AS (
+  SELECT label, sum(final_weight_norm) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+         lead(label) OVER (ORDER BY label) AS nxt FROM w2)
+, iv AS (SELECT label, coalesce(lag(c) OVER (ORDER BY label), 0.0) AS lo,
+                CASE WHEN nxt IS NULL THEN 1.0 ELSE c END AS hi FROM cum)
+, cu AS (SELECT item_id, passage, answer, {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} / 4294967296.0 AS u FROM qa)
+, drawn AS (SELECT cu.item_id, cu.passage, cu.answer, iv.label AS sampled_label
+            FROM cu JOIN iv ON cu.u >= iv.lo AND cu.u < iv.hi AND iv.hi > iv.lo)
+, stok AS (SELECT DISTINCT item_id, unnest({V.parse_labels_raw('error_label')}) AS label FROM seed)
+, slots AS (SELECT label, item_id AS ex_item_id,
+                   row_number() OVER (PARTITION BY label ORDER BY {V.md5_u32(vocab.SPLIT_SEED, 'item_id')}, item_id) - 1 AS slot,
+                   count(*) OVER (PARTITION BY label) AS n FROM stok)
+, shot AS (SELECT d.*, s.ex_item_id FROM drawn d JOIN slots s ON s.label = d.sampled_label
+           AND s.slot = {V.md5_u32(vocab.SPLIT_SEED, "'shot'", 'd.item_id')} % s.n)
+"""
+
+
+def drawn_df(spark, sf_dir):
+    from ..operators import sampling as S
+    seeds = seed_view(spark, sf_dir)
+    w = weights_df(spark, sf_dir, labeled=seeds)
+    return S.weighted_label_sample(qa_view(spark, sf_dir), w)
+
+
+def shots_df(spark, sf_dir):
+    from ..operators import sampling as S
+    seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
+    return S.attach_few_shot(drawn_df(spark, sf_dir), seeds)
+
+
+@query("weighted_label_sample", DRAW_SQL + "SELECT item_id, sampled_label FROM drawn")
+def q_weighted_label_sample(spark, sf_dir):
+    return drawn_df(spark, sf_dir).select("item_id", "sampled_label")
+
+
+@query("attach_few_shot", DRAW_SQL + "SELECT item_id, sampled_label, ex_item_id FROM shot")
+def q_attach_few_shot(spark, sf_dir):
+    return shots_df(spark, sf_dir).select("item_id", "sampled_label", "ex_item_id")
+
+
+@query("render_generation_prompt", DRAW_SQL + ", " + _tpl_sql() + f"""
+, sx AS (SELECT sh.item_id, sh.passage, sh.answer, e.passage AS ex_passage, e.answer AS ex_answer,
+                e.question AS ex_question, e.error_label AS ex_error_label
+         FROM shot sh JOIN seed e ON e.item_id = sh.ex_item_id)
+SELECT item_id, {V.fill("(SELECT body FROM tpl WHERE kind = 'generate')",
+                        [("{{FEW_SHOT_EXAMPLES}}", FEW_SHOT_SQL_EXPR.format(p="ex_")),
+                         ("{{ERROR}}", V.describe(V.parse_labels("ex_error_label"))),
+                         ("{{PASSAGE}}", "passage"), ("{{ANSWER}}", "answer")])} AS prompt,
+       array_to_string({V.parse_labels("ex_error_label")}, '; ') AS target_labels FROM sx""")
+def q_render_generation_prompt(spark, sf_dir):
+    from ..operators import prompts
+    x = prompts.render_generation_prompt(shots_df(spark, sf_dir), templates_df(spark))
+    return x.select("item_id", "prompt", F.array_join("target_labels", "; ").alias("target_labels"))
+
+
+@query("uniform_sample_one", V.with_views(V.QA) +
+       f"SELECT item_id FROM qa ORDER BY {V.md5_u32(vocab.SPLIT_SEED, 'item_id')}, item_id LIMIT 1")
+def q_uniform_sample_one(spark, sf_dir):
+    from ..operators import sampling as S
+    return S.uniform_sample_one(qa_view(spark, sf_dir)).select("item_id")
+
+
+@query("train_dev_split", V.with_views(V.LAB) +
+       f"SELECT item_id, CASE WHEN {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 < {vocab.IDENTIFIER_DEV_SHARE} "
+       "THEN 'dev' ELSE 'train' END AS split FROM lab")
+def q_train_dev_split(spark, sf_dir):
+    from ..operators import sampling as S
+    return S.train_dev_split(lab_view(spark, sf_dir)).select("item_id", "split")
+
+
+@query("candidate_slice", V.with_views(V.QA) +
+       f"SELECT item_id, question FROM qa ORDER BY item_id LIMIT {vocab.CANDIDATE_SLICE}")
+def q_candidate_slice(spark, sf_dir):
+    from ..operators import sampling as S
+    return S.candidate_slice(qa_view(spark, sf_dir)).select("item_id", "question")
+
+
+@query("rows_with_label", V.with_views(V.LAB) +
+       f"SELECT DISTINCT unnest({V.parse_labels('error_label')}) AS label, item_id FROM lab")
+def q_rows_with_label(spark, sf_dir):
+    from ..operators import sampling as S
+    return S.rows_with_label(lab_view(spark, sf_dir)).select("label", "item_id")
+
+
+@query("row_counts", V.with_views(V.LAB_NULL) + f"""
+SELECT CAST(count(*) AS BIGINT) AS n_input, CAST(count(error_label) AS BIGINT) AS n_labeled,
+  CAST(count(*) FILTER (WHERE error_label IS NOT NULL AND {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 >= {vocab.IDENTIFIER_DEV_SHARE}) AS BIGINT) AS n_train,
+  CAST(count(*) FILTER (WHERE error_label IS NOT NULL AND {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 < {vocab.IDENTIFIER_DEV_SHARE}) AS BIGINT) AS n_dev
+FROM labn""")
+def q_row_counts(spark, sf_dir):
+    from ..operators import sampling as S
+    x = S.train_dev_split(lab_view(spark, sf_dir, keep_null=True))
+    lab = F.col("error_label").isNotNull()
+    return x.agg(F.count(F.lit(1)).alias("n_input"), F.count("error_label").alias("n_labeled"),
+                 F.count_if(lab & (F.col("split") == "train")).alias("n_train"),
+                 F.count_if(lab & (F.col("split") == "dev")).alias("n_dev"))
