@@ -1005,3 +1005,145 @@ def q_row_counts(spark, sf_dir):
     return x.agg(F.count(F.lit(1)).alias("n_input"), F.count("error_label").alias("n_labeled"),
                  F.count_if(lab & (F.col("split") == "train")).alias("n_train"),
                  F.count_if(lab & (F.col("split") == "dev")).alias("n_dev"))
+
+
+# ---- S: sources, sinks, incremental scoring ----------------------------------------------
+
+@query("scan_table", "SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n_chars FROM documents")
+def q_scan_table(spark, sf_dir):
+    from pyspark.sql import types as T
+    from ..sources import tables
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                           T.StructField("source", T.StringType())])
+    d = tables.scan_table(spark, tables.table_path(sf_dir, "documents"), schema)
+    return d.select("doc_id", "source", F.length("text").alias("n_chars"))
+
+
+@query("read_table", "SELECT doc_id, lang FROM documents")
+def q_read_table(spark, sf_dir):
+    from ..sources import tables
+    return tables.read_table(spark, tables.table_path(sf_dir, "documents")).select("doc_id", "lang")
+
+
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+@query("scan_json", V.with_views(V.QA) + "SELECT item_id, question, answer, source FROM qa")
+def q_scan_json(spark, sf_dir):
+    """Round trip: QA rows written as JSON lines, read back with a schema."""
+    from ..sources import tables
+    path = _scratch(spark, "qa-json")
+    qa = qa_view(spark, sf_dir).select("item_id", "question", "answer", "source")
+    tables.sink_json(qa, path)
+    sch = tables.QA_SCHEMA
+    return tables.scan_json(spark, path, sch).select("item_id", "question", "answer", "source")
+
+
+@query("sink_json", V.with_views(V.QA) + "SELECT item_id, passage, question, answer FROM qa")
+def q_sink_json(spark, sf_dir):
+    from ..sources import tables
+    path = _scratch(spark, "qa-json-full")
+    tables.sink_json(qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer"), path)
+    return tables.read_table(spark, path + "/*.json", tables.QA_SCHEMA).select(
+        "item_id", "passage", "question", "answer")
+
+
+@query("sink_table", V.with_views(V.RESP, V.SCORED) + "SELECT item_id, dimension, model, score FROM scored")
+def q_sink_table(spark, sf_dir):
+    """Scored responses written partitioned by dimension, then read back."""
+    from ..sources import tables
+    path = _scratch(spark, "scored")
+    tables.sink_table(scored_responses(spark, sf_dir).select("item_id", "dimension", "model", "score"),
+                      path, partition_by=["dimension"])
+    return spark.read.parquet(path).select("item_id", "dimension", "model", "score")
+
+
+@query("sink_text", "SELECT chat AS value FROM (" + CHAT_SQL + ")")
+def q_sink_text(spark, sf_dir):
+    """Rendered transcripts written as text records (record separator 0x1E,
+    since transcripts hold newlines) and read back."""
+    from ..operators import prompts
+    path = _scratch(spark, "chats-text")
+    chats = prompts.chat_transcripts(views.chats(spark, sf_dir))
+    chats.select(F.col("chat").alias("value")).write.mode("overwrite").option("lineSep", "\x1e").text(path)
+    return spark.read.option("lineSep", "\x1e").text(path)
+
+
+@query("incremental_score", V.with_views(V.RESP, V.SCORED) + "SELECT item_id, dimension, model, score FROM scored")
+def q_incremental_score(spark, sf_dir):
+    """Responses arrive as two file drops; two availableNow runs over the same
+    checkpoint score each drop once; the union equals the batch result."""
+    from ..streaming import incremental as inc
+    base = _scratch(spark, "incremental")
+    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    r = views.responses(spark, sf_dir).select("item_id", "dimension", "model", "response")
+    r.filter(F.col("item_id") % 2 == 0).write.mode("append").parquet(src)
+    inc.run_incremental(spark, src, sink, ckpt)
+    r.filter(F.col("item_id") % 2 == 1).write.mode("append").parquet(src)
+    inc.run_incremental(spark, src, sink, ckpt)
+    return inc.read_scored(spark, sink).select("item_id", "dimension", "model", "score")
+
+
+# ---- X4 / X6: validation of generated rows -----------------------------------------------
+
+ATTEMPTS_SQL = V.with_views(V.QA, V.LAB, V.SEED) + f""", att AS (
+  SELECT s.*, k AS attempt,
+         'Generated question ' || CAST(k AS VARCHAR) || ' about ' || s.source || '?' AS gq,
+         CASE WHEN (s.item_id + k) % 3 = 0 THEN 'Spell Error' ELSE s.error_label END AS gl
+  FROM seed s, range(1, {vocab.GENERATION_ATTEMPTS + 1}) t(k))
+, att2 AS (
+  SELECT *, CASE (item_id + attempt) % 4
+      WHEN 0 THEN '{{"question": "' || gq || '", "error_label": "' || gl || '"}}'
+      WHEN 1 THEN '```json' || chr(10) || '{{"question": "' || gq || '", "error_label": "' || gl || '"}}' || chr(10) || '```'
+      WHEN 2 THEN '{{''question'': ''' || gq || ''', ''error_label'': ''' || gl || '''}}'
+      ELSE 'not json ' || CAST(attempt AS VARCHAR) END AS response
+  FROM att)
+, parsed AS (
+  SELECT *, {sql_json_field('response', 'question')} AS gen_question,
+            {sql_json_field('response', 'error_label')} AS gen_label FROM att2)
+, ok AS (
+  SELECT * FROM parsed
+  WHERE coalesce(gen_question, '') <> '' AND coalesce(gen_label, '') <> ''
+    AND list_sort(list_distinct(list_transform({V.parse_labels_raw('error_label')}, lambda x: lower(x))))
+        = list_sort(list_distinct(list_transform({V.parse_labels_raw('gen_label')}, lambda x: lower(x))))
+    AND len({V.parse_labels_raw('error_label')}) = len({V.parse_labels_raw('gen_label')}))
+, best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY attempt) = 1)
+"""
+
+
+def attempts_df(spark, sf_dir):
+    """Three generator replies per seed row in rotating styles; some carry a
+    wrong label so that validation rejects them."""
+    from ..functions import labels as lb
+    s = seed_view(spark, sf_dir)
+    x = s.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(vocab.GENERATION_ATTEMPTS))))
+    k = F.col("item_id") + F.col("attempt")
+    gq = F.concat(F.lit("Generated question "), F.col("attempt").cast("string"), F.lit(" about "),
+                  F.col("source"), F.lit("?"))
+    gl = F.when(k % 3 == 0, F.lit("Spell Error")).otherwise(F.col("error_label"))
+    dq = F.concat(F.lit('{"question": "'), gq, F.lit('", "error_label": "'), gl, F.lit('"}'))
+    sq = F.concat(F.lit("{'question': '"), gq, F.lit("', 'error_label': '"), gl, F.lit("'}"))
+    style = k % 4
+    resp = (F.when(style == 0, dq).when(style == 1, F.concat(F.lit("```json\n"), dq, F.lit("\n```")))
+            .when(style == 2, sq).otherwise(F.concat(F.lit("not json "), F.col("attempt").cast("string"))))
+    return x.withColumn("response", resp).withColumn(
+        "target_labels", lb.parse_labels_raw(F.col("error_label")))
+
+
+@query("validate_generated", ATTEMPTS_SQL +
+       "SELECT item_id, CAST(attempt AS INTEGER) AS attempt, gen_question AS question, gen_label AS error_label FROM best")
+def q_validate_generated(spark, sf_dir):
+    from ..operators import generation as G
+    b = G.first_accepted(attempts_df(spark, sf_dir))
+    return b.select("item_id", "attempt", F.col("gen_question").alias("question"),
+                    F.col("gen_label").alias("error_label"))
+
+
+@query("make_training_row", ATTEMPTS_SQL +
+       "SELECT item_id, passage, answer, gen_question AS question, "
+       "split_part(source, '_', 1) || '_GPT-4' AS source, gen_label AS error_label FROM best")
+def q_make_training_row(spark, sf_dir):
+    from ..operators import generation as G
+    return G.make_training_row(G.first_accepted(attempts_df(spark, sf_dir)))
