@@ -1147,3 +1147,162 @@ def q_validate_generated(spark, sf_dir):
 def q_make_training_row(spark, sf_dir):
     from ..operators import generation as G
     return G.make_training_row(G.first_accepted(attempts_df(spark, sf_dir)))
+
+
+# ---- M7 / C: model calls and composite jobs ---------------------------------------------
+
+RULE_REPLY = "'score: ' || CAST(1 + length(prompt) % 3 AS VARCHAR) || chr(10) || 'reason: rule of thumb'"
+
+
+@query("complete_batch", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
+       f"SELECT item_id, dimension, {RULE_REPLY} AS response FROM dp")
+def q_complete_batch(spark, sf_dir):
+    from ..operators import completion, prompts
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    x = prompts.with_messages(prompts.render_prompt(x, templates_df(spark)))
+    return completion.complete_batch(x.select("item_id", "dimension", "messages"),
+                                     completion.length_rule_evaluator)
+
+
+@query("evaluate", ERR_BASE + f""", ep AS (
+  SELECT q.item_id, q.dimension, {_error_fill()} AS prompt FROM qald q
+  JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension)
+SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score FROM ep""")
+def q_evaluate(spark, sf_dir):
+    from ..operators import completion
+    from . import jobs
+    lab = lab_view(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "error_label")
+    qa = qa_view(spark, sf_dir).join(lab, "doc_id", "left")
+    out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule")
+    return out.select("item_id", "dimension", "model", "score")
+
+
+COMPARE_SQL = V.with_views(V.RESP) + f""", bm AS (
+  SELECT item_id, dimension, model, rating, 'vanilla' AS mode, {V.extract_score('response')} AS score FROM resp
+  UNION ALL
+  SELECT item_id, dimension, model, rating, 'error' AS mode,
+         {V.extract_score("CASE WHEN item_id % 3 = 0 THEN 'score: ' || CAST(CAST(rating AS INTEGER) AS VARCHAR) ELSE response END")} FROM resp)
+, pr AS (SELECT mode, dimension, model, CAST(count(*) AS BIGINT) AS n,
+           round(CASE WHEN stddev_pop(rating) * stddev_pop(score) = 0 THEN NULL
+                 ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS r
+         FROM bm WHERE score <> 999 GROUP BY mode, dimension, model)
+SELECT dimension, model,
+  max(n) FILTER (WHERE mode = 'vanilla') AS vanilla_n, max(r) FILTER (WHERE mode = 'vanilla') AS vanilla_r,
+  max(n) FILTER (WHERE mode = 'error') AS error_n, max(r) FILTER (WHERE mode = 'error') AS error_r
+FROM pr GROUP BY dimension, model"""
+
+
+@query("compare_modes", COMPARE_SQL)
+def q_compare_modes(spark, sf_dir):
+    from ..operators import rows
+    from . import jobs
+    r = views.responses(spark, sf_dir)
+    err_resp = F.when(F.col("item_id") % 3 == 0, F.concat(
+        F.lit("score: "), F.col("rating").cast("int").cast("string"))).otherwise(F.col("response"))
+    both = (r.select("item_id", "dimension", "model", F.lit("vanilla").alias("mode"), "response")
+            .unionByName(r.select("item_id", "dimension", "model", F.lit("error").alias("mode"),
+                                  err_resp.alias("response"))))
+    scored = rows.with_score(both).drop("response")
+    return jobs.compare_modes(scored, r.select("item_id", "dimension", "rating"))
+
+
+# ---- M1-M6: models (rows-only checks) --------------------------------------------------------
+
+def identifier_input(spark, sf_dir):
+    """Labelled QA rows with the identifier text (capped at 512 tokens)."""
+    from ..functions import labels as lb
+    from ..functions import text as tx
+    from ..operators import prompts, sampling
+    s = seed_view(spark, sf_dir)
+    s = s.withColumn("text", tx.truncate_tokens(prompts.identifier_text(
+        F.col("question"), F.col("answer"), F.col("passage"))))
+    s = s.withColumn("labels", lb.parse_labels(F.col("error_label")))
+    return sampling.train_dev_split(s, vocab.IDENTIFIER_DEV_SHARE)
+
+
+def verifier_input(spark, sf_dir):
+    from ..functions import text as tx
+    from ..operators import prompts, sampling
+    s = seed_view(spark, sf_dir)
+    q = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id"), F.col("quality").cast("int").alias("label"))
+    x = s.join(q, "doc_id").withColumnRenamed("error_label", "pred_error")
+    x = x.withColumn("text", tx.truncate_tokens(prompts.verifier_text(
+        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"))))
+    return sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE)
+
+
+ML_ITER = 10
+
+
+@query("train_identifier")
+def q_train_identifier(spark, sf_dir):
+    from ..operators import ml
+    d = identifier_input(spark, sf_dir)
+    m = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    return ml.identify_errors(m, d.filter(F.col("split") == "dev").select(
+        "item_id", "text", "error_label")).select("item_id", "error_label", "pred_error")
+
+
+@query("identify_errors")
+def q_identify_errors(spark, sf_dir):
+    from ..operators import ml, prompts
+    from ..functions import text as tx
+    d = identifier_input(spark, sf_dir)
+    m = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    pool = qa_view(spark, sf_dir).withColumn("text", tx.truncate_tokens(prompts.identifier_text(
+        F.col("question"), F.col("answer"), F.col("passage"))))
+    return ml.identify_errors(m, pool.select("item_id", "text"), need_prob=True)
+
+
+@query("train_verifier")
+def q_train_verifier(spark, sf_dir):
+    from ..operators import ml
+    d = verifier_input(spark, sf_dir)
+    m = ml.train_verifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    return ml.verify_labels(m, d.filter(F.col("split") == "dev").select("item_id", "text", "label"))
+
+
+@query("verify_labels")
+def q_verify_labels(spark, sf_dir):
+    from ..operators import ml
+    d = verifier_input(spark, sf_dir)
+    m = ml.train_verifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    return ml.verify_labels(m, d.select("item_id", "pred_error", "text"))
+
+
+@query("select_model")
+def q_select_model(spark, sf_dir):
+    from pyspark.sql import types as T
+    from ..operators import ml
+    d = verifier_input(spark, sf_dir).filter(F.col("split") == "train")
+    _, scores = ml.select_model(d)
+    schema = T.StructType([T.StructField("reg_param", T.DoubleType()), T.StructField("f1", T.DoubleType())])
+    return spark.createDataFrame(scores, schema)
+
+
+@query("self_train_round")
+def q_self_train_round(spark, sf_dir):
+    from ..operators import ml
+    from . import jobs
+    d = identifier_input(spark, sf_dir)
+    ident = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    v = verifier_input(spark, sf_dir)
+    ver = ml.train_verifier(v.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    train_set = seed_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source",
+                                                "error_label")
+    pool = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source")
+    return jobs.self_train_round(ident, ver, pool, train_set)
+
+
+@query("build_training_set")
+def q_build_training_set(spark, sf_dir):
+    from ..operators import completion
+    from . import jobs
+    seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
+    cands = qa_view(spark, sf_dir).select("item_id", "passage", "answer", "source")
+    reviewers = {r: completion.hashed_reviewer(r) for r in vocab.REVIEWERS}
+    return jobs.build_training_set(
+        cands, seeds, templates_df(spark), completion.label_echo_generator, reviewers,
+        vocab.DEFAULT_DIFFICULTY, vocab.DEFAULT_IMPORTANCE, vocab.LOW_PRECISION_LABELS,
+        threshold=0.5, by="threshold")

@@ -27,3 +27,90 @@ def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.responses(spark, sf_dir)
     scored = rows.drop_unparsed(rows.with_score(r))
     return metrics.pearson_by_group(scored, ["dimension", "model"], "rating", "score")
+
+
+def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
+             error_aware: bool = True, dimensions=None, label_col: str = "error_label") -> DataFrame:
+    """Rows -> (error-aware or direct) prompts per dimension -> evaluator
+    replies -> scores. ``qa`` carries ``label_col`` when ``error_aware``
+    (from ``ml.identify_errors`` or a recorded identifier run)."""
+    from .. import vocab
+    from ..operators import completion, prompts
+    dims = dimensions or vocab.DIMENSIONS
+    cols = ["item_id", "passage", "question", "answer"] + ([label_col] if error_aware else [])
+    msgs = prompts.render_batch(qa.select(*cols), templates, error_aware, dims, label_col)
+    replies = completion.complete_batch(msgs.select("item_id", "dimension", "messages"), complete_fn)
+    return rows.with_score(replies.withColumn("model", F.lit(model_name)))
+
+
+def compare_modes(scored: DataFrame, ratings: DataFrame,
+                  modes=("vanilla", "error")) -> DataFrame:
+    """Pearson per (dimension, model) for each prompting mode side by side.
+
+    ``scored``: item_id, dimension, model, mode, score; ``ratings``: item_id,
+    dimension, rating."""
+    paired = rows.drop_unparsed(rows.pair_rating_pred(ratings, scored))
+    per = metrics.pearson_by_group(paired, ["mode", "dimension", "model"], "rating", "score")
+    wide = per.groupBy("dimension", "model").pivot("mode", list(modes)).agg(
+        F.first("n").alias("n"), F.first("pearson_r").alias("r"))
+    out = [F.col("dimension"), F.col("model")]
+    for m in modes:
+        out += [F.col(f"{m}_n").alias(f"{m}_n"), F.col(f"{m}_r").alias(f"{m}_r")]
+    return wide.select(*out)
+
+
+def self_train_round(identifier, verifier, pool: DataFrame, train_set: DataFrame,
+                     text_model_type: str = "roberta") -> DataFrame:
+    """Predict labels for the pool, keep rows the verifier accepts, and add
+    them to the training set (columns of ``train_set``)."""
+    from ..functions import text as tx
+    from ..operators import ml, prompts
+    ident_in = pool.withColumn("text", tx.truncate_tokens(prompts.identifier_text(
+        F.col("question"), F.col("answer"), F.col("passage"), text_model_type)))
+    pred = ml.identify_errors(identifier, ident_in).drop("text")
+    ver_in = pred.withColumn("text", tx.truncate_tokens(prompts.verifier_text(
+        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"), text_model_type)))
+    ok = ml.verify_labels(verifier, ver_in).filter(F.col("verify_label") == 1)
+    new_rows = ok.withColumn("error_label", F.col("pred_error")).select(*train_set.columns)
+    return train_set.unionByName(new_rows)
+
+
+def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataFrame,
+                       generate_fn, review_fns: dict, difficulty=None, importance=None,
+                       low_precision=(), threshold: float = 0.8, by: str = "threshold",
+                       attempts: int = 3, seed: int = 42) -> DataFrame:
+    """Label statistics -> weights -> one target label per candidate ->
+    few-shot example -> generation prompt -> generator replies (up to
+    ``attempts``) -> first valid reply -> review prompt -> reviewer replies
+    -> confidences -> votes -> accepted training rows.
+
+    ``candidates``: item_id, passage, answer, source. ``seeds``: item_id,
+    passage, answer, question, error_label. ``review_fns``: reviewer name ->
+    batch function."""
+    from .. import vocab
+    from ..functions import parse, text as tx
+    from ..operators import completion, distribution, generation, prompts, sampling, voting
+    w = distribution.label_weights(distribution.label_distribution(seeds), difficulty,
+                                   importance, seed=seed)
+    drawn = sampling.weighted_label_sample(candidates, w, seed)
+    shots = sampling.attach_few_shot(drawn, seeds.select("item_id", "passage", "answer",
+                                                         "question", "error_label"), seed=seed)
+    gp = prompts.render_generation_prompt(shots, templates)
+    gp = gp.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    gp = gp.withColumn("messages", tx.build_messages(vocab.SYSTEM_GENERATOR, F.concat(
+        F.col("prompt"), F.lit("\n\nAttempt "), F.col("attempt").cast("string"))))
+    gen = completion.complete_batch(
+        gp.select("item_id", "attempt", "passage", "answer", "source", "target_labels", "messages"),
+        generate_fn)
+    acc = generation.make_training_row(generation.first_accepted(gen))
+    rp = prompts.render_review_prompt(acc, templates)
+    rp = rp.withColumn("messages", tx.build_messages(vocab.SYSTEM_REVIEWER, F.col("prompt")))
+    reviews = None
+    for name, fn in review_fns.items():
+        r = completion.complete_batch(rp.select("item_id", "messages"), fn)
+        r = r.select("item_id", F.lit(name).alias("reviewer"),
+                     parse.parse_confidence(F.col("response")).alias("confidence"))
+        reviews = r if reviews is None else reviews.unionByName(r)
+    merged = voting.merge_reviews(acc, reviews, list(review_fns))
+    return voting.vote_filter(merged, [f"check-{n}" for n in review_fns], "vote", threshold,
+                              low_precision, by=by)
