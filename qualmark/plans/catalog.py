@@ -1306,3 +1306,11 @@ def q_build_training_set(spark, sf_dir):
         cands, seeds, templates_df(spark), completion.label_echo_generator, reviewers,
         vocab.DEFAULT_DIFFICULTY, vocab.DEFAULT_IMPORTANCE, vocab.LOW_PRECISION_LABELS,
         threshold=0.5, by="threshold")
+
+
+def _registry_views():
+    from .registry import ORACLE, QUERIES
+    return QUERIES, ORACLE
+
+
+QUERIES_FOR_TESTS, ORACLE_FOR_TESTS = _registry_views()
