@@ -12,15 +12,13 @@ from .text import ustrip
 
 def extract_score(response: Column) -> Column:
     """First pattern (in order) that matches decides; its leftmost digits are
-    the score. No match, empty/NULL text or an out-of-range int -> 999."""
-    out = F.lit(vocab.NO_SCORE)
-    # Build the CASE from the last pattern to the first so the first wins.
-    for pat in reversed(vocab.SCORE_PATTERNS):
-        digits = F.regexp_extract(response, "(?i)" + pat, 1)
-        out = F.when(digits != "",
-                     F.coalesce(digits.try_cast("int"), F.lit(vocab.NO_SCORE))
-                     ).otherwise(out)
-    return F.coalesce(out, F.lit(vocab.NO_SCORE)).cast("int")
+    the score. No match, empty/NULL text or an out-of-range int -> 999.
+
+    Each pattern's regex is evaluated once per row and only when the earlier
+    patterns did not match (``coalesce`` is lazy)."""
+    digits = F.coalesce(*[F.nullif(F.regexp_extract(response, "(?i)" + pat, 1), F.lit(""))
+                          for pat in vocab.SCORE_PATTERNS])
+    return F.coalesce(digits.try_cast("int"), F.lit(vocab.NO_SCORE)).cast("int")
 
 
 _THINK = r"(?s)^(.*)</think>(.*)$"

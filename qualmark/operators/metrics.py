@@ -34,13 +34,24 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def pearson_by_group(df: DataFrame, keys: Sequence[str], x: str, y: str,
-                     digits: int | None = 6) -> DataFrame:
-    """``(keys..., n, pearson_r)``; rows with a NULL side are ignored."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = pearson(F.col(x).cast("double"), F.col(y).cast("double"))
+                     digits: int | None = 6, valid: Column | None = None) -> DataFrame:
+    """``(keys..., n, pearson_r)`` over rows where both sides are non-NULL
+    (and ``valid`` holds, if given).
+
+    ``valid`` is applied inside the aggregate rather than as a Filter: a
+    Filter on a computed column (e.g. a parsed score) would be pushed below
+    the projection and evaluate the expression twice. Groups with no valid
+    row are dropped after the (small) aggregate, as a Filter would."""
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    ok = xc.isNotNull() & yc.isNotNull()
+    if valid is not None:
+        ok = ok & valid
+    xv, yv = F.when(ok, xc), F.when(ok, yc)
+    r = pearson(xv, yv)
     if digits is not None:
         r = F.round(r, digits)
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias("pearson_r"))
+    out = df.groupBy(*keys).agg(F.count_if(ok).alias("n"), r.alias("pearson_r"))
+    return out.filter(F.col("n") > 0)
 
 
 def parse_rate(scored: DataFrame, keys: Sequence[str] = ("dimension", "model"),

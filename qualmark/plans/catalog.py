@@ -25,8 +25,9 @@ SELECT dimension, model, CAST(count(*) AS BIGINT) AS n,
                   ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r
 FROM scored WHERE score <> 999 GROUP BY dimension, model""")
 def q_pearson_by_dimension(spark, sf_dir):
-    s = scored_responses(spark, sf_dir).filter(F.col("score") != 999)
-    return metrics.pearson_by_group(s, ["dimension", "model"], "rating", "score")
+    s = scored_responses(spark, sf_dir)
+    return metrics.pearson_by_group(s, ["dimension", "model"], "rating", "score",
+                                    valid=F.col("score") != vocab.NO_SCORE)
 
 
 # ---- X: response parsing -------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..operators import metrics, rows
 from ..sources import views
 
@@ -19,14 +20,15 @@ def meta_evaluate(responses: DataFrame, ratings: DataFrame,
     scored = rows.with_score(responses.select("item_id", "dimension", "model", "response"))
     paired = rows.pair_rating_pred(ratings.select("item_id", "dimension", "rating"),
                                    scored.drop("response"))
-    return metrics.pearson_by_group(rows.drop_unparsed(paired), list(keys), "rating", "score")
+    return metrics.pearson_by_group(paired, list(keys), "rating", "score",
+                                    valid=F.col("score") != vocab.NO_SCORE)
 
 
 def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``meta_evaluate`` on the V-RESP view (rating on the response row)."""
     r = views.responses(spark, sf_dir)
-    scored = rows.drop_unparsed(rows.with_score(r))
-    return metrics.pearson_by_group(scored, ["dimension", "model"], "rating", "score")
+    return metrics.pearson_by_group(rows.with_score(r), ["dimension", "model"], "rating", "score",
+                                    valid=F.col("score") != vocab.NO_SCORE)
 
 
 def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
@@ -49,8 +51,9 @@ def compare_modes(scored: DataFrame, ratings: DataFrame,
 
     ``scored``: item_id, dimension, model, mode, score; ``ratings``: item_id,
     dimension, rating."""
-    paired = rows.drop_unparsed(rows.pair_rating_pred(ratings, scored))
-    per = metrics.pearson_by_group(paired, ["mode", "dimension", "model"], "rating", "score")
+    paired = rows.pair_rating_pred(ratings, scored)
+    per = metrics.pearson_by_group(paired, ["mode", "dimension", "model"], "rating", "score",
+                                   valid=F.col("score") != vocab.NO_SCORE)
     wide = per.groupBy("dimension", "model").pivot("mode", list(modes)).agg(
         F.first("n").alias("n"), F.first("pearson_r").alias("r"))
     out = [F.col("dimension"), F.col("model")]

@@ -1,0 +1,76 @@
+"""Model stages: retrying completion, identifier and verifier pipelines."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from qualmark import vocab
+from qualmark.functions import text as tx
+from qualmark.operators import completion as C
+from qualmark.operators import ml
+
+
+def _messages_df(spark, n=6):
+    df = spark.range(0, n).withColumnRenamed("id", "item_id")
+    return df.withColumn("messages", tx.build_messages("sys", F.concat(F.lit("p"), F.col("item_id").cast("string"))))
+
+
+def test_completion_retries_then_succeeds(spark):
+    calls = {"n": 0}
+
+    def flaky(batch):
+        import os
+        # fail on the first call of each Python worker process
+        flag = "/tmp/qualmark-flaky-%d" % os.getpid()
+        if not os.path.exists(flag):
+            open(flag, "w").close()
+            raise RuntimeError("transient")
+        return [m[-1]["content"].upper() for m in batch]
+
+    out = C.complete_batch(_messages_df(spark), flaky, wait_s=0.0).collect()
+    assert sorted(r.response for r in out) == sorted("P%d" % i for i in range(6))
+
+
+def test_completion_gives_empty_after_failures(spark):
+    def broken(batch):
+        raise RuntimeError("down")
+    out = C.complete_batch(_messages_df(spark, 3), broken, max_tries=2, wait_s=0.0).collect()
+    assert [r.response for r in out] == ["", "", ""]
+
+
+def _planted(spark, n=400):
+    """Texts that mention 'vague' carry Vague; others No Error."""
+    rows = []
+    for i in range(n):
+        if i % 2:
+            rows.append((i, f"what about the vague thing number {i % 7}", ["Vague"], 1))
+        else:
+            rows.append((i, f"when did the event {i % 5} happen exactly", ["No Error"], 0))
+    s = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType()),
+                      T.StructField("labels", T.ArrayType(T.StringType())),
+                      T.StructField("label", T.IntegerType())])
+    return spark.createDataFrame(rows, s)
+
+
+def test_identifier_learns_planted_signal(spark):
+    df = _planted(spark)
+    m = ml.train_identifier(df, max_iter=20, num_features=1 << 12)
+    out = ml.identify_errors(m, df, need_prob=True)
+    rows = out.collect()
+    assert len(rows) == 400
+    ok = sum(1 for r in rows if r.pred_error == ("Vague" if r.item_id % 2 else "No Error"))
+    assert ok / len(rows) > 0.9
+    for r in rows[:20]:
+        for lab in vocab.LABELS:
+            assert 0.0 <= r[f"{lab}_prob"] <= 1.0
+
+
+def test_verifier_and_selection(spark):
+    df = _planted(spark)
+    m = ml.train_verifier(df, max_iter=20, num_features=1 << 12)
+    rows = ml.verify_labels(m, df).collect()
+    assert {r.verify_label for r in rows} <= {0, 1}
+    acc = sum(1 for r in rows if r.verify_label == r.label) / len(rows)
+    assert acc > 0.9
+    _, scores = ml.select_model(df, reg_params=(0.0, 0.1), num_features=1 << 12)
+    assert len(scores) == 2 and all(0.0 <= f <= 1.0 for _, f in scores)
