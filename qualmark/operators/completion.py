@@ -36,11 +36,12 @@ def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> list[str]
 
 def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
                    out_col: str = "response", max_tries: int = 3, wait_s: float = 0.5,
-                   keep: Sequence[str] | None = None) -> DataFrame:
+                   keep: Sequence[str] | None = None, batch_size: int = 32) -> DataFrame:
     """Adds ``out_col`` with the model reply for each row's messages.
 
     The (wide) messages column is serialised to JSON on the JVM side and not
-    returned; ``keep`` picks the columns to carry (default: all others)."""
+    returned; ``keep`` picks the columns to carry (default: all others).
+    Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows."""
     keep = [c for c in (keep or df.columns) if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
     fields = [f for f in df.schema.fields if f.name in keep]
@@ -49,12 +50,16 @@ def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
-            replies = _call(fn, msgs, max_tries, wait_s)
-            if replies is None:
-                replies = []
-                for m in msgs:
-                    one = _call(fn, [m], max_tries, wait_s)
-                    replies.append(one[0] if one else "")
+            replies = []
+            for i in range(0, len(msgs), batch_size):
+                chunk = msgs[i:i + batch_size]
+                got = _call(fn, chunk, max_tries, wait_s)
+                if got is None:
+                    got = []
+                    for m in chunk:
+                        one = _call(fn, [m], max_tries, wait_s)
+                        got.append(one[0] if one else "")
+                replies.extend(got)
             out = pdf.drop(columns=["_msgs"])
             out[out_col] = replies
             yield out

@@ -10,6 +10,7 @@ persisted; the verifier is a single binary model. Inference is a plain
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -52,18 +53,23 @@ class IdentifierModel:
 
 def train_identifier(train: DataFrame, text_col: str = "text", labels_col: str = "labels",
                      reg_param: float = 0.01, max_iter: int = 20,
-                     num_features: int = NUM_FEATURES) -> IdentifierModel:
+                     num_features: int = NUM_FEATURES, parallelism: int = 4) -> IdentifierModel:
     """Fit shared features once, then one logistic head per label."""
     feats_model = Pipeline(stages=feature_stages(text_col, num_features)).fit(train)
     ind = lb.binarize(F.col(labels_col))
     feats = feats_model.transform(train).select("features", ind.alias("_y")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    heads = []
+    feats.count()  # materialise once, before the heads read it concurrently
+    def fit_head(i: int):
+        lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=max_iter,
+                                regParam=reg_param)
+        return lr.fit(feats.select("features", F.col("_y")[i].cast("double").alias("_label")))
+
+    # the heads are independent Spark jobs over the same cached features:
+    # submit them concurrently so small jobs do not leave executors idle
     try:
-        for i in range(len(vocab.LABELS)):
-            lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=max_iter,
-                                    regParam=reg_param)
-            heads.append(lr.fit(feats.select("features", F.col("_y")[i].cast("double").alias("_label"))))
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            heads = list(pool.map(fit_head, range(len(vocab.LABELS))))
     finally:
         feats.unpersist()
     return IdentifierModel(feats_model, heads)

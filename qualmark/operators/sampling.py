@@ -120,15 +120,13 @@ def uniform_sample_one(df: DataFrame, seed: int = vocab.SPLIT_SEED,
 def uniform_few_shot(candidates: DataFrame, seeds: DataFrame, seed: int = vocab.SPLIT_SEED,
                      key: str = "item_id", seed_key: str = "item_id",
                      prefix: str = "ex_") -> DataFrame:
-    """Uniform seed per candidate (no label targeting)."""
+    """Uniform seed per candidate (no label targeting): slot
+    ``md5(seed|shot|key) mod n_seeds``; ``n_seeds`` is a scalar subquery."""
     slotted = dense_slots(seeds.withColumn("_all", F.lit(0)), "_all", seed_key, seed)
-    ex = slotted.select("slot", "group_size", *[F.col(c).alias(prefix + c) for c in seeds.columns])
-    n = ex.select("group_size").distinct()
-    c = candidates.withColumn("_all", F.lit(0)).join(
-        n.withColumn("_all", F.lit(0)), "_all").drop("_all")
-    c = c.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)),
-                                    F.col("group_size")).cast("long"))
-    return c.join(ex.drop("group_size"), "slot").drop("slot", "group_size")
+    ex = slotted.select("slot", *[F.col(c).alias(prefix + c) for c in seeds.columns])
+    n = seeds.agg(F.count(F.lit(1))).scalar()
+    c = candidates.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)), n).cast("long"))
+    return c.join(ex, "slot").drop("slot")
 
 
 def split_bucket(key_col, seed: int = vocab.SPLIT_SEED, buckets: int = 100):
