@@ -139,3 +139,34 @@ def train_dev_split(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE
     dev_percent``. Stable under repartitioning; sizes are close to the share."""
     return df.withColumn("split", F.when(split_bucket(F.col(key), seed) < dev_percent,
                                          F.lit("dev")).otherwise(F.lit("train")))
+
+
+RANK_BUCKET_BITS = 16
+
+
+def hash_rank(df: DataFrame, key: str = "item_id", seed: int = vocab.SPLIT_SEED,
+              rank_col: str = "hash_rank") -> DataFrame:
+    """1-based global rank of rows by ``(md5(seed|key), key)`` without a
+    global sort: counts per hash bucket (at most 65,536 rows) give each
+    bucket's offset; ``row_number`` runs only inside a bucket."""
+    h = md5_u32(seed, F.col(key))
+    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # window over the bucket-count table only (bounded by the bucket count)
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return (x.withColumn("_rn", rn).join(offs, "_b")
+            .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
+            .drop("_h", "_b", "_rn", "_off"))
+
+
+def train_dev_split_exact(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE,
+                          key: str = "item_id", seed: int = vocab.SPLIT_SEED) -> DataFrame:
+    """Exact sizes: the ``ceil(n * dev_percent / 100)`` rows with the smallest
+    ``md5(seed|key)`` form the dev split."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    n_dev = F.ceil(n * F.lit(dev_percent) / F.lit(100))
+    r = hash_rank(df, key, seed)
+    return r.withColumn("split", F.when(F.col("hash_rank") <= n_dev, F.lit("dev"))
+                        .otherwise(F.lit("train"))).drop("hash_rank")

@@ -1309,6 +1309,15 @@ def q_build_training_set(spark, sf_dir):
         threshold=0.5, by="threshold")
 
 
+@query("train_dev_split_exact", V.with_views(V.LAB) + f"""
+, rk AS (SELECT item_id, row_number() OVER (ORDER BY {V.md5_u32(vocab.SPLIT_SEED, 'item_id')}, item_id) AS r FROM lab)
+SELECT item_id, CASE WHEN r <= ceil((SELECT count(*) FROM lab) * {vocab.IDENTIFIER_DEV_SHARE} / 100.0)
+                     THEN 'dev' ELSE 'train' END AS split FROM rk""")
+def q_train_dev_split_exact(spark, sf_dir):
+    from ..operators import sampling as S
+    return S.train_dev_split_exact(lab_view(spark, sf_dir)).select("item_id", "split")
+
+
 def _registry_views():
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE

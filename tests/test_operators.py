@@ -118,3 +118,11 @@ def test_split_is_stable_and_disjoint(spark):
     assert a.exceptAll(b).count() == 0
     dev = a.filter("split = 'dev'").count()
     assert 350 < dev < 650 and a.count() == 5000
+
+
+def test_exact_split_sizes_and_hash_rank(spark):
+    df = spark.range(0, 1001).withColumnRenamed("id", "item_id")
+    s = S.train_dev_split_exact(df, 10)
+    assert s.filter("split = 'dev'").count() == 101 and s.count() == 1001
+    r = S.hash_rank(df).agg(F.min("hash_rank"), F.max("hash_rank"), F.countDistinct("hash_rank")).first()
+    assert tuple(r) == (1, 1001, 1001)
