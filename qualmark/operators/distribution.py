@@ -51,14 +51,21 @@ def label_weights(dist: DataFrame, difficulty: dict | None = None,
                   importance: dict | None = None,
                   min_boost: float = vocab.DEFAULT_MIN_BOOST,
                   max_boost: float = vocab.DEFAULT_MAX_BOOST,
-                  seed: int = vocab.SPLIT_SEED) -> DataFrame:
+                  seed: int = vocab.SPLIT_SEED, materialize: bool = True) -> DataFrame:
     """Sampling weight per label: proportion x difficulty x importance x boost.
 
     A label rarer than the mean count gets a boost drawn uniformly from
     [min_boost, max_boost) — seeded from ``md5(seed|label)`` so reruns agree —
     and weights are normalised to sum to 1.
+
+    ``materialize`` checkpoints the distribution (one row per label) so the
+    mean/total subqueries read it instead of re-running the scan and the
+    aggregation over the labeled data each time.
     """
     spark = dist.sparkSession
+    if materialize:
+        from ..session import cut_lineage
+        dist = cut_lineage(dist)
     factors = vocab.factor_table(spark, difficulty, importance)
     # the factor table has at most one row per named label: safe to broadcast
     w = dist.join(F.broadcast(factors), "label", "left").select(

@@ -18,6 +18,7 @@ from ..functions.labels import parse_labels
 
 SALT_BITS = 6  # 64 sub-buckets per group for dense ranking
 DRAW_BUCKETS = 1024  # buckets of [0,1) for the weighted range join
+MAX_BROADCAST_ROWS = 200_000  # interval rows broadcast only below this (checked)
 
 
 def candidate_slice(df: DataFrame, n: int = vocab.CANDIDATE_SLICE,
@@ -73,8 +74,9 @@ def weighted_label_sample(candidates: DataFrame, weights: DataFrame,
 
     ``u = md5(seed|key)`` in [0,1); the label whose interval holds ``u`` wins.
     The range join is made an equi-join on a bucket of [0,1): each interval is
-    listed under every bucket it overlaps (at most labels + buckets rows), and
-    AQE broadcasts that small side at run time.
+    listed under every bucket it overlaps (at most labels + buckets rows).
+    That side is broadcast when its checked row count is small, else the
+    join shuffles on the bucket.
     """
     iv = weight_intervals(weights, label, weight)
     b = float(DRAW_BUCKETS)
@@ -83,6 +85,9 @@ def weighted_label_sample(candidates: DataFrame, weights: DataFrame,
     iv = iv.filter(F.col("hi") > F.col("lo")).select(
         F.col(label).alias(out_col), "lo", "hi",
         F.explode(F.sequence(lo_b, hi_b)).alias("_bucket"))
+    # at most labels + buckets rows; broadcast only after checking the count
+    if iv.count() <= MAX_BROADCAST_ROWS:
+        iv = F.broadcast(iv)
     c = candidates.withColumn("_u", md5_uniform(seed, F.col(key)))
     c = c.withColumn("_bucket", F.least(F.floor(F.col("_u") * b).cast("int"),
                                         F.lit(DRAW_BUCKETS - 1)))
