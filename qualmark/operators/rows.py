@@ -94,8 +94,9 @@ def unmatched(ratings: DataFrame, preds: DataFrame,
 
 def pending_rows(requests: DataFrame, done: DataFrame,
                  keys: Sequence[str] = RESPONSE_KEYS) -> DataFrame:
-    """Requests not yet answered: the resume set of an incremental run."""
-    return requests.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """Requests not yet answered: the resume set of an incremental run.
+    (An anti join never duplicates rows, so ``done`` needs no distinct.)"""
+    return requests.join(done.select(*keys), list(keys), "left_anti")
 
 
 def join_recorded_responses(requests: DataFrame, recorded: DataFrame,

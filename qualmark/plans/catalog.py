@@ -1318,6 +1318,36 @@ def q_train_dev_split_exact(spark, sf_dir):
     return S.train_dev_split_exact(lab_view(spark, sf_dir)).select("item_id", "split")
 
 
+
+@query("uniform_few_shot", DRAW_SQL + f"""
+, useed AS (SELECT item_id AS ex_item_id,
+                   row_number() OVER (ORDER BY {V.md5_u32(vocab.SPLIT_SEED, 'item_id')}, item_id) - 1 AS slot FROM seed)
+SELECT q.item_id, u.ex_item_id FROM qa q JOIN useed u
+  ON u.slot = {V.md5_u32(vocab.SPLIT_SEED, "'shot'", 'q.item_id')} % (SELECT count(*) FROM seed)""")
+def q_uniform_few_shot(spark, sf_dir):
+    """One uniformly chosen seed example per candidate (no label targeting)."""
+    from ..operators import sampling as S
+    seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
+    return S.uniform_few_shot(qa_view(spark, sf_dir).select("item_id"), seeds).select(
+        "item_id", "ex_item_id")
+
+
+POS_WEIGHT = [1.0, 2.0, 2.0, 2.0, 3.0, 1.0, 1.0, 1.5, 1.5, 1.5, 0.5]
+
+
+def sql_bce_weighted(x: str, y: str, w: str) -> str:
+    return f"((1.0 - {y}) * {x} + (1.0 + ({w} - 1.0) * {y}) * (greatest(-{x}, 0.0) + ln(1 + exp(-abs({x})))))"
+
+
+@query("bce_loss_weighted", ML_SQL + f"""
+, el AS (SELECT {sql_bce_weighted('logits[i + 1]', 'CAST(y_true[i + 1] AS DOUBLE)', f'{POS_WEIGHT}[i + 1]')} AS l
+         FROM ml, range(0, {len(vocab.LABELS)}) t(i))
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM ml) AS n, round(avg(l), 6) AS bce_mean, round(sum(l), 6) AS bce_sum FROM el""")
+def q_bce_loss_weighted(spark, sf_dir):
+    """Sigmoid cross-entropy with a per-label positive weight."""
+    return metrics.bce_loss(prediction_table(spark, sf_dir), pos_weight=POS_WEIGHT)
+
+
 def _registry_views():
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE

@@ -37,20 +37,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder, setting one only in local mode.
+
+    Works with a classic session (SparkContext) and with Spark Connect
+    (configuration only)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or \
+        spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+        return (sc.getCheckpointDir() if sc is not None else None) or current
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is unset; set it to a shared folder (e.g. on "
             "the cluster's distributed file system) before running qualmark jobs")
     local = tempfile.mkdtemp(prefix="qualmark-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
