@@ -25,8 +25,12 @@ DIMS = list_lit(vocab.DIMENSIONS)
 VOCAB = list_lit(vocab.LABELS)
 
 
+WS_SQL = " || ".join(f"chr({ord(c)})" for c in "".join(
+    chr(i) for i in range(0x110000) if chr(i).isspace()))
+
+
 def ustrip(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({e}, {WS_SQL})"
 
 
 def extract_score(e: str) -> str:
