@@ -113,55 +113,46 @@ def multilabel_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred",
 def multilabel_report(df: DataFrame, y: str = "y_true", p: str = "y_pred",
                       digits: int = 6) -> DataFrame:
     """Per-label precision/recall/F1/support plus micro, macro, weighted and
-    samples averages (support of an average row = total support)."""
+    samples averages (support of an average row = total support).
+
+    All rows are built from the single aggregated row, so the input is
+    scanned once."""
     n = len(vocab.LABELS)
     c = _label_counts(df, y, p)
-    per = F.array(*[
-        F.struct(F.lit(lab).alias("name"), F.lit(i).alias("ord"),
-                 F.coalesce(F.col(f"tp{i}"), F.lit(0)).cast("long").alias("tp"),
-                 F.coalesce(F.col(f"fp{i}"), F.lit(0)).cast("long").alias("fp"),
-                 F.coalesce(F.col(f"fn{i}"), F.lit(0)).cast("long").alias("fn"))
-        for i, lab in enumerate(vocab.LABELS)])
-    rows = c.select("rows", "s_p", "s_r", "s_f", F.inline(per))
-    rows = rows.select(
-        "*",
-        safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("prec"),
-        safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("rec"),
-        f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"),
-        (F.col("tp") + F.col("fn")).alias("support"),
-    )
-    per_label = rows.select(
-        F.col("name").alias("row_label"), "prec", "rec", "f1", "support")
-    tot = rows.agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        F.sum("support").alias("support"),
-        F.avg("prec").alias("m_p"), F.avg("rec").alias("m_r"), F.avg("f1").alias("m_f"),
-        safe_ratio(F.sum(F.col("prec") * F.col("support")), F.sum("support")).alias("w_p"),
-        safe_ratio(F.sum(F.col("rec") * F.col("support")), F.sum("support")).alias("w_r"),
-        safe_ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("w_f"),
-        F.first("rows").alias("rows"), F.first("s_p").alias("s_p"),
-        F.first("s_r").alias("s_r"), F.first("s_f").alias("s_f"),
-    )
-    def avg_row(name, pr, rc, f):
+    tp = [F.coalesce(F.col(f"tp{i}"), F.lit(0)) for i in range(n)]
+    fp = [F.coalesce(F.col(f"fp{i}"), F.lit(0)) for i in range(n)]
+    fn = [F.coalesce(F.col(f"fn{i}"), F.lit(0)) for i in range(n)]
+    prec = [safe_ratio(tp[i], tp[i] + fp[i]) for i in range(n)]
+    rec = [safe_ratio(tp[i], tp[i] + fn[i]) for i in range(n)]
+    f1 = [f1_from_counts(tp[i], fp[i], fn[i]) for i in range(n)]
+    sup = [tp[i] + fn[i] for i in range(n)]
+    total_sup = sum(sup)
+    t_tp, t_fp, t_fn = sum(tp), sum(fp), sum(fn)
+
+    def row(name, pr, rc, f, support):
         return F.struct(F.lit(name).alias("row_label"), pr.alias("prec"), rc.alias("rec"),
-                        f.alias("f1"), F.col("support").alias("support"))
-
-    avgs = tot.select(F.inline(F.array(
-        avg_row("micro avg", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")),
-                safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")),
-                f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))),
-        avg_row("macro avg", F.col("m_p"), F.col("m_r"), F.col("m_f")),
-        avg_row("weighted avg", F.col("w_p"), F.col("w_r"), F.col("w_f")),
-        avg_row("samples avg", safe_ratio(F.col("s_p"), F.col("rows")),
-                safe_ratio(F.col("s_r"), F.col("rows")), safe_ratio(F.col("s_f"), F.col("rows"))),
-    )))
-    out = per_label.unionByName(avgs)
-    return out.select(
+                        f.alias("f1"), support.cast("long").alias("support"))
+
+    def weighted(vals):
+        return safe_ratio(sum(v * s_ for v, s_ in zip(vals, sup)), total_sup)
+
+    rows = [row(lab, prec[i], rec[i], f1[i], sup[i]) for i, lab in enumerate(vocab.LABELS)]
+    rows += [
+        row("micro avg", safe_ratio(t_tp, t_tp + t_fp), safe_ratio(t_tp, t_tp + t_fn),
+            f1_from_counts(t_tp, t_fp, t_fn), total_sup),
+        row("macro avg", sum(prec) / F.lit(float(n)), sum(rec) / F.lit(float(n)),
+            sum(f1) / F.lit(float(n)), total_sup),
+        row("weighted avg", weighted(prec), weighted(rec), weighted(f1), total_sup),
+        row("samples avg", safe_ratio(F.col("s_p"), F.col("rows")),
+            safe_ratio(F.col("s_r"), F.col("rows")), safe_ratio(F.col("s_f"), F.col("rows")),
+            total_sup),
+    ]
+    return c.select(F.inline(F.array(*rows))).select(
         "row_label",
         F.round("prec", digits).alias("precision"),
         F.round("rec", digits).alias("recall"),
         F.round("f1", digits).alias("f1"),
-        F.col("support").cast("long").alias("support"),
+        "support",
     )
 
 
