@@ -24,7 +24,10 @@ def label_tokens(df: DataFrame, label_col: str = "error_label",
 
 
 def _with_share(counts: DataFrame) -> DataFrame:
-    total = counts.agg(F.sum("count")).scalar()
+    """Proportion of each label. The window runs over the aggregated table
+    (one row per distinct label), so the labeled data is scanned once."""
+    from pyspark.sql import Window
+    total = F.sum("count").over(Window.partitionBy())
     return counts.select("label", "count",
                          (F.col("count") / total.cast("double")).alias("proportion"))
 

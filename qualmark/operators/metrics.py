@@ -115,39 +115,53 @@ def multilabel_report(df: DataFrame, y: str = "y_true", p: str = "y_pred",
     """Per-label precision/recall/F1/support plus micro, macro, weighted and
     samples averages (support of an average row = total support).
 
-    All rows are built from the single aggregated row, so the input is
-    scanned once."""
+    All rows are built from the single aggregated row (one scan of the
+    input); the per-label arithmetic uses array expressions on that row."""
     n = len(vocab.LABELS)
     c = _label_counts(df, y, p)
-    tp = [F.coalesce(F.col(f"tp{i}"), F.lit(0)) for i in range(n)]
-    fp = [F.coalesce(F.col(f"fp{i}"), F.lit(0)) for i in range(n)]
-    fn = [F.coalesce(F.col(f"fn{i}"), F.lit(0)) for i in range(n)]
-    prec = [safe_ratio(tp[i], tp[i] + fp[i]) for i in range(n)]
-    rec = [safe_ratio(tp[i], tp[i] + fn[i]) for i in range(n)]
-    f1 = [f1_from_counts(tp[i], fp[i], fn[i]) for i in range(n)]
-    sup = [tp[i] + fn[i] for i in range(n)]
-    total_sup = sum(sup)
-    t_tp, t_fp, t_fn = sum(tp), sum(fp), sum(fn)
+    arr = c.select(
+        F.array(*[F.coalesce(F.col(f"tp{i}"), F.lit(0)).cast("long") for i in range(n)]).alias("tp"),
+        F.array(*[F.coalesce(F.col(f"fp{i}"), F.lit(0)).cast("long") for i in range(n)]).alias("fp"),
+        F.array(*[F.coalesce(F.col(f"fn{i}"), F.lit(0)).cast("long") for i in range(n)]).alias("fn"),
+        "rows", "s_p", "s_r", "s_f")
+    per = F.transform(F.arrays_zip("tp", "fp", "fn"), lambda e: F.struct(
+        safe_ratio(e["tp"], e["tp"] + e["fp"]).alias("prec"),
+        safe_ratio(e["tp"], e["tp"] + e["fn"]).alias("rec"),
+        f1_from_counts(e["tp"], e["fp"], e["fn"]).alias("f1"),
+        (e["tp"] + e["fn"]).alias("support")))
+    x = arr.select("*", per.alias("per"))
+
+    def total(col_arr, f=lambda v: v):
+        return F.aggregate(col_arr, F.lit(0.0), lambda acc, v: acc + f(v).cast("double"))
+
+    sup = F.aggregate(F.col("tp"), F.lit(0).cast("long"), lambda a, v: a + v) + \
+        F.aggregate(F.col("fn"), F.lit(0).cast("long"), lambda a, v: a + v)
+    t_tp = total(F.col("tp"))
+    t_fp = total(F.col("fp"))
+    t_fn = total(F.col("fn"))
+
+    def mean(field):
+        return total(F.col("per"), lambda e: e[field]) / F.lit(float(n))
+
+    def weighted(field):
+        return safe_ratio(total(F.col("per"), lambda e: e[field] * e["support"]), sup)
 
     def row(name, pr, rc, f, support):
-        return F.struct(F.lit(name).alias("row_label"), pr.alias("prec"), rc.alias("rec"),
+        return F.struct(name.alias("row_label"), pr.alias("prec"), rc.alias("rec"),
                         f.alias("f1"), support.cast("long").alias("support"))
 
-    def weighted(vals):
-        return safe_ratio(sum(v * s_ for v, s_ in zip(vals, sup)), total_sup)
-
-    rows = [row(lab, prec[i], rec[i], f1[i], sup[i]) for i, lab in enumerate(vocab.LABELS)]
-    rows += [
-        row("micro avg", safe_ratio(t_tp, t_tp + t_fp), safe_ratio(t_tp, t_tp + t_fn),
-            f1_from_counts(t_tp, t_fp, t_fn), total_sup),
-        row("macro avg", sum(prec) / F.lit(float(n)), sum(rec) / F.lit(float(n)),
-            sum(f1) / F.lit(float(n)), total_sup),
-        row("weighted avg", weighted(prec), weighted(rec), weighted(f1), total_sup),
-        row("samples avg", safe_ratio(F.col("s_p"), F.col("rows")),
-            safe_ratio(F.col("s_r"), F.col("rows")), safe_ratio(F.col("s_f"), F.col("rows")),
-            total_sup),
-    ]
-    return c.select(F.inline(F.array(*rows))).select(
+    names = F.array(*[F.lit(lab) for lab in vocab.LABELS])
+    label_rows = F.transform(F.col("per"), lambda e, i: row(
+        F.element_at(names, i + 1), e["prec"], e["rec"], e["f1"], e["support"]))
+    avg_rows = F.array(
+        row(F.lit("micro avg"), safe_ratio(t_tp, t_tp + t_fp), safe_ratio(t_tp, t_tp + t_fn),
+            f1_from_counts(t_tp, t_fp, t_fn), sup),
+        row(F.lit("macro avg"), mean("prec"), mean("rec"), mean("f1"), sup),
+        row(F.lit("weighted avg"), weighted("prec"), weighted("rec"), weighted("f1"), sup),
+        row(F.lit("samples avg"), safe_ratio(F.col("s_p"), F.col("rows")),
+            safe_ratio(F.col("s_r"), F.col("rows")), safe_ratio(F.col("s_f"), F.col("rows")), sup),
+    )
+    return x.select(F.inline(F.concat(label_rows, avg_rows))).select(
         "row_label",
         F.round("prec", digits).alias("precision"),
         F.round("rec", digits).alias("recall"),

@@ -169,9 +169,17 @@ def hash_rank(df: DataFrame, key: str = "item_id", seed: int = vocab.SPLIT_SEED,
 def train_dev_split_exact(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE,
                           key: str = "item_id", seed: int = vocab.SPLIT_SEED) -> DataFrame:
     """Exact sizes: the ``ceil(n * dev_percent / 100)`` rows with the smallest
-    ``md5(seed|key)`` form the dev split."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    n_dev = F.ceil(n * F.lit(dev_percent) / F.lit(100))
-    r = hash_rank(df, key, seed)
-    return r.withColumn("split", F.when(F.col("hash_rank") <= n_dev, F.lit("dev"))
-                        .otherwise(F.lit("train"))).drop("hash_rank")
+    ``md5(seed|key)`` form the dev split. ``n`` comes from the bucket-count
+    table, so the input is read twice (counts, rows), never sorted globally."""
+    h = md5_u32(seed, F.col(key))
+    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n_dev = F.ceil(F.sum("_n").over(Window.partitionBy()) * F.lit(dev_percent) / F.lit(100))
+    offs = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+                         n_dev.alias("_ndev"))
+    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    r = x.withColumn("_rn", rn).join(offs, "_b")
+    dev = (F.col("_off") + F.col("_rn")) <= F.col("_ndev")
+    return r.withColumn("split", F.when(dev, F.lit("dev")).otherwise(F.lit("train"))) \
+        .drop("_h", "_b", "_rn", "_off", "_ndev")

@@ -927,17 +927,25 @@ DRAW_SQL = SEED_WEIGHTS_SQL + f""", cum AS (
 """
 
 
-def drawn_df(spark, sf_dir):
+def seed_table(spark, sf_dir):
+    """Seed examples, materialised once (reliable checkpoint): the weights,
+    the per-label slots and the example join all read them."""
+    from ..session import cut_lineage
+    return cut_lineage(seed_view(spark, sf_dir).select(
+        "item_id", "passage", "answer", "question", "error_label"))
+
+
+def drawn_df(spark, sf_dir, seeds=None):
     from ..operators import sampling as S
-    seeds = seed_view(spark, sf_dir)
+    seeds = seeds if seeds is not None else seed_table(spark, sf_dir)
     w = weights_df(spark, sf_dir, labeled=seeds)
     return S.weighted_label_sample(qa_view(spark, sf_dir), w)
 
 
 def shots_df(spark, sf_dir):
     from ..operators import sampling as S
-    seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
-    return S.attach_few_shot(drawn_df(spark, sf_dir), seeds)
+    seeds = seed_table(spark, sf_dir)
+    return S.attach_few_shot(drawn_df(spark, sf_dir, seeds), seeds)
 
 
 @query("weighted_label_sample", DRAW_SQL + "SELECT item_id, sampled_label FROM drawn")
@@ -1327,9 +1335,8 @@ SELECT q.item_id, u.ex_item_id FROM qa q JOIN useed u
 def q_uniform_few_shot(spark, sf_dir):
     """One uniformly chosen seed example per candidate (no label targeting)."""
     from ..operators import sampling as S
-    seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
-    return S.uniform_few_shot(qa_view(spark, sf_dir).select("item_id"), seeds).select(
-        "item_id", "ex_item_id")
+    return S.uniform_few_shot(qa_view(spark, sf_dir).select("item_id"), seed_table(spark, sf_dir)) \
+        .select("item_id", "ex_item_id")
 
 
 POS_WEIGHT = [1.0, 2.0, 2.0, 2.0, 3.0, 1.0, 1.0, 1.5, 1.5, 1.5, 0.5]
