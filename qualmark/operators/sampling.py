@@ -34,24 +34,39 @@ def rows_with_label(df: DataFrame, label_col: str = "error_label",
                      .alias("label"))
 
 
-def dense_slots(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEED,
-                slot_col: str = "slot", size_col: str = "group_size") -> DataFrame:
-    """0-based dense slot per row inside ``group``, ordered by ``md5(seed|key)``
-    then ``key``; plus the group size. Skew-safe: ranks are computed inside
-    (group, salt) sub-buckets, offsets from a small per-bucket count table."""
+def slot_tables(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEED,
+                slot_col: str = "slot", size_col: str = "group_size"):
+    """(slotted rows, group sizes). Each row gets a 0-based dense ``slot``
+    inside ``group``, ordered by ``md5(seed|key)`` then ``key``.
+
+    Skew-safe: ranks are computed inside (group, salt) sub-buckets and offset
+    by a small per-bucket count table, so no task sorts a whole hot group.
+    The sizes table (one row per group) comes from the same count table."""
     h = md5_u32(seed, F.col(key))
     x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - SALT_BITS))
     counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(group)
     offs = counts.select(group, "_b",
-                         F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"),
-                         F.sum("_n").over(w_all).alias(size_col))
+                         F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    sizes = counts.groupBy(group).agg(F.sum("_n").alias(size_col))
     w_in = Window.partitionBy(group, "_b").orderBy("_h", key)
     ranked = x.withColumn("_rn", F.row_number().over(w_in))
     out = ranked.join(offs, [group, "_b"])
-    return out.withColumn(slot_col, (F.col("_off") + F.col("_rn") - 1).cast("long")) \
+    out = out.withColumn(slot_col, (F.col("_off") + F.col("_rn") - 1).cast("long")) \
         .drop("_h", "_b", "_rn", "_off")
+    return out, sizes
+
+
+def dense_slots(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEED,
+                slot_col: str = "slot", size_col: str = "group_size") -> DataFrame:
+    """Rows with their dense ``slot`` and their group's size."""
+    out, sizes = slot_tables(df, group, key, seed, slot_col, size_col)
+    return out.join(sizes, group)
+
+
+def _checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a small derived table only after checking its row count."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
 def weight_intervals(weights: DataFrame, label: str = "label",
@@ -86,8 +101,7 @@ def weighted_label_sample(candidates: DataFrame, weights: DataFrame,
         F.col(label).alias(out_col), "lo", "hi",
         F.explode(F.sequence(lo_b, hi_b)).alias("_bucket"))
     # at most labels + buckets rows; broadcast only after checking the count
-    if iv.count() <= MAX_BROADCAST_ROWS:
-        iv = F.broadcast(iv)
+    iv = _checked_broadcast(iv)
     c = candidates.withColumn("_u", md5_uniform(seed, F.col(key)))
     c = c.withColumn("_bucket", F.least(F.floor(F.col("_u") * b).cast("int"),
                                         F.lit(DRAW_BUCKETS - 1)))
@@ -101,19 +115,19 @@ def attach_few_shot(candidates: DataFrame, seeds: DataFrame, label_col: str = "s
                     prefix: str = "ex_") -> DataFrame:
     """One seed example per candidate among the seeds carrying the candidate's
     label (stripped tokens, as the label distribution counts them).
-    The seed for a candidate is slot ``md5(seed|key) mod n_label``."""
+    The seed for a candidate is slot ``md5(seed|shot|key) mod n_label``."""
     from ..functions.labels import parse_labels_raw
     toks = seeds.select("*", F.explode(F.array_distinct(
         parse_labels_raw(F.col(seed_label_col)))).alias("_label"))
-    slotted = dense_slots(toks, "_label", seed_key, seed)
-    ex = slotted.select(
-        F.col("_label").alias(label_col), "slot", "group_size",
-        *[F.col(c).alias(prefix + c) for c in seeds.columns])
-    sizes = ex.select(label_col, "group_size").distinct()
+    slotted, sizes = slot_tables(toks, "_label", seed_key, seed)
+    ex = slotted.select(F.col("_label").alias(label_col), "slot",
+                        *[F.col(c).alias(prefix + c) for c in seeds.columns])
+    # one row per label: broadcast after a size check
+    sizes = _checked_broadcast(sizes.withColumnRenamed("_label", label_col))
     c = candidates.join(sizes, label_col, "inner")
     c = c.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)),
                                     F.col("group_size")).cast("long"))
-    return c.join(ex.drop("group_size"), [label_col, "slot"], "inner").drop("slot", "group_size")
+    return c.join(ex, [label_col, "slot"], "inner").drop("slot", "group_size")
 
 
 def uniform_sample_one(df: DataFrame, seed: int = vocab.SPLIT_SEED,
@@ -127,7 +141,7 @@ def uniform_few_shot(candidates: DataFrame, seeds: DataFrame, seed: int = vocab.
                      prefix: str = "ex_") -> DataFrame:
     """Uniform seed per candidate (no label targeting): slot
     ``md5(seed|shot|key) mod n_seeds``; ``n_seeds`` is a scalar subquery."""
-    slotted = dense_slots(seeds.withColumn("_all", F.lit(0)), "_all", seed_key, seed)
+    slotted, _ = slot_tables(seeds.withColumn("_all", F.lit(0)), "_all", seed_key, seed)
     ex = slotted.select("slot", *[F.col(c).alias(prefix + c) for c in seeds.columns])
     n = seeds.agg(F.count(F.lit(1))).scalar()
     c = candidates.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)), n).cast("long"))

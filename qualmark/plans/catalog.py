@@ -928,11 +928,12 @@ DRAW_SQL = SEED_WEIGHTS_SQL + f""", cum AS (
 
 
 def seed_table(spark, sf_dir):
-    """Seed examples, materialised once (reliable checkpoint): the weights,
-    the per-label slots and the example join all read them."""
-    from ..session import cut_lineage
-    return cut_lineage(seed_view(spark, sf_dir).select(
-        "item_id", "passage", "answer", "question", "error_label"))
+    """Seed examples, written once as a parquet table in the shared
+    checkpoint folder: the weights, the per-label slots and the example join
+    all read it (pruned to the columns each needs)."""
+    from ..session import materialize
+    return materialize(seed_view(spark, sf_dir).select(
+        "item_id", "passage", "answer", "question", "error_label"), "seeds")
 
 
 def drawn_df(spark, sf_dir, seeds=None):

@@ -93,10 +93,11 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
     from .. import vocab
     from ..functions import parse, text as tx
     from ..operators import completion, distribution, generation, prompts, sampling, voting
-    from ..session import cut_lineage
+    from ..session import materialize
     # seeds feed the weights, the per-label slots and the example join:
-    # materialise them once instead of recomputing their lineage each time
-    seeds = cut_lineage(seeds)
+    # write them once (a table prunes columns on each read) instead of
+    # recomputing their lineage each time
+    seeds = materialize(seeds, "seeds")
     w = distribution.label_weights(distribution.label_distribution(seeds), difficulty,
                                    importance, seed=seed)
     drawn = sampling.weighted_label_sample(candidates, w, seed)

@@ -74,3 +74,12 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: lineage is cut (survives executor loss) and, unlike an RDD
+    checkpoint, later reads prune columns and push filters down."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
