@@ -53,7 +53,7 @@ class IdentifierModel:
 
 def train_identifier(train: DataFrame, text_col: str = "text", labels_col: str = "labels",
                      reg_param: float = 0.01, max_iter: int = 20,
-                     num_features: int = NUM_FEATURES, parallelism: int = 4) -> IdentifierModel:
+                     num_features: int = NUM_FEATURES, parallelism: int = len(vocab.LABELS)) -> IdentifierModel:
     """Fit shared features once, then one logistic head per label."""
     feats_model = Pipeline(stages=feature_stages(text_col, num_features)).fit(train)
     ind = lb.binarize(F.col(labels_col))
@@ -126,5 +126,26 @@ def select_model(train: DataFrame, text_col: str = "text", label_col: str = "lab
     return fitted.bestModel, scores
 
 
-__all__ = ["IdentifierModel", "LogisticRegressionModel", "train_identifier", "identify_errors",
+def select_identifier(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.0, 0.01),
+                      text_col: str = "text", labels_col: str = "labels", max_iter: int = 20,
+                      num_features: int = NUM_FEATURES):
+    """Train one identifier per regularisation value and keep the one with the
+    best micro-F1 on ``dev`` (the multi-label metric aggregate, one pass per
+    candidate). Returns (best model, [(reg_param, micro_f1)])."""
+    from .metrics import multilabel_metrics
+    scores, best, best_f1 = [], None, -1.0
+    truth = lb.binarize(F.col(labels_col))
+    for reg in reg_params:
+        m = train_identifier(train, text_col, labels_col, reg, max_iter, num_features)
+        pred = m.logits(dev.select(text_col, truth.alias("y_true")))
+        pred = pred.select("y_true", lb.above(lb.sigmoid(F.col("logits")),
+                                              lb.thresholds(None)).alias("y_pred"))
+        f1 = multilabel_metrics(pred).first()["micro_f1"]
+        scores.append((float(reg), float(f1)))
+        if f1 > best_f1:
+            best, best_f1 = m, f1
+    return best, scores
+
+
+__all__ = ["select_identifier", "IdentifierModel", "LogisticRegressionModel", "train_identifier", "identify_errors",
            "train_verifier", "verify_labels", "select_model"]

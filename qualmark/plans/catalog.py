@@ -1227,7 +1227,10 @@ def identifier_input(spark, sf_dir):
     s = s.withColumn("text", tx.truncate_tokens(prompts.identifier_text(
         F.col("question"), F.col("answer"), F.col("passage"))))
     s = s.withColumn("labels", lb.parse_labels(F.col("error_label")))
-    return sampling.train_dev_split(s, vocab.IDENTIFIER_DEV_SHARE)
+    # written once: the feature fit, the cached features and dev inference
+    # all read it instead of re-running the joins and truncation
+    from ..session import materialize
+    return materialize(sampling.train_dev_split(s, vocab.IDENTIFIER_DEV_SHARE), "identifier-input")
 
 
 def verifier_input(spark, sf_dir):
@@ -1239,7 +1242,8 @@ def verifier_input(spark, sf_dir):
     x = s.join(q, "doc_id").withColumnRenamed("error_label", "pred_error")
     x = x.withColumn("text", tx.truncate_tokens(prompts.verifier_text(
         F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"))))
-    return sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE)
+    from ..session import materialize
+    return materialize(sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE), "verifier-input")
 
 
 ML_ITER = 10
@@ -1356,6 +1360,33 @@ def q_bce_loss_weighted(spark, sf_dir):
     return metrics.bce_loss(prediction_table(spark, sf_dir), pos_weight=POS_WEIGHT)
 
 
+
+@query("select_identifier")
+def q_select_identifier(spark, sf_dir):
+    """Identifier regularisation chosen by dev micro-F1."""
+    from pyspark.sql import types as T
+    from ..operators import ml
+    d = identifier_input(spark, sf_dir)
+    _, scores = ml.select_identifier(d.filter(F.col("split") == "train"),
+                                     d.filter(F.col("split") == "dev"), max_iter=ML_ITER)
+    schema = T.StructType([T.StructField("reg_param", T.DoubleType()),
+                           T.StructField("micro_f1", T.DoubleType())])
+    return spark.createDataFrame(scores, schema)
+
+
+@query("evaluate_with_identifier")
+def q_evaluate_with_identifier(spark, sf_dir):
+    """Error-aware evaluation with labels from a freshly trained identifier."""
+    from ..operators import completion, ml
+    from . import jobs
+    d = identifier_input(spark, sf_dir)
+    ident = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    qa = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer")
+    out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule",
+                        identifier=ident)
+    return out.select("item_id", "dimension", "model", "score")
+
+
 def _registry_views():
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE

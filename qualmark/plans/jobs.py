@@ -32,13 +32,21 @@ def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
-             error_aware: bool = True, dimensions=None, label_col: str = "error_label") -> DataFrame:
+             error_aware: bool = True, dimensions=None, label_col: str = "error_label",
+             identifier=None, model_type: str = "roberta") -> DataFrame:
     """Rows -> (error-aware or direct) prompts per dimension -> evaluator
-    replies -> scores. ``qa`` carries ``label_col`` when ``error_aware``
-    (from ``ml.identify_errors`` or a recorded identifier run)."""
+    replies -> scores. With ``error_aware``, labels come from ``label_col``
+    (a recorded identifier run) or, if ``identifier`` is given, from that
+    model applied to the rows first."""
     from .. import vocab
-    from ..operators import completion, prompts
+    from ..functions import text as tx
+    from ..operators import completion, ml, prompts
     dims = dimensions or vocab.DIMENSIONS
+    if error_aware and identifier is not None:
+        text = tx.truncate_tokens(prompts.identifier_text(
+            F.col("question"), F.col("answer"), F.col("passage"), model_type))
+        qa = ml.identify_errors(identifier, qa.withColumn("text", text), out_col=label_col) \
+            .drop("text")
     cols = ["item_id", "passage", "question", "answer"] + ([label_col] if error_aware else [])
     msgs = prompts.render_batch(qa.select(*cols), templates, error_aware, dims, label_col)
     replies = completion.complete_batch(msgs.select("item_id", "dimension", "messages"), complete_fn)

@@ -82,3 +82,19 @@ def test_oracle(spark, name):
     idx = [dcols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert got == exp
+
+
+@needs_data
+def test_incremental_resumes_only_new_files(spark, tmp_path):
+    from qualmark.streaming import incremental as inc
+    r = views.responses(spark, SF0001).select("item_id", "dimension", "model", "response")
+    src, sink, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    r.filter("item_id < 500").write.parquet(src + "/a")
+    assert inc.run_incremental(spark, src + "/*", sink, ckpt) >= 1
+    first = inc.read_scored(spark, sink).count()
+    assert inc.run_incremental(spark, src + "/*", sink, ckpt) == 0  # nothing new
+    r.filter("item_id >= 500").write.parquet(src + "/b")
+    assert inc.run_incremental(spark, src + "/*", sink, ckpt) >= 1
+    out = inc.read_scored(spark, sink)
+    assert first == 500 and out.count() == r.count()
+    assert out.select("item_id").distinct().count() == r.count()
