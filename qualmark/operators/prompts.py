@@ -183,19 +183,35 @@ def verifier_text(labels: Column, question: Column, answer: Column, passage: Col
     return tx.join_parts([labels, question, answer, passage], vocab.sep_token(model_type))
 
 
+CHAT_BLOCK = 256  # turns concatenated per partial transcript
+
+
 def chat_transcripts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                      role: str = "role", text: str = "text",
                      add_generation_prompt: bool = True) -> DataFrame:
     """One rendered transcript per conversation (turns ordered by number).
 
-    A conversation is the unit of output, so its turns are gathered into one
-    row; the aggregate runs map-side first."""
-    msgs = turns.groupBy(conv).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"),
-                                             F.col(text).alias("content")))).alias("_m"))
-    messages = F.transform(F.col("_m"), lambda m: F.struct(m["role"].alias("role"),
-                                                           m["content"].alias("content")))
-    return msgs.select(conv, tx.render_chat(messages, add_generation_prompt).alias("chat"))
+    Each turn is rendered on its own row (narrow). Pieces are then joined in
+    two levels: per (conversation, block of 256 turns), then the few block
+    strings per conversation. A very long conversation is therefore spread
+    over many tasks; only its final string is one row, since it is the
+    output."""
+    from .. import vocab
+    piece = F.concat(F.lit(vocab.CHAT_HEADER_START), F.col(role), F.lit(vocab.CHAT_HEADER_END),
+                     tx.ustrip(F.col(text)), F.lit(vocab.CHAT_TURN_END))
+    p = turns.select(conv, F.col(turn).alias("_t"), piece.alias("_p"),
+                     F.floor(F.col(turn) / CHAT_BLOCK).alias("_blk"))
+    blocks = p.groupBy(conv, "_blk").agg(
+        F.array_sort(F.collect_list(F.struct("_t", "_p"))).alias("_s"))
+    blocks = blocks.select(conv, "_blk", F.array_join(F.transform("_s", lambda e: e["_p"]), "")
+                           .alias("_txt"))
+    whole = blocks.groupBy(conv).agg(
+        F.array_sort(F.collect_list(F.struct("_blk", "_txt"))).alias("_s"))
+    body = F.array_join(F.transform("_s", lambda e: e["_txt"]), "")
+    parts = [F.lit(vocab.CHAT_BEGIN), body]
+    if add_generation_prompt:
+        parts.append(F.lit(vocab.CHAT_HEADER_START + "assistant" + vocab.CHAT_HEADER_END))
+    return whole.select(conv, F.concat(*parts).alias("chat"))
 
 
 def label_list_string(labels: Column) -> Column:

@@ -101,3 +101,16 @@ def test_slots_match_plain_ranking_under_skew(spark):
         order = sorted(keys, key=lambda k: (md5_u32(vocab.SPLIT_SEED, k), k))
         for slot, k in enumerate(order):
             assert got[(g, k)] == slot
+
+
+def test_chat_blocks_keep_turn_order(spark):
+    from qualmark.functions import text as tx
+    from qualmark.operators import prompts
+    n = 600  # spans three 256-turn blocks
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f" m{t} ") for t in range(n)][::-1]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = prompts.chat_transcripts(df).first().chat
+    msgs = spark.createDataFrame([([(r, c) for _, _, r, c in sorted(rows, key=lambda x: x[1])],)],
+                                 "m array<struct<role:string,content:string>>")
+    expect = msgs.select(tx.render_chat(F.col("m"))).first()[0]
+    assert got == expect
