@@ -108,3 +108,42 @@ def hashed_reviewer(name: str):
             out.append(f"{(h % 101) / 100:.2f}")
         return out
     return review
+
+
+def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
+                    messages_col: str = "messages", out_col: str = "response",
+                    max_tries: int = 3, wait_s: float = 0.5, batch_size: int = 32) -> DataFrame:
+    """Like ``complete_batch`` but each row goes to the function registered
+    for its ``model_col`` value (matched by substring of the model id, first
+    registered name wins). Rows for an unknown model get ``''``."""
+    keep = [c for c in df.columns if c != messages_col]
+    src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
+    fields = [f for f in df.schema.fields if f.name in keep]
+    schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
+    names = list(fns)
+
+    def route(model) -> str | None:
+        return next((n for n in names if model is not None and n in model), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
+            targets = [route(m) for m in pdf[model_col]]
+            replies = [""] * len(msgs)
+            for name in names:
+                idx = [i for i, t in enumerate(targets) if t == name]
+                for s in range(0, len(idx), batch_size):
+                    chunk = idx[s:s + batch_size]
+                    got = _call(fns[name], [msgs[i] for i in chunk], max_tries, wait_s)
+                    if got is None:
+                        got = []
+                        for i in chunk:
+                            one = _call(fns[name], [msgs[i]], max_tries, wait_s)
+                            got.append(one[0] if one else "")
+                    for i, r in zip(chunk, got):
+                        replies[i] = r
+            out = pdf.drop(columns=["_msgs"])
+            out[out_col] = replies
+            yield out
+
+    return src.mapInPandas(run, schema)

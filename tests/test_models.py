@@ -74,3 +74,12 @@ def test_verifier_and_selection(spark):
     assert acc > 0.9
     _, scores = ml.select_model(df, reg_params=(0.0, 0.1), num_features=1 << 12)
     assert len(scores) == 2 and all(0.0 <= f <= 1.0 for _, f in scores)
+
+
+def test_completion_routed_by_model(spark):
+    df = _messages_df(spark, 4).withColumn(
+        "model", F.element_at(F.array(F.lit("gpt-4o"), F.lit("claude-x"), F.lit("other"),
+                                      F.lit("gpt-4o")), (F.col("item_id") % 4 + 1).cast("int")))
+    fns = {"gpt": lambda b: ["G"] * len(b), "claude": lambda b: ["C"] * len(b)}
+    got = {r.item_id: r.response for r in C.complete_routed(df, fns).collect()}
+    assert got == {0: "G", 1: "C", 2: "", 3: "G"}
