@@ -83,3 +83,25 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least twice the task slots); AQE then coalesces small ones and
+    splits skewed ones. Scan splits stay at 128 MB; Arrow batches for model
+    calls are small because each row can be a long prompt."""
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -75,7 +75,7 @@ def load_templates(spark: SparkSession, root: str) -> DataFrame:
     """
     df = (spark.read.text(os.path.join(root, "*", "*.txt"), wholetext=True)
           .select(F.col("value").alias("body"),
-                  F.input_file_name().alias("_path")))
+                  F.col("_metadata.file_path").alias("_path")))
     parts = F.split(F.col("_path"), "/")
     return df.select(
         F.element_at(parts, -2).alias("kind"),
