@@ -1083,16 +1083,17 @@ def q_sink_text(spark, sf_dir):
 
 @query("incremental_score", V.with_views(V.RESP, V.SCORED) + "SELECT item_id, dimension, model, score FROM scored")
 def q_incremental_score(spark, sf_dir):
-    """Responses arrive as two file drops; two availableNow runs over the same
-    checkpoint score each drop once; the union equals the batch result."""
+    """Each evaluator model's responses arrive as their own file drop; one
+    availableNow run per drop over the same checkpoint scores each drop
+    exactly once. The union of the runs equals the batch result."""
     from ..streaming import incremental as inc
     base = _scratch(spark, "incremental")
     src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     r = views.responses(spark, sf_dir).select("item_id", "dimension", "model", "response")
-    r.filter(F.col("item_id") % 2 == 0).write.mode("append").parquet(src)
-    inc.run_incremental(spark, src, sink, ckpt)
-    r.filter(F.col("item_id") % 2 == 1).write.mode("append").parquet(src)
-    inc.run_incremental(spark, src, sink, ckpt)
+    drops = [F.col("model") == m for m in MODELS] + [~F.col("model").isin(MODELS)]
+    for cond in drops:  # every row lands in exactly one drop
+        r.filter(cond).write.mode("append").parquet(src)
+        inc.run_incremental(spark, src, sink, ckpt)
     return inc.read_scored(spark, sink).select("item_id", "dimension", "model", "score")
 
 
