@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import vocab
 from ..functions import labels as lb
 from ..functions import parse
 from .rows import generated_source
@@ -51,5 +50,3 @@ def make_training_row(acc: DataFrame, suffix: str = "_GPT-4") -> DataFrame:
         F.col("gen_label").alias("error_label"),
     )
 
-
-__all__ = ["parse_attempts", "accepted", "first_accepted", "make_training_row", "vocab"]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -146,6 +146,3 @@ def select_identifier(train: DataFrame, dev: DataFrame, reg_params: Sequence[flo
             best, best_f1 = m, f1
     return best, scores
 
-
-__all__ = ["select_identifier", "IdentifierModel", "LogisticRegressionModel", "train_identifier", "identify_errors",
-           "train_verifier", "verify_labels", "select_model"]
