@@ -510,13 +510,14 @@ def q_drop_helper_cols(spark, sf_dir):
 
 @query("avg_filter", V.with_views(V.REV) + f"""
 , av AS (SELECT item_id, list_filter(["check-gemini", "check-gpt", "check-claude"], lambda x: x IS NOT NULL AND NOT isnan(x)) AS v FROM rev)
-SELECT item_id, list_sum(v) / len(v) AS avg_score FROM av
+SELECT item_id, round(list_sum(v) / len(v), 6) AS avg_score FROM av
 WHERE len(v) > 0 AND list_sum(v) / len(v) >= {vocab.DEFAULT_REVIEW_THRESHOLD} - 0.15""")
 def q_avg_filter(spark, sf_dir):
     from ..operators import voting as VT
     r = views.review_scores(spark, sf_dir)
     return VT.vote_filter(r, REVIEW_COLS, "avg", vocab.DEFAULT_REVIEW_THRESHOLD - 0.15,
-                          return_with_score=True).select("item_id", "avg_score")
+                          return_with_score=True).select(
+        "item_id", F.round("avg_score", 6).alias("avg_score"))
 
 
 @query("accepted_label_counts", VOTE_SQL + f"""
