@@ -37,3 +37,28 @@ def test_json_round_trip_keeps_non_ascii(spark, tmp_path):
                    for f in os.listdir(out) if f.endswith(".json"))
     assert "Ètion ü" in text
     assert tables.scan_json(spark, out, tables.QA_SCHEMA).first().passage == "Ètion ü"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitioned_sink_prunes_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, ["fluency", "clarity"][i % 2], i % 3) for i in range(20)],
+                               "item_id long, dimension string, score int")
+    out = str(tmp_path / "scored")
+    tables.sink_table(df, out, partition_by=["dimension"])
+    back = spark.read.parquet(out).filter(F.col("dimension") == "fluency").select("item_id", "score")
+    plan = _plan(back)
+    assert "PartitionFilters: [isnotnull(dimension" in plan and "fluency" in plan
+    assert back.count() == 10
+
+
+def test_scan_prunes_columns_and_pushes_filters(spark):
+    from pyspark.sql import functions as F
+    d = tables.scan_table(spark, "/root/testdata/sf0.001/documents.parquet")
+    q = d.filter(F.col("doc_id") > 10).select("doc_id", "source")
+    plan = _plan(q)
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,10)]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
