@@ -44,7 +44,7 @@ def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
     Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows."""
     keep = [c for c in (keep or df.columns) if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
-    fields = [f for f in df.schema.fields if f.name in keep]
+    fields = [df.schema[c] for c in keep]  # same order as the yielded columns
     schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +118,7 @@ def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
     registered name wins). Rows for an unknown model get ``''``."""
     keep = [c for c in df.columns if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
-    fields = [f for f in df.schema.fields if f.name in keep]
+    fields = [df.schema[c] for c in keep]  # same order as the yielded columns
     schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
     names = list(fns)
 

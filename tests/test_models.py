@@ -83,3 +83,10 @@ def test_completion_routed_by_model(spark):
     fns = {"gpt": lambda b: ["G"] * len(b), "claude": lambda b: ["C"] * len(b)}
     got = {r.item_id: r.response for r in C.complete_routed(df, fns).collect()}
     assert got == {0: "G", 1: "C", 2: "", 3: "G"}
+
+
+def test_completion_keep_order(spark):
+    df = _messages_df(spark, 3).withColumn("tag", F.lit("t"))
+    out = C.complete_batch(df, lambda b: ["r"] * len(b), keep=["tag", "item_id"])
+    assert out.columns == ["tag", "item_id", "response"]
+    assert sorted(r.item_id for r in out.collect()) == [0, 1, 2]
