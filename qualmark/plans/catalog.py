@@ -1389,6 +1389,24 @@ def q_evaluate_with_identifier(spark, sf_dir):
     return out.select("item_id", "dimension", "model", "score")
 
 
+
+@query("resume_scoring", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
+       "SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score FROM dp")
+def q_resume_scoring(spark, sf_dir):
+    """An interrupted run scores three dimensions; the rerun scores only the
+    pending requests. The sink ends with every request scored once."""
+    from ..operators import completion, prompts
+    from . import jobs
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    req = prompts.with_messages(prompts.render_prompt(x, templates_df(spark))) \
+        .withColumn("model", F.lit("rule")).select("item_id", "dimension", "model", "messages")
+    sink = _scratch(spark, "resume")
+    jobs.resume_scoring(req.filter(F.col("dimension").isin(vocab.DIMENSIONS[:3])), sink,
+                        completion.length_rule_evaluator)
+    out = jobs.resume_scoring(req, sink, completion.length_rule_evaluator)
+    return out.select("item_id", "dimension", "model", "score")
+
+
 def _registry_views():
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE

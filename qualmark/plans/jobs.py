@@ -130,3 +130,26 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
     merged = voting.merge_reviews(acc, reviews, list(review_fns))
     return voting.vote_filter(merged, [f"check-{n}" for n in review_fns], "vote", threshold,
                               low_precision, by=by)
+
+
+def resume_scoring(requests: DataFrame, sink_dir: str, complete_fn,
+                   keys=("item_id", "dimension", "model")) -> DataFrame:
+    """Score only the requests not yet in ``sink_dir`` and append them.
+
+    ``requests``: keys + ``messages``. The sink holds keys, ``response`` and
+    ``score``. Rerunning after an interruption calls the model only for the
+    pending rows (anti-join on the keys); a finished run adds nothing.
+    Returns the rows appended by this run (already written)."""
+    from pyspark.errors import AnalysisException
+
+    from ..operators import completion
+    spark = requests.sparkSession
+    try:
+        done = spark.read.parquet(sink_dir).select(*keys)
+        pending = rows.pending_rows(requests, done, list(keys))
+    except AnalysisException:  # nothing written yet
+        pending = requests
+    replies = rows.with_score(completion.complete_batch(
+        pending.select(*keys, "messages"), complete_fn))
+    replies.write.mode("append").parquet(sink_dir)
+    return spark.read.parquet(sink_dir)

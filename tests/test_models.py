@@ -90,3 +90,21 @@ def test_completion_keep_order(spark):
     out = C.complete_batch(df, lambda b: ["r"] * len(b), keep=["tag", "item_id"])
     assert out.columns == ["tag", "item_id", "response"]
     assert sorted(r.item_id for r in out.collect()) == [0, 1, 2]
+
+
+def test_resume_scoring_only_pending(spark, tmp_path):
+    from qualmark.plans import jobs
+    req = _messages_df(spark, 6).withColumn("dimension", F.lit("fluency")).withColumn("model", F.lit("m"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(batch):
+        calls.add(len(batch))
+        return ["score: 2"] * len(batch)
+
+    sink = str(tmp_path / "sink")
+    jobs.resume_scoring(req.filter("item_id < 2"), sink, fn)
+    jobs.resume_scoring(req, sink, fn)
+    out = jobs.resume_scoring(req, sink, fn)  # finished: nothing pending
+    assert out.count() == 6 and out.select("item_id").distinct().count() == 6
+    assert calls.value == 6
+    assert {r.score for r in out.collect()} == {2}
