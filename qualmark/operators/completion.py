@@ -36,14 +36,19 @@ def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> list[str]
 
 def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
                    out_col: str = "response", max_tries: int = 3, wait_s: float = 0.5,
-                   keep: Sequence[str] | None = None, batch_size: int = 32) -> DataFrame:
+                   keep: Sequence[str] | None = None, batch_size: int = 32,
+                   partitions: int | None = None) -> DataFrame:
     """Adds ``out_col`` with the model reply for each row's messages.
 
     The (wide) messages column is serialised to JSON on the JVM side and not
     returned; ``keep`` picks the columns to carry (default: all others).
-    Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows."""
+    Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows.
+    ``partitions`` spreads the rows over that many tasks, which bounds the
+    number of concurrent calls to a rate-limited model."""
     keep = [c for c in (keep or df.columns) if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
+    if partitions:
+        src = src.repartition(partitions)
     fields = [df.schema[c] for c in keep]  # same order as the yielded columns
     schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
 

@@ -14,6 +14,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _driver_memory(cap_gb: int = 8) -> str:
+    """60% of physical memory, at most ``cap_gb`` (local mode: the driver is
+    the only JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return f"{cap_gb}g"
+    mb = int(total * 0.6) >> 20
+    return f"{max(1024, min(cap_gb << 10, mb))}m"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "qualmark") -> SparkSession:
     """Session with AQE on and the UI off; for tests and the bench."""
@@ -28,7 +39,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", _driver_memory())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
