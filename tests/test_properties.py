@@ -114,3 +114,41 @@ def test_chat_blocks_keep_turn_order(spark):
                                  "m array<struct<role:string,content:string>>")
     expect = msgs.select(tx.render_chat(F.col("m"))).first()[0]
     assert got == expect
+
+
+def _weights(spark, pairs):
+    return spark.createDataFrame(pairs, "label string, final_weight_norm double")
+
+
+def test_few_shot_with_hot_label(spark):
+    seeds = spark.createDataFrame(
+        [(i, f"p{i}", f"a{i}", f"q{i}", "Vague" if i < 3 else "Off Topic; Spell Error") for i in range(40)],
+        "item_id long, passage string, answer string, question string, error_label string")
+    cands = spark.range(0, 5000).withColumnRenamed("id", "item_id")
+    drawn = S.weighted_label_sample(cands, _weights(spark, [("Off Topic", 0.005), ("Spell Error", 0.005),
+                                                            ("Vague", 0.99)]))
+    out = S.attach_few_shot(drawn, seeds).collect()
+    assert len(out) == 5000 and len({r.item_id for r in out}) == 5000
+    for r in out:
+        assert r.sampled_label in [t.strip() for t in r.ex_error_label.split(";")]
+    hot = [r for r in out if r.sampled_label == "Vague"]
+    assert len(hot) > 4800 and {r.ex_item_id for r in hot} == {0, 1, 2}
+
+
+def test_shuffle_path_equals_broadcast_path(spark, monkeypatch):
+    w = _weights(spark, [(f"L{i}", 1.0 / 50) for i in range(50)])
+    cands = spark.range(0, 2000).withColumnRenamed("id", "item_id")
+    seeds = spark.createDataFrame([(i, f"L{i % 50}") for i in range(500)], "item_id long, error_label string")
+    a = {(r.item_id, r.sampled_label, r.ex_item_id)
+         for r in S.attach_few_shot(S.weighted_label_sample(cands, w), seeds).collect()}
+    monkeypatch.setattr(S, "MAX_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = S.attach_few_shot(S.weighted_label_sample(cands, w), seeds)
+        b = {(r.item_id, r.sampled_label, r.ex_item_id) for r in d.collect()}
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert a == b and len(a) == 2000
