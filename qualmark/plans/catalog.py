@@ -797,7 +797,7 @@ def q_fill_empty(spark, sf_dir):
        "FROM lab JOIN labels l ON l.doc_id = lab.item_id")
 def q_cast_label(spark, sf_dir):
     from ..operators import rows
-    lb = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+    lb = views.table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("item_id"), F.col("quality").alias("label"))
     x = lab_view(spark, sf_dir).withColumnRenamed("error_label", "pred_error").join(lb, "item_id")
     return rows.cast_label(x, "label", ["pred_error"])
@@ -815,7 +815,7 @@ def q_exclude_clean(spark, sf_dir):
        "split_part(lang || '-' || source, '-', 1) AS family FROM documents")
 def q_model_family(spark, sf_dir):
     from ..operators import rows
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return d.select(F.col("doc_id").alias("item_id"),
                     rows.generated_source(F.col("source")).alias("source_tag"),
                     rows.model_family(F.concat_ws("-", "lang", "source")).alias("family"))
@@ -1245,7 +1245,7 @@ def verifier_input(spark, sf_dir):
     from ..functions import text as tx
     from ..operators import prompts, sampling
     s = seed_view(spark, sf_dir)
-    q = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+    q = views.table(spark, sf_dir, "labels").select(
         F.col("doc_id"), F.col("quality").cast("int").alias("label"))
     x = s.join(q, "doc_id").withColumnRenamed("error_label", "pred_error")
     x = x.withColumn("text", tx.truncate_tokens(prompts.verifier_text(

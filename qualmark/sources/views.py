@@ -13,8 +13,23 @@ from .. import vocab
 from .tables import table_path
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+# Readers of the read-only input tables, reused per session: the file listing
+# and footer read happen once per table instead of once per query. (Do not
+# use this for tables that change while the session runs.)
+_READERS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = table_path(sf_dir, name)
+    hit = _READERS.get((id(spark), path))
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _READERS[(id(spark), path)] = (spark, df)
+    return df
+
+
+_read = table
 
 
 def _dimension_of(idx: Column) -> Column:
