@@ -126,3 +126,28 @@ def test_exact_split_sizes_and_hash_rank(spark):
     assert s.filter("split = 'dev'").count() == 101 and s.count() == 1001
     r = S.hash_rank(df).agg(F.min("hash_rank"), F.max("hash_rank"), F.countDistinct("hash_rank")).first()
     assert tuple(r) == (1, 1001, 1001)
+
+
+def test_losses_match_python(spark):
+    import math
+    rows = [([2.0, -1.0, 0.0] + [0.5] * 8, [1, 0, 1] + [0] * 8), ([-3.0] * 11, [1] * 11)]
+    s = T.StructType([T.StructField("logits", T.ArrayType(T.DoubleType())),
+                      T.StructField("y_true", T.ArrayType(T.IntegerType()))])
+    df = spark.createDataFrame(rows, s)
+    w = [2.0] * 11
+
+    def bce(x, y, pw=1.0):
+        p = 1 / (1 + math.exp(-x))
+        return -(pw * y * math.log(p) + (1 - y) * math.log(1 - p))
+
+    cells = [(x, y) for xs, ys in rows for x, y in zip(xs, ys)]
+    b = M.bce_loss(df).first()
+    assert b.bce_mean == pytest.approx(sum(bce(x, y) for x, y in cells) / len(cells), abs=1e-6)
+    bw = M.bce_loss(df, pos_weight=w).first()
+    assert bw.bce_mean == pytest.approx(sum(bce(x, y, 2.0) for x, y in cells) / len(cells), abs=1e-6)
+    f = M.focal_loss(df).first()
+    foc = [0.25 * (1 - math.exp(-bce(x, y))) ** 2 * bce(x, y) for x, y in cells]
+    assert f.focal_mean == pytest.approx(sum(foc) / len(foc), abs=1e-6)
+    assert f.focal_sum == pytest.approx(sum(foc), abs=1e-6)
+    none = M.focal_loss(df, reduction="none").collect()
+    assert len(none[0].focal) == 11 and none[1].focal[0] == pytest.approx(foc[11], abs=1e-9)
