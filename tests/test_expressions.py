@@ -136,3 +136,14 @@ def test_render_chat_trims_content(spark):
     h, e, t = vocab.CHAT_HEADER_START, vocab.CHAT_HEADER_END, vocab.CHAT_TURN_END
     assert got == (vocab.CHAT_BEGIN + h + "system" + e + "S" + t + h + "user" + e + "U" + t
                    + h + "assistant" + e)
+
+
+def test_identifier_text_separator_and_nulls(spark):
+    from qualmark import vocab
+    from qualmark.operators import prompts
+    assert vocab.sep_token("RoBERTa") == "</s>"
+    assert vocab.sep_token("bert") == "[SEP]" and vocab.sep_token("gpt2") == "[SEP]"
+    s = T.StructType([T.StructField(c, T.StringType()) for c in ("q", "a", "p")])
+    df = spark.createDataFrame([("q?", "a", "p"), ("q?", None, "p")], s)
+    got = [r[0] for r in df.select(prompts.identifier_text(F.col("q"), F.col("a"), F.col("p"))).collect()]
+    assert got == ["q?</s>a</s>p", None]
