@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontam
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,38 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER),
                          public_tokenizers.PATTERN)
     return bpe.digest(encoded)
+
+
+def op8_sql() -> str:
+    """Windows as lists of words, joined by equality; hit words by position."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    fold = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            f"'abcdefghijklmnopqrstuvwxyz'), {word})")
+    return f"""
+    WITH d AS (SELECT doc_id, {fold} AS w FROM documents),
+    b AS (SELECT item_id, {fold} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    bw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g, least(len(w), 13) AS m
+           FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) r(i) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT m FROM bw),
+    dw AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+           FROM d, sizes, unnest(range(1, len(w) - m + 2)) r(i)),
+    hits AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw USING (g, m)),
+    pos AS (SELECT DISTINCT doc_id, p FROM (SELECT DISTINCT doc_id, i, m FROM hits) h,
+            unnest(range(i, i + m)) r(p)),
+    nh AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+    ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)"""
+
+
+ORACLE["op8_decontamination"] = op8_sql()
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_benchmark(documents(spark, sf_dir),
+                                    spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.digest(found)
