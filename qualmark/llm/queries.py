@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam
+from . import bpe, decontam, minhash
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_benchmark(documents(spark, sf_dir),
                                     spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontam.digest(found)
+
+
+ORACLE["op9_near_duplicates"] = r"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+          FROM t, unnest(range(1, greatest(len(w) - 2, 1) + 1)) r(i) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+               FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+             WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+    low AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+    SELECT t.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, t.doc_id) AS component_id,
+           coalesce(component_id, t.doc_id) = t.doc_id AS kept
+    FROM t LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = t.doc_id"""
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
