@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash
+from . import bpe, decontam, minhash, seed_dedup
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,23 @@ ORACLE["op9_near_duplicates"] = r"""
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+
+
+ORACLE["op10_substring_dedup"] = r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM t, unnest(range(1, len(w) - 11)) r(i)),
+    low AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, p FROM win JOIN low USING (g), unnest(range(i, i + 13)) r(p)
+             WHERE d < doc_id),
+    word AS (SELECT doc_id, p, w[p] AS x FROM t, unnest(range(1, len(w) + 1)) r(p)),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p)
+             GROUP BY doc_id),
+    lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(coalesce(s, '')) AS kept_sha256
+    FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_dedup.removal_digest(documents(spark, sf_dir))
