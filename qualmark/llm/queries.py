@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, seed_dedup, suffix_dedup
+from . import bpe, decontam, langid, minhash, quality_rules, seed_dedup, suffix_dedup
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(documents(spark, sf_dir))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.filter(~out).select("text", "lang"))
+    return langid.predict(docs, model).withColumn("held_out", out)
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir),
+                                     spark.read.parquet(f"{sf_dir}/labels.parquet"))
