@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from qualmark.session import materialize
 
-__all__ = ["documents", "id_text", "map_rows", "materialize", "sha_hex"]
+__all__ = ["Memo", "documents", "id_text", "map_rows", "materialize", "sha_hex"]
 
 #: Rows and bytes gathered before a batch goes back to the JVM.
 FLUSH_ROWS = 4096
@@ -70,3 +70,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             yield flush()
 
     return df.mapInArrow(run, kind)
+
+
+class Memo(dict):
+    """A bounded cache of a function of one key."""
+
+    def __init__(self, fn: Callable, size: int = 500_000) -> None:
+        self.fn, self.size = fn, size
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.clear()
+        self[key] = value = self.fn(key)
+        return value

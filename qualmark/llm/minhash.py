@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, map_rows, materialize
+from .base import Memo, id_text, map_rows, materialize
 
 BINS = 200
 CHUNK = 128
@@ -41,7 +41,6 @@ CHUNK = 128
 MARGIN = 6.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * 2 + 1
-WORD_MEMO = 500_000
 
 
 def band_rows(similarity: float, bins: int = BINS) -> int:
@@ -64,18 +63,13 @@ class Shingler:
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.memo: dict[bytes, int] = {}
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         ws = text.encode().translate(_LOWER).split() if text else []
         if not ws:
             return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > WORD_MEMO:
-            memo.clear()
-        for w in set(ws) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([memo[w] for w in ws], np.uint64)
+        h = np.fromiter(map(self.memo.__getitem__, ws), np.uint64, len(ws))
         k = min(self.size, len(h))
         n = len(h) - k + 1
         code = np.full(n, k, np.uint64)

@@ -18,26 +18,21 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
+from .base import Memo
 from .repeats import Spec, mix, repeated
 
 WINDOW = 13
 GRAM = 5
-WORD_MEMO = 500_000
 
 
 class Words(Spec):
     def __init__(self, window: int = WINDOW, gram: int = GRAM) -> None:
         self.window, self.gram, self.pieces = window, gram, (1,)
-        self.memo: dict[bytes, int] = {}
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def units(self, text):
         ws = text.encode().split()
-        memo = self.memo
-        if len(memo) > WORD_MEMO:
-            memo.clear()
-        for w in set(ws) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([memo[w] for w in ws], np.uint64)
+        return np.fromiter(map(self.memo.__getitem__, ws), np.uint64, len(ws))
 
     def grams(self, units):
         n = len(units) - self.gram + 1
