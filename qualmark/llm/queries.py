@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, minhash, pii, quality_rules, seed_dedup, suffix_dedup
+from . import bpe, cotrain, decontam, langid, minhash, pii, quality_rules, seed_dedup, suffix_dedup
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return cotrain.score(docs, cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
