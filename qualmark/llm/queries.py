@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, langid, minhash, pii, quality_rules, seed_dedup, suffix_dedup
+from . import (bpe, cotrain, decontam, langid, minhash, pii, quality_rules, seed_dedup, suffix_dedup,
+               warc)
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +138,43 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return cotrain.score(docs, cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+ORACLE["op2_warc_revisits"] = r"""
+    WITH p AS (SELECT page_id AS p, url, coalesce(html, '') AS html, page_id * 37 % 5000 * 600 AS t,
+                      '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' AS tag,
+                      'day ' || CAST(page_id % 1000 AS VARCHAR) AS date FROM pages),
+    bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM p),
+    split AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), ':(80|443)$', ''),
+                        '^(www|m)\.', '') AS host,
+              regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+              list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
+                  lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|sid|sessionid)(=|$)'))) AS q FROM bare),
+    c AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM split),
+    response AS (SELECT p * 4 AS id, u, t, tag, date, sha256(html) AS digest, strlen(html) AS size FROM c),
+    again AS (SELECT p * 4 + n AS id, u, date, p % 9 AS age,
+              CASE (p + n) % 5 WHEN 0 THEN 'W/' || tag WHEN 3 THEN '"other"' WHEN 2 THEN NULL ELSE tag END AS sent,
+              t + CASE WHEN (p + n) % 5 = 4 THEN -86400 ELSE 86400 * n + p % 7 * 3600 END AS t
+              FROM c, (VALUES (1), (2)) v(n)),
+    near AS (SELECT a.*, r.id AS rid, r.tag AS rtag, r.date AS rdate, r.digest, r.size,
+             row_number() OVER (PARTITION BY a.id ORDER BY r.t DESC NULLS LAST, r.id DESC) AS k
+             FROM again a LEFT JOIN response r ON r.u = a.u AND r.t < a.t),
+    judged AS (SELECT *, CASE WHEN rid IS NULL THEN 'unmatched'
+               WHEN CASE WHEN sent IS NOT NULL THEN regexp_replace(sent, '^W/', '') = rtag ELSE date = rdate END
+               THEN 'resolved' ELSE 'mismatch' END AS status FROM near WHERE k = 1)
+    SELECT id AS record_id, u AS canonical_url, CASE WHEN status = 'resolved' THEN rid END AS response_id, status,
+           sha256('cache-control: max-age=' || CAST(age AS VARCHAR) || chr(10)
+               || 'content-length: ' || CASE WHEN status = 'resolved' THEN CAST(size AS VARCHAR) ELSE '0' END || chr(10)
+               || CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) ELSE '' END
+               || 'date: ' || CAST(t AS VARCHAR)
+               || coalesce(chr(10) || 'etag: ' || coalesce(sent, CASE WHEN status = 'resolved' THEN rtag END), '')
+               || chr(10) || 'last-modified: ' || date) AS headers_sha256,
+           CASE WHEN status = 'resolved' THEN digest END AS digest,
+           CASE WHEN status = 'resolved' THEN CAST(size AS BIGINT) END AS size
+    FROM judged"""
+
+
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.digest(warc.resolve(warc.captures(pages)))
