@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from qualmark.session import materialize
 
-__all__ = ["Memo", "documents", "id_text", "map_rows", "materialize", "sha_hex"]
+__all__ = ["Memo", "documents", "id_text", "map_batches", "map_rows", "materialize", "sha_hex"]
 
 #: Rows and bytes gathered before a batch goes back to the JVM.
 FLUSH_ROWS = 4096
@@ -72,6 +72,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     return df.mapInArrow(run, kind)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Rows filtered or changed batch by batch, all columns carried as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            yield fn(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Memo(dict):
     """A bounded cache of a function of one key."""
 

@@ -22,10 +22,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, map_rows
+from .base import Memo, map_batches, map_rows
 from .decontam import words
 from .ftrl import Ftrl, scores, softmax, temperature
 from .quality_rules import RULES, measure
@@ -186,3 +187,23 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     return map_rows(_columns(docs), make, "doc_id long, text_score double, meta_score double, "
                                           "score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        views, m = Views(), shared.value
+
+        def kept(batch):
+            seen = zip(*(batch.column(batch.schema.get_field_index(c)) for c in
+                         ("text", "source", "lang", "n_chars")))
+            return batch.filter(pa.array(
+                [m(views.text(t.as_py()), views.meta(s.as_py(), g.as_py(), n.as_py()))[2] < m.cutoff
+                 for t, s, g, n in seen], pa.bool_()))
+        return kept
+
+    return map_batches(docs, make)

@@ -27,10 +27,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, map_rows
+from .base import id_text, map_batches, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
@@ -409,6 +410,35 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, field: Field) -> DataFrame:
+    """The documents with every span masked; n_chars, where there is one,
+    follows the text. NULL text stays NULL."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def make():
+        model = shared.value
+
+        def masked(text):
+            if text is None:
+                return None
+            base = base_spans(text)
+            return mask(text, base + model.spans(text, base))
+
+        def changed(batch):
+            at = batch.schema.get_field_index("text")
+            texts = [masked(t.as_py()) for t in batch.column(at)]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            size = batch.schema.get_field_index("n_chars")
+            if size >= 0:
+                field_ = batch.schema.field(size)
+                batch = batch.set_column(size, field_, pa.array([None if t is None else len(t) for t in texts],
+                                                                field_.type))
+            return batch
+        return changed
+
+    return map_batches(docs, make)
+
+
 def digest(found: DataFrame) -> DataFrame:
     def make():
         def one(doc_id, base, added):
