@@ -241,7 +241,7 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     twice = (_seeds(known, spec).groupBy("key").agg(many.alias("again")).filter("again").select("key"))
     hits = (_seeds(known, spec).select("key", "doc_id").join(twice, "key", "left_semi")
             .groupBy("doc_id").agg(F.collect_set("key").alias("shared")))
-    names = schema + ", doc_id long, text_id long, text string, shared array<long>"
+    names = schema + ", doc_id long, text_id long, whole string, shared array<long>"
     width = len(map_fields(schema))
 
     def sort_out():
@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
 
     table = materialize(map_rows(base.join(hits, "doc_id", "left").select("doc_id", "text", "shared"),
                                  sort_out, names), "texts")
-    kept = table.filter("text is not null").select("doc_id", "text_id", "text", "shared")
+    kept = table.filter("whole is not null").select("doc_id", "text_id", F.col("whole").alias("text"), "shared")
     rows = _first_rows(kept, spec)
     spans = []
     for size in (*spec.pieces, 0):
@@ -283,7 +283,7 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
         return one
 
     fields = map_fields(schema)
-    done = table.filter("text is null").select("doc_id", *fields)
+    done = table.filter("whole is null").select("doc_id", *fields)
     rest = map_rows(kept.join(by_text, ["doc_id", "text_id"], "left").select("doc_id", "text", "spans"),
                     end, "doc_id long, " + schema)
     return done.unionByName(rest)
