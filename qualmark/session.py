@@ -93,7 +93,19 @@ def materialize(df, name: str):
     checkpoint, later reads prune columns and push filters down."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete the table of a ``materialize``; nothing may read it any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path is None:
+        return
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
