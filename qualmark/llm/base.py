@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from qualmark.session import materialize
 
-__all__ = ["Memo", "documents", "id_text", "map_batches", "map_rows", "materialize", "sha_hex"]
+__all__ = ["Memo", "documents", "id_text", "map_batches", "map_rows", "materialize", "sha_hex", "step"]
 
 #: Rows and bytes gathered before a batch goes back to the JVM.
 FLUSH_ROWS = 4096
@@ -33,8 +34,14 @@ def sha_hex(col) -> F.Column:
     return F.sha2(col, 256)
 
 
-def weight(value: object) -> int:
-    return len(value) if hasattr(value, "__len__") else 8
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, then let go of what led to it: with the lineage cut, the
+    driver's collector can free the finished shuffles, and Spark's cleaner
+    deletes their files instead of keeping all steps on disk."""
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
@@ -45,6 +52,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
     width = len(arrow)
+    sized = [i for i, f in enumerate(arrow) if not pa.types.is_primitive(f.type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -62,7 +70,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 for row in zip(*cols):
                     for got in fn(*row):
                         out.append(got)
-                        held += sum(map(weight, got))
+                        for i in sized:
+                            held += len(got[i] or ())
                         if held > FLUSH_BYTES or len(out) >= FLUSH_ROWS:
                             yield flush()
                             out, held = [], 0

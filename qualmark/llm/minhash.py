@@ -13,8 +13,13 @@ over what is still apart:
 2. each representative is compared with the most popular centre of its buckets
    (popularity: rows it shares buckets with; the hub of a copy group has most);
 3. then with the other centres of its buckets that lie in other components;
-4. buckets that still hold several components: members of different components
-   whose signatures agree well enough are compared, in blocks of ``CHUNK`` rows.
+4. in buckets that still hold several components, each row is compared with the
+   row of another component whose signature agrees best; ``NEAREST`` such rounds
+   draw together what chains of links connect;
+5. what is still apart: all rows of different components in a bucket whose
+   signatures agree well enough are compared.
+
+Steps 4 and 5 deal a bucket into chunks; a task sees two chunks at a time.
 
 Every candidate pair is confirmed on the full sets. The only way to miss a link
 is that no band agrees: under 1e-9 per pair by the choice of the band width.
@@ -33,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, id_text, map_rows, materialize
+from .base import Memo, id_text, map_rows, materialize, step
 
 BINS = 200
-CHUNK = 128
+CHUNK = 1024
+#: Rounds in which a row is compared with its nearest row of another component only.
+NEAREST = 2
 #: Six standard deviations of the share of equal bins at the threshold.
 MARGIN = 6.0
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -196,9 +203,10 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _sweep(buckets: DataFrame, label: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components of one bucket whose signatures agree.
-    A large bucket is dealt into chunks; a task sees two chunks at a time."""
+def _sweep(buckets: DataFrame, label: DataFrame, reps: DataFrame, percent: int,
+           nearest: bool) -> DataFrame:
+    """Pairs from different components of one bucket whose signatures agree:
+    for each row the best one of a block, or all."""
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
     placed = (buckets.select("key", "rep")
               .join(label.withColumnRenamed("node", "rep"), "rep", "left")
@@ -222,15 +230,20 @@ def _sweep(buckets: DataFrame, label: DataFrame, reps: DataFrame, percent: int)
                 return
             sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(rep), -1)
             for i in range(len(rep)):
-                near = (comp != comp[i]) & (rep > rep[i]) & (
+                near = (comp != comp[i]) & (
                     100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
                 if lo != hi:
                     near &= c != c[i]
+                if not nearest:
+                    near &= rep > rep[i]
                 at = np.flatnonzero(near)
-                if len(at):
-                    at = at[(sig[at] == sig[i]).mean(axis=1) >= least]
-                for j in at:
-                    yield int(rep[i]), int(rep[j])
+                if not len(at):
+                    continue
+                agree = (sig[at] == sig[i]).mean(axis=1)
+                if nearest:
+                    at, agree = at[[np.argmax(agree)]], agree.max(keepdims=True)
+                for j in at[agree >= least].tolist():
+                    yield min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))
         return one
 
     return map_rows(blocks.select("lo", "hi", "m"), make, "a long, b long").distinct()
@@ -267,8 +280,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             .select((-F.col("top.minus")).alias("a"), "b"))
     label = components(_confirm(best, texts, shingle, percent))
     label = components(_confirm(_apart(star.select("a", "b"), label), texts, shingle, percent), label)
-    rest = _sweep(buckets, label, reps, percent)
-    label = components(_confirm(rest, texts, shingle, percent), label)
+    for turn in range(NEAREST + 1):
+        rest = _sweep(buckets, label, reps, percent, nearest=turn < NEAREST)
+        label = components(_confirm(rest, texts, shingle, percent), label)
 
     placed = (classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_id", F.coalesce("component", "rep").alias("component")))

@@ -25,11 +25,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, map_rows, materialize
+from qualmark.session import discard
+
+from .base import id_text, map_rows, step
 
 #: Classes of one key that are compared in one go.
 LIMIT = 64
@@ -89,37 +92,46 @@ def _signed(h: int) -> int:
 
 
 def _text_id(text: str) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(text.encode()))
+    """Tells texts of one doc_id apart."""
+    return xxhash.xxh32_intdigest(text.encode()) >> 1
 
 
 def _runs_of(spec: Spec, text: str | None):
+    """The units, and first window, windows, picked place and key of each run."""
     units = spec.units(text or "")
     if len(units) < spec.window:
         return units, None
     grams = spec.grams(units)
     first, count, at = runs(grams, spec.window - spec.gram + 1)
-    return units, (first.tolist(), count.tolist(), at.tolist(),
-                   (grams[at] >> np.uint64(16)).astype(np.int64))
+    return units, (first, count, at, (grams[at] >> np.uint64(16)).astype(np.int64))
 
 
 def _seeds(docs: DataFrame, spec: Spec) -> DataFrame:
     """Picked grams of each document, with the times they were picked."""
-    def make():
-        def one(doc_id, text):
-            _, got = _runs_of(spec, text)
-            if got is not None:
-                keys, n = np.unique(got[3], return_counts=True)
-                for k, m in zip(keys.tolist(), n.tolist()):
-                    yield k, doc_id, m
-        return one
-    return map_rows(docs, make, "key long, doc_id long, n int")
-
-
-_ROW = "key long, content binary, doc_id long, text_id long, starts array<int>, w int, lead int"
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                keys, ids, n = [], [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    _, got = _runs_of(spec, text.as_py())
+                    if got is not None:
+                        key, count = np.unique(got[3], return_counts=True)
+                        keys.append(key)
+                        n.append(count)
+                        ids.append(np.full(len(key), doc_id))
+                if keys:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids), pa.int64()),
+                         pa.array(np.concatenate(n), pa.int32())], names=["key", "doc_id", "n"])
+    return docs.mapInArrow(run, "key long, doc_id long, n int")
+
+
+_ROW = "key long, content long, doc_id long, text_id int, starts array<int>, w int, lead int"
 
 
 def _gather(found: dict, key: int, content: bytes, start: int, w: int, lead: int) -> None:
-    found.setdefault((key, content), ([], w, lead))[0].append(start)
+    found.setdefault((key, _signed(xxhash.xxh3_64_intdigest(content, 1 << 32))), ([], w, lead))[0].append(start)
 
 
 def _first_rows(kept: DataFrame, spec: Spec) -> DataFrame:
@@ -127,13 +139,12 @@ def _first_rows(kept: DataFrame, spec: Spec) -> DataFrame:
     def make():
         def one(doc_id, text_id, text, shared):
             units, got = _runs_of(spec, text)
-            wanted, found = set(shared), {}
             if got is None:
                 return
-            for start, w, at, key in zip(*got[:3], got[3].tolist()):
-                if key in wanted:
-                    content = xxhash.xxh3_128_digest(spec.cut(units, start, start + w + spec.window - 1))
-                    _gather(found, key, content, start, w, at - start)
+            wanted, found = np.isin(got[3], np.array(shared, np.int64)), {}
+            for start, w, at, key in zip(*(x[wanted].tolist() for x in got)):
+                content = spec.cut(units, start, start + w + spec.window - 1)
+                _gather(found, key, content, start, w, at - start)
             for (key, content), (starts, w, lead) in found.items():
                 yield key, content, doc_id, text_id, starts, w, lead
         return one
@@ -153,8 +164,8 @@ def _split_rows(members: DataFrame, spec: Spec, size: int) -> DataFrame:
                     lo, hi = max(0, core - size + 1), min(w - 1, core)
                     shared = spec.cut(units, start + core, start + core - size + 1 + spec.window)
                     content = spec.cut(units, start + lo, start + hi + spec.window)
-                    _gather(found, _signed(xxhash.xxh3_64_intdigest(shared, q & 0xFFFF)),
-                            xxhash.xxh3_128_digest(content), start + lo, hi - lo + 1, lead - lo)
+                    _gather(found, _signed(xxhash.xxh3_64_intdigest(shared, q & 0xFFFF)), content,
+                            start + lo, hi - lo + 1, lead - lo)
             for (key, content), (starts, w, lead) in found.items():
                 yield key, content, doc_id, text_id, sorted(set(starts)), w, lead
         return one
@@ -213,10 +224,10 @@ def _compared(classes: DataFrame, kept: DataFrame, spec: Spec, mode: str) -> Dat
         return one
 
     data = map_rows(_with_text(classes, kept), read,
-                    "key long, doc_id long, text_id long, at int, lead int, w int, data binary")
+                    "key long, doc_id long, text_id int, at int, lead int, w int, data binary")
     groups = data.groupBy("key").agg(F.collect_list(F.struct(
         "doc_id", "text_id", "at", "lead", "w", "data")).alias("members"))
-    return map_rows(groups.select("members"), make, "doc_id long, text_id long, lo int, hi int")
+    return map_rows(groups.select("members"), make, "doc_id long, text_id int, lo int, hi int")
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -238,10 +249,12 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     base = id_text(docs)
     known = base.filter("doc_id is not null and text is not null")
     many = F.sum("n") > 1 if mode != "earlier document" else F.count("*") > 1
-    twice = (_seeds(known, spec).groupBy("key").agg(many.alias("again")).filter("again").select("key"))
-    hits = (_seeds(known, spec).select("key", "doc_id").join(twice, "key", "left_semi")
-            .groupBy("doc_id").agg(F.collect_set("key").alias("shared")))
-    names = schema + ", doc_id long, text_id long, whole string, shared array<long>"
+    seeds = step(_seeds(known, spec), "seeds")
+    twice = seeds.groupBy("key").agg(many.alias("again")).filter("again").select("key")
+    hits = step(seeds.select("key", "doc_id").join(twice, "key", "left_semi")
+                .groupBy("doc_id").agg(F.collect_set("key").alias("shared")), "hits")
+    discard(seeds)
+    names = schema + ", doc_id long, text_id int, whole string, shared array<long>"
     width = len(map_fields(schema))
 
     def sort_out():
@@ -252,14 +265,15 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
                 yield *[None] * width, doc_id, _text_id(text), text, shared
         return one
 
-    table = materialize(map_rows(base.join(hits, "doc_id", "left").select("doc_id", "text", "shared"),
-                                 sort_out, names), "texts")
+    table = step(map_rows(base.join(hits, "doc_id", "left").select("doc_id", "text", "shared"),
+                          sort_out, names), "texts")
+    discard(hits)
     kept = table.filter("whole is not null").select("doc_id", "text_id", F.col("whole").alias("text"), "shared")
     rows = _first_rows(kept, spec)
     spans = []
     for size in (*spec.pieces, 0):
-        classes = materialize(_classes(rows), "classes")
-        spans.append(_settled(rows, classes, spec, mode))
+        classes = step(_classes(rows), "classes")
+        spans.append(step(_settled(rows, classes, spec, mode), "settled"))
         if not size:  # pieces of one window: a key has one class
             break
         mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("lo"),
@@ -267,8 +281,8 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
         if mode == "earlier document":
             mixed = mixed.filter("lo < hi")
         several = classes.join(mixed.select("key", "k"), "key")
-        spans.append(_compared(several.filter(F.col("k") <= LIMIT), kept, spec, mode))
-        large = materialize(several.filter(F.col("k") > LIMIT), "large")
+        spans.append(step(_compared(several.filter(F.col("k") <= LIMIT), kept, spec, mode), "compared"))
+        large = step(several.filter(F.col("k") > LIMIT), "large")
         if large.isEmpty():
             break
         rows = _split_rows(_with_text(large, kept), spec, size)
