@@ -35,7 +35,7 @@ from qualmark.session import discard
 from .base import id_text, map_rows, step
 
 #: Classes of one key that are compared in one go.
-LIMIT = 64
+LIMIT = 256
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

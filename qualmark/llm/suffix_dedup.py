@@ -80,7 +80,7 @@ class Bytes(Spec):
     def __init__(self, window: int = WINDOW, step: int = STEP) -> None:
         if window < self.gram:
             raise ValueError(f"windows have at least {self.gram} bytes")
-        self.window, self.step, self.pieces = window, step, (step, 1)
+        self.window, self.step, self.pieces = window, step, (3 * step, step // 2, 1)
 
     def units(self, text):
         return text.encode()
