@@ -74,8 +74,8 @@ class View:
         self.size, self.l1, self.weights, self.heat = size, l1, np.zeros((size + 1, 2)), 1.0
 
     def fit(self, rows: list, labels: list[int], held: list, truth: list[int]) -> None:
-        self.weights = Ftrl(self.size, 2, alpha=0.1, l1=self.l1, l2=0.1).fit(
-            [_row(r) for r in rows], labels, epochs=2)
+        self.weights = Ftrl(self.size, 2, alpha=0.6, l1=self.l1, l2=0.1).fit(
+            [_row(r) for r in rows], labels, epochs=3)
         raw = np.array([scores(self.weights, *_row(r)) for r in held]).reshape(-1, 2)
         self.heat = temperature(raw, np.array(truth, np.int64))
 
@@ -111,7 +111,7 @@ def co_train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int],
     """Fit both views on (text, meta) rows; None if the labels have one class."""
     if len(set(labels)) < 2:
         return None
-    views = (View(WORDS, l1=0.3), View(META, l1=0.05))
+    views = (View(WORDS, l1=5.0), View(META, l1=0.5))
     told: tuple[dict[int, int], dict[int, int]] = ({}, {})  # pool labels each view was given
     for turn in range(rounds + 1):
         for v, view in enumerate(views):

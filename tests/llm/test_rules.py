@@ -56,12 +56,12 @@ def test_choice_stops_at_the_first_failure():
 def test_bad_documents_go_and_the_risk_holds(spark, frame):
     rng = np.random.default_rng(4)
     rows, labels = [], []
-    for i in range(1600):
+    for i in range(3000):
         good = i % 4 > 0
         text = prose(i, 70)
         if not good:
             text = " ".join(w + rng.choice(["%%", "##", "$$"]) for w in text.split())
-        rows.append(row(i, text, ["en", "fr"][i % 2 if i < 1500 else 0]))
+        rows.append(row(i, text, ["en", "fr"][i % 2 if i < 2500 else 0]))
         labels.append((i, int(good), 0))
     rows += [row(9000 + i, prose(9000 + i, 60), "xx") for i in range(5)] + [row(9990, prose(1, 60), None)]
     df, known = frame(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
