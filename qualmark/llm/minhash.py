@@ -16,10 +16,13 @@ over what is still apart:
 4. in buckets that still hold several components, each row is compared with the
    row of another component whose signature agrees best; ``NEAREST`` such rounds
    draw together what chains of links connect;
-5. what is still apart: all rows of different components in a bucket whose
-   signatures agree well enough are compared.
+5. what is still apart is compared without listing pairs: representatives are
+   dealt into *places* (those with one best centre, in chunks), the buckets tell
+   which places hold rows of different components with similar signatures, and
+   two such places are compared as matrices of their sets' ``LOWEST`` smallest
+   hashes. That is exact for sets of this size, and an upper bound for larger.
 
-Steps 4 and 5 deal a bucket into chunks; a task sees two chunks at a time.
+Steps 4 and 5 see at most two chunks of ``CHUNK`` rows in a task.
 
 Every candidate pair is confirmed on the full sets. The only way to miss a link
 is that no band agrees: under 1e-9 per pair by the choice of the band width.
@@ -42,6 +45,7 @@ from .base import Memo, id_text, map_rows, materialize, step
 
 BINS = 200
 CHUNK = 1024
+LOWEST = 512
 #: Rounds in which a row is compared with its nearest row of another component only.
 NEAREST = 2
 #: Six standard deviations of the share of equal bins at the threshold.
@@ -203,50 +207,145 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _sweep(buckets: DataFrame, label: DataFrame, reps: DataFrame, percent: int,
-           nearest: bool) -> DataFrame:
-    """Pairs from different components of one bucket whose signatures agree:
-    for each row the best one of a block, or all."""
-    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+def _mixed(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """key, rep, component and number of chunks of the buckets that hold
+    several components."""
     placed = (buckets.select("key", "rep")
               .join(label.withColumnRenamed("node", "rep"), "rep", "left")
               .select("key", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = (placed.groupBy("key")
-             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                  F.count("*").alias("size"))
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
              .filter("lo <> hi").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("n")))
-    rows = (placed.join(mixed, "key").join(reps.select("rep", "n_shingles", "sig"), "rep")
-            .withColumn("c", F.pmod(F.xxhash64("rep"), "n").cast("int"))
+    return placed.join(mixed, "key")
+
+
+def _blocks(mixed: DataFrame, about: DataFrame, *columns: str) -> DataFrame:
+    """lo, hi and the members of two chunks of a bucket (or of one)."""
+    rows = (mixed.join(about, "rep").withColumn("c", F.pmod(F.xxhash64("rep"), "n").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             .withColumn("lo", F.least("c", "other")).withColumn("hi", F.greatest("c", "other")))
-    member = F.struct("rep", "component", "n_shingles", "sig", "c")
-    blocks = rows.groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("m"))
+    member = F.struct("rep", "component", "n_shingles", "sig", "c", *columns)
+    return rows.groupBy("key", "lo", "hi").agg(F.collect_list(member).alias("m")).select("lo", "hi", "m")
 
+
+def _similar(members: list, percent: int):
+    """For each member: the places of members of other components (in the other
+    chunk, if there are two) whose size and signature allow a link, and how well
+    the signatures agree."""
+    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+    rep, comp, n, c = (np.array([m[k] for m in members], np.int64)
+                       for k in ("rep", "component", "n_shingles", "c"))
+    if len(rep) < 2 or (comp == comp[0]).all():
+        return
+    sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(rep), -1)
+    two = (c != c[0]).any()
+    for i in range(len(rep)):
+        near = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if two:
+            near &= c != c[i]
+        at = np.flatnonzero(near)
+        if len(at):
+            agree = (sig[at] == sig[i]).mean(axis=1)
+            yield i, at[agree >= least], agree[agree >= least]
+
+
+def _nearest(blocks: DataFrame, percent: int) -> DataFrame:
+    """Each member with the one of another component that agrees best."""
     def make():
         def one(lo, hi, members):
-            rep, comp, n, c = (np.array([m[k] for m in members], np.int64)
-                               for k in ("rep", "component", "n_shingles", "c"))
-            if len(rep) < 2 or (comp == comp[0]).all():
-                return
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(rep), -1)
-            for i in range(len(rep)):
-                near = (comp != comp[i]) & (
-                    100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                if lo != hi:
-                    near &= c != c[i]
-                if not nearest:
-                    near &= rep > rep[i]
-                at = np.flatnonzero(near)
-                if not len(at):
-                    continue
-                agree = (sig[at] == sig[i]).mean(axis=1)
-                if nearest:
-                    at, agree = at[[np.argmax(agree)]], agree.max(keepdims=True)
-                for j in at[agree >= least].tolist():
-                    yield min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))
+            for i, at, agree in _similar(members, percent):
+                if len(at):
+                    a, b = members[i]["rep"], members[at[np.argmax(agree)]]["rep"]
+                    yield min(a, b), max(a, b)
+        return one
+    return map_rows(blocks, make, "a long, b long").distinct()
+
+
+def _meetings(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of places with similar members of different components."""
+    def make():
+        def one(lo, hi, members):
+            place = np.array([m["place"] for m in members], np.int64)
+            met = set()
+            for i, at, _ in _similar(members, percent):
+                met.update((min(place[i], p), max(place[i], p)) for p in np.unique(place[at]))
+            for p, q in met:
+                yield int(p), int(q)
+        return one
+    return map_rows(blocks, make, "p long, q long").distinct()
+
+
+def common_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of arrays of distinct values. Values
+    in many rows are multiplied as columns, the others counted pair by pair."""
+    size = len(rows)
+    out = np.zeros((size, size), np.float32)
+    owner = np.repeat(np.arange(size), [len(r) for r in rows])
+    value, at, count = np.unique(np.concatenate([*rows, np.empty(0, np.uint32)]),
+                                 return_inverse=True, return_counts=True)
+    owner = owner[np.argsort(at, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(count)])[:-1]
+    for c in range(2, 16):
+        first = start[count == c]
+        for x in range(c):
+            for y in range(x + 1, c):
+                np.add.at(out, (owner[first + x], owner[first + y]), 1)
+    out += out.T
+    wide = np.flatnonzero(count >= 16)
+    for lo in range(0, len(wide), 4096):
+        part = wide[lo:lo + 4096]
+        column = np.repeat(np.arange(len(part)), count[part])
+        table = np.zeros((size, len(part)), np.float32)
+        table[np.concatenate([owner[s:s + c] for s, c in zip(start[part], count[part])]), column] = 1
+        out += table @ table.T
+    return out
+
+
+def _between(meetings: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within two places that can be links by
+    their lowest hashes."""
+    ends = meetings.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("place"))
+    groups = ends.join(places, "place").groupBy("p", "q").agg(
+        F.collect_list(F.struct("rep", "component", "n_shingles", "low")).alias("m"))
+
+    def make():
+        def one(members):
+            rep, comp, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n_shingles"))
+            common = common_counts([np.frombuffer(m["low"], np.uint32) for m in members])
+            j = percent / 100
+            # of whole sets a share of the union; else so many of the union's lowest, which are in both
+            need = np.where(np.maximum(n[:, None], n) <= LOWEST, j / (1 + j) * (n[:, None] + n) - 1,
+                            LOWEST * j - MARGIN * (LOWEST * j * (1 - j)) ** 0.5)
+            fit = (common >= need) & (comp[:, None] != comp) & (rep[:, None] < rep)
+            for a, b in zip(*np.nonzero(fit)):
+                yield int(rep[a]), int(rep[b])
+        return one
+    return map_rows(groups.select("m"), make, "a long, b long").distinct()
+
+
+def _rest(buckets: DataFrame, label: DataFrame, reps: DataFrame, best: DataFrame, texts: DataFrame,
+          shingle: int, percent: int) -> DataFrame:
+    """Candidate pairs among all that is still apart."""
+    mixed = materialize(_mixed(buckets, label), "mixed")
+    apart = mixed.select("rep", "component").distinct()
+    home = apart.join(best.select(F.col("b").alias("rep"), "a"), "rep", "left").select(
+        "rep", "component", F.coalesce("a", "rep").alias("home"))
+    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    placed = home.join(sizes, "home").select(
+        "rep", "component", F.xxhash64("home", F.pmod(F.xxhash64("rep", F.lit(3)), "chunks")).alias("place"))
+    about = materialize(placed.join(reps.select("rep", "n_shingles", "sig"), "rep"), "places")
+    meetings = _meetings(_blocks(mixed, about.select("rep", "n_shingles", "sig", "place"), "place"), percent)
+
+    def make():
+        sets = Shingler(shingle)
+
+        def one(doc_id, text):
+            yield doc_id, np.unique((sets(text)[:LOWEST] >> np.uint64(32)).astype(np.uint32)).tobytes()
         return one
 
-    return map_rows(blocks.select("lo", "hi", "m"), make, "a long, b long").distinct()
+    low = map_rows(texts.join(about.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), make,
+                   "rep long, low binary")
+    return _between(meetings, about.drop("sig").join(low, "rep"), percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -280,9 +379,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             .select((-F.col("top.minus")).alias("a"), "b"))
     label = components(_confirm(best, texts, shingle, percent))
     label = components(_confirm(_apart(star.select("a", "b"), label), texts, shingle, percent), label)
-    for turn in range(NEAREST + 1):
-        rest = _sweep(buckets, label, reps, percent, nearest=turn < NEAREST)
-        label = components(_confirm(rest, texts, shingle, percent), label)
+    for _ in range(NEAREST):
+        blocks = _blocks(_mixed(buckets, label), reps.select("rep", "n_shingles", "sig"))
+        label = components(_confirm(_nearest(blocks, percent), texts, shingle, percent), label)
+    rest = _rest(buckets, label, reps, best, texts, shingle, percent)
+    label = components(_confirm(rest, texts, shingle, percent), label)
 
     placed = (classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_id", F.coalesce("component", "rep").alias("component")))

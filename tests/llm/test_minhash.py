@@ -74,6 +74,26 @@ def test_small_chunks(frame, monkeypatch):
     same(minhash.near_duplicates(frame(rows), 3, 85), expected(rows, 3, 85))
 
 
+def test_long_sets_and_small_places(frame, monkeypatch):
+    """Sets larger than the sketches, over several places."""
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    monkeypatch.setattr(minhash, "LOWEST", 60)
+    monkeypatch.setattr(minhash, "NEAREST", 0)
+    rows = crowd()
+    same(minhash.near_duplicates(frame(rows), 3, 85), expected(rows, 3, 85))
+
+
+def test_common_counts():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 60 if i % 2 else 4000, 30)).astype(np.uint32) for i in range(70)] + [
+        np.empty(0, np.uint32)]
+    got = minhash.common_counts(rows)
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(rows[i], rows[j]))
+
+
 def test_empty_table(frame):
     assert minhash.near_duplicates(frame([])).collect() == []
 
