@@ -94,7 +94,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 class Memo(dict):
     """A bounded cache of a function of one key."""
 
-    def __init__(self, fn: Callable, size: int = 500_000) -> None:
+    def __init__(self, fn: Callable, size: int = 150_000) -> None:
         self.fn, self.size = fn, size
 
     def __missing__(self, key):

@@ -22,10 +22,12 @@ from .base import Memo
 from .repeats import Spec, mix, repeated
 
 WINDOW = 13
-GRAM = 5
+GRAM = 7
 
 
 class Words(Spec):
+    wide = 1
+
     def __init__(self, window: int = WINDOW, gram: int = GRAM) -> None:
         self.window, self.gram, self.pieces = window, gram, (1,)
         self.memo = Memo(xxhash.xxh3_64_intdigest)
@@ -34,30 +36,44 @@ class Words(Spec):
         ws = text.encode().split()
         return np.fromiter(map(self.memo.__getitem__, ws), np.uint64, len(ws))
 
-    def grams(self, units):
+    def values(self, units):
+        return units
+
+    def grams(self, units, values):
         n = len(units) - self.gram + 1
-        code = np.zeros(n, np.uint64)
-        for j in range(self.gram):
-            code = mix(code * np.uint64(0x9E3779B97F4A7C15) + units[j:j + n])
-        return code
+        code = units[:n].copy()
+        for j in range(1, self.gram):
+            code *= np.uint64(0x9E3779B97F4A7C15)
+            code += units[j:j + n]
+        return mix(code)
 
     def cut(self, units, lo, hi):
         return units[lo:hi].tobytes()
 
     def compare(self, members, mode):
-        """Extend from the anchor, all members side by side. Columns run from
-        the anchor to the right, and from it to the left; a cell beyond a
-        member's end equals no other."""
+        """Extend from the anchor both ways. Two members are walked word by word;
+        more are laid side by side, columns running from the anchor to the right
+        and to the left, where a cell beyond a member's end equals no other."""
         k = len(members)
-        doc = np.array([m[0] for m in members])
-        lead = np.array([m[3] for m in members])
         words = [np.frombuffer(m[5], np.uint64) for m in members]
+        lead = [m[3] for m in members]
+        if k == 2:
+            (x, y), (a, b) = (w.tolist() for w in words), lead
+            right, left = _walk(x[a:], y[b:]), _walk(x[:a][::-1], y[:b][::-1])
+            if left + right >= self.window:
+                for i in (0, 1):
+                    if mode != "earlier document" or members[1 - i][0] < members[i][0]:
+                        yield i, lead[i] - left, lead[i] + right
+            return
+        doc = np.array([m[0] for m in members])
         right = self._extend([w[a:] for w, a in zip(words, lead)])
         left = self._extend([w[:a][::-1] for w, a in zip(words, lead)])
         keep = left + right >= self.window
         keep &= doc[None, :] < doc[:, None] if mode == "earlier document" else ~np.eye(k, dtype=bool)
-        for i, j in zip(*np.nonzero(keep)):
-            yield int(i), int(lead[i] - left[i, j]), int(lead[i] + right[i, j])
+        for i in np.flatnonzero(keep.any(axis=1)).tolist():
+            found = np.unique(np.stack([left[i][keep[i]], right[i][keep[i]]]), axis=1)
+            for a, b in found.T.tolist():
+                yield i, lead[i] - a, lead[i] + b
 
     @staticmethod
     def _extend(rows):
@@ -71,6 +87,15 @@ class Words(Spec):
         return np.argmin(same, axis=2)
 
 
+def _walk(x: list[int], y: list[int]) -> int:
+    n = 0
+    for a, b in zip(x, y):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text without the words repeated from an earlier document, the
     number of words and of removed words."""
