@@ -71,128 +71,163 @@ def runs(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first, np.diff(first, append=len(at)), at[first]
 
 
+#: Multiplier of the range hashes and its inverse modulo 2 ** 64.
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 14, 2 * n)
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]))
+                      for x in (np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64)))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Ranges:
+    """Hashes of many ranges of a row of values, from one running sum."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _powers(len(values) + 1)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1])])
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        raw = (self.sums[hi] - self.sums[lo]) * self.down[lo]
+        more = (hi - lo).astype(np.uint64) + np.asarray(salt, np.int64).astype(np.uint64) * _C
+        return mix(raw + more * _A).view(np.int64)
+
+
 class Spec:
-    """What a unit is. ``units`` reads a text, ``grams`` hashes every ``gram``
-    units, ``cut`` gives the bytes of a range, ``compare`` the equal windows of
-    a group of members (id, first unit, lead, windows, bytes) as spans."""
+    """What a unit is. ``units`` reads a text; ``values`` gives a mixed 64-bit
+    hash of every ``wide`` units; ``grams`` one of every ``gram`` units; ``cut``
+    the bytes of a range; ``compare`` the equal windows of a group of members
+    (doc_id, text_id, first unit, lead, windows, bytes) as (member, from, to)."""
 
     window: int
     gram: int
+    wide: int
     #: Windows per piece at each step of splitting; the last is 1.
     pieces: tuple[int, ...]
 
     def units(self, text: str): ...
-    def grams(self, units) -> np.ndarray: ...
+    def values(self, units) -> np.ndarray: ...
+    def grams(self, units, values: np.ndarray) -> np.ndarray: ...
     def cut(self, units, lo: int, hi: int) -> bytes: ...
     def compare(self, members: list, mode: str) -> Iterable[tuple[int, int, int]]: ...
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _text_id(text: str) -> int:
     """Tells texts of one doc_id apart."""
     return xxhash.xxh32_intdigest(text.encode()) >> 1
 
 
 def _runs_of(spec: Spec, text: str | None):
-    """The units, and first window, windows, picked place and key of each run."""
+    """The values, and first window, windows, picked place and key of each run."""
     units = spec.units(text or "")
     if len(units) < spec.window:
-        return units, None
-    grams = spec.grams(units)
+        return None
+    values = spec.values(units)
+    grams = spec.grams(units, values)
     first, count, at = runs(grams, spec.window - spec.gram + 1)
-    return units, (first, count, at, (grams[at] >> np.uint64(16)).astype(np.int64))
+    return values, first, count, at, (grams[at] >> np.uint64(16)).astype(np.int64)
 
 
-def _seeds(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Picked grams of each document, with the times they were picked."""
+def _emit(df: DataFrame, make: Callable[[], Callable[..., list[np.ndarray] | None]],
+          schema: list[tuple[str, pa.DataType]], spark_schema: str) -> DataFrame:
+    """Flat map from a row to arrays of equal length, one per output column."""
     def run(batches):
+        fn = make()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                keys, ids, n = [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    _, got = _runs_of(spec, text.as_py())
-                    if got is not None:
-                        key, count = np.unique(got[3], return_counts=True)
-                        keys.append(key)
-                        n.append(count)
-                        ids.append(np.full(len(key), doc_id))
-                if keys:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                got = [x for x in map(fn, *(c.to_pylist() for c in part.columns)) if x is not None]
+                if got:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids), pa.int64()),
-                         pa.array(np.concatenate(n), pa.int32())], names=["key", "doc_id", "n"])
-    return docs.mapInArrow(run, "key long, doc_id long, n int")
+                        [pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*got), schema)],
+                        names=[n for n, _ in schema])
+    return df.mapInArrow(run, spark_schema)
 
 
-_ROW = "key long, content long, doc_id long, text_id int, starts array<int>, w int, lead int"
+def _seeds(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Picked grams of each document, with the times they were picked."""
+    def make():
+        def one(doc_id, text):
+            got = _runs_of(spec, text)
+            if got is None:
+                return None
+            key, n = np.unique(got[4], return_counts=True)
+            return [key, np.full(len(key), doc_id), n]
+        return one
+    return _emit(docs, make, [("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())],
+                 "key long, doc_id long, n int")
 
 
-def _gather(found: dict, key: int, content: bytes, start: int, w: int, lead: int) -> None:
-    found.setdefault((key, _signed(xxhash.xxh3_64_intdigest(content, 1 << 32))), ([], w, lead))[0].append(start)
+_ROW = [("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()),
+        ("at", pa.int32()), ("w", pa.int32()), ("lead", pa.int32())]
+_SPARK_ROW = "key long, content long, doc_id long, text_id int, at int, w int, lead int"
 
 
 def _first_rows(kept: DataFrame, spec: Spec) -> DataFrame:
-    """The runs of the texts' repeated grams, equal runs of a text together."""
+    """The runs of the texts' repeated grams."""
     def make():
         def one(doc_id, text_id, text, shared):
-            units, got = _runs_of(spec, text)
-            if got is None:
-                return
-            wanted, found = np.isin(got[3], np.array(shared, np.int64)), {}
-            for start, w, at, key in zip(*(x[wanted].tolist() for x in got)):
-                content = spec.cut(units, start, start + w + spec.window - 1)
-                _gather(found, key, content, start, w, at - start)
-            for (key, content), (starts, w, lead) in found.items():
-                yield key, content, doc_id, text_id, starts, w, lead
+            values, *got = _runs_of(spec, text)
+            wanted = np.isin(got[3], np.array(shared, np.int64))
+            first, count, at, key = (x[wanted] for x in got)
+            content = Ranges(values)(first, first + count + spec.window - spec.wide)
+            same = np.full(len(key), 1)
+            return [key, content, same * doc_id, same * text_id, first, count, at - first]
         return one
-    return map_rows(kept.select("doc_id", "text_id", "text", "shared"), make, _ROW)
+    return _emit(kept.select("doc_id", "text_id", "text", "shared"), make, _ROW, _SPARK_ROW)
+
+
+def split(at: np.ndarray, w: np.ndarray, lead: np.ndarray, size: int):
+    """Pieces of at most ``size`` windows, aligned on the picked gram: the run of
+    each, its number, the first unit that all windows of a whole piece share,
+    and its first and last window."""
+    low, high = (lead - w + 1) // size, lead // size
+    n = high - low + 1
+    run = np.repeat(np.arange(len(at)), n)
+    q = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    core = lead[run] - size * q
+    return run, q, core, np.maximum(0, core - size + 1), np.minimum(w[run] - 1, core)
 
 
 def _split_rows(members: DataFrame, spec: Spec, size: int) -> DataFrame:
-    """Runs cut into pieces of at most ``size`` windows, aligned on the picked
-    gram, and keyed by the units that all windows of a whole piece share."""
+    """Pieces of runs, keyed by the units that all windows of a whole piece share."""
     def make():
         def one(doc_id, text_id, text, runs_):
-            units, found = spec.units(text), {}
-            for r in runs_:
-                start, w, lead = r["at"], r["w"], r["lead"]
-                for q in range((lead - w + 1) // size, lead // size + 1):
-                    core = lead - size * q
-                    lo, hi = max(0, core - size + 1), min(w - 1, core)
-                    shared = spec.cut(units, start + core, start + core - size + 1 + spec.window)
-                    content = spec.cut(units, start + lo, start + hi + spec.window)
-                    _gather(found, _signed(xxhash.xxh3_64_intdigest(shared, q & 0xFFFF)), content,
-                            start + lo, hi - lo + 1, lead - lo)
-            for (key, content), (starts, w, lead) in found.items():
-                yield key, content, doc_id, text_id, sorted(set(starts)), w, lead
+            at, w, lead = (np.array([r[k] for r in runs_], np.int64) for k in ("at", "w", "lead"))
+            run, q, core, lo, hi = split(at, w, lead, size)
+            ranges, start = Ranges(spec.values(spec.units(text))), at[run]
+            end = spec.window - spec.wide + 1
+            key = ranges(start + core, start + core - size + end, q + 1)
+            content = ranges(start + lo, start + hi + end)
+            rows = np.unique(np.stack([key, content, start + lo, hi - lo + 1, lead[run] - lo]), axis=1)
+            same = np.full(rows.shape[1], 1)
+            return [rows[0], rows[1], same * doc_id, same * text_id, *rows[2:]]
         return one
-    return map_rows(members, make, _ROW)
+    return _emit(members, make, _ROW, _SPARK_ROW)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     return (rows.groupBy("key", "content")
-            .agg(F.min(F.struct("doc_id", "text_id", F.col("starts")[0].alias("at"))).alias("first"),
-                 F.sum(F.size("starts")).alias("n"), F.min("w").alias("w"), F.min("lead").alias("lead")))
-
-
-_SPAN = ("doc_id", "text_id", "lo", "hi")
+            .agg(F.min(F.struct("doc_id", "text_id", "at")).alias("first"),
+                 F.count("*").alias("n"), F.min("w").alias("w"), F.min("lead").alias("lead")))
 
 
 def _settled(rows: DataFrame, classes: DataFrame, spec: Spec, mode: str) -> DataFrame:
     """Spans of the runs whose whole content has a counterpart that counts."""
     several = classes.filter("n > 1").select("key", "content", "first")
-    starts = F.col("starts")
+    own = F.lit(True)
     if mode == "earlier document":
-        starts = F.when(F.col("doc_id") > F.col("first.doc_id"), starts)
+        own = F.col("doc_id") > F.col("first.doc_id")
     elif mode == "earlier":
-        at = F.struct("doc_id", "text_id") == F.struct("first.doc_id", "first.text_id")
-        starts = F.when(~at, starts).otherwise(F.slice(starts, 2, F.size(starts)))
-    return (rows.join(several, ["key", "content"])
-            .select("doc_id", "text_id", F.explode(starts).alias("lo"), "w")
-            .select("doc_id", "text_id", "lo", (F.col("lo") + F.col("w") + spec.window - 1).alias("hi")))
+        own = F.struct("doc_id", "text_id", "at") != F.col("first")
+    return (rows.join(several, ["key", "content"]).filter(own)
+            .select("doc_id", "text_id", F.col("at").alias("lo"),
+                    (F.col("at") + F.col("w") + spec.window - 1).alias("hi")))
 
 
 def _with_text(classes: DataFrame, kept: DataFrame) -> DataFrame:
@@ -218,9 +253,13 @@ def _compared(classes: DataFrame, kept: DataFrame, spec: Spec, mode: str) -> Dat
     def make():
         def one(members):
             members = sorted((tuple(m.values()) for m in members), key=lambda m: m[:3])
+            found: dict[int, list[tuple[int, int]]] = {}
             for i, lo, hi in spec.compare(members, mode):
+                found.setdefault(i, []).append((lo, hi))
+            for i, spans in found.items():
                 doc_id, text_id, at = members[i][:3]
-                yield doc_id, text_id, at + lo, at + hi
+                for lo, hi in merge(spans):
+                    yield doc_id, text_id, at + lo, at + hi
         return one
 
     data = map_rows(_with_text(classes, kept), read,
@@ -251,7 +290,7 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     many = F.sum("n") > 1 if mode != "earlier document" else F.count("*") > 1
     seeds = step(_seeds(known, spec), "seeds")
     twice = seeds.groupBy("key").agg(many.alias("again")).filter("again").select("key")
-    hits = step(seeds.select("key", "doc_id").join(twice, "key", "left_semi")
+    hits = step(seeds.select("key", "doc_id").join(twice.hint("shuffle_hash"), "key", "left_semi")
                 .groupBy("doc_id").agg(F.collect_set("key").alias("shared")), "hits")
     discard(seeds)
     names = schema + ", doc_id long, text_id int, whole string, shared array<long>"
@@ -269,11 +308,12 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
                           sort_out, names), "texts")
     discard(hits)
     kept = table.filter("whole is not null").select("doc_id", "text_id", F.col("whole").alias("text"), "shared")
-    rows = _first_rows(kept, spec)
+    rows = step(_first_rows(kept, spec), "rows")
     spans = []
     for size in (*spec.pieces, 0):
         classes = step(_classes(rows), "classes")
         spans.append(step(_settled(rows, classes, spec, mode), "settled"))
+        discard(rows)
         if not size:  # pieces of one window: a key has one class
             break
         mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("lo"),
@@ -285,7 +325,7 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
         large = step(several.filter(F.col("k") > LIMIT), "large")
         if large.isEmpty():
             break
-        rows = _split_rows(_with_text(large, kept), spec, size)
+        rows = step(_split_rows(_with_text(large, kept), spec, size), "rows")
     found = spans[0]
     for more in spans[1:]:
         found = found.unionByName(more)

@@ -75,7 +75,7 @@ def copies(suffixes: list[tuple], depth: int, mode: str) -> list[bool]:
 
 
 class Bytes(Spec):
-    gram = 64
+    gram, wide = 64, 8
 
     def __init__(self, window: int = WINDOW, step: int = STEP) -> None:
         if window < self.gram:
@@ -85,9 +85,11 @@ class Bytes(Spec):
     def units(self, text):
         return text.encode()
 
-    def grams(self, units):
-        code = mix(np.ndarray((len(units) - 7,), "<u8", units, strides=(1,)).astype(np.uint64))
-        size = 8
+    def values(self, units):
+        return mix(np.ndarray((max(0, len(units) - 7),), "<u8", units, strides=(1,)).astype(np.uint64))
+
+    def grams(self, units, values):
+        code, size = values, 8
         while size < self.gram:
             code = mix(code[:-size] * np.uint64(0x9E3779B97F4A7C15) + code[size:])
             size *= 2
