@@ -29,9 +29,9 @@ def parse_labels(c: Column) -> Column:
 
 
 def binarize(labels: Column) -> Column:
-    """11 indicators in vocabulary order (duplicates collapse)."""
-    return F.transform(vocab.vocab_array(),
-                       lambda v: F.array_contains(labels, v).cast("int"))
+    """11 indicators in vocabulary order (duplicates collapse); NULL for NULL."""
+    return F.when(labels.isNotNull(), F.transform(
+        vocab.vocab_array(), lambda v: F.array_contains(labels, v).cast("int")))
 
 
 def decode(indicators: Column) -> Column:

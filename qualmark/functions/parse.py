@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocab
-from .text import ustrip
+from .text import BLANK, ustrip
+
+
+def _unicode_blanks(pattern: str) -> str:
+    """Blanks of any script, digits of ASCII only."""
+    return pattern.replace(r"\s", BLANK).replace(r"\d", "[0-9]")
 
 
 def extract_score(response: Column) -> Column:
@@ -16,21 +21,21 @@ def extract_score(response: Column) -> Column:
 
     Each pattern's regex is evaluated once per row and only when the earlier
     patterns did not match (``coalesce`` is lazy)."""
-    digits = F.coalesce(*[F.nullif(F.regexp_extract(response, "(?i)" + pat, 1), F.lit(""))
+    digits = F.coalesce(*[F.nullif(F.regexp_extract(response, "(?i)" + _unicode_blanks(pat), 1), F.lit(""))
                           for pat in vocab.SCORE_PATTERNS])
     return F.coalesce(digits.try_cast("int"), F.lit(vocab.NO_SCORE)).cast("int")
 
 
-_THINK = r"(?s)^(.*)</think>(.*)$"
+THINK_END = "</think>"
 
 
 def split_thinking(text: Column) -> tuple[Column, Column]:
     """(reasoning, content): reasoning is everything up to the last
     ``</think>``; both have newlines stripped at the ends. No marker ->
     reasoning ``''`` and the whole text as content."""
-    has = text.rlike(_THINK)
-    reasoning = F.when(has, F.regexp_extract(text, _THINK, 1)).otherwise(F.lit(""))
-    content = F.when(has, F.regexp_extract(text, _THINK, 2)).otherwise(text)
+    content = F.substring_index(text, THINK_END, -1)  # the whole text without a marker
+    before = F.length(text) - F.length(content) - len(THINK_END)
+    reasoning = F.substring(text, F.lit(1), F.greatest(before, F.lit(0)))
     nl = F.lit("\n")
     return F.btrim(reasoning, nl), F.btrim(content, nl)
 
@@ -55,10 +60,12 @@ def strip_fences(text: Column) -> Column:
 
 
 def parse_generated_json(text: Column, schema: T.StructType = GENERATED_SCHEMA) -> Column:
-    """Struct of the generated fields; NULL fields when the text is not a
-    JSON object (single-quoted objects are accepted)."""
-    return F.from_json(strip_fences(text), schema,
-                       {"mode": "PERMISSIVE", "allowSingleQuotes": "true"})
+    """Struct of the generated fields; NULL when the text is not one JSON
+    object and nothing else (single-quoted objects are accepted). Read as the
+    only element of an array, so that anything behind the object is an error."""
+    found = F.from_json(F.concat(F.lit("["), strip_fences(text), F.lit("]")), T.ArrayType(schema),
+                        {"mode": "PERMISSIVE", "allowSingleQuotes": "true"})
+    return F.when(F.size(found) == 1, found[0])
 
 
 def parse_confidence(text: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 
-# The characters Python's str.strip() removes (derived by rule, 29 of them).
-WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+WHITESPACE = vocab.WHITESPACE
+#: One blank in a regular expression, Unicode blanks included.
+BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 
 
 def ustrip(c: Column) -> Column:
@@ -44,7 +45,7 @@ def join_parts(parts: Sequence[Column], sep: str) -> Column:
 
 def truncate_tokens(text: Column, max_tokens: int = vocab.MAX_TOKENS) -> Column:
     """Keep the first ``max_tokens`` whitespace tokens (approximate model cap)."""
-    toks = F.split(ustrip(text), r"\s+")
+    toks = F.split(ustrip(text), BLANK + "+")
     return F.array_join(F.slice(toks, 1, max_tokens), " ")
 
 

@@ -10,6 +10,7 @@ the row, so a Spark task retry recomputes the same replies.
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,55 +19,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 BatchFn = Callable[[list], list]
 
+log = logging.getLogger(__name__)
+
 
-def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> list[str] | None:
+def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> tuple[list[str] | None, str | None]:
+    """The replies, or the reason of the last failure."""
+    reason = None
     for attempt in range(max_tries):
         try:
             out = list(fn(batch))
             if len(out) != len(batch):
                 raise ValueError("completion function returned a wrong number of replies")
-            return ["" if x is None else str(x) for x in out]
-        except Exception:  # noqa: BLE001 - any model failure is retried
+            return ["" if x is None else str(x) for x in out], None
+        except Exception as e:  # noqa: BLE001 - any model failure is retried, and reported
+            reason = f"{type(e).__name__}: {str(e)[:200]}"
+            log.warning("model call failed (%d of %d): %s", attempt + 1, max_tries, reason)
             if attempt + 1 < max_tries:
                 time.sleep(wait_s)
-    return None
+    return None, reason
+
+
+def _replies(fn: BatchFn, msgs: list, max_tries: int, wait_s: float,
+             batch_size: int) -> list[tuple[str, str | None]]:
+    """Reply and failure per row: in chunks, and row by row where a chunk fails."""
+    out: list[tuple[str, str | None]] = []
+    for i in range(0, len(msgs), batch_size):
+        chunk = msgs[i:i + batch_size]
+        got, _ = _call(fn, chunk, max_tries, wait_s)
+        if got is not None:
+            out += [(r, None) for r in got]
+            continue
+        for m in chunk:
+            one, reason = _call(fn, [m], max_tries, wait_s)
+            out.append((one[0], None) if one else ("", reason))
+    return out
 
 
 def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
                    out_col: str = "response", max_tries: int = 3, wait_s: float = 0.5,
                    keep: Sequence[str] | None = None, batch_size: int = 32,
-                   partitions: int | None = None) -> DataFrame:
-    """Adds ``out_col`` with the model reply for each row's messages.
+                   partitions: int | None = None, failure_col: str | None = None) -> DataFrame:
+    """Adds ``out_col`` with the model reply for each row's messages, and with
+    ``failure_col`` the reason why a row has none.
 
     The (wide) messages column is serialised to JSON on the JVM side and not
     returned; ``keep`` picks the columns to carry (default: all others).
     Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows.
     ``partitions`` spreads the rows over that many tasks, which bounds the
     number of concurrent calls to a rate-limited model."""
+    return _complete(df, lambda model: ("all", fn), None, messages_col, out_col, max_tries, wait_s, keep,
+                     batch_size, partitions, failure_col)
+
+
+def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
+                    messages_col: str = "messages", out_col: str = "response",
+                    max_tries: int = 3, wait_s: float = 0.5, batch_size: int = 32,
+                    failure_col: str | None = None) -> DataFrame:
+    """Like ``complete_batch`` but each row goes to the function registered
+    for its ``model_col`` value (matched by substring of the model id, first
+    registered name wins). Rows for an unknown model get ``''``."""
+    def route(model):
+        return next(((n, f) for n, f in fns.items() if model is not None and n in model), None)
+    return _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, None, batch_size, None,
+                     failure_col)
+
+
+def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, keep, batch_size, partitions,
+              failure_col) -> DataFrame:
+    ship_package(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
     if partitions:
         src = src.repartition(partitions)
     fields = [df.schema[c] for c in keep]  # same order as the yielded columns
-    schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
+    added = [out_col, *([failure_col] if failure_col else [])]
+    schema = T.StructType(fields + [T.StructField(c, T.StringType(), True) for c in added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
-            replies = []
-            for i in range(0, len(msgs), batch_size):
-                chunk = msgs[i:i + batch_size]
-                got = _call(fn, chunk, max_tries, wait_s)
-                if got is None:
-                    got = []
-                    for m in chunk:
-                        one = _call(fn, [m], max_tries, wait_s)
-                        got.append(one[0] if one else "")
-                replies.extend(got)
+            models = pdf[model_col] if model_col else [None] * len(msgs)
+            replies: list[tuple[str, str | None]] = [("", "no model for this row")] * len(msgs)
+            rows_of: dict[str, list[int]] = {}
+            fn_of: dict[str, BatchFn] = {}
+            for i, model in enumerate(models):
+                found = route(model)
+                if found is not None:
+                    fn_of[found[0]] = found[1]
+                    rows_of.setdefault(found[0], []).append(i)
+            for name, at in rows_of.items():
+                for i, r in zip(at, _replies(fn_of[name], [msgs[i] for i in at], max_tries, wait_s, batch_size)):
+                    replies[i] = r
             out = pdf.drop(columns=["_msgs"])
-            out[out_col] = replies
+            out[out_col] = [r for r, _ in replies]
+            if failure_col:
+                out[failure_col] = [f for _, f in replies]
             yield out
 
     return src.mapInPandas(run, schema)
@@ -82,23 +133,32 @@ def length_rule_evaluator(batch: list) -> list[str]:
     return out
 
 
-def label_echo_generator(batch: list) -> list[str]:
-    """Deterministic stand-in generator: writes a question and copies the
-    labels listed as evidence lines (``* Label -- ...``) in the prompt; odd
-    prompt lengths give an unparseable first attempt."""
+def failing_evaluator(batch: list) -> list[str]:
+    """Stand-in evaluator that gives no reply to prompts of certain lengths."""
+    replies = length_rule_evaluator(batch)
+    return ["" if len(m[-1]["content"]) % 5 == 0 else r for m, r in zip(batch, replies)]
+
+
+def label_echo_generator(attempt: int = 1):
+    """Deterministic stand-in generator for one attempt: writes a question and
+    copies the labels listed as evidence lines (``* Label -- ...``) in the
+    prompt; on the first attempt, prompts of odd length get an unparseable
+    reply."""
     import re
-    out = []
-    for msgs in batch:
-        user = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
-        section = user.split("## Problems the new question must have", 1)[-1].split("## Material", 1)[0]
-        labels = re.findall(r"^\* (.+?) -- ", section, flags=re.M)
-        attempt = user.rsplit("Attempt ", 1)[-1].strip()
-        if attempt == "1" and len(user) % 2 == 1:
-            out.append("I cannot do that.")
-            continue
-        q = f"What is said about item {len(user) % 97}?"
-        out.append(json.dumps({"question": q, "error_label": "; ".join(labels)}))
-    return out
+
+    def generate(batch: list) -> list[str]:
+        out = []
+        for msgs in batch:
+            user = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
+            section = user.split("## Problems the new question must have", 1)[-1].split("## Material", 1)[0]
+            labels = re.findall(r"^\* (.+?) -- ", section, flags=re.M)
+            if attempt == 1 and len(user) % 2 == 1:
+                out.append("I cannot do that.")
+                continue
+            q = f"What is said about item {len(user) % 97}?"
+            out.append(json.dumps({"question": q, "error_label": "; ".join(labels)}))
+        return out
+    return generate
 
 
 def hashed_reviewer(name: str):
@@ -113,42 +173,3 @@ def hashed_reviewer(name: str):
             out.append(f"{(h % 101) / 100:.2f}")
         return out
     return review
-
-
-def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
-                    messages_col: str = "messages", out_col: str = "response",
-                    max_tries: int = 3, wait_s: float = 0.5, batch_size: int = 32) -> DataFrame:
-    """Like ``complete_batch`` but each row goes to the function registered
-    for its ``model_col`` value (matched by substring of the model id, first
-    registered name wins). Rows for an unknown model get ``''``."""
-    keep = [c for c in df.columns if c != messages_col]
-    src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
-    fields = [df.schema[c] for c in keep]  # same order as the yielded columns
-    schema = T.StructType(fields + [T.StructField(out_col, T.StringType(), True)])
-    names = list(fns)
-
-    def route(model) -> str | None:
-        return next((n for n in names if model is not None and n in model), None)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
-            targets = [route(m) for m in pdf[model_col]]
-            replies = [""] * len(msgs)
-            for name in names:
-                idx = [i for i, t in enumerate(targets) if t == name]
-                for s in range(0, len(idx), batch_size):
-                    chunk = idx[s:s + batch_size]
-                    got = _call(fns[name], [msgs[i] for i in chunk], max_tries, wait_s)
-                    if got is None:
-                        got = []
-                        for i in chunk:
-                            one = _call(fns[name], [msgs[i]], max_tries, wait_s)
-                            got.append(one[0] if one else "")
-                    for i, r in zip(chunk, got):
-                        replies[i] = r
-            out = pdf.drop(columns=["_msgs"])
-            out[out_col] = replies
-            yield out
-
-    return src.mapInPandas(run, schema)

@@ -32,10 +32,14 @@ def _with_share(counts: DataFrame) -> DataFrame:
                          (F.col("count") / total.cast("double")).alias("proportion"))
 
 
-def label_distribution(df: DataFrame, label_col: str = "error_label") -> DataFrame:
-    """``(label, count, proportion)``; blanks counted, NULL rows skipped."""
-    counts = label_tokens(df, label_col).groupBy("label").agg(
-        F.count(F.lit(1)).alias("count"))
+def label_distribution(df: DataFrame, label_col: str = "error_label",
+                       known_only: bool = False) -> DataFrame:
+    """``(label, count, proportion)``; blanks counted, NULL rows skipped.
+    ``known_only`` leaves out tokens that are no vocabulary label."""
+    toks = label_tokens(df, label_col)
+    if known_only:
+        toks = toks.filter(F.col("label").isin(vocab.LABELS))
+    counts = toks.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
     return _with_share(counts)
 
 

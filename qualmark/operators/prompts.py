@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions import text as tx
-from ..functions.labels import parse_labels
+from ..functions.labels import parse_labels, parse_labels_raw
 
 TEMPLATE_ROOT = os.path.join(os.path.dirname(os.path.dirname(__file__)), "templates")
 KIND_DIRS = {"direct": "direct", "error": "error", "identify": "identify",
@@ -160,14 +160,14 @@ def render_review_prompt(df: DataFrame, templates: DataFrame, label_col: str = "
 def render_generation_prompt(df: DataFrame, templates: DataFrame, prefix: str = "ex_",
                              out_col: str = "prompt") -> DataFrame:
     """Generation prompt from a candidate row and its attached example
-    (``ex_*`` columns). Also returns ``target_labels``: the example's
-    vocabulary labels, which the generated question must carry."""
+    (``ex_*`` columns). Also returns ``target_labels``: the example's label
+    tokens, which the generated question must carry."""
     x = attach_template(df, templates, "generate", None)
     ex_label = F.col(prefix + "error_label")
     block = tx.few_shot_block(F.col(prefix + "passage"), F.col(prefix + "answer"),
                               F.col(prefix + "question"), ex_label)
-    targets = parse_labels(ex_label)
-    slots = [("{{FEW_SHOT_EXAMPLES}}", block), ("{{ERROR}}", describe_errors(targets)),
+    targets = parse_labels_raw(ex_label)
+    slots = [("{{FEW_SHOT_EXAMPLES}}", block), ("{{ERROR}}", describe_errors(parse_labels(ex_label))),
              ("{{PASSAGE}}", F.col("passage")), ("{{ANSWER}}", F.col("answer"))]
     return (x.withColumn(out_col, tx.fill_slots(F.col("template"), slots))
             .withColumn("target_labels", targets).drop("template"))

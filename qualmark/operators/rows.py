@@ -39,8 +39,13 @@ def cast_label(df: DataFrame, label: str = "label",
     return out
 
 
-def with_score(df: DataFrame, response: str = "response", score: str = "score") -> DataFrame:
-    return df.withColumn(score, parse.extract_score(F.col(response)))
+def with_score(df: DataFrame, response: str = "response", score: str = "score",
+               thinking: str | None = None) -> DataFrame:
+    """Adds the score of the reply's content, which is what stands behind the
+    last reasoning marker; ``thinking`` names a column for the reasoning."""
+    reasoning, content = parse.split_thinking(F.col(response))
+    out = df.withColumn(score, parse.extract_score(content))
+    return out.withColumn(thinking, reasoning) if thinking else out
 
 
 def drop_unparsed(df: DataFrame, score: str = "score") -> DataFrame:
@@ -48,8 +53,8 @@ def drop_unparsed(df: DataFrame, score: str = "score") -> DataFrame:
 
 
 def exclude_clean(df: DataFrame, label: str = "error_label") -> DataFrame:
-    """Drop rows whose label is exactly ``No Error``."""
-    return df.filter(F.col(label) != F.lit("No Error"))
+    """Drop rows whose label is exactly ``No Error``; a NULL label stays."""
+    return df.filter(~F.col(label).eqNullSafe(F.lit("No Error")))
 
 
 def model_family(model_col, sep: str = "-"):
@@ -65,27 +70,41 @@ def generated_source(source_col, suffix: str = "_GPT-4"):
 def wide_scores(scored: DataFrame, dimensions: Sequence[str], models: Sequence[str],
                 key: str = "item_id") -> DataFrame:
     """Long ``(item, dimension, model, response, score)`` -> one row per item
-    with ``<dim>_<model>`` (response) and ``<dim>_<model>_score`` columns.
-
-    Pivot values are listed, so no extra pass collects distinct values.
+    with ``<dim>_<model>`` (response), ``<dim>_<model>_score`` and
+    ``<dim>_<model>_thinking`` columns, and ``n_unlisted``: replies of models or
+    dimensions that are not listed. Of several replies for one cell the one that
+    sorts last is taken. One aggregate gathers an item's replies (as many as
+    cells), the columns are picked from it.
     """
     names = [f"{d}_{m}" for d in dimensions for m in models]
-    tagged = scored.withColumn("_dm", F.concat_ws("_", "dimension", "model"))
-    wide = (tagged.groupBy(key).pivot("_dm", names)
-            .agg(F.first("response").alias("r"), F.first("score").alias("s")))
-    out = [F.col(key)]
+    cell = F.struct(F.concat_ws("_", "dimension", "model").alias("dm"), "response", "score")
+    wide = scored.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    out = [F.col(key), F.size(F.filter("cells", lambda c: ~c["dm"].isin(names))).alias("n_unlisted")]
+    def cell_of(name: str):
+        return F.try_element_at(F.filter("cells", lambda c: c["dm"] == name), F.lit(-1))
+
     for n in names:
-        out.append(F.col(f"`{n}_r`").alias(n))
-        out.append(F.col(f"`{n}_s`").alias(f"{n}_score"))
+        last = cell_of(n)
+        out += [last["response"].alias(n), last["score"].alias(f"{n}_score"),
+                parse.split_thinking(last["response"])[0].alias(f"{n}_thinking")]
     return wide.select(*out)
 
 
 def pair_rating_pred(ratings: DataFrame, preds: DataFrame,
                      keys: Sequence[str] = ("item_id", "dimension")) -> DataFrame:
-    """Human rating and model score on one row (inner equi-join)."""
+    """Human rating and model score on one row (inner equi-join; see
+    ``count_unmatched`` for the ratings that find no score)."""
     return ratings.join(preds, list(keys), "inner")
 
 
+def count_unmatched(ratings: DataFrame, preds: DataFrame, by: str = "dimension",
+                    keys: Sequence[str] = ("item_id", "dimension")) -> DataFrame:
+    """Per ``by``: rated rows, and those without any prediction."""
+    found = preds.select(*keys).distinct().withColumn("_found", F.lit(True))
+    return (ratings.join(found, list(keys), "left").groupBy(by)
+            .agg(F.count(F.lit(1)).alias("n_rated"), F.count_if(F.col("_found").isNull()).alias("n_unmatched")))
+
+
 def unmatched(ratings: DataFrame, preds: DataFrame,
               keys: Sequence[str] = ("item_id", "dimension")) -> DataFrame:
     """Rated rows that have no prediction (``left_anti``)."""
@@ -101,9 +120,11 @@ def pending_rows(requests: DataFrame, done: DataFrame,
 
 def join_recorded_responses(requests: DataFrame, recorded: DataFrame,
                             keys: Sequence[str] = RESPONSE_KEYS) -> DataFrame:
-    """Attach already recorded evaluator replies to requests."""
-    return requests.join(recorded, list(keys), "inner")
+    """Attach already recorded evaluator replies; a request without one stays,
+    with NULLs."""
+    return requests.join(recorded, list(keys), "left")
 
 
 def attach_predictions(rows: DataFrame, preds: DataFrame, key: str = "item_id") -> DataFrame:
-    return rows.join(preds, key, "inner")
+    """Attach predictions; a row without one stays, with NULLs."""
+    return rows.join(preds, key, "left")

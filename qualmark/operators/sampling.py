@@ -18,7 +18,6 @@ from ..functions.labels import parse_labels
 
 SALT_BITS = 6  # 64 sub-buckets per group for dense ranking
 DRAW_BUCKETS = 1024  # buckets of [0,1) for the weighted range join
-MAX_BROADCAST_ROWS = 200_000  # interval rows broadcast only below this (checked)
 
 
 def candidate_slice(df: DataFrame, n: int = vocab.CANDIDATE_SLICE,
@@ -64,11 +63,6 @@ def dense_slots(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEE
     return out.join(sizes, group)
 
 
-def _checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a small derived table only after checking its row count."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def weight_intervals(weights: DataFrame, label: str = "label",
                      weight: str = "final_weight_norm") -> DataFrame:
     """``(label, lo, hi)`` cumulative intervals in label order; the last
@@ -89,9 +83,8 @@ def weighted_label_sample(candidates: DataFrame, weights: DataFrame,
 
     ``u = md5(seed|key)`` in [0,1); the label whose interval holds ``u`` wins.
     The range join is made an equi-join on a bucket of [0,1): each interval is
-    listed under every bucket it overlaps (at most labels + buckets rows).
-    That side is broadcast when its checked row count is small, else the
-    join shuffles on the bucket.
+    listed under every bucket it overlaps (at most labels + buckets rows);
+    whether that side is broadcast is decided at run time from its size.
     """
     iv = weight_intervals(weights, label, weight)
     b = float(DRAW_BUCKETS)
@@ -100,8 +93,6 @@ def weighted_label_sample(candidates: DataFrame, weights: DataFrame,
     iv = iv.filter(F.col("hi") > F.col("lo")).select(
         F.col(label).alias(out_col), "lo", "hi",
         F.explode(F.sequence(lo_b, hi_b)).alias("_bucket"))
-    # at most labels + buckets rows; broadcast only after checking the count
-    iv = _checked_broadcast(iv)
     c = candidates.withColumn("_u", md5_uniform(seed, F.col(key)))
     c = c.withColumn("_bucket", F.least(F.floor(F.col("_u") * b).cast("int"),
                                         F.lit(DRAW_BUCKETS - 1)))
@@ -122,8 +113,7 @@ def attach_few_shot(candidates: DataFrame, seeds: DataFrame, label_col: str = "s
     slotted, sizes = slot_tables(toks, "_label", seed_key, seed)
     ex = slotted.select(F.col("_label").alias(label_col), "slot",
                         *[F.col(c).alias(prefix + c) for c in seeds.columns])
-    # one row per label: broadcast after a size check
-    sizes = _checked_broadcast(sizes.withColumnRenamed("_label", label_col))
+    sizes = sizes.withColumnRenamed("_label", label_col)  # one row per label
     c = candidates.join(sizes, label_col, "inner")
     c = c.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)),
                                     F.col("group_size")).cast("long"))

@@ -92,10 +92,11 @@ def q_split_thinking(spark, sf_dir):
 
 GEN_SQL_VIEW = f"""gen AS (
   SELECT doc_id AS item_id,
-    CASE doc_id % 4
+    CASE doc_id % 5
       WHEN 0 THEN '{{"question": "' || q || '", "error_label": "' || l || '"}}'
       WHEN 1 THEN '```json' || chr(10) || '{{"question": "' || q || '", "error_label": "' || l || '"}}' || chr(10) || '```'
       WHEN 2 THEN '{{''question'': ''' || q || ''', ''error_label'': ''' || l || '''}}'
+      WHEN 3 THEN '{{"question": "' || q || '", "error_label": "' || l || '"}}' || CASE WHEN doc_id % 2 = 0 THEN ' Hope this helps!' ELSE ' or ' || '{{"question": "' || q || '", "error_label": "' || l || '"}}' END
       ELSE 'no json here ' || CAST(doc_id AS VARCHAR) END AS response,
     l AS target_label
   FROM (SELECT doc_id, 'What does document ' || CAST(doc_id AS VARCHAR) || ' say about ' || source || '?' AS q,
@@ -262,8 +263,8 @@ def q_focal_loss(spark, sf_dir):
 
 # ---- L: label algebra -----------------------------------------------------------
 
-def lab_view(spark, sf_dir, keep_null=False):
-    return views.labeled_docs(spark, sf_dir, keep_null)
+def lab_view(spark, sf_dir):
+    return views.labeled_docs(spark, sf_dir)
 
 
 @query("parse_labels", V.with_views(V.LAB) +
@@ -418,8 +419,8 @@ WEIGHTS_SQL = DIST_SQL + f""", {_factor_values()}
 def weights_df(spark, sf_dir, labeled=None):
     from ..operators import distribution as D
     src = labeled if labeled is not None else lab_view(spark, sf_dir)
-    return D.label_weights(D.label_distribution(src), vocab.DEFAULT_DIFFICULTY,
-                           vocab.DEFAULT_IMPORTANCE)
+    return D.label_weights(D.label_distribution(src, known_only=labeled is not None),
+                           vocab.DEFAULT_DIFFICULTY, vocab.DEFAULT_IMPORTANCE)
 
 
 @query("label_weights", WEIGHTS_SQL + """
@@ -564,7 +565,9 @@ def qa_labeled_filled(spark, sf_dir):
 
 
 def seed_view(spark, sf_dir):
-    return views.labeled_qa(spark, sf_dir)
+    """V-SEED: the labelled rows, as seeds and training need them."""
+    from ..operators import rows
+    return rows.drop_unlabeled(views.labeled_qa(spark, sf_dir), ["error_label"])
 
 
 def templates_df(spark):
@@ -778,18 +781,18 @@ def q_truncate_tokens(spark, sf_dir):
 
 # ---- P / J: rows and key joins -------------------------------------------------------
 
-@query("drop_unlabeled", V.with_views(V.LAB_NULL) +
-       "SELECT item_id, error_label FROM labn WHERE error_label IS NOT NULL")
+@query("drop_unlabeled", V.with_views(V.LAB) +
+       "SELECT item_id, error_label FROM lab WHERE error_label IS NOT NULL")
 def q_drop_unlabeled(spark, sf_dir):
     from ..operators import rows
-    return rows.drop_unlabeled(lab_view(spark, sf_dir, keep_null=True))
+    return rows.drop_unlabeled(lab_view(spark, sf_dir))
 
 
-@query("fill_empty", V.with_views(V.LAB_NULL) +
-       "SELECT item_id, coalesce(error_label, '') AS error_label FROM labn")
+@query("fill_empty", V.with_views(V.LAB) +
+       "SELECT item_id, coalesce(error_label, '') AS error_label FROM lab")
 def q_fill_empty(spark, sf_dir):
     from ..operators import rows
-    return rows.fill_empty(lab_view(spark, sf_dir, keep_null=True))
+    return rows.fill_empty(lab_view(spark, sf_dir))
 
 
 @query("cast_label", V.with_views(V.LAB) +
@@ -804,7 +807,7 @@ def q_cast_label(spark, sf_dir):
 
 
 @query("exclude_clean", V.with_views(V.LAB) +
-       "SELECT item_id, error_label FROM lab WHERE error_label <> 'No Error'")
+       "SELECT item_id, error_label FROM lab WHERE error_label IS DISTINCT FROM 'No Error'")
 def q_exclude_clean(spark, sf_dir):
     from ..operators import rows
     return rows.exclude_clean(lab_view(spark, sf_dir))
@@ -827,18 +830,21 @@ MODELS = ["m0", "m1", "m2"]
 def _wide_sql():
     cols = []
     for d in vocab.DIMENSIONS:
-        for m in MODELS:
+        for m in MODELS[:2]:
             cond = f"dimension = {V.lit(d)} AND model = {V.lit(m)}"
             cols.append(f'max(CASE WHEN {cond} THEN response END) AS "{d}_{m}"')
-            cols.append(f'max(CASE WHEN {cond} THEN score END) AS "{d}_{m}_score"')
-    return V.with_views(V.RESP, V.SCORED) + "SELECT item_id, " + ", ".join(cols) + \
-        " FROM scored GROUP BY item_id"
+            cols.append(f'arg_max(score, response) FILTER ({cond} AND response IS NOT NULL) AS "{d}_{m}_score"')
+            cols.append(f"max(CASE WHEN {cond} THEN coalesce(regexp_extract(response, '(?s)^(.*)</think>', 1), '') END)"
+                        f' AS "{d}_{m}_thinking"')
+    names = V.list_lit([f"{d}_{m}" for d in vocab.DIMENSIONS for m in MODELS[:2]])
+    return V.with_views(V.RESP, V.SCORED) + "SELECT item_id, CAST(count(*) FILTER (NOT list_contains(" + names + \
+        ", dimension || '_' || model)) AS INTEGER) AS n_unlisted, " + ", ".join(cols) + " FROM scored GROUP BY item_id"
 
 
 @query("wide_scores", _wide_sql())
 def q_wide_scores(spark, sf_dir):
     from ..operators import rows
-    return rows.wide_scores(scored_responses(spark, sf_dir), vocab.DIMENSIONS, MODELS)
+    return rows.wide_scores(scored_responses(spark, sf_dir), vocab.DIMENSIONS, MODELS[:2])
 
 
 @query("pair_rating_pred", V.with_views(V.RESP, V.SCORED) +
@@ -852,15 +858,29 @@ def q_pair_rating_pred(spark, sf_dir):
     return rows.pair_rating_pred(ratings, preds)
 
 
+@query("unmatched_ratings", V.with_views(V.RESP) +
+       "SELECT dimension, CAST(count(*) AS BIGINT) AS n_rated, "
+       "CAST(count(*) FILTER (item_id % 97 = 3) AS BIGINT) AS n_unmatched FROM resp GROUP BY dimension")
+def q_unmatched_ratings(spark, sf_dir):
+    """Ratings whose item has no prediction (every 97th reply is missing)."""
+    from ..operators import rows
+    r = views.responses(spark, sf_dir)
+    return rows.count_unmatched(r.select("item_id", "dimension"), r.filter("item_id % 97 <> 3"))
+
+
 @query("meta_evaluate", V.with_views(V.RESP, V.SCORED) + """
-SELECT dimension, model, CAST(count(*) AS BIGINT) AS n,
+, lost AS (SELECT dimension, CAST(count(*) AS BIGINT) AS n_unmatched FROM scored WHERE item_id % 97 = 3 GROUP BY dimension)
+SELECT s.dimension, model, CAST(count(*) AS BIGINT) AS n,
        round(CASE WHEN stddev_pop(rating) * stddev_pop(score) = 0 THEN NULL
-                  ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r
-FROM scored WHERE score <> 999 GROUP BY dimension, model""")
+                  ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r,
+       max(coalesce(n_unmatched, 0)) AS n_unmatched
+FROM scored s LEFT JOIN lost ON lost.dimension = s.dimension
+WHERE score <> 999 AND item_id % 97 <> 3 GROUP BY s.dimension, model""")
 def q_meta_evaluate(spark, sf_dir):
+    """Ratings against replies, with the ratings that found no reply."""
     from . import jobs
     r = views.responses(spark, sf_dir)
-    return jobs.meta_evaluate(r.select("item_id", "dimension", "model", "response"),
+    return jobs.meta_evaluate(r.filter("item_id % 97 <> 3").select("item_id", "dimension", "model", "response"),
                               r.select("item_id", "dimension", "rating"))
 
 
@@ -884,8 +904,9 @@ def q_pending_rows(spark, sf_dir):
 
 
 @query("join_recorded_responses", REQ_SQL +
-       f"SELECT req.item_id, req.dimension, req.model, {V.extract_score('r.response')} AS score "
-       "FROM req JOIN resp r ON r.item_id = req.item_id AND r.dimension = req.dimension AND r.model = req.model")
+       f"SELECT req.item_id, req.dimension, req.model, "
+       f"CASE WHEN r.item_id IS NOT NULL THEN {V.extract_score('r.response')} END AS score "
+       "FROM req LEFT JOIN resp r ON r.item_id = req.item_id AND r.dimension = req.dimension AND r.model = req.model")
 def q_join_recorded_responses(spark, sf_dir):
     from ..operators import rows
     rec = rows.with_score(views.responses(spark, sf_dir)).select("item_id", "dimension", "model", "score")
@@ -908,7 +929,8 @@ def q_attach_predictions(spark, sf_dir):
 # ---- V / J8 / R8: sampling ------------------------------------------------------------
 
 def dist_sql(src: str) -> str:
-    return f""", tok AS (SELECT unnest({V.parse_labels_raw('error_label')}) AS label FROM {src})
+    return f""", every AS (SELECT unnest({V.parse_labels_raw('error_label')}) AS label FROM {src})
+, tok AS (SELECT label FROM every WHERE list_contains({V.VOCAB}, label))
 , dist AS (SELECT label, CAST(count(*) AS BIGINT) AS count FROM tok GROUP BY label)
 , distp AS (SELECT label, count, CAST(count AS DOUBLE) / (SELECT sum(count) FROM dist) AS proportion FROM dist)
 """
@@ -934,6 +956,11 @@ DRAW_SQL = SEED_WEIGHTS_SQL + f""", cum AS (
 """
 
 
+def label_tokens_of(spark, sf_dir):
+    """Just the label column of the seeds: all that the weights need."""
+    return seed_view(spark, sf_dir).select("error_label")
+
+
 def seed_table(spark, sf_dir):
     """Seed examples, written once as a parquet table in the shared
     checkpoint folder: the weights, the per-label slots and the example join
@@ -945,8 +972,7 @@ def seed_table(spark, sf_dir):
 
 def drawn_df(spark, sf_dir, seeds=None):
     from ..operators import sampling as S
-    seeds = seeds if seeds is not None else seed_table(spark, sf_dir)
-    w = weights_df(spark, sf_dir, labeled=seeds)
+    w = weights_df(spark, sf_dir, labeled=label_tokens_of(spark, sf_dir) if seeds is None else seeds)
     return S.weighted_label_sample(qa_view(spark, sf_dir), w)
 
 
@@ -974,7 +1000,7 @@ SELECT item_id, {V.fill("(SELECT body FROM tpl WHERE kind = 'generate')",
                         [("{{FEW_SHOT_EXAMPLES}}", FEW_SHOT_SQL_EXPR.format(p="ex_")),
                          ("{{ERROR}}", V.describe(V.parse_labels("ex_error_label"))),
                          ("{{PASSAGE}}", "passage"), ("{{ANSWER}}", "answer")])} AS prompt,
-       array_to_string({V.parse_labels("ex_error_label")}, '; ') AS target_labels FROM sx""")
+       array_to_string({V.parse_labels_raw("ex_error_label")}, '; ') AS target_labels FROM sx""")
 def q_render_generation_prompt(spark, sf_dir):
     from ..operators import prompts
     x = prompts.render_generation_prompt(shots_df(spark, sf_dir), templates_df(spark))
@@ -1010,14 +1036,14 @@ def q_rows_with_label(spark, sf_dir):
     return S.rows_with_label(lab_view(spark, sf_dir)).select("label", "item_id")
 
 
-@query("row_counts", V.with_views(V.LAB_NULL) + f"""
+@query("row_counts", V.with_views(V.LAB) + f"""
 SELECT CAST(count(*) AS BIGINT) AS n_input, CAST(count(error_label) AS BIGINT) AS n_labeled,
   CAST(count(*) FILTER (WHERE error_label IS NOT NULL AND {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 >= {vocab.IDENTIFIER_DEV_SHARE}) AS BIGINT) AS n_train,
   CAST(count(*) FILTER (WHERE error_label IS NOT NULL AND {V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 < {vocab.IDENTIFIER_DEV_SHARE}) AS BIGINT) AS n_dev
-FROM labn""")
+FROM lab""")
 def q_row_counts(spark, sf_dir):
     from ..operators import sampling as S
-    x = S.train_dev_split(lab_view(spark, sf_dir, keep_null=True))
+    x = S.train_dev_split(lab_view(spark, sf_dir))
     lab = F.col("error_label").isNotNull()
     return x.agg(F.count(F.lit(1)).alias("n_input"), F.count("error_label").alias("n_labeled"),
                  F.count_if(lab & (F.col("split") == "train")).alias("n_train"),
@@ -1227,41 +1253,36 @@ def q_compare_modes(spark, sf_dir):
 # ---- M1-M6: models (rows-only checks) --------------------------------------------------------
 
 def identifier_input(spark, sf_dir):
-    """Labelled QA rows with the identifier text (capped at 512 tokens)."""
+    """Labelled QA rows with the whole identifier text."""
     from ..functions import labels as lb
-    from ..functions import text as tx
     from ..operators import prompts, sampling
     s = seed_view(spark, sf_dir)
-    s = s.withColumn("text", tx.truncate_tokens(prompts.identifier_text(
-        F.col("question"), F.col("answer"), F.col("passage"))))
+    s = s.withColumn("text", prompts.identifier_text(
+        F.col("question"), F.col("answer"), F.col("passage")))
     s = s.withColumn("labels", lb.parse_labels(F.col("error_label")))
     # written once: the feature fit, the cached features and dev inference
-    # all read it instead of re-running the joins and truncation
+    # all read it instead of re-running the joins
     from ..session import materialize
     return materialize(sampling.train_dev_split(s, vocab.IDENTIFIER_DEV_SHARE), "identifier-input")
 
 
 def verifier_input(spark, sf_dir):
-    from ..functions import text as tx
     from ..operators import prompts, sampling
     s = seed_view(spark, sf_dir)
     q = views.table(spark, sf_dir, "labels").select(
         F.col("doc_id"), F.col("quality").cast("int").alias("label"))
     x = s.join(q, "doc_id").withColumnRenamed("error_label", "pred_error")
-    x = x.withColumn("text", tx.truncate_tokens(prompts.verifier_text(
-        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"))))
+    x = x.withColumn("text", prompts.verifier_text(
+        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage")))
     from ..session import materialize
     return materialize(sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE), "verifier-input")
 
 
-ML_ITER = 10
-
-
 @query("train_identifier")
 def q_train_identifier(spark, sf_dir):
     from ..operators import ml
     d = identifier_input(spark, sf_dir)
-    m = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    m = ml.train_identifier(d.filter(F.col("split") == "train"))
     return ml.identify_errors(m, d.filter(F.col("split") == "dev").select(
         "item_id", "text", "error_label")).select("item_id", "error_label", "pred_error")
 
@@ -1269,11 +1290,10 @@ def q_train_identifier(spark, sf_dir):
 @query("identify_errors")
 def q_identify_errors(spark, sf_dir):
     from ..operators import ml, prompts
-    from ..functions import text as tx
     d = identifier_input(spark, sf_dir)
-    m = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
-    pool = qa_view(spark, sf_dir).withColumn("text", tx.truncate_tokens(prompts.identifier_text(
-        F.col("question"), F.col("answer"), F.col("passage"))))
+    m = ml.train_identifier(d.filter(F.col("split") == "train"))
+    pool = qa_view(spark, sf_dir).withColumn("text", prompts.identifier_text(
+        F.col("question"), F.col("answer"), F.col("passage")))
     return ml.identify_errors(m, pool.select("item_id", "text"), need_prob=True)
 
 
@@ -1281,7 +1301,7 @@ def q_identify_errors(spark, sf_dir):
 def q_train_verifier(spark, sf_dir):
     from ..operators import ml
     d = verifier_input(spark, sf_dir)
-    m = ml.train_verifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    m = ml.train_verifier(d.filter(F.col("split") == "train"))
     return ml.verify_labels(m, d.filter(F.col("split") == "dev").select("item_id", "text", "label"))
 
 
@@ -1289,7 +1309,7 @@ def q_train_verifier(spark, sf_dir):
 def q_verify_labels(spark, sf_dir):
     from ..operators import ml
     d = verifier_input(spark, sf_dir)
-    m = ml.train_verifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    m = ml.train_verifier(d.filter(F.col("split") == "train"))
     return ml.verify_labels(m, d.select("item_id", "pred_error", "text"))
 
 
@@ -1308,9 +1328,9 @@ def q_self_train_round(spark, sf_dir):
     from ..operators import ml
     from . import jobs
     d = identifier_input(spark, sf_dir)
-    ident = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    ident = ml.train_identifier(d.filter(F.col("split") == "train"))
     v = verifier_input(spark, sf_dir)
-    ver = ml.train_verifier(v.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    ver = ml.train_verifier(v.filter(F.col("split") == "train"))
     train_set = seed_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source",
                                                 "error_label")
     pool = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source")
@@ -1376,7 +1396,7 @@ def q_select_identifier(spark, sf_dir):
     from ..operators import ml
     d = identifier_input(spark, sf_dir)
     _, scores = ml.select_identifier(d.filter(F.col("split") == "train"),
-                                     d.filter(F.col("split") == "dev"), max_iter=ML_ITER)
+                                     d.filter(F.col("split") == "dev"))
     schema = T.StructType([T.StructField("reg_param", T.DoubleType()),
                            T.StructField("micro_f1", T.DoubleType())])
     return spark.createDataFrame(scores, schema)
@@ -1388,7 +1408,7 @@ def q_evaluate_with_identifier(spark, sf_dir):
     from ..operators import completion, ml
     from . import jobs
     d = identifier_input(spark, sf_dir)
-    ident = ml.train_identifier(d.filter(F.col("split") == "train"), max_iter=ML_ITER)
+    ident = ml.train_identifier(d.filter(F.col("split") == "train"))
     qa = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer")
     out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule",
                         identifier=ident)
@@ -1399,8 +1419,8 @@ def q_evaluate_with_identifier(spark, sf_dir):
 @query("resume_scoring", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
        "SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score FROM dp")
 def q_resume_scoring(spark, sf_dir):
-    """An interrupted run scores three dimensions; the rerun scores only the
-    pending requests. The sink ends with every request scored once."""
+    """The first run covers three dimensions with a model that fails for some
+    prompts; the rerun scores the rest and asks the failed ones again."""
     from ..operators import completion, prompts
     from . import jobs
     x = prompts.all_dimensions(qa_view(spark, sf_dir))
@@ -1408,7 +1428,7 @@ def q_resume_scoring(spark, sf_dir):
         .withColumn("model", F.lit("rule")).select("item_id", "dimension", "model", "messages")
     sink = _scratch(spark, "resume")
     jobs.resume_scoring(req.filter(F.col("dimension").isin(vocab.DIMENSIONS[:3])), sink,
-                        completion.length_rule_evaluator)
+                        completion.failing_evaluator)
     out = jobs.resume_scoring(req, sink, completion.length_rule_evaluator)
     return out.select("item_id", "dimension", "model", "score")
 

@@ -12,7 +12,8 @@ from ..sources import views
 
 def meta_evaluate(responses: DataFrame, ratings: DataFrame,
                   keys=("dimension", "model")) -> DataFrame:
-    """Model scores vs human ratings: parse -> pair -> drop 999 -> Pearson.
+    """Model scores vs human ratings: parse -> pair -> drop 999 -> Pearson, with
+    ``n_unmatched``: the dimension's ratings that have no reply.
 
     ``responses``: item_id, dimension, model, response.
     ``ratings``: item_id, dimension, rating.
@@ -20,8 +21,10 @@ def meta_evaluate(responses: DataFrame, ratings: DataFrame,
     scored = rows.with_score(responses.select("item_id", "dimension", "model", "response"))
     paired = rows.pair_rating_pred(ratings.select("item_id", "dimension", "rating"),
                                    scored.drop("response"))
-    return metrics.pearson_by_group(paired, list(keys), "rating", "score",
-                                    valid=F.col("score") != vocab.NO_SCORE)
+    per = metrics.pearson_by_group(paired, list(keys), "rating", "score",
+                                   valid=F.col("score") != vocab.NO_SCORE)
+    lost = rows.count_unmatched(ratings.select("item_id", "dimension"), responses)
+    return per.join(lost.select("dimension", "n_unmatched"), "dimension")
 
 
 def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,24 +36,22 @@ def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
              error_aware: bool = True, dimensions=None, label_col: str = "error_label",
-             identifier=None, model_type: str = "roberta") -> DataFrame:
+             identifier=None, model_type: str = "roberta", thinking: str | None = None) -> DataFrame:
     """Rows -> (error-aware or direct) prompts per dimension -> evaluator
     replies -> scores. With ``error_aware``, labels come from ``label_col``
     (a recorded identifier run) or, if ``identifier`` is given, from that
-    model applied to the rows first."""
-    from .. import vocab
-    from ..functions import text as tx
+    model applied to the rows first. Scores are read behind the reasoning;
+    ``thinking`` names a column that keeps it."""
     from ..operators import completion, ml, prompts
     dims = dimensions or vocab.DIMENSIONS
     if error_aware and identifier is not None:
-        text = tx.truncate_tokens(prompts.identifier_text(
-            F.col("question"), F.col("answer"), F.col("passage"), model_type))
+        text = prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage"), model_type)
         qa = ml.identify_errors(identifier, qa.withColumn("text", text), out_col=label_col) \
             .drop("text")
     cols = ["item_id", "passage", "question", "answer"] + ([label_col] if error_aware else [])
     msgs = prompts.render_batch(qa.select(*cols), templates, error_aware, dims, label_col)
     replies = completion.complete_batch(msgs.select("item_id", "dimension", "messages"), complete_fn)
-    return rows.with_score(replies.withColumn("model", F.lit(model_name)))
+    return rows.with_score(replies.withColumn("model", F.lit(model_name)), thinking=thinking)
 
 
 def compare_modes(scored: DataFrame, ratings: DataFrame,
@@ -72,22 +73,27 @@ def compare_modes(scored: DataFrame, ratings: DataFrame,
 
 def self_train_round(identifier, verifier, pool: DataFrame, train_set: DataFrame,
                      text_model_type: str = "roberta") -> DataFrame:
-    """Predict labels for the pool, keep rows the verifier accepts, and add
-    them to the training set (columns of ``train_set``)."""
-    from ..functions import text as tx
+    """Predict labels for the pool without the training rows, keep rows the
+    verifier accepts, and add them to the training set (its columns)."""
     from ..operators import ml, prompts
-    ident_in = pool.withColumn("text", tx.truncate_tokens(prompts.identifier_text(
-        F.col("question"), F.col("answer"), F.col("passage"), text_model_type)))
+    ident_in = pool.join(train_set.select("item_id"), "item_id", "left_anti").withColumn(
+        "text", prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage"), text_model_type))
     pred = ml.identify_errors(identifier, ident_in).drop("text")
-    ver_in = pred.withColumn("text", tx.truncate_tokens(prompts.verifier_text(
-        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"), text_model_type)))
-    ok = ml.verify_labels(verifier, ver_in).filter(F.col("verify_label") == 1)
-    new_rows = ok.withColumn("error_label", F.col("pred_error")).select(*train_set.columns)
-    return train_set.unionByName(new_rows)
+    ver_in = pred.withColumn("text", prompts.verifier_text(
+        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"), text_model_type))
+    return add_accepted(train_set, ml.verify_labels(verifier, ver_in))
+
+
+def add_accepted(train_set: DataFrame, verified: DataFrame) -> DataFrame:
+    """The training set and the verified rows the verifier accepts, with their
+    predicted label."""
+    ok = verified.filter(F.col("verify_label") == 1)
+    return train_set.unionByName(
+        ok.withColumn("error_label", F.col("pred_error")).select(*train_set.columns))
 
 
 def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataFrame,
-                       generate_fn, review_fns: dict, difficulty=None, importance=None,
+                       generate_for, review_fns: dict, difficulty=None, importance=None,
                        low_precision=(), threshold: float = 0.8, by: str = "threshold",
                        attempts: int = 3, seed: int = 42) -> DataFrame:
     """Label statistics -> weights -> one target label per candidate ->
@@ -96,9 +102,11 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
     -> confidences -> votes -> accepted training rows.
 
     ``candidates``: item_id, passage, answer, source. ``seeds``: item_id,
-    passage, answer, question, error_label. ``review_fns``: reviewer name ->
-    batch function."""
-    from .. import vocab
+    passage, answer, question, error_label. ``generate_for``: number of the
+    attempt -> batch function. ``review_fns``: reviewer name -> batch function.
+    Each attempt calls the generator only for the items still without an
+    accepted reply, with the same prompt, and is written, so a recomputed stage
+    never asks again."""
     from ..functions import parse, text as tx
     from ..operators import completion, distribution, generation, prompts, sampling, voting
     from ..session import materialize
@@ -106,19 +114,21 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
     # write them once (a table prunes columns on each read) instead of
     # recomputing their lineage each time
     seeds = materialize(seeds, "seeds")
-    w = distribution.label_weights(distribution.label_distribution(seeds), difficulty,
+    w = distribution.label_weights(distribution.label_distribution(seeds, known_only=True), difficulty,
                                    importance, seed=seed)
     drawn = sampling.weighted_label_sample(candidates, w, seed)
     shots = sampling.attach_few_shot(drawn, seeds.select("item_id", "passage", "answer",
                                                          "question", "error_label"), seed=seed)
     gp = prompts.render_generation_prompt(shots, templates)
-    gp = gp.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    gp = gp.withColumn("messages", tx.build_messages(vocab.SYSTEM_GENERATOR, F.concat(
-        F.col("prompt"), F.lit("\n\nAttempt "), F.col("attempt").cast("string"))))
-    gen = completion.complete_batch(
-        gp.select("item_id", "attempt", "passage", "answer", "source", "target_labels", "messages"),
-        generate_fn)
-    acc = generation.make_training_row(generation.first_accepted(gen))
+    gp = gp.withColumn("messages", tx.build_messages(vocab.SYSTEM_GENERATOR, F.col("prompt")))
+    todo = materialize(gp.select("item_id", "passage", "answer", "source", "target_labels", "messages"),
+                       "generation-requests")
+    acc = None
+    for attempt in range(1, attempts + 1):
+        replies = completion.complete_batch(todo.withColumn("attempt", F.lit(attempt)), generate_for(attempt))
+        got = materialize(generation.make_training_row(generation.accepted(replies)), "accepted")
+        acc = got if acc is None else acc.unionByName(got)
+        todo = todo.join(got.select("item_id"), "item_id", "left_anti")
     rp = prompts.render_review_prompt(acc, templates)
     rp = rp.withColumn("messages", tx.build_messages(vocab.SYSTEM_REVIEWER, F.col("prompt")))
     reviews = None
@@ -134,22 +144,29 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
 
 def resume_scoring(requests: DataFrame, sink_dir: str, complete_fn,
                    keys=("item_id", "dimension", "model")) -> DataFrame:
-    """Score only the requests not yet in ``sink_dir`` and append them.
-
-    ``requests``: keys + ``messages``. The sink holds keys, ``response`` and
-    ``score``. Rerunning after an interruption calls the model only for the
-    pending rows (anti-join on the keys); a finished run adds nothing.
-    Returns the rows appended by this run (already written)."""
-    from pyspark.errors import AnalysisException
+    """Score the requests without a reply in ``sink_dir`` and append them.
 
+    ``requests``: keys + ``messages``. The sink holds keys, ``response``,
+    ``score``, ``failure`` and ``run``. A row whose calls all failed is kept with
+    its reason and asked again by the next run; a finished run adds nothing.
+    Returns the sink with one row per key: a reply before a failure, then the
+    latest run."""
     from ..operators import completion
+    from ..session import path_exists
     spark = requests.sparkSession
-    try:
-        done = spark.read.parquet(sink_dir).select(*keys)
-        pending = rows.pending_rows(requests, done, list(keys))
-    except AnalysisException:  # nothing written yet
-        pending = requests
-    replies = rows.with_score(completion.complete_batch(
-        pending.select(*keys, "messages"), complete_fn))
-    replies.write.mode("append").parquet(sink_dir)
-    return spark.read.parquet(sink_dir)
+    run, pending = 1, requests
+    if path_exists(spark, sink_dir):
+        sink = spark.read.parquet(sink_dir)
+        run = (sink.agg(F.max("run")).first()[0] or 0) + 1
+        pending = rows.pending_rows(requests, sink.filter(F.col("response") != ""), list(keys))
+    replies = completion.complete_batch(pending.select(*keys, "messages"), complete_fn, failure_col="failure")
+    rows.with_score(replies).withColumn("run", F.lit(run)).write.mode("append").parquet(sink_dir)
+    return latest_scores(spark.read.parquet(sink_dir), keys)
+
+
+def latest_scores(sink: DataFrame, keys) -> DataFrame:
+    """One row per key of a resumable sink."""
+    order = F.struct(F.col("response") != "", "run")
+    fields = [c for c in sink.columns if c not in keys]
+    return (sink.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_r"))
+            .select(*keys, "_r.*"))

@@ -8,6 +8,7 @@ view and expression, used to check the DataFrame implementation. Tables
 from __future__ import annotations
 
 from .. import vocab
+from ..sources.views import RARE_LABELS
 
 
 def lit(s: str) -> str:
@@ -25,8 +26,8 @@ DIMS = list_lit(vocab.DIMENSIONS)
 VOCAB = list_lit(vocab.LABELS)
 
 
-WS_SQL = " || ".join(f"chr({ord(c)})" for c in "".join(
-    chr(i) for i in range(0x110000) if chr(i).isspace()))
+WS_SQL = " || ".join(f"chr({ord(c)})" for c in vocab.WHITESPACE)
+BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in vocab.WHITESPACE) + "]"
 
 
 def ustrip(e: str) -> str:
@@ -36,7 +37,7 @@ def ustrip(e: str) -> str:
 def extract_score(e: str) -> str:
     whens = []
     for pat in vocab.SCORE_PATTERNS:
-        rx = lit("(?i)" + pat)
+        rx = lit("(?i)" + pat.replace(r"\s", BLANK).replace(r"\d", "[0-9]"))
         d = f"regexp_extract({e}, {rx}, 1)"
         whens.append(f"WHEN {d} <> '' THEN coalesce(TRY_CAST({d} AS INTEGER), {vocab.NO_SCORE})")
     return "(CASE " + " ".join(whens) + f" ELSE {vocab.NO_SCORE} END)"
@@ -50,7 +51,8 @@ def label_string(k: str) -> str:
             f"CASE WHEN {k} % 11 = 0 THEN 'Factual Error' END, "
             f"CASE WHEN {k} % 13 = 0 THEN 'Bogus Label' END, "
             f"CASE WHEN {k} % 17 = 0 THEN '' END, "
-            f"CASE WHEN {none_of} THEN 'No Error' END)")
+            f"CASE WHEN {none_of} THEN 'No Error' END"
+            + "".join(f", CASE WHEN {k} % {n} = 0 THEN {lit(text)} END" for n, text in RARE_LABELS) + ")")
 
 
 def parse_labels_raw(e: str) -> str:
@@ -64,7 +66,7 @@ def parse_labels(e: str) -> str:
 
 
 def binarize(e: str) -> str:
-    return f"list_transform({VOCAB}, lambda v: CAST(list_contains({e}, v) AS INTEGER))"
+    return f"(CASE WHEN {e} IS NOT NULL THEN list_transform({VOCAB}, lambda v: CAST(list_contains({e}, v) AS INTEGER)) END)"
 
 
 def md5_u32(seed, *keys: str) -> str:
@@ -76,12 +78,16 @@ RESP = f"""resp AS (
   SELECT event_id AS item_id,
          {DIMS}[event_id % 7 + 1] AS dimension,
          'm' || CAST(user_id % 3 AS VARCHAR) AS model,
-         CASE event_id % 5
+         CASE WHEN event_id // 5 % 12 = 7 THEN 'score:' || chr(160) || CAST(event_id % 3 + 1 AS VARCHAR)
+              WHEN event_id // 5 % 12 = 8 THEN 'Score' || chr(12288) || ': ' || CAST(event_id % 3 + 1 AS VARCHAR) || '.5 of 3'
+              WHEN event_id // 5 % 12 = 9 THEN 'score: 99999999999'
+              WHEN event_id // 5 % 12 = 10 THEN 'SCORE : ' || CAST(event_id % 3 + 1 AS VARCHAR) || ' not score: 9'
+         ELSE CASE event_id % 5
            WHEN 0 THEN 'score: ' || CAST(event_id % 3 + 1 AS VARCHAR) || '  ' || chr(10) || 'reason: x'
            WHEN 1 THEN 'A Score of ' || CAST(event_id % 3 + 1 AS VARCHAR)
            WHEN 2 THEN 'Assign a Score:' || chr(10) || 'Score ' || CAST(event_id % 3 + 1 AS VARCHAR) || ': ok'
            WHEN 3 THEN '**Score:** ' || CAST(event_id % 3 + 1 AS VARCHAR)
-           ELSE '' END AS response,
+           ELSE '' END END AS response,
          CAST(CASE WHEN event_id % 4 = 0 THEN floor(value) % 3 + 1 ELSE event_id % 3 + 1 END AS DOUBLE) AS rating
   FROM events)"""
 
@@ -97,15 +103,12 @@ QA = """qa AS (
   WHERE u.role = 'user')"""
 
 LAB = f"""lab AS (
-  SELECT doc_id AS item_id, {label_string('doc_id')} AS error_label
-  FROM documents WHERE doc_id % 19 <> 0)"""
-
-LAB_NULL = f"""labn AS (
   SELECT doc_id AS item_id, CASE WHEN doc_id % 19 <> 0 THEN {label_string('doc_id')} END AS error_label
   FROM documents)"""
 
 SEED = """seed AS (
-  SELECT qa.*, lab.error_label FROM qa JOIN lab ON lab.item_id = qa.doc_id)"""
+  SELECT qa.*, lab.error_label FROM qa JOIN lab ON lab.item_id = qa.doc_id
+  WHERE lab.error_label IS NOT NULL)"""
 
 REV = f"""rev AS (
   SELECT doc_id AS item_id, {label_string('doc_id')} AS error_label,

@@ -8,6 +8,7 @@ when that setting is unset *and* the master is local (tests, laptops).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -98,6 +99,25 @@ def materialize(df, name: str):
     return out
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(sc._jsc.hadoopConfiguration()).exists(folder)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, as an archive. A
+    local master's workers import it from the driver's path."""
+    sc = spark.sparkContext
+    if sc.master == "local" or sc.master.startswith("local["):
+        return
+    if not getattr(sc, "_qualmark_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="qualmark-ship-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "qualmark"), "zip", root, "qualmark"))
+        sc._qualmark_shipped = True
+
+
 def discard(df) -> None:
     """Delete the table of a ``materialize``; nothing may read it any more."""
     path = getattr(df, "_scratch_path", None)

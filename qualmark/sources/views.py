@@ -13,20 +13,8 @@ from .. import vocab
 from .tables import table_path
 
 
-# Readers of the read-only input tables, reused per session: the file listing
-# and footer read happen once per table instead of once per query. (Do not
-# use this for tables that change while the session runs.)
-_READERS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = table_path(sf_dir, name)
-    hit = _READERS.get((id(spark), path))
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = spark.read.parquet(path)
-    _READERS[(id(spark), path)] = (spark, df)
-    return df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 _read = table
@@ -53,6 +41,13 @@ def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("conv_id").alias("doc_id")))
 
 
+#: Further labels by a divisor of doc_id: with them every vocabulary label, an
+#: alias spelling and a repeated label occur.
+RARE_LABELS = ((23, "Incomplete;Incomplete"), (29, "Not A Question"), (31, "Not a Question"),
+               (37, "Spell Error "), (41, "Grammatical Error"), (43, "Unnecessary Copy from Passage"),
+               (47, "Information Not Mentioned"), (53, " Off Target Answer"), (59, "Grammar Error"))
+
+
 def _label_string(doc_id: Column) -> Column:
     none_of = (doc_id % 5 != 0) & (doc_id % 7 != 0) & (doc_id % 11 != 0)
     return F.concat_ws(
@@ -63,23 +58,20 @@ def _label_string(doc_id: Column) -> Column:
         F.when(doc_id % 13 == 0, F.lit("Bogus Label")),
         F.when(doc_id % 17 == 0, F.lit("")),
         F.when(none_of, F.lit("No Error")),
+        *[F.when(doc_id % n == 0, F.lit(text)) for n, text in RARE_LABELS],
     )
 
 
-def labeled_docs(spark: SparkSession, sf_dir: str, keep_null: bool = False) -> DataFrame:
-    """V-LAB: ``(item_id, error_label)`` per document; ``doc_id % 19 = 0``
-    rows are left out, or kept with a NULL label when ``keep_null``."""
+def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-LAB: ``(item_id, error_label)`` of every document; the label is NULL
+    where ``doc_id % 19 = 0``."""
     d = _read(spark, sf_dir, "documents").select("doc_id")
-    lab = _label_string(F.col("doc_id"))
-    if keep_null:
-        return d.select(F.col("doc_id").alias("item_id"),
-                        F.when(F.col("doc_id") % 19 != 0, lab).alias("error_label"))
-    return d.filter(F.col("doc_id") % 19 != 0).select(
-        F.col("doc_id").alias("item_id"), lab.alias("error_label"))
+    return d.select(F.col("doc_id").alias("item_id"),
+                    F.when(F.col("doc_id") % 19 != 0, _label_string(F.col("doc_id"))).alias("error_label"))
 
 
 def labeled_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V-SEED: V-QA rows with the V-LAB label of their document."""
+    """V-QA rows with the V-LAB label of their document, NULL labels included."""
     lab = labeled_docs(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "error_label")
     return qa_items(spark, sf_dir).join(lab, "doc_id")
 
@@ -91,7 +83,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     s = (eid % 3 + 1).cast("string")
     style = eid % 5
-    response = (F.when(style == 0, F.concat(F.lit("score: "), s, F.lit("  \nreason: x")))
+    odd = F.floor(eid / 5) % 12  # rarer forms, spread over the styles
+    response = (F.when(odd == 7, F.concat(F.lit("score:\u00a0"), s))
+                .when(odd == 8, F.concat(F.lit("Score\u3000: "), s, F.lit(".5 of 3")))
+                .when(odd == 9, F.lit("score: 99999999999"))
+                .when(odd == 10, F.concat(F.lit("SCORE : "), s, F.lit(" not score: 9")))
+                .when(style == 0, F.concat(F.lit("score: "), s, F.lit("  \nreason: x")))
                 .when(style == 1, F.concat(F.lit("A Score of "), s))
                 .when(style == 2, F.concat(F.lit("Assign a Score:\nScore "), s, F.lit(": ok")))
                 .when(style == 3, F.concat(F.lit("**Score:** "), s))
@@ -156,8 +153,9 @@ def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V-GEN: a generator reply per document in four styles (clean JSON,
-    fenced JSON, single-quoted JSON, broken text) plus its target labels."""
+    """V-GEN: a generator reply per document in five styles (clean JSON, fenced
+    JSON, single-quoted JSON, JSON with chatter behind it, broken text) plus its
+    target labels."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "source")
     k = F.col("doc_id")
     q = F.concat(F.lit("What does document "), k.cast("string"), F.lit(" say about "),
@@ -165,10 +163,12 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _label_string(k)
     dq = F.concat(F.lit('{"question": "'), q, F.lit('", "error_label": "'), lab, F.lit('"}'))
     sq = F.concat(F.lit("{'question': '"), q, F.lit("', 'error_label': '"), lab, F.lit("'}"))
-    style = k % 4
+    style = k % 5
     resp = (F.when(style == 0, dq)
             .when(style == 1, F.concat(F.lit("```json\n"), dq, F.lit("\n```")))
             .when(style == 2, sq)
+            .when(style == 3, F.concat(dq, F.when(k % 2 == 0, F.lit(" Hope this helps!"))
+                                       .otherwise(F.concat(F.lit(" or "), dq))))
             .otherwise(F.concat(F.lit("no json here "), k.cast("string"))))
     return d.select(k.alias("item_id"), resp.alias("response"), lab.alias("target_label"))
 

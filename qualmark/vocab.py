@@ -85,6 +85,10 @@ REVIEWERS = ["gemini", "gpt", "claude"]
 # Unparsed score sentinel.
 NO_SCORE = 999
 
+# The characters that str.strip() removes and a blank in a pattern matches.
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203),
+                               8232, 8233, 8239, 8287, 12288]))
+
 # Score patterns, tried in this order, case-insensitive, leftmost match.
 SCORE_PATTERNS = [
     r"(?:Score|score)\s*:\s*(\d+)",

@@ -43,8 +43,8 @@ def test_fixture_sizes(spark, sf, expect):
 
 @needs_data
 def test_label_view_sizes(spark):
-    assert views.labeled_docs(spark, SF001).count() == 947
-    assert views.labeled_docs(spark, SF001, keep_null=True).filter(F.col("error_label").isNull()).count() == 53
+    assert views.labeled_docs(spark, SF001).count() == 1000
+    assert views.labeled_docs(spark, SF001).filter(F.col("error_label").isNull()).count() == 53
 
 
 @needs_data

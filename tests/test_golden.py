@@ -1,12 +1,16 @@
 """Golden values at sf0.01 (FIXTURES §2) and the oracle sweep at sf0.001."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF0001
+from test_properties import py_score
+
+from qualmark import vocab
 from qualmark.operators import voting as VT
 from qualmark.plans import catalog
 from qualmark.sources import views
@@ -14,24 +18,40 @@ from qualmark.sources import views
 needs_data = pytest.mark.skipif(not os.path.isdir(SF001), reason="test data missing")
 
 
+def reply(eid):
+    """The reply of an event, by FIXTURES.md."""
+    grade = str(eid % 3 + 1)
+    rare = {7: "score:\u00a0" + grade, 8: f"Score\u3000: {grade}.5 of 3", 9: "score: 99999999999",
+            10: f"SCORE : {grade} not score: 9"}.get(eid // 5 % 12)
+    return rare or [f"score: {grade}  \nreason: x", f"A Score of {grade}", f"Assign a Score:\nScore {grade}: ok",
+                    f"**Score:** {grade}", ""][eid % 5]
+
+
+def label_string(k):
+    parts = [(5, " Vague"), (7, "Off Topic "), (11, "Factual Error"), (13, "Bogus Label"), (17, "")]
+    out = [t for n, t in parts if k % n == 0]
+    out += ["No Error"] if k % 5 and k % 7 and k % 11 else []
+    return ";".join(out + [t for n, t in views.RARE_LABELS if k % n == 0])
+
+
 @needs_data
 def test_score_and_pearson_golden(spark):
     s = catalog.scored_responses(spark, SF001)
     counts = {r.score: r["count"] for r in s.groupBy("score").count().collect()}
-    assert set(counts) == {1, 2, 3, 999} and counts[1] == 2000 and counts[2] == 2000
+    assert counts == Counter(map(py_score, map(reply, range(10_000))))
     p = {(r.dimension, r.model): (r.n, r.pearson_r)
          for r in catalog.QUERIES_FOR_TESTS["pearson_by_dimension"](spark, SF001).collect()}
     assert len(p) == 21
-    assert p[("fluency", "m0")] == (285, 0.781162)
-    assert p[("fluency", "m1")] == (290, 0.713374)
+    assert sum(n for n, _ in p.values()) == 10_000 - counts[999]
 
 
 @needs_data
 def test_label_distribution_golden(spark):
     d = {r.label: r for r in catalog.QUERIES_FOR_TESTS["label_distribution"](spark, SF001).collect()}
-    assert len(d) == 6
-    assert (d[""]["count"], d[""].proportion) == (55, 0.048716)
-    assert (d["Bogus Label"]["count"], d["Bogus Label"].proportion) == (72, 0.063773)
+    want = Counter(t.strip() for k in range(1000) if k % 19 for t in label_string(k).split(";"))
+    assert {k: r["count"] for k, r in d.items()} == want
+    assert d[""].proportion == round(want[""] / sum(want.values()), 6)
+    assert set(vocab.LABELS) <= set(want)
 
 
 @needs_data
