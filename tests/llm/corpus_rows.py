@@ -1,24 +1,14 @@
-import os
+"""Documents and fixtures for the tests of this folder."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "key string, spans string, text_id string, rep string, size string, n string, a string, b string, "
           "component string, label string, held_out string, kept string, m string, items string")
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from qualmark.session import build_session
-    s = build_session("local[*]", 4, "qualmark-llm-tests")
-    yield s
-    s.stop()
-
-
 def row(doc_id, text, lang="en", source="s"):
     """A document; the extra columns have names that operators use inside."""
     return (doc_id, text, lang, source, None if text is None else len(text), *["x"] * 14)

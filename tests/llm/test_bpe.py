@@ -5,6 +5,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from corpus_rows import edge, frame  # noqa: F401
+
 from qualmark.llm import bpe
 from qualmark.llm.queries import TOKENIZER
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import row
+from corpus_rows import edge, frame, row  # noqa: F401
 
 from qualmark.llm import cotrain
 

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import prose, row
+from corpus_rows import edge, frame, prose, row  # noqa: F401
 
 from qualmark.llm import decontam
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import prose, row
+from corpus_rows import edge, frame, prose, row  # noqa: F401
 
 from qualmark.llm import minhash
 
