@@ -8,7 +8,7 @@ listing them all:
    consecutive windows with the same pick form a run. Equal windows pick equal
    grams, so only runs with equal grams can hold equal windows;
 2. grams seen once in the corpus are left behind; texts that hold a repeated
-   one are written to a table, the rest are finished;
+   one are written to a table with their runs, the rest are finished;
 3. runs with equal gram and equal content form a class. A run of a class with
    several members needs no further look;
 4. among different classes of one gram, ``spec.compare`` finds the equal
@@ -168,18 +168,13 @@ _ROW = [("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("
 _SPARK_ROW = "key long, content long, doc_id long, text_id int, at int, w int, lead int"
 
 
-def _first_rows(kept: DataFrame, spec: Spec) -> DataFrame:
-    """The runs of the texts' repeated grams."""
-    def make():
-        def one(doc_id, text_id, text, shared):
-            values, *got = _runs_of(spec, text)
-            wanted = np.isin(got[3], np.array(shared, np.int64))
-            first, count, at, key = (x[wanted] for x in got)
-            content = Ranges(values)(first, first + count + spec.window - spec.wide)
-            same = np.full(len(key), 1)
-            return [key, content, same * doc_id, same * text_id, first, count, at - first]
-        return one
-    return _emit(kept.select("doc_id", "text_id", "text", "shared"), make, _ROW, _SPARK_ROW)
+def _shared_runs(spec: Spec, doc_text: str, shared: list[int]) -> list[list[int]]:
+    """key, content, at, w and lead of the runs of a text's repeated grams."""
+    values, *got = _runs_of(spec, doc_text)
+    wanted = np.isin(got[3], np.array(shared, np.int64))
+    first, count, at, key = (x[wanted] for x in got)
+    content = Ranges(values)(first, first + count + spec.window - spec.wide)
+    return [x.tolist() for x in (key, content, first, count, at - first)]
 
 
 def split(at: np.ndarray, w: np.ndarray, lead: np.ndarray, size: int):
@@ -211,10 +206,19 @@ def _split_rows(members: DataFrame, spec: Spec, size: int) -> DataFrame:
     return _emit(members, make, _ROW, _SPARK_ROW)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    return (rows.groupBy("key", "content")
-            .agg(F.min(F.struct("doc_id", "text_id", "at")).alias("first"),
-                 F.count("*").alias("n"), F.min("w").alias("w"), F.min("lead").alias("lead")))
+def _classes(rows: DataFrame, mode: str) -> DataFrame:
+    """Classes with their size and first member. Which run of the first document
+    it is matters in mode "earlier" only; elsewhere any will do, which keeps the
+    aggregate in fixed-width hash buffers."""
+    spot = rows.withColumn("spot", F.shiftleft(F.col("text_id").cast("long"), 32) + F.col("at"))
+    first = (F.min(F.struct("doc_id", "spot")) if mode == "earlier" else
+             F.struct(F.min("doc_id").alias("doc_id"), F.min_by("spot", "doc_id").alias("spot")))
+    return (spot.groupBy("key", "content")
+            .agg(first.alias("f"), F.count("*").alias("n"), F.min("w").alias("w"), F.min("lead").alias("lead"))
+            .select("key", "content", F.struct(
+                F.col("f.doc_id"), F.shiftright("f.spot", 32).cast("int").alias("text_id"),
+                F.col("f.spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")).alias("first"),
+                "n", "w", "lead"))
 
 
 def _settled(rows: DataFrame, classes: DataFrame, spec: Spec, mode: str) -> DataFrame:
@@ -293,25 +297,27 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     hits = step(seeds.select("key", "doc_id").join(twice.hint("shuffle_hash"), "key", "left_semi")
                 .groupBy("doc_id").agg(F.collect_set("key").alias("shared")), "hits")
     discard(seeds)
-    names = schema + ", doc_id long, text_id int, whole string, shared array<long>"
+    names = (schema + ", doc_id long, text_id int, whole string, "
+             "key array<long>, content array<long>, at array<int>, w array<int>, lead array<int>")
     width = len(map_fields(schema))
 
     def sort_out():
         def one(doc_id, text, shared):
             if shared is None:
-                yield *finish(text, []), doc_id, None, None, None
+                yield *finish(text, []), doc_id, *[None] * 7
             else:
-                yield *[None] * width, doc_id, _text_id(text), text, shared
+                yield *[None] * width, doc_id, _text_id(text), text, *_shared_runs(spec, text, shared)
         return one
 
     table = step(map_rows(base.join(hits, "doc_id", "left").select("doc_id", "text", "shared"),
                           sort_out, names), "texts")
     discard(hits)
-    kept = table.filter("whole is not null").select("doc_id", "text_id", F.col("whole").alias("text"), "shared")
-    rows = step(_first_rows(kept, spec), "rows")
+    kept = table.filter("whole is not null").select("doc_id", "text_id", F.col("whole").alias("text"))
+    rows = (table.select("doc_id", "text_id", F.explode(F.arrays_zip("key", "content", "at", "w", "lead")).alias("r"))
+            .select("doc_id", "text_id", "r.*"))
     spans = []
     for size in (*spec.pieces, 0):
-        classes = step(_classes(rows), "classes")
+        classes = step(_classes(rows, mode), "classes")
         spans.append(step(_settled(rows, classes, spec, mode), "settled"))
         discard(rows)
         if not size:  # pieces of one window: a key has one class
