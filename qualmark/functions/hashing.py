@@ -22,7 +22,3 @@ def md5_u32(seed: int | str, *keys: Column) -> Column:
 def md5_uniform(seed: int | str, *keys: Column) -> Column:
     """Uniform double in [0, 1)."""
     return md5_u32(seed, *keys) / F.lit(TWO_POW_32)
-
-
-def md5_bucket(seed: int | str, key: Column, buckets: int) -> Column:
-    return F.pmod(md5_u32(seed, key), F.lit(buckets)).cast("int")

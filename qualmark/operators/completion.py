@@ -133,6 +133,11 @@ def length_rule_evaluator(batch: list) -> list[str]:
     return out
 
 
+def thinking_evaluator(batch: list) -> list[str]:
+    """Stand-in evaluator that reasons first and names a wrong score there."""
+    return ["maybe score: 9\n</think>\n" + r for r in length_rule_evaluator(batch)]
+
+
 def failing_evaluator(batch: list) -> list[str]:
     """Stand-in evaluator that gives no reply to prompts of certain lengths."""
     replies = length_rule_evaluator(batch)

@@ -32,12 +32,11 @@ def first_accepted(attempts: DataFrame, key: str = "item_id",
                    attempt: str = "attempt") -> DataFrame:
     """The lowest-numbered accepted attempt per item; items with none drop out.
 
-    ``min_by`` is a partial aggregate: no sort of all attempts, bounded state
-    per item (attempts per item are capped by the generator's retry count)."""
+    The choice runs on (key, attempt) alone, in hash buffers; the passages meet
+    it in one join."""
     ok = accepted(attempts)
-    keep = [c for c in ok.columns if c != key]
-    best = ok.groupBy(key).agg(F.min_by(F.struct(*keep), F.col(attempt)).alias("_b"))
-    return best.select(key, "_b.*")
+    best = ok.groupBy(key).agg(F.min(attempt).alias(attempt))
+    return ok.join(best, [key, attempt], "left_semi")
 
 
 def make_training_row(acc: DataFrame, suffix: str = "_GPT-4") -> DataFrame:

@@ -50,12 +50,6 @@ def packaged_templates(spark: SparkSession, root: str = TEMPLATE_ROOT) -> DataFr
     return spark.createDataFrame(template_rows(root), TEMPLATE_SCHEMA)
 
 
-def template_body(kind: str, dimension: str = ANY, root: str = TEMPLATE_ROOT) -> str:
-    path = os.path.join(root, KIND_DIRS[kind], f"{dimension}.txt")
-    with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
 # ---- fan-out and lookups ---------------------------------------------------
 
 def all_dimensions(df: DataFrame, dimensions: Sequence[str] = vocab.DIMENSIONS,
@@ -67,11 +61,20 @@ def all_dimensions(df: DataFrame, dimensions: Sequence[str] = vocab.DIMENSIONS,
     return df.withColumn(col, F.explode(F.array(*[F.lit(d) for d in dimensions])))
 
 
+PARSED = "_labels"
+
+
+def with_parsed_labels(df: DataFrame, label_col: str = "error_label") -> DataFrame:
+    """Adds the parsed labels, so that they are parsed once per row and not
+    again for every dimension a row is fanned out to."""
+    return df.withColumn(PARSED, parse_labels(F.col(label_col)))
+
+
 def relevant_errors(labels: Column, dimension: Column) -> Column:
-    """Identified labels relevant to the dimension, in identified order with
+    """Parsed labels relevant to the dimension, in identified order with
     duplicates kept."""
     rel = vocab.relevant_labels_for(dimension)
-    return F.filter(parse_labels(labels), lambda x: F.array_contains(rel, x))
+    return F.filter(labels, lambda x: F.array_contains(rel, x))
 
 
 def describe_errors(labels: Column) -> Column:
@@ -113,15 +116,18 @@ def render_error_prompt(df: DataFrame, templates: DataFrame, label_col: str = "e
     """Error-aware prompt: direct slots, then ``#error`` <- evidence lines of
     the identified labels relevant to the dimension.
 
-    ``keep_empty_slot`` leaves ``#error`` in place when the label string is
-    empty (the behaviour of a remote-evaluator path)."""
+    The labels are taken from ``with_parsed_labels`` if that was applied before
+    the fan-out. ``keep_empty_slot`` leaves ``#error`` in place when the label
+    string is empty (the behaviour of a remote-evaluator path)."""
+    if PARSED not in df.columns:
+        df = with_parsed_labels(df, label_col)
     x = attach_template(df, templates, "error")
-    evidence = describe_errors(relevant_errors(F.col(label_col), F.col("dimension")))
+    evidence = describe_errors(relevant_errors(F.col(PARSED), F.col("dimension")))
     filled = tx.fill_slots(F.col("template"), _qa_slots() + [("#error", evidence)])
     if keep_empty_slot:
         partial = tx.fill_slots(F.col("template"), _qa_slots())
         filled = F.when(F.coalesce(F.col(label_col), F.lit("")) == "", partial).otherwise(filled)
-    return x.withColumn(out_col, filled).drop("template")
+    return x.withColumn(out_col, filled).drop("template", PARSED)
 
 
 def with_messages(df: DataFrame, prompt_col: str = "prompt", out_col: str = "messages",
@@ -133,13 +139,13 @@ def render_batch(df: DataFrame, templates: DataFrame, error_aware: bool,
                  dimensions: Sequence[str] = vocab.DIMENSIONS,
                  label_col: str = "error_label") -> DataFrame:
     """Rows x dimensions -> ``messages``; the error-aware path fills NULL
-    strings with ``''`` first."""
-    x = all_dimensions(df, dimensions)
+    strings with ``''`` and parses the labels before the fan-out."""
     if error_aware:
         from .rows import fill_empty
-        x = render_error_prompt(fill_empty(x), templates, label_col)
+        x = all_dimensions(with_parsed_labels(fill_empty(df), label_col), dimensions)
+        x = render_error_prompt(x, templates, label_col)
     else:
-        x = render_prompt(x, templates)
+        x = render_prompt(all_dimensions(df, dimensions), templates)
     return with_messages(x).drop("prompt")
 
 
@@ -212,9 +218,3 @@ def chat_transcripts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     if add_generation_prompt:
         parts.append(F.lit(vocab.CHAT_HEADER_START + "assistant" + vocab.CHAT_HEADER_END))
     return whole.select(conv, F.concat(*parts).alias("chat"))
-
-
-def label_list_string(labels: Column) -> Column:
-    """Array of labels -> ``"; "``-joined string (edge form)."""
-    return F.array_join(labels, "; ")
-

@@ -16,7 +16,7 @@ from .. import vocab
 from ..functions.hashing import md5_u32, md5_uniform
 from ..functions.labels import parse_labels
 
-SALT_BITS = 6  # 64 sub-buckets per group for dense ranking
+RANK_BUCKET_BITS = 16  # hash buckets per group for dense ranking
 DRAW_BUCKETS = 1024  # buckets of [0,1) for the weighted range join
 
 
@@ -38,11 +38,11 @@ def slot_tables(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEE
     """(slotted rows, group sizes). Each row gets a 0-based dense ``slot``
     inside ``group``, ordered by ``md5(seed|key)`` then ``key``.
 
-    Skew-safe: ranks are computed inside (group, salt) sub-buckets and offset
-    by a small per-bucket count table, so no task sorts a whole hot group.
-    The sizes table (one row per group) comes from the same count table."""
+    Skew-safe: ranks are computed inside (group, hash bucket) and offset by the
+    bucket counts, so a hot group is spread over up to 65,536 sub-groups. The
+    sizes table (one row per group) comes from the same count table."""
     h = md5_u32(seed, F.col(key))
-    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - SALT_BITS))
+    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
     counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(group, "_b",
@@ -108,16 +108,17 @@ def attach_few_shot(candidates: DataFrame, seeds: DataFrame, label_col: str = "s
     label (stripped tokens, as the label distribution counts them).
     The seed for a candidate is slot ``md5(seed|shot|key) mod n_label``."""
     from ..functions.labels import parse_labels_raw
-    toks = seeds.select("*", F.explode(F.array_distinct(
-        parse_labels_raw(F.col(seed_label_col)))).alias("_label"))
-    slotted, sizes = slot_tables(toks, "_label", seed_key, seed)
-    ex = slotted.select(F.col("_label").alias(label_col), "slot",
-                        *[F.col(c).alias(prefix + c) for c in seeds.columns])
-    sizes = sizes.withColumnRenamed("_label", label_col)  # one row per label
-    c = candidates.join(sizes, label_col, "inner")
+    # ranks and draws run on keys alone; the texts meet the pairs at the end
+    toks = seeds.select(seed_key, F.explode(F.array_distinct(
+        parse_labels_raw(F.col(seed_label_col)))).alias(label_col))
+    slotted, sizes = slot_tables(toks, label_col, seed_key, seed)
+    ex = slotted.select(label_col, "slot", F.col(seed_key).alias(prefix + seed_key))
+    c = candidates.select(key, label_col).join(sizes, label_col)
     c = c.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)),
                                     F.col("group_size")).cast("long"))
-    return c.join(ex, [label_col, "slot"], "inner").drop("slot", "group_size")
+    pairs = c.join(ex, [label_col, "slot"]).select(key, label_col, prefix + seed_key)
+    texts = seeds.select(*[F.col(c).alias(prefix + c) for c in seeds.columns])
+    return candidates.join(pairs, [key, label_col]).join(texts, prefix + seed_key)
 
 
 def uniform_sample_one(df: DataFrame, seed: int = vocab.SPLIT_SEED,
@@ -150,8 +151,6 @@ def train_dev_split(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE
                                          F.lit("dev")).otherwise(F.lit("train")))
 
 
-RANK_BUCKET_BITS = 16
-
 
 def hash_rank(df: DataFrame, key: str = "item_id", seed: int = vocab.SPLIT_SEED,
               rank_col: str = "hash_rank") -> DataFrame:
@@ -173,17 +172,19 @@ def hash_rank(df: DataFrame, key: str = "item_id", seed: int = vocab.SPLIT_SEED,
 def train_dev_split_exact(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE,
                           key: str = "item_id", seed: int = vocab.SPLIT_SEED) -> DataFrame:
     """Exact sizes: the ``ceil(n * dev_percent / 100)`` rows with the smallest
-    ``md5(seed|key)`` form the dev split. ``n`` comes from the bucket-count
-    table, so the input is read twice (counts, rows), never sorted globally."""
+    ``md5(seed|key)`` form the dev split. The bucket counts decide every hash
+    bucket but the one that the limit cuts; only that bucket's rows are ranked."""
     h = md5_u32(seed, F.col(key))
     x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
     counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # windows over the bucket-count table only (at most 65,536 rows)
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n_dev = F.ceil(F.sum("_n").over(Window.partitionBy()) * F.lit(dev_percent) / F.lit(100))
-    offs = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
-                         n_dev.alias("_ndev"))
+    room = n_dev - F.coalesce(F.sum("_n").over(w), F.lit(0))  # dev rows left for this bucket on
+    r = x.join(counts.select("_b", "_n", room.alias("_room")), "_b")
+    whole = r.filter((F.col("_room") <= 0) | (F.col("_room") >= F.col("_n"))).withColumn(
+        "split", F.when(F.col("_room") > 0, F.lit("dev")).otherwise(F.lit("train")))
     rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    r = x.withColumn("_rn", rn).join(offs, "_b")
-    dev = (F.col("_off") + F.col("_rn")) <= F.col("_ndev")
-    return r.withColumn("split", F.when(dev, F.lit("dev")).otherwise(F.lit("train"))) \
-        .drop("_h", "_b", "_rn", "_off", "_ndev")
+    cut = r.filter((F.col("_room") > 0) & (F.col("_room") < F.col("_n"))).withColumn(
+        "split", F.when(rn <= F.col("_room"), F.lit("dev")).otherwise(F.lit("train")))
+    return whole.unionByName(cut).drop("_h", "_b", "_n", "_room")

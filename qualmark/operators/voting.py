@@ -11,10 +11,6 @@ from .. import vocab
 from ..functions.labels import parse_labels_raw
 
 
-def review_columns(reviewers: Sequence[str] = vocab.REVIEWERS) -> list[str]:
-    return [f"check-{r}" for r in reviewers]
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -596,18 +596,18 @@ LABD_SQL = V.with_views(V.LAB) + f", labd AS (SELECT lab.*, unnest({V.DIMS}) AS
        f"SELECT item_id, dimension, array_to_string({V.relevant('error_label', 'dimension')}, '; ') AS relevant FROM labd")
 def q_relevant_errors(spark, sf_dir):
     from ..operators import prompts
-    x = prompts.all_dimensions(lab_view(spark, sf_dir))
+    x = prompts.all_dimensions(prompts.with_parsed_labels(lab_view(spark, sf_dir)))
     return x.select("item_id", "dimension", F.array_join(
-        prompts.relevant_errors(F.col("error_label"), F.col("dimension")), "; ").alias("relevant"))
+        prompts.relevant_errors(F.col(prompts.PARSED), F.col("dimension")), "; ").alias("relevant"))
 
 
 @query("describe_errors", LABD_SQL +
        f"SELECT item_id, dimension, {V.describe(V.relevant('error_label', 'dimension'))} AS evidence FROM labd")
 def q_describe_errors(spark, sf_dir):
     from ..operators import prompts
-    x = prompts.all_dimensions(lab_view(spark, sf_dir))
+    x = prompts.all_dimensions(prompts.with_parsed_labels(lab_view(spark, sf_dir)))
     return x.select("item_id", "dimension", prompts.describe_errors(
-        prompts.relevant_errors(F.col("error_label"), F.col("dimension"))).alias("evidence"))
+        prompts.relevant_errors(F.col(prompts.PARSED), F.col("dimension"))).alias("evidence"))
 
 
 def _direct_prompt_sql():
@@ -635,10 +635,13 @@ def q_render_prompt(spark, sf_dir):
 
 @query("load_templates", _direct_prompt_sql())
 def q_load_templates(spark, sf_dir):
-    """Direct prompts with templates read by ``spark.read.text(wholetext)``."""
+    """Direct prompts with templates read by ``spark.read.text(wholetext)`` from
+    a folder that all executors share."""
     from ..operators import prompts
     from ..sources import tables
-    tpl = tables.load_templates(spark, prompts.TEMPLATE_ROOT)
+    root = _scratch(spark, "templates")
+    tables.save_templates(spark, prompts.template_rows(), root)
+    tpl = tables.load_templates(spark, root)
     x = prompts.all_dimensions(qa_view(spark, sf_dir))
     return prompts.render_prompt(x, tpl).select("item_id", "dimension", "prompt")
 
@@ -657,7 +660,7 @@ ERR_BASE = V.with_views(V.QA, V.LAB, V.QA_LAB, _tpl_sql()) + \
        "JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension")
 def q_render_error_prompt(spark, sf_dir):
     from ..operators import prompts
-    x = prompts.all_dimensions(qa_labeled_filled(spark, sf_dir))
+    x = prompts.all_dimensions(prompts.with_parsed_labels(qa_labeled_filled(spark, sf_dir)))
     return prompts.render_error_prompt(x, templates_df(spark)).select("item_id", "dimension", "prompt")
 
 
@@ -667,7 +670,7 @@ def q_render_error_prompt(spark, sf_dir):
        "FROM qald q JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension")
 def q_render_api_prompt(spark, sf_dir):
     from ..operators import prompts
-    x = prompts.all_dimensions(qa_labeled_filled(spark, sf_dir))
+    x = prompts.all_dimensions(prompts.with_parsed_labels(qa_labeled_filled(spark, sf_dir)))
     x = prompts.with_messages(prompts.render_error_prompt(x, templates_df(spark), keep_empty_slot=True))
     return x.select("item_id", "dimension", F.col("messages")[0]["content"].alias("system"),
                     F.col("messages")[1]["content"].alias("user"))
@@ -1022,11 +1025,14 @@ def q_train_dev_split(spark, sf_dir):
     return S.train_dev_split(lab_view(spark, sf_dir)).select("item_id", "split")
 
 
+SLICE = 20
+
+
 @query("candidate_slice", V.with_views(V.QA) +
-       f"SELECT item_id, question FROM qa ORDER BY item_id LIMIT {vocab.CANDIDATE_SLICE}")
+       f"SELECT item_id, question FROM qa ORDER BY item_id LIMIT {SLICE}")
 def q_candidate_slice(spark, sf_dir):
     from ..operators import sampling as S
-    return S.candidate_slice(qa_view(spark, sf_dir)).select("item_id", "question")
+    return S.candidate_slice(qa_view(spark, sf_dir).select("item_id", "question"), SLICE)
 
 
 @query("rows_with_label", V.with_views(V.LAB) +
@@ -1089,7 +1095,7 @@ def q_sink_json(spark, sf_dir):
     from ..sources import tables
     path = _scratch(spark, "qa-json-full")
     tables.sink_json(qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer"), path)
-    return tables.read_table(spark, path + "/*.json", tables.QA_SCHEMA).select(
+    return tables.read_table(spark, path, tables.QA_SCHEMA, fmt="json").select(
         "item_id", "passage", "question", "answer")
 
 
@@ -1109,9 +1115,9 @@ def q_sink_text(spark, sf_dir):
     since transcripts hold newlines) and read back."""
     from ..operators import prompts
     path = _scratch(spark, "chats-text")
-    chats = prompts.chat_transcripts(views.chats(spark, sf_dir))
-    chats.select(F.col("chat").alias("value")).write.mode("overwrite").option("lineSep", "\x1e").text(path)
-    return spark.read.option("lineSep", "\x1e").text(path)
+    from ..sources import tables
+    tables.sink_text(prompts.chat_transcripts(views.chats(spark, sf_dir)), "chat", path)
+    return tables.read_text(spark, path)
 
 
 @query("incremental_score", V.with_views(V.RESP, V.SCORED) + "SELECT item_id, dimension, model, score FROM scored")
@@ -1208,6 +1214,36 @@ def q_complete_batch(spark, sf_dir):
                                      completion.length_rule_evaluator)
 
 
+@query("complete_routed", "WITH dp AS (" + _direct_prompt_sql() + f"""), m AS (
+  SELECT *, ['rule-a', 'rule-fail', 'other'][item_id % 3 + 1] AS model FROM dp)
+SELECT item_id, dimension, model, CASE model WHEN 'rule-a' THEN {RULE_REPLY}
+       WHEN 'rule-fail' THEN CASE WHEN length(prompt) % 5 = 0 THEN '' ELSE {RULE_REPLY} END ELSE '' END AS response,
+       CASE model WHEN 'other' THEN 'no model for this row' END AS failure FROM m""")
+def q_complete_routed(spark, sf_dir):
+    """Each row to the function of its model; an unknown model is reported."""
+    from ..operators import completion, prompts
+    x = prompts.with_messages(prompts.render_prompt(prompts.all_dimensions(qa_view(spark, sf_dir)),
+                                                    templates_df(spark)))
+    model = F.element_at(F.array(*map(F.lit, ("rule-a", "rule-fail", "other"))),
+                         (F.col("item_id") % 3 + 1).cast("int"))
+    return completion.complete_routed(
+        x.select("item_id", "dimension", model.alias("model"), "messages"),
+        {"fail": completion.failing_evaluator, "rule": completion.length_rule_evaluator}, failure_col="failure")
+
+
+@query("evaluate_thinking", "WITH dp AS (" + _direct_prompt_sql() + """)
+SELECT item_id, dimension, 'thinker' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score,
+       'maybe score: 9' AS thinking FROM dp""")
+def q_evaluate_thinking(spark, sf_dir):
+    """A model that names another score while reasoning: only the text behind
+    the marker is scored, the reasoning is kept."""
+    from ..operators import completion
+    from . import jobs
+    out = jobs.evaluate(qa_view(spark, sf_dir), templates_df(spark), completion.thinking_evaluator, "thinker",
+                        error_aware=False, thinking="thinking")
+    return out.select("item_id", "dimension", "model", "score", "thinking")
+
+
 @query("evaluate", ERR_BASE + f""", ep AS (
   SELECT q.item_id, q.dimension, {_error_fill()} AS prompt FROM qald q
   JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension)
@@ -1243,11 +1279,12 @@ def q_compare_modes(spark, sf_dir):
     r = views.responses(spark, sf_dir)
     err_resp = F.when(F.col("item_id") % 3 == 0, F.concat(
         F.lit("score: "), F.col("rating").cast("int").cast("string"))).otherwise(F.col("response"))
-    both = (r.select("item_id", "dimension", "model", F.lit("vanilla").alias("mode"), "response")
-            .unionByName(r.select("item_id", "dimension", "model", F.lit("error").alias("mode"),
-                                  err_resp.alias("response"))))
-    scored = rows.with_score(both).drop("response")
-    return jobs.compare_modes(scored, r.select("item_id", "dimension", "rating"))
+    # one scan: each row fans out to its modes, the rating rides along
+    modes = F.array(F.struct(F.lit("vanilla").alias("mode"), F.col("response")),
+                    F.struct(F.lit("error").alias("mode"), err_resp.alias("response")))
+    both = r.select("item_id", "dimension", "model", "rating", F.explode(modes).alias("m"))
+    scored = rows.with_score(both.select("item_id", "dimension", "model", "rating", "m.*")).drop("response")
+    return jobs.compare_modes(scored)
 
 
 # ---- M1-M6: models (rows-only checks) --------------------------------------------------------

@@ -54,13 +54,13 @@ def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
     return rows.with_score(replies.withColumn("model", F.lit(model_name)), thinking=thinking)
 
 
-def compare_modes(scored: DataFrame, ratings: DataFrame,
+def compare_modes(scored: DataFrame, ratings: DataFrame | None = None,
                   modes=("vanilla", "error")) -> DataFrame:
     """Pearson per (dimension, model) for each prompting mode side by side.
 
-    ``scored``: item_id, dimension, model, mode, score; ``ratings``: item_id,
-    dimension, rating."""
-    paired = rows.pair_rating_pred(ratings, scored)
+    ``scored``: item_id, dimension, model, mode, score, and rating unless
+    ``ratings`` (item_id, dimension, rating) are to be joined."""
+    paired = scored if ratings is None else rows.pair_rating_pred(ratings, scored)
     per = metrics.pearson_by_group(paired, ["mode", "dimension", "model"], "rating", "score",
                                    valid=F.col("score") != vocab.NO_SCORE)
     wide = per.groupBy("dimension", "model").pivot("mode", list(modes)).agg(

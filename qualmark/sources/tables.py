@@ -55,10 +55,21 @@ def format_for(path: str) -> str:
     return _FORMATS[ext]
 
 
-def read_table(spark: SparkSession, path: str,
-               schema: T.StructType | None = None) -> DataFrame:
-    """Pick the reader by file extension; raise on an unknown one."""
-    fmt = format_for(path)
+def is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first text of a JSON file is the bracket of an array."""
+    head = spark.read.text(path).filter(F.trim("value") != "").first()
+    return head is not None and head[0].lstrip().startswith("[")
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
+               fmt: str | None = None) -> DataFrame:
+    """Pick the reader by file extension, or by ``fmt`` for a folder without
+    one; raise on an unknown extension. JSON may be lines or one array per file
+    (``.json`` only; an array is read by one task per file)."""
+    fmt = fmt or format_for(path)
+    if fmt == "json":
+        array = path.rstrip("/").lower().endswith(".json") and is_json_array(spark, path)
+        return scan_json(spark, path, schema, json_array=array)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
@@ -97,5 +108,31 @@ def sink_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("encoding", "UTF-8").json(path)
 
 
-def sink_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+RECORD_END = "\x1e"
+
+
+def sink_text(df: DataFrame, column: str, path: str, record_end: str = RECORD_END) -> None:
+    """One record per row; records may hold line ends, so a separator of its own
+    (U+001E) ends them. A record that holds the separator is an error."""
+    value = F.col(column)
+    safe = F.when(F.contains(value, F.lit(record_end)), F.raise_error(F.lit("a record holds the separator"))
+                  ).otherwise(value)
+    df.select(safe.cast("string").alias("value")).write.mode("overwrite").option("lineSep", record_end).text(path)
+
+
+def read_text(spark: SparkSession, path: str, record_end: str = RECORD_END) -> DataFrame:
+    """The records of ``sink_text``, as ``value``."""
+    return spark.read.option("lineSep", record_end).text(path)
+
+
+def save_templates(spark: SparkSession, rows, root: str) -> None:
+    """Write (kind, dimension, body) as ``<root>/<kind>/<dimension>.txt`` in the
+    cluster's file system (some twenty small files)."""
+    sc = spark.sparkContext
+    for kind, dimension, body in rows:
+        path = sc._jvm.org.apache.hadoop.fs.Path(os.path.join(root, kind, f"{dimension}.txt"))
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(body.encode("utf-8")))
+        finally:
+            out.close()

@@ -4,9 +4,10 @@ Responses land as files in a folder; each run picks up only files it has not
 processed (the stream checkpoint records them), parses scores and appends
 to a parquet sink. No state store is needed: the operator is stateless.
 
-Writes go through ``foreachBatch`` keyed by ``batch_id``: a batch that is
-re-run after a failure overwrites its own folder, so a retried batch never
-duplicates rows.
+Writes go through ``foreachBatch`` keyed by the stream's id, which lives in its
+checkpoint, and ``batch_id``: a batch that is re-run after a failure overwrites
+its own folder, so a retried batch never duplicates rows, and a stream with a
+new checkpoint never touches the folders of an older one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import extract_score
+from ..operators.rows import with_score
 
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("item_id", T.LongType(), False),
@@ -34,7 +35,7 @@ def score_stream(spark: SparkSession, source_dir: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.parquet(source_dir)
-    return raw.withColumn("score", extract_score(F.col("response")))
+    return with_score(raw)
 
 
 def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str,
@@ -44,7 +45,8 @@ def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str,
     batches = []
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        out = os.path.join(sink_dir, f"batch={batch_id}")
+        stream = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        out = os.path.join(sink_dir, f"stream={stream}", f"batch={batch_id}")
         df.write.mode("overwrite").parquet(out)
         batches.append(batch_id)
 
@@ -58,4 +60,4 @@ def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str,
 
 
 def read_scored(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(sink_dir).drop("batch")
+    return spark.read.parquet(sink_dir).drop("stream", "batch")

@@ -172,12 +172,6 @@ def alias_map() -> Column:
                           for c in (F.lit(k), F.lit(v))])
 
 
-def dimension_index(dim_col: Column) -> Column:
-    """0-based position of a dimension name, NULL if unknown."""
-    pos = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), dim_col)
-    return F.when(pos > 0, (pos - 1).cast("int"))
-
-
 def relevant_labels_for(dim_col: Column) -> Column:
     """Array of labels relevant to the dimension in ``dim_col``."""
     m = F.create_map(*[c for d, labs in DIMENSION_LABELS.items()
@@ -185,28 +179,6 @@ def relevant_labels_for(dim_col: Column) -> Column:
     return F.element_at(m, dim_col)
 
 
-def label_table(spark: SparkSession) -> DataFrame:
-    """``label(idx, label, description)`` — 11 rows."""
-    rows = [(i, lab, describe_label_line(lab)) for i, lab in enumerate(LABELS)]
-    schema = T.StructType([
-        T.StructField("idx", T.IntegerType(), False),
-        T.StructField("label", T.StringType(), False),
-        T.StructField("description", T.StringType(), False),
-    ])
-    return spark.createDataFrame(rows, schema)
-
-
-def dim_label_table(spark: SparkSession) -> DataFrame:
-    """``dim_label(dimension, label, pos)`` bridge table — 33 rows."""
-    rows = [(d, lab, i) for d, labs in DIMENSION_LABELS.items() for i, lab in enumerate(labs)]
-    schema = T.StructType([
-        T.StructField("dimension", T.StringType(), False),
-        T.StructField("label", T.StringType(), False),
-        T.StructField("pos", T.IntegerType(), False),
-    ])
-    return spark.createDataFrame(rows, schema)
-
-
 def factor_table(spark: SparkSession, difficulty: dict | None,
                  importance: dict | None) -> DataFrame:
     """``(label, difficulty, importance)`` for labels named in either dict."""
