@@ -16,10 +16,8 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,20 +108,31 @@ def verify_labels(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def select_model(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                 reg_params: Sequence[float] = (0.0, 0.01, 0.1), train_ratio: float = 0.8,
-                 seed: int = vocab.SPLIT_SEED, num_features: int = NUM_FEATURES):
+                 reg_params: Sequence[float] = (0.0, 0.01, 0.1), dev_percent: int = 20,
+                 key: str = "item_id", num_features: int = NUM_FEATURES):
     """Pick the regularisation with the best positive-class F1 on a held-out
-    part. Returns (best PipelineModel, [(reg_param, f1)])."""
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=20)
-    pipe = Pipeline(stages=feature_stages(text_col, num_features) + [lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction",
-                                          metricName="fMeasureByLabel", metricLabel=1.0)
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev,
-                               trainRatio=train_ratio, seed=seed)
-    fitted = tvs.fit(train.withColumn("_label", F.col(label_col).cast("double")))
-    scores = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, fitted.validationMetrics)]
-    return fitted.bestModel, scores
+    part. The part is drawn by ``md5(seed|key)``, so it does not depend on the
+    partitioning, and the features are fitted once for all candidates.
+    Returns (best PipelineModel, [(reg_param, f1)])."""
+    from .sampling import train_dev_split
+    data = train_dev_split(train, dev_percent, key).withColumn("_label", F.col(label_col).cast("double"))
+    fit = data.filter(F.col("split") == "train")
+    feats = Pipeline(stages=feature_stages(text_col, num_features)).fit(fit)
+    x = feats.transform(fit).select("features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
+    dev = feats.transform(data.filter(F.col("split") == "dev")).select("features", "_label")
+    scores, best = [], None
+    try:
+        for reg in reg_params:
+            lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=20, regParam=reg).fit(x)
+            y, p = F.col("_label") == 1, F.col("prediction") == 1
+            c = lr.transform(dev).agg(F.count_if(y & p).alias("tp"), F.count_if(y != p).alias("wrong")).first()
+            f1 = 2 * c.tp / (2 * c.tp + c.wrong) if c.tp else 0.0
+            if best is None or f1 > max(f for _, f in scores):
+                best = PipelineModel(feats.stages + [lr])
+            scores.append((float(reg), f1))
+    finally:
+        x.unpersist()
+    return best, scores
 
 
 def select_identifier(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.0, 0.01),

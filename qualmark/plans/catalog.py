@@ -1287,7 +1287,7 @@ def q_compare_modes(spark, sf_dir):
     return jobs.compare_modes(scored)
 
 
-# ---- M1-M6: models (rows-only checks) --------------------------------------------------------
+# ---- M1-M6: models (facts that hold whatever was learned) --------------------------------------------------------
 
 def identifier_input(spark, sf_dir):
     """Labelled QA rows with the whole identifier text."""
@@ -1315,53 +1315,117 @@ def verifier_input(spark, sf_dir):
     return materialize(sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE), "verifier-input")
 
 
-@query("train_identifier")
+def _facts(df, *columns):
+    """What must hold for every row of the identifier, whatever was learned:
+    probabilities in [0, 1], and the label string their decoding."""
+    from ..functions import labels as lb
+    p = F.array(*[F.col(f"`{name}_prob`") for name in vocab.LABELS])
+    in_range = F.forall(p, lambda x: (x >= 0) & (x <= 1))
+    decoded = lb.decode(lb.above(p, lb.thresholds(None))) == F.col("pred_error")
+    return df.select(*columns, in_range.alias("in_range"), decoded.alias("decoded"))
+
+
+def _verifier_facts(df, *columns):
+    p = F.col("positive_prob")
+    return df.select(*columns, ((p >= 0) & (p <= 1)).alias("in_range"),
+                     ((p > 0.5) == (F.col("verify_label") == 1)).alias("decoded"))
+
+
+def _dev(share: int) -> str:
+    return f"{V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 < {share}"
+
+
+VERIFIER_SQL = SEED_SQL.rstrip() + """, ver AS (SELECT seed.*, CAST(l.quality AS INTEGER) AS label
+  FROM seed JOIN labels l ON l.doc_id = seed.doc_id)
+"""
+
+
+@query("train_identifier", SEED_SQL + "SELECT item_id, error_label, true AS in_range, true AS decoded FROM seed "
+       f"WHERE {_dev(vocab.IDENTIFIER_DEV_SHARE)}")
 def q_train_identifier(spark, sf_dir):
+    """Facts of the dev rows under a freshly trained identifier."""
     from ..operators import ml
     d = identifier_input(spark, sf_dir)
     m = ml.train_identifier(d.filter(F.col("split") == "train"))
-    return ml.identify_errors(m, d.filter(F.col("split") == "dev").select(
-        "item_id", "text", "error_label")).select("item_id", "error_label", "pred_error")
+    dev = ml.identify_errors(m, d.filter(F.col("split") == "dev").select("item_id", "text", "error_label"),
+                             need_prob=True)
+    return _facts(dev, "item_id", "error_label")
 
 
-@query("identify_errors")
+@query("identify_errors", V.with_views(V.QA) + "SELECT item_id, true AS in_range, true AS decoded FROM qa")
 def q_identify_errors(spark, sf_dir):
     from ..operators import ml, prompts
     d = identifier_input(spark, sf_dir)
     m = ml.train_identifier(d.filter(F.col("split") == "train"))
     pool = qa_view(spark, sf_dir).withColumn("text", prompts.identifier_text(
         F.col("question"), F.col("answer"), F.col("passage")))
-    return ml.identify_errors(m, pool.select("item_id", "text"), need_prob=True)
+    return _facts(ml.identify_errors(m, pool.select("item_id", "text"), need_prob=True), "item_id")
 
 
-@query("train_verifier")
+@query("train_verifier", VERIFIER_SQL + "SELECT item_id, label, true AS in_range, true AS decoded FROM ver "
+       f"WHERE {_dev(vocab.VERIFIER_DEV_SHARE)}")
 def q_train_verifier(spark, sf_dir):
+    """Facts of the dev rows under a freshly trained verifier."""
     from ..operators import ml
     d = verifier_input(spark, sf_dir)
     m = ml.train_verifier(d.filter(F.col("split") == "train"))
-    return ml.verify_labels(m, d.filter(F.col("split") == "dev").select("item_id", "text", "label"))
+    dev = ml.verify_labels(m, d.filter(F.col("split") == "dev").select("item_id", "text", "label"))
+    return _verifier_facts(dev, "item_id", "label")
 
 
-@query("verify_labels")
+@query("verify_labels", VERIFIER_SQL +
+       "SELECT item_id, error_label AS pred_error, true AS in_range, true AS decoded FROM ver")
 def q_verify_labels(spark, sf_dir):
     from ..operators import ml
     d = verifier_input(spark, sf_dir)
     m = ml.train_verifier(d.filter(F.col("split") == "train"))
-    return ml.verify_labels(m, d.select("item_id", "pred_error", "text"))
+    return _verifier_facts(ml.verify_labels(m, d.select("item_id", "pred_error", "text")),
+                           "item_id", "pred_error")
 
 
-@query("select_model")
-def q_select_model(spark, sf_dir):
+@query("identifier_report", SEED_SQL + "SELECT CAST(count(*) AS BIGINT) AS n_dev, true AS scores_in_range "
+       f"FROM seed WHERE {_dev(vocab.IDENTIFIER_DEV_SHARE)}")
+def q_identifier_report(spark, sf_dir):
+    """The multi-label metrics of a trained identifier on the dev rows: their
+    number, and whether every score lies in [0, 1]."""
+    from ..functions import labels as lb
+    from ..operators import ml
+    d = identifier_input(spark, sf_dir)
+    m = ml.train_identifier(d.filter(F.col("split") == "train"))
+    dev = m.logits(d.filter(F.col("split") == "dev").select("text", lb.binarize(F.col("labels")).alias("y_true")))
+    pred = dev.select("y_true", lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(None)).alias("y_pred"))
+    r = metrics.multilabel_metrics(pred)
+    ok = F.lit(True)
+    for c, kind in r.dtypes:
+        if kind == "double":
+            ok = ok & (F.col(c) >= 0) & (F.col(c) <= 1)
+    return r.select(ok.alias("scores_in_range")).crossJoin(pred.agg(F.count(F.lit(1)).alias("n_dev")))
+
+
+def _scored_candidates(spark, scores, name):
+    """Candidates with their score: in range, and exactly the best one chosen."""
     from pyspark.sql import types as T
+    best = max(f for _, f in scores)
+    rows = [(reg, 0.0 <= f <= 1.0, f <= best) for reg, f in scores]
+    return spark.createDataFrame(rows, T.StructType([
+        T.StructField("reg_param", T.DoubleType()), T.StructField(f"{name}_in_range", T.BooleanType()),
+        T.StructField("not_above_best", T.BooleanType())]))
+
+
+@query("select_model", "SELECT CAST(r AS DOUBLE) AS reg_param, true AS f1_in_range, true AS not_above_best "
+       "FROM (VALUES (0.0), (0.01), (0.1)) t(r) WHERE EXISTS (SELECT 1 FROM labels)")
+def q_select_model(spark, sf_dir):
+    """Verifier regularisation chosen by dev F1."""
     from ..operators import ml
     d = verifier_input(spark, sf_dir).filter(F.col("split") == "train")
-    _, scores = ml.select_model(d)
-    schema = T.StructType([T.StructField("reg_param", T.DoubleType()), T.StructField("f1", T.DoubleType())])
-    return spark.createDataFrame(scores, schema)
+    return _scored_candidates(spark, ml.select_model(d)[1], "f1")
 
 
-@query("self_train_round")
+@query("self_train_round", SEED_SQL + "SELECT item_id, error_label FROM seed")
 def q_self_train_round(spark, sf_dir):
+    """One round with trained models, as far as SQL can tell: all training rows
+    stay as they are, and what is added is new. (Added rows that are new are left
+    out of the result; one that repeats a training row would show.)"""
     from ..operators import ml
     from . import jobs
     d = identifier_input(spark, sf_dir)
@@ -1371,10 +1435,62 @@ def q_self_train_round(spark, sf_dir):
     train_set = seed_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source",
                                                 "error_label")
     pool = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source")
-    return jobs.self_train_round(ident, ver, pool, train_set)
+    out = jobs.self_train_round(ident, ver, pool, train_set)
+    return out.join(train_set.select("item_id"), "item_id", "left_semi").select("item_id", "error_label")
 
 
-@query("build_training_set")
+@query("self_train_accept", V.with_views(V.QA, V.LAB, V.SEED) + """
+SELECT item_id, error_label FROM seed
+UNION ALL SELECT item_id, 'Vague; Off Topic' FROM qa WHERE item_id % 3 = 1 AND item_id NOT IN (SELECT item_id FROM seed)""")
+def q_self_train_accept(spark, sf_dir):
+    """Filter and union of a self-training round with rules for models."""
+    from . import jobs
+    train_set = seed_view(spark, sf_dir).select("item_id", "error_label")
+    pool = qa_view(spark, sf_dir).select("item_id").join(train_set.select("item_id"), "item_id", "left_anti")
+    verified = pool.select("item_id", F.lit("Vague; Off Topic").alias("pred_error"),
+                           (F.col("item_id") % 3 == 1).cast("int").alias("verify_label"))
+    return jobs.add_accepted(train_set, verified)
+
+
+def _training_set_sql() -> str:
+    """The whole loop with the stand-ins written out: from the second attempt on
+    every prompt gets a reply with the labels of its evidence lines, so an item is
+    accepted if those equal the example's labels; reviewers hash their prompt."""
+    prompt = V.fill("(SELECT body FROM tpl WHERE kind = 'generate')",
+                    [("{{FEW_SHOT_EXAMPLES}}", FEW_SHOT_SQL_EXPR.format(p="ex_")),
+                     ("{{ERROR}}", V.describe(V.parse_labels("ex_error_label"))),
+                     ("{{PASSAGE}}", "passage"), ("{{ANSWER}}", "answer")])
+    review = V.fill("(SELECT body FROM tpl WHERE kind = 'review')",
+                    [("{{PASSAGE}}", "passage"), ("{{ANSWER}}", "answer"), ("{{QUESTION}}", "question"),
+                     ("{{ERROR}}", "error_label")])
+
+    def lowered(e):
+        return f"list_transform({e}, lambda x: lower(x))"
+
+    def confidence(name):
+        h = f"CAST(('0x' || substr(md5('{name}|' || review), 1, 8)) AS BIGINT)"
+        return f"CAST(printf('%.2f', ({h} % 101) / 100.0) AS DOUBLE)"
+
+    raw, got = V.parse_labels_raw("ex_error_label"), V.parse_labels_raw("error_label")
+    votes = " + ".join(f'CASE WHEN "check-{r}" >= thres THEN 1 ELSE 0 END' for r in vocab.REVIEWERS)
+    return DRAW_SQL + ", " + _tpl_sql() + f"""
+, sx AS (SELECT sh.item_id, sh.passage, sh.answer, q.source, e.passage AS ex_passage, e.answer AS ex_answer,
+                e.question AS ex_question, e.error_label AS ex_error_label
+         FROM shot sh JOIN seed e ON e.item_id = sh.ex_item_id JOIN qa q ON q.item_id = sh.item_id)
+, gen AS (SELECT item_id, passage, answer, split_part(source, '_', 1) || '_GPT-4' AS source, ex_error_label,
+                 'What is said about item ' || CAST(length({prompt}) % 97 AS VARCHAR) || '?' AS question,
+                 array_to_string({V.parse_labels("ex_error_label")}, '; ') AS error_label FROM sx)
+, acc AS (SELECT * FROM gen WHERE error_label <> '' AND len({raw}) = len({got})
+          AND list_sort(list_distinct({lowered(raw)})) = list_sort(list_distinct({lowered(got)})))
+, rp AS (SELECT *, {review} AS review FROM acc)
+, rv AS (SELECT *, {", ".join(f'{confidence(r)} AS "check-{r}"' for r in vocab.REVIEWERS)},
+                CASE WHEN list_has_any({got}, {V.list_lit(vocab.LOW_PRECISION_LABELS)})
+                     THEN {vocab.LOW_PRECISION_THRESHOLD} ELSE 0.5 END AS thres FROM rp)
+SELECT item_id, passage, answer, question, source, error_label, {", ".join(f'"check-{r}"' for r in vocab.REVIEWERS)}
+FROM rv WHERE {votes} >= {vocab.DEFAULT_VOTES}"""
+
+
+@query("build_training_set", _training_set_sql())
 def q_build_training_set(spark, sf_dir):
     from ..operators import completion
     from . import jobs
@@ -1426,22 +1542,21 @@ def q_bce_loss_weighted(spark, sf_dir):
 
 
 
-@query("select_identifier")
+@query("select_identifier", "SELECT CAST(r AS DOUBLE) AS reg_param, true AS micro_f1_in_range, true AS not_above_best "
+       "FROM (VALUES (0.0), (0.01)) t(r) WHERE EXISTS (SELECT 1 FROM documents)")
 def q_select_identifier(spark, sf_dir):
     """Identifier regularisation chosen by dev micro-F1."""
-    from pyspark.sql import types as T
     from ..operators import ml
     d = identifier_input(spark, sf_dir)
-    _, scores = ml.select_identifier(d.filter(F.col("split") == "train"),
-                                     d.filter(F.col("split") == "dev"))
-    schema = T.StructType([T.StructField("reg_param", T.DoubleType()),
-                           T.StructField("micro_f1", T.DoubleType())])
-    return spark.createDataFrame(scores, schema)
+    _, scores = ml.select_identifier(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"))
+    return _scored_candidates(spark, scores, "micro_f1")
 
 
-@query("evaluate_with_identifier")
+@query("evaluate_with_identifier", V.with_views(V.QA, V.QA_DIM) +
+       "SELECT item_id, dimension, 'rule' AS model, true AS graded FROM qad")
 def q_evaluate_with_identifier(spark, sf_dir):
-    """Error-aware evaluation with labels from a freshly trained identifier."""
+    """Error-aware evaluation with labels from a freshly trained identifier:
+    every row and dimension gets a grade."""
     from ..operators import completion, ml
     from . import jobs
     d = identifier_input(spark, sf_dir)
@@ -1449,8 +1564,7 @@ def q_evaluate_with_identifier(spark, sf_dir):
     qa = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer")
     out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule",
                         identifier=ident)
-    return out.select("item_id", "dimension", "model", "score")
-
+    return out.select("item_id", "dimension", "model", F.col("score").between(1, 3).alias("graded"))
 
 
 @query("resume_scoring", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
