@@ -149,18 +149,21 @@ def _emit(df: DataFrame, make: Callable[[], Callable[..., list[np.ndarray] | Non
     return df.mapInArrow(run, spark_schema)
 
 
-def _seeds(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Picked grams of each document, with the times they were picked."""
+def _seeds(docs: DataFrame, spec: Spec, times: bool) -> DataFrame:
+    """Picked grams of each document, and with ``times`` how often they were picked."""
     def make():
         def one(doc_id, text):
             got = _runs_of(spec, text)
             if got is None:
                 return None
+            if not times:
+                key = np.unique(got[4])
+                return [key, np.full(len(key), doc_id)]
             key, n = np.unique(got[4], return_counts=True)
             return [key, np.full(len(key), doc_id), n]
         return one
-    return _emit(docs, make, [("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())],
-                 "key long, doc_id long, n int")
+    columns = [("key", pa.int64()), ("doc_id", pa.int64())] + ([("n", pa.int32())] if times else [])
+    return _emit(docs, make, columns, "key long, doc_id long" + (", n int" if times else ""))
 
 
 _ROW = [("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()),
@@ -291,11 +294,12 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     doc_id and place, or in an "earlier document"."""
     base = id_text(docs)
     known = base.filter("doc_id is not null and text is not null")
-    many = F.sum("n") > 1 if mode != "earlier document" else F.count("*") > 1
-    seeds = step(_seeds(known, spec), "seeds")
+    times = mode != "earlier document"  # else only other documents count
+    many = F.sum("n") > 1 if times else F.count("*") > 1
+    seeds = step(_seeds(known, spec, times), "seeds")
     twice = seeds.groupBy("key").agg(many.alias("again")).filter("again").select("key")
     hits = step(seeds.select("key", "doc_id").join(twice.hint("shuffle_hash"), "key", "left_semi")
-                .groupBy("doc_id").agg(F.collect_set("key").alias("shared")), "hits")
+                .groupBy("doc_id").agg(F.collect_list("key").alias("shared")), "hits")
     discard(seeds)
     names = (schema + ", doc_id long, text_id int, whole string, "
              "key array<long>, content array<long>, at array<int>, w array<int>, lead array<int>")

@@ -99,23 +99,27 @@ def _walk(x: list[int], y: list[int]) -> int:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text without the words repeated from an earlier document, the
     number of words and of removed words."""
-    return repeated(docs, Words(window), "earlier document", finish_words,
+    def finish(text, spans):
+        kept, n, removed = kept_words(text, spans)
+        return kept.decode(), n, removed
+    return repeated(docs, Words(window), "earlier document", finish,
                     "text string, n_words long, n_removed long")
 
 
-def finish_words(text, spans):
+def kept_words(text: str | None, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The remaining words over single blanks, the words, and the removed ones."""
     ws = (text or "").encode().split()
     kept, at = [], 0
     for lo, hi in spans:
         kept += ws[at:lo]
         at = hi
     kept += ws[at:]
-    return b" ".join(kept).decode(), len(ws), len(ws) - len(kept)
+    return b" ".join(kept), len(ws), len(ws) - len(kept)
 
 
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def finish(text, spans):
-        kept, n, removed = finish_words(text, spans)
-        return n, removed, hashlib.sha256(kept.encode()).hexdigest()
+        kept, n, removed = kept_words(text, spans)
+        return n, removed, hashlib.sha256(kept).hexdigest()
     return repeated(docs, Words(window), "earlier document", finish,
                     "n_words long, n_removed long, kept_sha256 string")
