@@ -92,13 +92,15 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 class Memo(dict):
-    """A bounded cache of a function of one key."""
+    """A bounded cache of a function of one string; long ones are not kept."""
 
-    def __init__(self, fn: Callable, size: int = 150_000) -> None:
-        self.fn, self.size = fn, size
+    def __init__(self, fn: Callable, size: int = 150_000, longest: int = 64) -> None:
+        self.fn, self.size, self.longest = fn, size, longest
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.clear()
-        self[key] = value = self.fn(key)
+        value = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
         return value

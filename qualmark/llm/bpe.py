@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text
+from .base import Memo, id_text
 
 #: Entries kept in each worker's memos before they are emptied.
 PIECE_MEMO = 300_000
@@ -50,8 +50,8 @@ class Codec:
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (i, len(token)))
         self.trie.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()), PIECE_MEMO)
 
     def merges(self, data: bytes) -> list[int]:
         """Merging by definition: the lowest-ranked adjacent pair first."""
@@ -66,7 +66,7 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` then ``right`` is what the merges make of their bytes."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIR_MEMO:
@@ -86,42 +86,42 @@ class Codec:
         dead = bytearray(n + 1)
         path: list[tuple[int, int]] = []
         tried = [len(starts[0])]
-        at = 0
+        known = self.pairs.get
+        at, last = 0, -1
         while at < n:
             options, i = starts[at], tried[-1]
             while i:
                 i -= 1
                 token, size = options[i]
-                if not dead[at + size] and (not path or self.fits(path[-1][0], token)):
-                    tried[-1] = i
-                    path.append((token, size))
-                    at += size
-                    tried.append(len(starts[at]) if at < n else 0)
-                    break
+                if dead[at + size]:
+                    continue
+                if path:
+                    fit = known(last << 32 | token)
+                    if fit is None:
+                        fit = self.fits(last, token)
+                    if not fit:
+                        continue
+                tried[-1] = i
+                path.append((token, size))
+                last = token
+                at += size
+                tried.append(len(starts[at]) if at < n else 0)
+                break
             else:
                 if not path:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
                 tried.pop()
                 at -= path.pop()[1]
-        return tuple(t for t, _ in path)
-
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= PIECE_MEMO:
-                self.pieces.clear()
-            ids = self.encode_piece(piece.encode())
-            if len(piece) <= 64:
-                self.pieces[piece] = ids
-        return ids
+                last = path[-1][0] if path else -1
+        return tuple([t for t, _ in path])
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) > LONG_TEXT:
             pieces = (m.group() for m in self.pattern.finditer(text))
         else:
             pieces = self.pattern.findall(text)
-        return np.fromiter(chain.from_iterable(map(self.ids_of, pieces)), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, pieces)), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
