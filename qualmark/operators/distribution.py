@@ -24,10 +24,9 @@ def label_tokens(df: DataFrame, label_col: str = "error_label",
 
 
 def _with_share(counts: DataFrame) -> DataFrame:
-    """Proportion of each label. The window runs over the aggregated table
-    (one row per distinct label), so the labeled data is scanned once."""
-    from pyspark.sql import Window
-    total = F.sum("count").over(Window.partitionBy())
+    """Proportion of each label. The total is a scalar subquery over the same
+    aggregate, whose exchange is reused; no task gathers all labels."""
+    total = counts.agg(F.sum("count")).scalar()
     return counts.select("label", "count",
                          (F.col("count") / total.cast("double")).alias("proportion"))
 

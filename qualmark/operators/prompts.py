@@ -85,13 +85,16 @@ def describe_errors(labels: Column) -> Column:
 
 def attach_template(df: DataFrame, templates: DataFrame, kind: str,
                     dimension_col: str | None = "dimension") -> DataFrame:
-    """Join the template body for ``kind`` (and the row's dimension)."""
+    """Join the template body for ``kind`` (and the row's dimension). Of several
+    rows for a kind and dimension the body that sorts first is taken, so at most
+    one row per known dimension is broadcast, whatever table is given."""
     t = templates.filter(F.col("kind") == kind)
     if dimension_col is None:
         t = t.filter(F.col("dimension") == ANY).select(F.col("body").alias("template"))
         # one row: attach it as a scalar subquery, not as a join
         return df.withColumn("template", t.scalar())
-    t = t.select(F.col("dimension").alias(dimension_col), F.col("body").alias("template"))
+    t = (t.filter(F.col("dimension").isin(vocab.DIMENSIONS)).groupBy(F.col("dimension").alias(dimension_col))
+         .agg(F.min("body").alias("template")))
     return df.join(F.broadcast(t), dimension_col, "inner")
 
 
