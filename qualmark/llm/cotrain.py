@@ -137,8 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     draw = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) / 1e6
     keep = F.when(F.col("bad").isNull(), pool_rows / max(1, n_all - n_known)).otherwise(
         labelled_rows / max(1, n_known))
-    sample = (_columns(docs).join(known, "doc_id", "left").filter(draw < keep)
-              .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(10)).cast("int")))
+    # drawn on ids alone; the drawn ids, of bounded number, then pick the texts in one scan
+    ids = (docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+           .join(known, "doc_id", "left").filter(draw < keep)
+           .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(10)).cast("int")))
+    sample = _columns(docs).join(F.broadcast(ids), "doc_id")
 
     def make():
         views = Views()
