@@ -1399,7 +1399,7 @@ def q_identifier_report(spark, sf_dir):
     for c, kind in r.dtypes:
         if kind == "double":
             ok = ok & (F.col(c) >= 0) & (F.col(c) <= 1)
-    return r.select(ok.alias("scores_in_range")).crossJoin(pred.agg(F.count(F.lit(1)).alias("n_dev")))
+    return r.select(ok.alias("scores_in_range")).withColumn("n_dev", pred.agg(F.count(F.lit(1))).scalar())
 
 
 def _scored_candidates(spark, scores, name):
