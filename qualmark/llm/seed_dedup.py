@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 
-from .base import Memo
-from .repeats import Spec, mix, repeated
+from .repeats import Ranges, Spec, mix, repeated
 
 WINDOW = 13
 GRAM = 7
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTES = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 class Words(Spec):
@@ -30,11 +30,12 @@ class Words(Spec):
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM) -> None:
         self.window, self.gram, self.pieces = window, gram, (1,)
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def units(self, text):
-        ws = text.encode().split()
-        return np.fromiter(map(self.memo.__getitem__, ws), np.uint64, len(ws))
+        """One hash per word, from one running sum over the bytes."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+        return Ranges(_BYTES[data])(edge[::2], edge[1::2]).view(np.uint64)
 
     def values(self, units):
         return units
