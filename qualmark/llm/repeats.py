@@ -333,9 +333,11 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
         several = classes.join(mixed.select("key", "k"), "key")
         spans.append(step(_compared(several.filter(F.col("k") <= LIMIT), kept, spec, mode), "compared"))
         large = step(several.filter(F.col("k") > LIMIT), "large")
+        discard(classes)
         if large.isEmpty():
             break
         rows = step(_split_rows(_with_text(large, kept), spec, size), "rows")
+        discard(large)
     found = spans[0]
     for more in spans[1:]:
         found = found.unionByName(more)
