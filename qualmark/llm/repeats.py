@@ -10,12 +10,16 @@ listing them all:
 2. grams seen once in the corpus are left behind; texts that hold a repeated
    one are written to a table with their runs, the rest are finished;
 3. runs with equal gram and equal content form a class. A run of a class with
-   several members needs no further look;
+   several members needs no further look; if only earlier documents count, that
+   holds behind the class's first document, and its other runs of the class are
+   *twins* of the one that stands for the class;
 4. among different classes of one gram, ``spec.compare`` finds the equal
-   windows, one member per class, up to ``LIMIT`` classes at a time;
+   windows, one member per class, up to ``LIMIT`` classes at a time. Twins get
+   the same spans, shifted to their place;
 5. grams with more classes are split: their runs are cut into shorter pieces
    keyed by the content that all windows of a piece share, and go through 3 and
-   4 again, down to single windows. No group is ever gathered whole.
+   4 again, twins included, down to single windows. No group is ever gathered
+   whole.
 
 Only hashes, row keys and offsets shuffle, besides the texts themselves.
 """
@@ -211,8 +215,9 @@ def _split_rows(members: DataFrame, spec: Spec, size: int) -> DataFrame:
 
 def _classes(rows: DataFrame, mode: str) -> DataFrame:
     """Classes with their size and first member. Which run of the first document
-    it is matters in mode "earlier" only; elsewhere any will do, which keeps the
-    aggregate in fixed-width hash buffers."""
+    it is matters in mode "earlier" only; elsewhere any will do (in mode "earlier
+    document" the others are its twins), which keeps the aggregate in fixed-width
+    hash buffers."""
     spot = rows.withColumn("spot", F.shiftleft(F.col("text_id").cast("long"), 32) + F.col("at"))
     first = (F.min(F.struct("doc_id", "spot")) if mode == "earlier" else
              F.struct(F.min("doc_id").alias("doc_id"), F.min_by("spot", "doc_id").alias("spot")))
@@ -225,16 +230,44 @@ def _classes(rows: DataFrame, mode: str) -> DataFrame:
 
 
 def _settled(rows: DataFrame, classes: DataFrame, spec: Spec, mode: str) -> DataFrame:
-    """Spans of the runs whose whole content has a counterpart that counts."""
+    """Spans of the runs whose whole content has a counterpart that counts. In
+    mode "earlier document" also the twins, told by a filled ``twin``."""
     several = classes.filter("n > 1").select("key", "content", "first")
-    own = F.lit(True)
+    own, more = F.lit(True), []
     if mode == "earlier document":
-        own = F.col("doc_id") > F.col("first.doc_id")
+        other = F.struct("text_id", "at") != F.struct("first.text_id", "first.at")
+        own = (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & other)
+        more = [F.when(F.col("doc_id") == F.col("first.doc_id"), F.struct(
+            "key", "w", "lead", F.col("first.text_id").alias("text_id"), F.col("first.at").alias("at"))).alias("twin")]
     elif mode == "earlier":
         own = F.struct("doc_id", "text_id", "at") != F.col("first")
     return (rows.join(several, ["key", "content"]).filter(own)
             .select("doc_id", "text_id", F.col("at").alias("lo"),
-                    (F.col("at") + F.col("w") + spec.window - 1).alias("hi")))
+                    (F.col("at") + F.col("w") + spec.window - 1).alias("hi"), *more))
+
+
+def _twins(settled: DataFrame) -> DataFrame:
+    """The twins with the place (text_id, at) of the run that stands for them."""
+    return settled.filter("twin is not null").select(
+        "doc_id", F.col("text_id").alias("twin_text"), F.col("lo").alias("twin_at"), "twin.*")
+
+
+def _shifted(found: DataFrame, twins: DataFrame) -> DataFrame:
+    """The spans found in a run, at the places of its twins."""
+    shift = F.col("twin_at") - F.col("at")
+    return (found.join(twins, ["doc_id", "text_id", "at"])
+            .select("doc_id", F.col("twin_text").alias("text_id"), (F.col("lo") + shift).alias("lo"),
+                    (F.col("hi") + shift).alias("hi")))
+
+
+def _with_twins(large: DataFrame, twins: DataFrame) -> DataFrame:
+    """The classes' runs that are to be split, and their twins."""
+    runs_ = large.select("key", "first", "w", "lead")
+    place = runs_.select("first.doc_id", "first.text_id", "first.at")
+    return runs_.unionByName(
+        twins.join(place, ["doc_id", "text_id", "at"], "left_semi")
+        .select("key", F.struct("doc_id", F.col("twin_text").alias("text_id"), F.col("twin_at").alias("at"))
+                .alias("first"), "w", "lead"))
 
 
 def _with_text(classes: DataFrame, kept: DataFrame) -> DataFrame:
@@ -247,7 +280,7 @@ def _with_text(classes: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _compared(classes: DataFrame, kept: DataFrame, spec: Spec, mode: str) -> DataFrame:
-    """Spans by comparing the members of each key."""
+    """Spans by comparing the members of each key, with the place of their run."""
     def read():
         def one(doc_id, text_id, text, runs_):
             units = spec.units(text)
@@ -266,14 +299,14 @@ def _compared(classes: DataFrame, kept: DataFrame, spec: Spec, mode: str) -> Dat
             for i, spans in found.items():
                 doc_id, text_id, at = members[i][:3]
                 for lo, hi in merge(spans):
-                    yield doc_id, text_id, at + lo, at + hi
+                    yield doc_id, text_id, at, at + lo, at + hi
         return one
 
     data = map_rows(_with_text(classes, kept), read,
                     "key long, doc_id long, text_id int, at int, lead int, w int, data binary")
     groups = data.groupBy("key").agg(F.collect_list(F.struct(
         "doc_id", "text_id", "at", "lead", "w", "data")).alias("members"))
-    return map_rows(groups.select("members"), make, "doc_id long, text_id int, lo int, hi int")
+    return map_rows(groups.select("members"), make, "doc_id long, text_id int, at int, lo int, hi int")
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,21 +355,27 @@ def repeated(docs: DataFrame, spec: Spec, mode: str,
     spans = []
     for size in (*spec.pieces, 0):
         classes = step(_classes(rows, mode), "classes")
-        spans.append(step(_settled(rows, classes, spec, mode), "settled"))
+        settled = step(_settled(rows, classes, spec, mode), "settled")
         discard(rows)
+        spans.append(settled if times else settled.filter("twin is null").drop("twin"))
         if not size:  # pieces of one window: a key has one class
             break
+        twins = None if times else step(_twins(settled), "twins")
         mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("lo"),
                                            F.max("first.doc_id").alias("hi")).filter("k > 1")
         if mode == "earlier document":
             mixed = mixed.filter("lo < hi")
         several = classes.join(mixed.select("key", "k"), "key")
-        spans.append(step(_compared(several.filter(F.col("k") <= LIMIT), kept, spec, mode), "compared"))
+        compared = step(_compared(several.filter(F.col("k") <= LIMIT), kept, spec, mode), "compared")
+        spans.append(compared.drop("at"))
+        if twins is not None:
+            spans.append(_shifted(compared, twins))
         large = step(several.filter(F.col("k") > LIMIT), "large")
         discard(classes)
         if large.isEmpty():
             break
-        rows = step(_split_rows(_with_text(large, kept), spec, size), "rows")
+        runs_ = large if twins is None else _with_twins(large, twins)
+        rows = step(_split_rows(_with_text(runs_, kept), spec, size), "rows")
         discard(large)
     found = spans[0]
     for more in spans[1:]:

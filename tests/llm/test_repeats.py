@@ -94,6 +94,22 @@ def test_every_key_split(frame, monkeypatch):
     same(suffix_dedup.removal_digest(frame(rows)), expected_bytes(rows))
 
 
+@pytest.mark.parametrize("limit", [repeats.LIMIT, 1])
+def test_words_twice_in_the_later_document(frame, monkeypatch, limit):
+    """Equal runs of one document, of which only a part occurs in an earlier one:
+    each place is cleared, also over two texts of a doc_id and on the way of the
+    large groups."""
+    monkeypatch.setattr(repeats, "LIMIT", limit)
+    rows = []
+    for i in range(12):
+        a, p, b, c, d = (prose(9000 + 10 * i + j, n) for j, n in enumerate((20, 13 + i, 20, 30, 30)))
+        rows += [row(20 * i + 3, " ".join([a, p, b])), row(20 * i + 5, " ".join([c, p, d, c, p, d])),
+                 row(20 * i + 7, " ".join([c, p, d])), row(20 * i + 5, " ".join([d, c, p, d]))]
+    want = expected_words(rows)
+    assert [r[2] for r in want[1::4]] == [2 * (13 + i) for i in range(12)]
+    same(seed_dedup.removal_digest(frame(rows)), want)
+
+
 def test_texts(frame):
     rows = [row(1, prose(1, 40)), row(2, "start " + prose(1, 40) + " end")]
     got = {r.doc_id: r.text for r in seed_dedup.remove_repeats(frame(rows)).collect()}
