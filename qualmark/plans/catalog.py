@@ -1423,9 +1423,9 @@ def q_select_model(spark, sf_dir):
 
 @query("self_train_round", SEED_SQL + "SELECT item_id, error_label FROM seed")
 def q_self_train_round(spark, sf_dir):
-    """One round with trained models, as far as SQL can tell: all training rows
-    stay as they are, and what is added is new. (Added rows that are new are left
-    out of the result; one that repeats a training row would show.)"""
+    """One whole round with trained models: the training rows and the pool rows
+    that the verifier accepts. SQL knows the training rows only;
+    ``self_train_accept`` checks the filter and union."""
     from ..operators import ml
     from . import jobs
     d = identifier_input(spark, sf_dir)
@@ -1435,8 +1435,7 @@ def q_self_train_round(spark, sf_dir):
     train_set = seed_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source",
                                                 "error_label")
     pool = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source")
-    out = jobs.self_train_round(ident, ver, pool, train_set)
-    return out.join(train_set.select("item_id"), "item_id", "left_semi").select("item_id", "error_label")
+    return jobs.self_train_round(ident, ver, pool, train_set)
 
 
 @query("self_train_accept", V.with_views(V.QA, V.LAB, V.SEED) + """
