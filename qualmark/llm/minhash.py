@@ -30,8 +30,10 @@ Components are found by repeated contraction in DataFrames.
 
 Defined results: a text that is NULL or has no words has an empty set and links
 with nothing. Rows are judged one by one; a NULL doc_id takes part in nothing,
-has component NULL and is kept. Repeated rows get equal results. Ties between
-centres go to the smaller doc_id.
+has component NULL and is kept. Repeated rows get equal results; rows that share
+a doc_id but not the text are judged apart. Classes are numbered, and their
+numbers are the nodes; the smallest doc_id of a component is taken at the end.
+Ties between centres go to the smaller number, which no result depends on.
 """
 
 from __future__ import annotations
@@ -110,29 +112,33 @@ def signature(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int, rows: int, bins: int = BINS) -> DataFrame:
-    """doc_id, n_shingles, set_id, bands (one bucket key each) and the low
-    byte of every bin."""
+    """doc_id, text_key (tells texts of one doc_id apart), n_shingles, set_id,
+    bands (one bucket key each) and the low byte of every bin."""
 
     def make():
         sets, order = Shingler(shingle), _borrow_order(bins)
         bands = bins // rows
         label = np.arange(bands, dtype=np.uint64)
 
-        def one(doc_id, text):
+        def one(doc_id, text, text_key):
             h = sets(text)
             if not len(h):
-                yield doc_id, 0, None, None, None
+                yield doc_id, text_key, 0, None, None, None
                 return
             sig = signature(h, order)
             key = label
             for column in sig[:bands * rows].reshape(bands, rows).T:
                 key = _mix(key * _ODD[1] + column)
-            yield (doc_id, len(h), xxhash.xxh3_128_digest(h.tobytes()),
+            yield (doc_id, text_key, len(h), xxhash.xxh3_128_digest(h.tobytes()),
                    key.view(np.int64).tolist(), _mix(sig).astype(np.uint8).tobytes())
         return one
 
-    return map_rows(id_text(docs), make, "doc_id long, n_shingles long, set_id binary, "
-                                         "bands array<long>, sig binary")
+    return map_rows(_keyed(docs), make, "doc_id long, text_key long, n_shingles long, set_id binary, "
+                                        "bands array<long>, sig binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return id_text(docs).withColumn("text_key", F.xxhash64("text"))
 
 
 def components(links: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -354,8 +360,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = band_rows(percent / 100)
     sketched = materialize(sketch(docs, shingle, rows), "sketch")
     known = sketched.filter("doc_id is not null and n_shingles > 0")
-    classes = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = (known.join(classes, "set_id").filter("doc_id = rep")
+    classes = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("first"),
+                                                      F.min_by("text_key", "doc_id").alias("text_key"))
+                          .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = (known.join(classes.select("set_id", "first", "rep"), "set_id").filter("doc_id = first")
             .select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep"]))
     banded = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -372,9 +380,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             .groupBy("a", F.col("rep").alias("b")).agg(F.max("wa").alias("wa")))
     star = materialize(star, "star")
 
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(id_text(docs).join(members, "doc_id", "left_semi")
-                        .dropDuplicates(["doc_id"]), "texts")
+    members = (classes.join(buckets.select("rep").distinct(), "rep")
+               .select(F.col("first").alias("doc_id"), "text_key", "rep"))
+    texts = materialize(_keyed(docs).join(members, ["doc_id", "text_key"])
+                        .select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     best = (star.groupBy("b").agg(F.max(F.struct("wa", (-F.col("a")).alias("minus"))).alias("top"))
             .select((-F.col("top.minus")).alias("a"), "b"))
     label = components(_confirm(best, texts, shingle, percent))
@@ -385,8 +394,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = _rest(buckets, label, reps, best, texts, shingle, percent)
     label = components(_confirm(rest, texts, shingle, percent), label)
 
-    placed = (classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("set_id", F.coalesce("component", "rep").alias("component")))
+    linked = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "set_id", "first", F.coalesce("component", "rep").alias("number"))
+    placed = (linked.join(linked.groupBy("number").agg(F.min("first").alias("component")), "number")
+              .select("set_id", "component"))
     return (sketched.select("doc_id", "n_shingles", "set_id").join(placed, "set_id", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -68,6 +68,19 @@ def test_against_all_pairs(edge, frame, k, percent):
     same(minhash.near_duplicates(frame(rows), k, percent), expected(rows, k, percent))
 
 
+def test_two_texts_of_one_id(frame):
+    """Both texts of a repeated doc_id find their near copies."""
+    rows = []
+    for i in range(6):
+        for j in range(2):
+            text = prose(700 + 2 * i + j, 80)
+            rows += [row(i, text), row(10 + 2 * i + j, text + " end"), row(30 + 2 * i + j, "start " + text)]
+    rows += [row(50, prose(800, 60)), row(50, prose(801, 60)), row(50, prose(801, 60))]
+    want = expected(rows, 3, 85)
+    assert {r[2] for r in want if r[0] < 50} == set(range(6))
+    same(minhash.near_duplicates(frame(rows), 3, 85), want)
+
+
 def test_small_chunks(frame, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 4)
     rows = crowd()
