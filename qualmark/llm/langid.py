@@ -3,8 +3,8 @@ character n-grams, trained by follow-the-regularised-leader (elastic net) and
 calibrated by temperature.
 
 Document frequencies are counted over all training documents. The weights are
-fitted on a sample of them, ``SAMPLE_ROWS`` in expectation and shared equally
-among the languages; a fifth of the sample is kept for the temperature. Only
+fitted on a sample of their distinct texts, ``SAMPLE_ROWS`` in expectation and
+shared equally among the languages, however often a text occurs; a fifth of the sample is kept for the temperature. Only
 text and language of training documents are read for that.
 
 Defined results: a text that is NULL, empty or without letters gets ``und`` and
@@ -109,14 +109,16 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPO
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    texts = known.select("lang", F.xxhash64("text").alias("key")).distinct()
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
     each = sample_rows / len(languages)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / sizes[lang]))])
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) / 1e6
-    sample = map_rows(known.filter(draw < share[F.col("lang")]), _counts_of,
+    drawn = known.filter(draw < share[F.col("lang")]).select("text", "lang").distinct()
+    sample = map_rows(drawn, _counts_of,
                       "lang string, split int, at array<int>, n array<int>").orderBy("split", "lang", "at")
     rows, labels, held, truth = [], [], [], []
     for r in sample.toLocalIterator():

@@ -36,6 +36,17 @@ def test_edge(edge):
     assert known[4].lang_pred == "en" and known[-3].lang_pred == "en"
 
 
+def test_copies_are_drawn_once(frame, monkeypatch):
+    """A text that stands for most rows of its language takes one place in the sample."""
+    rows = [row(i, t, lang) for i, (t, lang) in enumerate(texts(120))]
+    rows += [row(1000 + i, rows[0][1], "aa") for i in range(400)]
+    seen = []
+    fit = langid.Ftrl.fit
+    monkeypatch.setattr(langid.Ftrl, "fit", lambda self, x, y, epochs: seen.extend(y) or fit(self, x, y, epochs))
+    langid.train(frame(rows).select("text", "lang"), sample_rows=60)
+    assert all(6 <= seen.count(y) <= 30 for y in range(3))
+
+
 def test_no_labels_and_empty_table(spark, frame):
     none = frame([row(1, "text", None)])
     model = langid.train(none.select("text", "lang"))
