@@ -8,7 +8,9 @@ position fixes where the window must begin; it is kept if the window lies
 inside the document (position and length bounds) and its words are equal there.
 
 The benchmark is handled in blocks of at most ``block_words`` words, so what a
-task holds is bounded; every block meets every document. Documents never shuffle.
+task holds is bounded; every block meets every document. A longer item is cut
+into parts that share ``WINDOW`` - 1 words, all under its id, so no window is
+lost. Documents never shuffle.
 
 Defined results: NULL text has no words and no hits. Items with NULL id or
 without words have no windows. Repeated items share windows and are all listed.
@@ -134,6 +136,23 @@ def _count(docs: DataFrame, block) -> dict[tuple[int, int], int]:
     return {(r.s, r.at): r.n for r in rows.toLocalIterator()}
 
 
+def _parts(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Items with more than ``block_words`` words as overlapping parts."""
+    size, shared = max(block_words, window), window - 1
+
+    def make():
+        def one(item_id, text):
+            ws = words(text)
+            if len(ws) <= size:
+                yield item_id, 0, text
+                return
+            for i, lo in enumerate(range(0, len(ws) - shared, size - shared)):
+                yield item_id, i, b" ".join(ws[lo:lo + size]).decode()
+        return one
+
+    return map_rows(items, make, "item_id long, part int, text string")
+
+
 def _blocks(items: DataFrame, block_words: int):
     """Items in blocks of bounded size; one block is on the driver at a time."""
     held: list[tuple[int, str]] = []
@@ -157,7 +176,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     base = id_text(docs)
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                               F.col("text").cast("string").alias("text"))
-             .filter("item_id is not null and text is not null").orderBy("item_id"))
+             .filter("item_id is not null and text is not null"))
+    items = _parts(items, window, block_words).orderBy("item_id", "part")
     state = base.withColumns({"spans": F.array().cast("array<int>"),
                               "items": F.array().cast("array<long>")})
     blocks = [Block([], window)]

@@ -50,6 +50,21 @@ def test_edge_in_one_and_in_many_blocks(spark, edge):
     same(decontam.digest(decontam.find_benchmark(df, items, block_words=40)), expected(rows, ITEMS))
 
 
+def test_long_item_in_parts(spark, edge):
+    """An item beyond the words of a block is cut, and no window is lost."""
+    df, rows = edge
+    long = [(1, prose(1, 90) + " " + prose(5, 20000, 5000)[:3000] + " " + prose(4, 60)), (2, prose(3, 50))]
+    items = spark.createDataFrame(long, "item_id long, text string")
+    parts = decontam._parts(items, 13, 40).collect()
+    assert max(len(decontam.words(r.text)) for r in parts) <= 40
+    for item, text in long:
+        ws = decontam.words(text)
+        got = [w for r in parts if r.item_id == item for w in [decontam.words(r.text)]]
+        assert sorted(tuple(w[i:i + 13]) for w in got for i in range(len(w) - 12)) == sorted(
+            tuple(ws[i:i + 13]) for i in range(len(ws) - 12))
+    same(decontam.digest(decontam.find_benchmark(df, items, block_words=400)), expected(rows, long))
+
+
 def test_extra_columns_of_the_benchmark(spark, frame):
     items = spark.createDataFrame([(1, prose(1, 20), "x", "y")], "item_id long, text string, doc_id string, spans string")
     rows = [row(1, prose(1, 20)), row(2, prose(2, 20))]
