@@ -3,13 +3,13 @@ and reread by the next. All but the last return the columns of ``documents``.
 
 1. quality classifier: documents that co-training rejects go;
 2. near duplicates (five words, similarity 0.8): the smallest doc_id of each
-   group stays;
-3. benchmark decontamination: contaminated documents go;
+   group stays, and one of the rows with equal doc_id (or none) and equal text;
+3. benchmark decontamination: contaminated documents go, judged row by row;
 4. personal data: spans are masked in the text, ``n_chars`` follows;
 5. byte-level BPE: token ids, and whether decoding gives the text back.
 
 An empty table passes through all stages; a NULL text is a text without words.
-Rows without doc_id are never copies and never contaminated.
+Rows without doc_id are near copies of nothing.
 """
 
 from __future__ import annotations
@@ -29,14 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return minhash.keep_single(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = decontam.digest(found).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

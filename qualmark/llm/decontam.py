@@ -20,10 +20,11 @@ Each input row gives one output row, also when a doc_id is NULL or repeated.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, map_rows, materialize
+from .base import id_text, map_batches, map_rows, materialize
 
 WINDOW = 13
 SHINGLE = 3
@@ -172,23 +173,74 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                    block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, spans (disjoint word intervals as start and end in
     turn) and items (ids of the benchmark items with occurring windows)."""
+    state = id_text(docs).withColumns({"spans": F.array().cast("array<int>"),
+                                       "items": F.array().cast("array<long>")})
+    return _each_block(docs, benchmark, window, block_words, state,
+                       lambda s, block, last: _scan(s, block, keep_text=not last))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+               block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Every row
+    is judged by its own text, also when its doc_id is NULL or repeated."""
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    return _each_block(docs, benchmark, window, block_words,
+                       docs.withColumn(spans, F.array().cast("array<int>")),
+                       lambda s, block, last: _judge(s, block, spans, last)).select(docs.columns)
+
+
+def _judge(state: DataFrame, block: Block, spans: str, last: bool) -> DataFrame:
+    """Add the block's hits to the column ``spans`` of whole rows; the last block
+    leaves the clean rows."""
+    shared = state.sparkSession.sparkContext.broadcast(block)
+    at, text = state.columns.index(spans), state.columns.index("text")
+
+    def make():
+        b = shared.value
+
+        def judged(batch):
+            out, clean = [], []
+            for t, old in zip(batch.column(text), batch.column(at)):
+                hit = _hits(b, words(t.as_py()), old.as_py())[0]
+                out.append(np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist())
+                clean.append(not (hit.any() and 20 * int(hit.sum()) >= len(hit)))
+            if last:
+                return batch.filter(pa.array(clean, pa.bool_()))
+            field = batch.schema.field(at)
+            return batch.set_column(at, field, pa.array(out, field.type))
+        return judged
+
+    return map_batches(state, make)
+
+
+def _hits(block: Block, ws: list[bytes], spans: list[int]) -> tuple[np.ndarray, set[int]]:
+    """Words inside earlier spans or an occurrence, and the items that occur."""
+    hit, found = block.find(ws)
+    for lo, hi in zip(spans[::2], spans[1::2]):
+        hit[lo:hi] = True
+    return hit, found
+
+
+def _each_block(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, state: DataFrame,
+                scan) -> DataFrame:
+    """``scan(state, block, last)`` for every block of the benchmark in turn."""
     spark = docs.sparkSession
     base = id_text(docs)
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                               F.col("text").cast("string").alias("text"))
              .filter("item_id is not null and text is not null"))
     items = _parts(items, window, block_words).orderBy("item_id", "part")
-    state = base.withColumns({"spans": F.array().cast("array<int>"),
-                              "items": F.array().cast("array<long>")})
     blocks = [Block([], window)]
     for held in _blocks(items, block_words):
         block = Block(held, window)
         if block.windows:
             if blocks[0].windows:  # more to come: this block's hits are kept as a table
-                state = materialize(_scan(state, blocks[0], keep_text=True), "decontam")
+                state = materialize(scan(state, blocks[0], False), "decontam")
             block.index(_count(base, spark.sparkContext.broadcast(block)))
             blocks[0] = block
-    return _scan(state, blocks[0])
+    return scan(state, blocks[0], True)
 
 
 def _scan(state: DataFrame, block: Block, keep_text: bool = False) -> DataFrame:
@@ -201,9 +253,7 @@ def _scan(state: DataFrame, block: Block, keep_text: bool = False) -> DataFrame:
 
         def one(doc_id, text, spans, found):
             ws = words(text)
-            hit, more = b.find(ws)
-            for lo, hi in zip(spans[::2], spans[1::2]):
-                hit[lo:hi] = True
+            hit, more = _hits(b, ws, spans)
             edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
             yield (doc_id, text if keep_text else len(ws), edges.tolist(),
                    sorted(more | set(found)))

@@ -357,6 +357,32 @@ def _rest(buckets: DataFrame, label: DataFrame, reps: DataFrame, best: DataFrame
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Documents are linked if their
     shingle sets have a Jaccard similarity of at least ``percent`` / 100."""
+    return _judged(docs, shingle, percent).drop("text_key")
+
+
+def keep_single(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that are kept, with all their columns; of rows with equal
+    doc_id (or none) and equal text one stays. Only rows of repeated pairs shuffle whole."""
+    key = "text_key"
+    while key in docs.columns:
+        key += "_"
+    judged = materialize(_judged(docs, shingle, percent).select(
+        F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "kept"), "judged")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+
+    def without(rows, gone, how):
+        same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("id"))
+        return rows.join(gone, same_id & (F.col(key) == F.col("tk")), how)
+
+    rest = without(keyed, judged.filter("not kept").select("id", "tk").distinct(), "left_anti")
+    twice = materialize(judged.filter("kept").groupBy("id", "tk").agg(F.count("*").alias("size"))
+                        .filter("size > 1").select("id", "tk"), "twice")
+    once = without(rest, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(rest, twice, "left_anti").unionByName(once).select(docs.columns)
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with their text_key."""
     rows = band_rows(percent / 100)
     sketched = materialize(sketch(docs, shingle, rows), "sketch")
     known = sketched.filter("doc_id is not null and n_shingles > 0")
@@ -398,8 +424,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "set_id", "first", F.coalesce("component", "rep").alias("number"))
     placed = (linked.join(linked.groupBy("number").agg(F.min("first").alias("component")), "number")
               .select("set_id", "component"))
-    return (sketched.select("doc_id", "n_shingles", "set_id").join(placed, "set_id", "left")
-            .select("doc_id", "n_shingles",
+    return (sketched.select("doc_id", "text_key", "n_shingles", "set_id").join(placed, "set_id", "left")
+            .select("doc_id", "text_key", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
                     .alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -91,6 +91,23 @@ def test_stages(spark, sf_dir):
     assert sorted(str((i, list(x), sha)) for i, x, _, sha in tokens) == sorted(map(str, want))
 
 
+def test_decisions_row_by_row(spark, frame, sf_dir):
+    """Rows without doc_id and rows that share one are judged by their own text."""
+    a, b, c = (prose(900 + i, 60) for i in range(3))
+    dirty = a + " " + ITEMS[0][1]
+    rows = [row(None, dirty), row(7, dirty), row(7, b), row(8, c), row(None, c)]
+    clean = corpus_pipeline.decontaminate(spark, frame(rows), sf_dir).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(map(str, rows[2:]))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    many = corpus_pipeline.decontam.keep_clean(frame(rows), items, block_words=20).collect()
+    assert sorted(map(str, map(tuple, many))) == sorted(map(str, rows[2:]))
+
+    rows = [row(1, a), row(1, a), row(2, a + " end"), row(2, b), row(None, c), row(None, c), row(3, None), row(None, None)]
+    single = corpus_pipeline.near_dedup(spark, frame(rows), sf_dir).collect()
+    want = [rows[i] for i in (0, 3, 4, 6, 7)]
+    assert sorted(map(str, map(tuple, single))) == sorted(map(str, want))
+
+
 def test_run_is_the_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"]
