@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, cotrain, decontam, langid, minhash, pii, quality_rules, seed_dedup, suffix_dedup,
-               warc)
+from . import (bpe, conv_repair, cotrain, decontam, langid, line_runs, minhash, pii, quality_rules, seed_dedup,
+               suffix_dedup, vector_codes, warc)
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,30 @@ ORACLE["op2_warc_revisits"] = r"""
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.digest(warc.resolve(warc.captures(pages)))
+
+
+ORACLE["op11_line_runs"] = r"""
+    WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+    line AS (SELECT doc_id, i, w[i] AS line, translate(trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+             FROM t, unnest(range(1, len(w) + 1)) r(i)),
+    low AS (SELECT key, min(doc_id) AS d FROM line WHERE length(key) >= 10 GROUP BY key),
+    judged AS (SELECT line.*, coalesce(d < doc_id, false) AS gone FROM line LEFT JOIN low USING (key))
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id"""
+
+
+@query
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(documents(spark, sf_dir))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
