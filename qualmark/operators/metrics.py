@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -270,3 +270,40 @@ def focal_loss(df: DataFrame, logits: str = "logits", targets: str = "y_true",
     return agg.select(F.col("n").cast("long").alias("n"),
                       F.round(safe_ratio(F.col("total"), F.col("cells")), digits).alias("focal_mean"),
                       F.round(F.col("total"), digits).alias("focal_sum"))
+
+
+def best_thresholds(df: DataFrame, probs: str = "probs", y: str = "y_true", steps: int = 1000,
+                    digits: int = 6) -> DataFrame:
+    """The cutoff k / ``steps`` with the best F1 for each label (the lowest of equal
+    ones): ``label``, ``threshold``, ``f1``, ``support``.
+
+    One pass makes a histogram of probabilities by label and truth (at most
+    ``steps`` + 1 bins a label, merged by partial aggregates); every cutoff is
+    judged on it. A probability counts as positive above the cutoff."""
+    n = len(vocab.LABELS)
+    pairs = F.arrays_zip(F.col(probs).alias("p"), F.col(y).alias("t"))
+    x = df.select(F.posexplode(pairs).alias("idx", "v")).select(
+        "idx", F.ceil(F.col("v.p") * steps).cast("int").alias("bin"), F.col("v.t").alias("t"))
+    bins = x.groupBy("idx", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("pos"))
+    below = Window.partitionBy("idx").orderBy("bin")
+    above = Window.partitionBy("idx").orderBy(F.desc("bin"))
+    support = F.sum("pos").over(Window.partitionBy("idx"))
+    tp, found = F.sum("pos").over(above), F.sum("n").over(above)
+    # the lowest cutoff that takes this bin and all above it: the next bin below
+    cuts = bins.select("idx", "bin", F.coalesce(F.lag("bin").over(below), F.lit(0)).alias("cut"),
+                       support.alias("support"), safe_ratio(2 * tp, found + support).alias("f1"))
+    best = cuts.groupBy("idx").agg(
+        F.max(F.when(F.col("bin") > 0, F.struct("f1", (-F.col("cut")).alias("cut")))).alias("b"),
+        F.max("support").alias("support"))
+    names = F.array(*[F.lit(v) for v in vocab.LABELS])
+    return best.filter(F.col("idx") < n).select(
+        F.element_at(names, F.col("idx") + 1).alias("label"),
+        F.coalesce(-F.col("b.cut") / F.lit(float(steps)), F.lit(0.0)).alias("threshold"),
+        F.round(F.coalesce("b.f1", F.lit(0.0)), digits).alias("f1"), F.col("support").cast("long").alias("support"))
+
+
+def threshold_list(best: DataFrame) -> list[float]:
+    """The thresholds of ``best_thresholds`` in vocabulary order (0.5 where there is
+    no label), as ``identify_errors`` takes them; eleven numbers."""
+    found = {r["label"]: r["threshold"] for r in best.collect()}
+    return [found.get(name, vocab.DEFAULT_THRESHOLD) for name in vocab.LABELS]

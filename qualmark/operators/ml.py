@@ -1,79 +1,66 @@
-"""Error identifier and label verifier as Spark ML pipelines.
+"""Error identifier and label verifier: linear text models trained in passes.
 
-Features: ``RegexTokenizer -> HashingTF -> IDF`` (hashing keeps the feature
-space fixed, so no vocabulary is collected to the driver). The identifier is
-one binary ``LogisticRegression`` per label over features computed once and
-persisted; the verifier is a single binary model. Inference is a plain
-``transform`` (JVM-side, no Python workers).
+The identifier has one head per vocabulary label, the verifier a single one;
+``operators.passes`` trains all heads together, keeps the pass with the best
+dev metric and stops when it no longer improves. Inference adds logits in Arrow
+batches; what follows (sigmoid, thresholds, decoding) is JVM-side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import labels as lb
+from . import passes
+from .metrics import f1_from_counts, multilabel_metrics
+from .passes import NUM_FEATURES, LinearModel
 
-NUM_FEATURES = 1 << 18
 
+@dataclass
+class TextModel:
+    """A trained model and the dev score of each pass; ``kept`` is the pass whose
+    state it holds (None without dev rows)."""
 
-def feature_stages(text_col: str = "text", num_features: int = NUM_FEATURES):
-    return [RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\W+", minTokenLength=1),
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="features")]
+    model: LinearModel
+    history: list[tuple[int, float]] = field(default_factory=list)
 
+    @property
+    def kept(self) -> int | None:
+        return max(self.history, key=lambda h: (h[1], -h[0]))[0] if self.history else None
 
-@dataclass
-class IdentifierModel:
-    features: PipelineModel
-    heads: list  # one LogisticRegressionModel per vocabulary label (or None)
-
-    def logits(self, df: DataFrame) -> DataFrame:
-        x = self.features.transform(df)
-        cols = []
-        for i, m in enumerate(self.heads):
-            m = m.copy()
-            m.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_y{i}")
-            x = m.transform(x)
-            cols.append(vector_to_array(F.col(f"_raw{i}"))[1])
-        return x.withColumn("logits", F.array(*cols))
-
-
-def train_identifier(train: DataFrame, text_col: str = "text", labels_col: str = "labels",
-                     reg_param: float = 0.01, max_iter: int = 20,
-                     num_features: int = NUM_FEATURES, parallelism: int = len(vocab.LABELS)) -> IdentifierModel:
-    """Fit shared features once, then one logistic head per label."""
-    feats_model = Pipeline(stages=feature_stages(text_col, num_features)).fit(train)
-    ind = lb.binarize(F.col(labels_col))
-    feats = feats_model.transform(train).select("features", ind.alias("_y")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    feats.count()  # materialise once, before the heads read it concurrently
-    def fit_head(i: int):
-        lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=max_iter,
-                                regParam=reg_param)
-        return lr.fit(feats.select("features", F.col("_y")[i].cast("double").alias("_label")))
-
-    # the heads are independent Spark jobs over the same cached features:
-    # submit them concurrently so small jobs do not leave executors idle
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            heads = list(pool.map(fit_head, range(len(vocab.LABELS))))
-    finally:
-        feats.unpersist()
-    return IdentifierModel(feats_model, heads)
-
-
-def identify_errors(model: IdentifierModel, df: DataFrame,
+    def logits(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        return self.model.logits(df, text_col)
+
+
+def micro_f1(scored: DataFrame, thresholds: float | Sequence[float] | None = None) -> float:
+    """Micro-F1 of ``y`` (indicators) against ``logits``."""
+    pred = scored.select(F.col("y").alias("y_true"),
+                         lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(thresholds)).alias("y_pred"))
+    return multilabel_metrics(pred).first()["micro_f1"]
+
+
+def binary_f1(scored: DataFrame) -> float:
+    """F1 of the positive class, ``y`` and ``logits`` of one head."""
+    y, p = F.col("y")[0] == 1, F.col("logits")[0] > 0
+    f1 = f1_from_counts(F.count_if(y & p), F.count_if(~y & p), F.count_if(y & ~p))
+    return scored.agg(F.round(f1, 6).alias("f1")).first()["f1"]
+
+
+def train_identifier(train: DataFrame, dev: DataFrame | None = None, text_col: str = "text",
+                     labels_col: str = "labels", reg_param: float = 0.0, max_passes: int | None = None,
+                     patience: int = passes.PATIENCE, num_features: int = NUM_FEATURES,
+                     key: str = "item_id") -> TextModel:
+    """One head per vocabulary label, best dev micro-F1 kept."""
+    return TextModel(*passes.fit(train, lb.binarize(F.col(labels_col)), len(vocab.LABELS), dev, micro_f1, text_col,
+                                 key, max_passes, patience, reg=reg_param, num_features=num_features))
+
+
+def identify_errors(model: TextModel, df: DataFrame,
                     thresholds: float | Sequence[float] | None = None,
                     out_col: str = "pred_error", need_prob: bool = False) -> DataFrame:
     """Adds ``pred_error`` (``"; "``-joined labels in vocabulary order, ``''``
@@ -85,73 +72,55 @@ def identify_errors(model: IdentifierModel, df: DataFrame,
     if need_prob:
         for i, lab in enumerate(vocab.LABELS):
             x = x.withColumn(f"{lab}_prob", F.col("_probs")[i])
-    keep = [c for c in df.columns] + [out_col] + (
+    keep = [c for c in df.columns if c != out_col] + [out_col] + (
         [f"{lab}_prob" for lab in vocab.LABELS] if need_prob else [])
     return x.select(*keep)
 
 
-def train_verifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                   reg_param: float = 0.01, max_iter: int = 20,
-                   num_features: int = NUM_FEATURES) -> PipelineModel:
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=max_iter,
-                            regParam=reg_param)
-    data = train.withColumn("_label", F.col(label_col).cast("double"))
-    return Pipeline(stages=feature_stages(text_col, num_features) + [lr]).fit(data)
+def identify_row(model: TextModel, question: str, answer: str, passage: str, model_type: str = "roberta",
+                 thresholds: float | Sequence[float] | None = None) -> tuple[str, list[float]]:
+    """Label string and probabilities of one triple, without a job."""
+    import math
+    from .prompts import identifier_text_of
+    limits = thresholds if isinstance(thresholds, (list, tuple)) else \
+        [vocab.DEFAULT_THRESHOLD if thresholds is None else float(thresholds)] * len(vocab.LABELS)
+    probs = [1 / (1 + math.exp(-x)) for x in model.model.score_text(
+        identifier_text_of(question, answer, passage, model_type))]
+    return "; ".join(name for name, p, t in zip(vocab.LABELS, probs, limits) if p > t), probs
+
+
+def train_verifier(train: DataFrame, dev: DataFrame | None = None, text_col: str = "text",
+                   label_col: str = "label", reg_param: float = 0.0, max_passes: int | None = None,
+                   patience: int = passes.PATIENCE, num_features: int = NUM_FEATURES,
+                   key: str = "item_id") -> TextModel:
+    """One head for "are these labels right?", best dev F1 kept."""
+    label = F.col(label_col).cast("int")
+    target = F.when(label.isNotNull(), F.array(label))
+    return TextModel(*passes.fit(train, target, 1, dev, binary_f1, text_col, key, max_passes, patience,
+                                 reg=reg_param, num_features=num_features))
 
 
-def verify_labels(model: PipelineModel, df: DataFrame) -> DataFrame:
+def verify_labels(model: TextModel, df: DataFrame) -> DataFrame:
     """Adds ``verify_label`` (argmax, class 0 on ties) and ``positive_prob``."""
-    x = model.transform(df)
-    p = vector_to_array(F.col("probability"))
-    x = x.withColumn("positive_prob", p[1]).withColumn("verify_label", lb.argmax(p))
-    return x.select(*df.columns, "verify_label", "positive_prob")
-
-
-def select_model(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                 reg_params: Sequence[float] = (0.0, 0.01, 0.1), dev_percent: int = 20,
-                 key: str = "item_id", num_features: int = NUM_FEATURES):
-    """Pick the regularisation with the best positive-class F1 on a held-out
-    part. The part is drawn by ``md5(seed|key)``, so it does not depend on the
-    partitioning, and the features are fitted once for all candidates.
-    Returns (best PipelineModel, [(reg_param, f1)])."""
-    from .sampling import train_dev_split
-    data = train_dev_split(train, dev_percent, key).withColumn("_label", F.col(label_col).cast("double"))
-    fit = data.filter(F.col("split") == "train")
-    feats = Pipeline(stages=feature_stages(text_col, num_features)).fit(fit)
-    x = feats.transform(fit).select("features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
-    dev = feats.transform(data.filter(F.col("split") == "dev")).select("features", "_label")
-    scores, best = [], None
-    try:
-        for reg in reg_params:
-            lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=20, regParam=reg).fit(x)
-            y, p = F.col("_label") == 1, F.col("prediction") == 1
-            c = lr.transform(dev).agg(F.count_if(y & p).alias("tp"), F.count_if(y != p).alias("wrong")).first()
-            f1 = 2 * c.tp / (2 * c.tp + c.wrong) if c.tp else 0.0
-            if best is None or f1 > max(f for _, f in scores):
-                best = PipelineModel(feats.stages + [lr])
-            scores.append((float(reg), f1))
-    finally:
-        x.unpersist()
-    return best, scores
-
-
-def select_identifier(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.0, 0.01),
-                      text_col: str = "text", labels_col: str = "labels", max_iter: int = 20,
-                      num_features: int = NUM_FEATURES):
-    """Train one identifier per regularisation value and keep the one with the
-    best micro-F1 on ``dev`` (the multi-label metric aggregate, one pass per
-    candidate). Returns (best model, [(reg_param, micro_f1)])."""
-    from .metrics import multilabel_metrics
-    scores, best, best_f1 = [], None, -1.0
-    truth = lb.binarize(F.col(labels_col))
-    for reg in reg_params:
-        m = train_identifier(train, text_col, labels_col, reg, max_iter, num_features)
-        pred = m.logits(dev.select(text_col, truth.alias("y_true")))
-        pred = pred.select("y_true", lb.above(lb.sigmoid(F.col("logits")),
-                                              lb.thresholds(None)).alias("y_pred"))
-        f1 = multilabel_metrics(pred).first()["micro_f1"]
-        scores.append((float(reg), float(f1)))
-        if f1 > best_f1:
-            best, best_f1 = m, f1
-    return best, scores
+    x = model.logits(df)
+    p = lb.softmax(F.array(F.lit(0.0), F.col("logits")[0]))
+    x = x.withColumn("_p", p).withColumn("positive_prob", F.col("_p")[1])
+    return x.select(*df.columns, lb.argmax(F.col("_p")).alias("verify_label"), "positive_prob")
+
+
+def select_best(candidates: dict[float, TextModel]) -> tuple[TextModel, list[tuple[float, int, float]]]:
+    """The candidate with the best dev score at its kept pass (the first of equal
+    ones), and [(reg_param, kept pass, score)]."""
+    scores = [(reg, m.kept, max(s for _, s in m.history)) for reg, m in candidates.items()]
+    top = max(s for _, _, s in scores)
+    return candidates[next(reg for reg, _, s in scores if s == top)], scores
+
+
+def select_model(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1), **options):
+    """Verifier regularisation by dev F1: (best model, [(reg_param, kept pass, f1)])."""
+    return select_best({float(r): train_verifier(train, dev, reg_param=r, **options) for r in reg_params})
+
 
+def select_identifier(train: DataFrame, dev: DataFrame, reg_params: Sequence[float] = (0.0, 0.01), **options):
+    """Identifier regularisation by dev micro-F1: (best model, [(reg_param, kept pass, micro_f1)])."""
+    return select_best({float(r): train_identifier(train, dev, reg_param=r, **options) for r in reg_params})

@@ -187,6 +187,13 @@ def identifier_text(question: Column, answer: Column, passage: Column,
     return tx.join_parts([question, answer, passage], vocab.sep_token(model_type))
 
 
+def identifier_text_of(question: str | None, answer: str | None, passage: str | None,
+                       model_type: str = "roberta") -> str | None:
+    """``identifier_text`` of one row, without Spark."""
+    parts = (question, answer, passage)
+    return None if None in parts else vocab.sep_token(model_type).join(parts)
+
+
 def verifier_text(labels: Column, question: Column, answer: Column, passage: Column,
                   model_type: str = "roberta") -> Column:
     return tx.join_parts([labels, question, answer, passage], vocab.sep_token(model_type))

@@ -56,13 +56,6 @@ def slot_tables(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEE
     return out, sizes
 
 
-def dense_slots(df: DataFrame, group: str, key: str, seed: int = vocab.SPLIT_SEED,
-                slot_col: str = "slot", size_col: str = "group_size") -> DataFrame:
-    """Rows with their dense ``slot`` and their group's size."""
-    out, sizes = slot_tables(df, group, key, seed, slot_col, size_col)
-    return out.join(sizes, group)
-
-
 def weight_intervals(weights: DataFrame, label: str = "label",
                      weight: str = "final_weight_norm") -> DataFrame:
     """``(label, lo, hi)`` cumulative intervals in label order; the last
@@ -131,12 +124,13 @@ def uniform_few_shot(candidates: DataFrame, seeds: DataFrame, seed: int = vocab.
                      key: str = "item_id", seed_key: str = "item_id",
                      prefix: str = "ex_") -> DataFrame:
     """Uniform seed per candidate (no label targeting): slot
-    ``md5(seed|shot|key) mod n_seeds``; ``n_seeds`` is a scalar subquery."""
-    slotted, _ = slot_tables(seeds.withColumn("_all", F.lit(0)), "_all", seed_key, seed)
-    ex = slotted.select("slot", *[F.col(c).alias(prefix + c) for c in seeds.columns])
+    ``md5(seed|shot|key) mod n_seeds``; ``n_seeds`` is a scalar subquery. Seeds are
+    ranked by key alone; their other columns meet the chosen pairs at the end."""
+    slotted, _ = slot_tables(seeds.select(seed_key, F.lit(0).alias("_all")), "_all", seed_key, seed)
     n = seeds.agg(F.count(F.lit(1))).scalar()
     c = candidates.withColumn("slot", F.pmod(md5_u32(seed, F.lit("shot"), F.col(key)), n).cast("long"))
-    return c.join(ex, "slot").drop("slot")
+    pairs = c.join(slotted.select("slot", F.col(seed_key).alias(prefix + seed_key)), "slot").drop("slot")
+    return pairs.join(seeds.select(*[F.col(c).alias(prefix + c) for c in seeds.columns]), prefix + seed_key)
 
 
 def split_bucket(key_col, seed: int = vocab.SPLIT_SEED, buckets: int = 100):
@@ -151,24 +145,6 @@ def train_dev_split(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE
                                          F.lit("dev")).otherwise(F.lit("train")))
 
 
-
-def hash_rank(df: DataFrame, key: str = "item_id", seed: int = vocab.SPLIT_SEED,
-              rank_col: str = "hash_rank") -> DataFrame:
-    """1-based global rank of rows by ``(md5(seed|key), key)`` without a
-    global sort: counts per hash bucket (at most 65,536 rows) give each
-    bucket's offset; ``row_number`` runs only inside a bucket."""
-    h = md5_u32(seed, F.col(key))
-    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # window over the bucket-count table only (bounded by the bucket count)
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return (x.withColumn("_rn", rn).join(offs, "_b")
-            .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_h", "_b", "_rn", "_off"))
-
-
 def train_dev_split_exact(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV_SHARE,
                           key: str = "item_id", seed: int = vocab.SPLIT_SEED) -> DataFrame:
     """Exact sizes: the ``ceil(n * dev_percent / 100)`` rows with the smallest
@@ -188,3 +164,50 @@ def train_dev_split_exact(df: DataFrame, dev_percent: int = vocab.IDENTIFIER_DEV
     cut = r.filter((F.col("_room") > 0) & (F.col("_room") < F.col("_n"))).withColumn(
         "split", F.when(rn <= F.col("_room"), F.lit("dev")).otherwise(F.lit("train")))
     return whole.unionByName(cut).drop("_h", "_b", "_n", "_room")
+
+
+def grouped_split(df: DataFrame, group: str = "doc_id", label: str = "error_label",
+                  dev_percent: int = vocab.IDENTIFIER_DEV_SHARE, key: str = "item_id",
+                  seed: int = vocab.SPLIT_SEED) -> DataFrame:
+    """Adds ``split``: whole groups (passages) go to one side, each label's share
+    is kept and sizes are exact to half a group.
+
+    Dev gets ``ceil(n * dev_percent / 100)`` rows, dealt over the labels by largest
+    remainder (ties: the label that sorts first). A label's groups stand in
+    ``md5(seed|group)`` order; those whose middle lies within its quota are dev. A
+    group counts under the least of its labels; a row without a group is one of its
+    own. Sums run over hash buckets first, so no task orders a whole label."""
+    g = F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.concat(F.lit("k"), F.col(key).cast("string")))
+    x = df.withColumn("_g", g)
+    sizes = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min(label).alias("_l"))
+    h = md5_u32(seed, F.col("_g"))
+    sizes = sizes.withColumn("_l", F.coalesce("_l", F.lit(""))).withColumn("_h", h).withColumn(
+        "_b", F.shiftright("_h", 32 - RANK_BUCKET_BITS))
+    buckets = sizes.groupBy("_l", "_b").agg(F.sum("_n").alias("_bn"))
+    ahead = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("_l", "_b", F.coalesce(F.sum("_bn").over(ahead), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_l", "_b").orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sizes.withColumn("_end", F.sum("_n").over(inside)).join(offsets, ["_l", "_b"]).join(
+        label_quotas(buckets.groupBy("_l").agg(F.sum("_bn").alias("_ln")), dev_percent), "_l")
+    middle = 2 * (F.col("_off") + F.col("_end")) - F.col("_n")
+    side = F.when(middle <= 2 * F.col("_quota"), "dev").otherwise("train")
+    return x.join(placed.select("_g", side.alias("split")), "_g").drop("_g")
+
+
+def label_quotas(totals: DataFrame, percent: int, label: str = "_l", n: str = "_ln", out_col: str = "_quota") -> DataFrame:
+    """Largest-remainder shares of ``ceil(total * percent / 100)`` per label. The
+    windows run over the table of totals, one row per label."""
+    whole = Window.partitionBy()
+    part = F.floor(F.col(n) * percent / 100).cast("long")
+    want = F.ceil(F.sum(n).over(whole) * percent / 100).cast("long")
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col(n) * percent % 100), label))
+    x = totals.select(label, part.alias("_part"), rank.alias("_rank"), want.alias("_want"))
+    left = F.col("_want") - F.sum("_part").over(whole)
+    return x.select(label, (F.col("_part") + (F.col("_rank") <= left).cast("long")).alias(out_col))
+
+
+def given_dev_split(df: DataFrame, dev: DataFrame, group: str = "doc_id") -> DataFrame:
+    """``df`` against a dev table given by the caller: all of ``dev``, and the rows
+    of ``df`` whose group has none there."""
+    train = df.join(dev.select(group), group, "left_anti").withColumn("split", F.lit("train"))
+    return train.unionByName(dev.withColumn("split", F.lit("dev")))

@@ -872,19 +872,21 @@ def q_unmatched_ratings(spark, sf_dir):
 
 
 @query("meta_evaluate", V.with_views(V.RESP, V.SCORED) + """
-, lost AS (SELECT dimension, CAST(count(*) AS BIGINT) AS n_unmatched FROM scored WHERE item_id % 97 = 3 GROUP BY dimension)
+, lost AS (SELECT dimension, CAST(count(*) AS BIGINT) AS n_unmatched FROM resp WHERE item_id % 97 = 3 GROUP BY dimension)
 SELECT s.dimension, model, CAST(count(*) AS BIGINT) AS n,
        round(CASE WHEN stddev_pop(rating) * stddev_pop(score) = 0 THEN NULL
                   ELSE covar_pop(rating, score) / (stddev_pop(rating) * stddev_pop(score)) END, 6) AS pearson_r,
        max(coalesce(n_unmatched, 0)) AS n_unmatched
 FROM scored s LEFT JOIN lost ON lost.dimension = s.dimension
-WHERE score <> 999 AND item_id % 97 <> 3 GROUP BY s.dimension, model""")
+WHERE score <> 999 GROUP BY s.dimension, model""")
 def q_meta_evaluate(spark, sf_dir):
-    """Ratings against replies, with the ratings that found no reply."""
+    """All replies against their ratings, and ratings of items that nobody
+    answered (negative ids, one for every 97th item)."""
     from . import jobs
     r = views.responses(spark, sf_dir)
-    return jobs.meta_evaluate(r.filter("item_id % 97 <> 3").select("item_id", "dimension", "model", "response"),
-                              r.select("item_id", "dimension", "rating"))
+    ratings = r.select("item_id", "dimension", "rating")
+    extra = ratings.filter("item_id % 97 = 3").withColumn("item_id", -F.col("item_id"))
+    return jobs.meta_evaluate(r.select("item_id", "dimension", "model", "response"), ratings.unionByName(extra))
 
 
 REQ_SQL = V.with_views(V.QA, V.QA_DIM, V.RESP) + \
@@ -1287,170 +1289,6 @@ def q_compare_modes(spark, sf_dir):
     return jobs.compare_modes(scored)
 
 
-# ---- M1-M6: models (facts that hold whatever was learned) --------------------------------------------------------
-
-def identifier_input(spark, sf_dir):
-    """Labelled QA rows with the whole identifier text."""
-    from ..functions import labels as lb
-    from ..operators import prompts, sampling
-    s = seed_view(spark, sf_dir)
-    s = s.withColumn("text", prompts.identifier_text(
-        F.col("question"), F.col("answer"), F.col("passage")))
-    s = s.withColumn("labels", lb.parse_labels(F.col("error_label")))
-    # written once: the feature fit, the cached features and dev inference
-    # all read it instead of re-running the joins
-    from ..session import materialize
-    return materialize(sampling.train_dev_split(s, vocab.IDENTIFIER_DEV_SHARE), "identifier-input")
-
-
-def verifier_input(spark, sf_dir):
-    from ..operators import prompts, sampling
-    s = seed_view(spark, sf_dir)
-    q = views.table(spark, sf_dir, "labels").select(
-        F.col("doc_id"), F.col("quality").cast("int").alias("label"))
-    x = s.join(q, "doc_id").withColumnRenamed("error_label", "pred_error")
-    x = x.withColumn("text", prompts.verifier_text(
-        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage")))
-    from ..session import materialize
-    return materialize(sampling.train_dev_split(x, vocab.VERIFIER_DEV_SHARE), "verifier-input")
-
-
-def _facts(df, *columns):
-    """What must hold for every row of the identifier, whatever was learned:
-    probabilities in [0, 1], and the label string their decoding."""
-    from ..functions import labels as lb
-    p = F.array(*[F.col(f"`{name}_prob`") for name in vocab.LABELS])
-    in_range = F.forall(p, lambda x: (x >= 0) & (x <= 1))
-    decoded = lb.decode(lb.above(p, lb.thresholds(None))) == F.col("pred_error")
-    return df.select(*columns, in_range.alias("in_range"), decoded.alias("decoded"))
-
-
-def _verifier_facts(df, *columns):
-    p = F.col("positive_prob")
-    return df.select(*columns, ((p >= 0) & (p <= 1)).alias("in_range"),
-                     ((p > 0.5) == (F.col("verify_label") == 1)).alias("decoded"))
-
-
-def _dev(share: int) -> str:
-    return f"{V.md5_u32(vocab.SPLIT_SEED, 'item_id')} % 100 < {share}"
-
-
-VERIFIER_SQL = SEED_SQL.rstrip() + """, ver AS (SELECT seed.*, CAST(l.quality AS INTEGER) AS label
-  FROM seed JOIN labels l ON l.doc_id = seed.doc_id)
-"""
-
-
-@query("train_identifier", SEED_SQL + "SELECT item_id, error_label, true AS in_range, true AS decoded FROM seed "
-       f"WHERE {_dev(vocab.IDENTIFIER_DEV_SHARE)}")
-def q_train_identifier(spark, sf_dir):
-    """Facts of the dev rows under a freshly trained identifier."""
-    from ..operators import ml
-    d = identifier_input(spark, sf_dir)
-    m = ml.train_identifier(d.filter(F.col("split") == "train"))
-    dev = ml.identify_errors(m, d.filter(F.col("split") == "dev").select("item_id", "text", "error_label"),
-                             need_prob=True)
-    return _facts(dev, "item_id", "error_label")
-
-
-@query("identify_errors", V.with_views(V.QA) + "SELECT item_id, true AS in_range, true AS decoded FROM qa")
-def q_identify_errors(spark, sf_dir):
-    from ..operators import ml, prompts
-    d = identifier_input(spark, sf_dir)
-    m = ml.train_identifier(d.filter(F.col("split") == "train"))
-    pool = qa_view(spark, sf_dir).withColumn("text", prompts.identifier_text(
-        F.col("question"), F.col("answer"), F.col("passage")))
-    return _facts(ml.identify_errors(m, pool.select("item_id", "text"), need_prob=True), "item_id")
-
-
-@query("train_verifier", VERIFIER_SQL + "SELECT item_id, label, true AS in_range, true AS decoded FROM ver "
-       f"WHERE {_dev(vocab.VERIFIER_DEV_SHARE)}")
-def q_train_verifier(spark, sf_dir):
-    """Facts of the dev rows under a freshly trained verifier."""
-    from ..operators import ml
-    d = verifier_input(spark, sf_dir)
-    m = ml.train_verifier(d.filter(F.col("split") == "train"))
-    dev = ml.verify_labels(m, d.filter(F.col("split") == "dev").select("item_id", "text", "label"))
-    return _verifier_facts(dev, "item_id", "label")
-
-
-@query("verify_labels", VERIFIER_SQL +
-       "SELECT item_id, error_label AS pred_error, true AS in_range, true AS decoded FROM ver")
-def q_verify_labels(spark, sf_dir):
-    from ..operators import ml
-    d = verifier_input(spark, sf_dir)
-    m = ml.train_verifier(d.filter(F.col("split") == "train"))
-    return _verifier_facts(ml.verify_labels(m, d.select("item_id", "pred_error", "text")),
-                           "item_id", "pred_error")
-
-
-@query("identifier_report", SEED_SQL + "SELECT CAST(count(*) AS BIGINT) AS n_dev, true AS scores_in_range "
-       f"FROM seed WHERE {_dev(vocab.IDENTIFIER_DEV_SHARE)}")
-def q_identifier_report(spark, sf_dir):
-    """The multi-label metrics of a trained identifier on the dev rows: their
-    number, and whether every score lies in [0, 1]."""
-    from ..functions import labels as lb
-    from ..operators import ml
-    d = identifier_input(spark, sf_dir)
-    m = ml.train_identifier(d.filter(F.col("split") == "train"))
-    dev = m.logits(d.filter(F.col("split") == "dev").select("text", lb.binarize(F.col("labels")).alias("y_true")))
-    pred = dev.select("y_true", lb.above(lb.sigmoid(F.col("logits")), lb.thresholds(None)).alias("y_pred"))
-    r = metrics.multilabel_metrics(pred)
-    ok = F.lit(True)
-    for c, kind in r.dtypes:
-        if kind == "double":
-            ok = ok & (F.col(c) >= 0) & (F.col(c) <= 1)
-    return r.select(ok.alias("scores_in_range")).withColumn("n_dev", pred.agg(F.count(F.lit(1))).scalar())
-
-
-def _scored_candidates(spark, scores, name):
-    """Candidates with their score: in range, and exactly the best one chosen."""
-    from pyspark.sql import types as T
-    best = max(f for _, f in scores)
-    rows = [(reg, 0.0 <= f <= 1.0, f <= best) for reg, f in scores]
-    return spark.createDataFrame(rows, T.StructType([
-        T.StructField("reg_param", T.DoubleType()), T.StructField(f"{name}_in_range", T.BooleanType()),
-        T.StructField("not_above_best", T.BooleanType())]))
-
-
-@query("select_model", "SELECT CAST(r AS DOUBLE) AS reg_param, true AS f1_in_range, true AS not_above_best "
-       "FROM (VALUES (0.0), (0.01), (0.1)) t(r) WHERE EXISTS (SELECT 1 FROM labels)")
-def q_select_model(spark, sf_dir):
-    """Verifier regularisation chosen by dev F1."""
-    from ..operators import ml
-    d = verifier_input(spark, sf_dir).filter(F.col("split") == "train")
-    return _scored_candidates(spark, ml.select_model(d)[1], "f1")
-
-
-@query("self_train_round", SEED_SQL + "SELECT item_id, error_label FROM seed")
-def q_self_train_round(spark, sf_dir):
-    """One whole round with trained models: the training rows and the pool rows
-    that the verifier accepts. SQL knows the training rows only;
-    ``self_train_accept`` checks the filter and union."""
-    from ..operators import ml
-    from . import jobs
-    d = identifier_input(spark, sf_dir)
-    ident = ml.train_identifier(d.filter(F.col("split") == "train"))
-    v = verifier_input(spark, sf_dir)
-    ver = ml.train_verifier(v.filter(F.col("split") == "train"))
-    train_set = seed_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source",
-                                                "error_label")
-    pool = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer", "source")
-    return jobs.self_train_round(ident, ver, pool, train_set)
-
-
-@query("self_train_accept", V.with_views(V.QA, V.LAB, V.SEED) + """
-SELECT item_id, error_label FROM seed
-UNION ALL SELECT item_id, 'Vague; Off Topic' FROM qa WHERE item_id % 3 = 1 AND item_id NOT IN (SELECT item_id FROM seed)""")
-def q_self_train_accept(spark, sf_dir):
-    """Filter and union of a self-training round with rules for models."""
-    from . import jobs
-    train_set = seed_view(spark, sf_dir).select("item_id", "error_label")
-    pool = qa_view(spark, sf_dir).select("item_id").join(train_set.select("item_id"), "item_id", "left_anti")
-    verified = pool.select("item_id", F.lit("Vague; Off Topic").alias("pred_error"),
-                           (F.col("item_id") % 3 == 1).cast("int").alias("verify_label"))
-    return jobs.add_accepted(train_set, verified)
-
-
 def _training_set_sql() -> str:
     """The whole loop with the stand-ins written out: from the second attempt on
     every prompt gets a reply with the labels of its evidence lines, so an item is
@@ -1541,31 +1379,6 @@ def q_bce_loss_weighted(spark, sf_dir):
 
 
 
-@query("select_identifier", "SELECT CAST(r AS DOUBLE) AS reg_param, true AS micro_f1_in_range, true AS not_above_best "
-       "FROM (VALUES (0.0), (0.01)) t(r) WHERE EXISTS (SELECT 1 FROM documents)")
-def q_select_identifier(spark, sf_dir):
-    """Identifier regularisation chosen by dev micro-F1."""
-    from ..operators import ml
-    d = identifier_input(spark, sf_dir)
-    _, scores = ml.select_identifier(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"))
-    return _scored_candidates(spark, scores, "micro_f1")
-
-
-@query("evaluate_with_identifier", V.with_views(V.QA, V.QA_DIM) +
-       "SELECT item_id, dimension, 'rule' AS model, true AS graded FROM qad")
-def q_evaluate_with_identifier(spark, sf_dir):
-    """Error-aware evaluation with labels from a freshly trained identifier:
-    every row and dimension gets a grade."""
-    from ..operators import completion, ml
-    from . import jobs
-    d = identifier_input(spark, sf_dir)
-    ident = ml.train_identifier(d.filter(F.col("split") == "train"))
-    qa = qa_view(spark, sf_dir).select("item_id", "passage", "question", "answer")
-    out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule",
-                        identifier=ident)
-    return out.select("item_id", "dimension", "model", F.col("score").between(1, 3).alias("graded"))
-
-
 @query("resume_scoring", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
        "SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score FROM dp")
 def q_resume_scoring(spark, sf_dir):

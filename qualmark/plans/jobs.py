@@ -74,14 +74,11 @@ def compare_modes(scored: DataFrame, ratings: DataFrame | None = None,
 def self_train_round(identifier, verifier, pool: DataFrame, train_set: DataFrame,
                      text_model_type: str = "roberta") -> DataFrame:
     """Predict labels for the pool without the training rows, keep rows the
-    verifier accepts, and add them to the training set (its columns)."""
-    from ..operators import ml, prompts
-    ident_in = pool.join(train_set.select("item_id"), "item_id", "left_anti").withColumn(
-        "text", prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage"), text_model_type))
-    pred = ml.identify_errors(identifier, ident_in).drop("text")
-    ver_in = pred.withColumn("text", prompts.verifier_text(
-        F.col("pred_error"), F.col("question"), F.col("answer"), F.col("passage"), text_model_type))
-    return add_accepted(train_set, ml.verify_labels(verifier, ver_in))
+    verifier accepts, and add them to the training set (its columns).
+    ``rounds.self_train`` repeats this with a durable state."""
+    from .rounds import with_models
+    rest = pool.join(train_set.select("item_id"), "item_id", "left_anti")
+    return add_accepted(train_set, with_models(identifier, verifier, rest, text_model_type))
 
 
 def add_accepted(train_set: DataFrame, verified: DataFrame) -> DataFrame:

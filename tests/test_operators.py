@@ -94,7 +94,8 @@ def test_weights_boost_rare_labels(spark):
 def test_dense_slots_with_hot_group(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("item_id"),
                                      F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"))
-    out = S.dense_slots(df, "g", "item_id").groupBy("g").agg(
+    slots, sizes = S.slot_tables(df, "g", "item_id")
+    out = slots.join(sizes, "g").groupBy("g").agg(
         F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("k"),
         F.count("*").alias("n"), F.first("group_size").alias("size")).collect()
     for r in out:
@@ -120,12 +121,10 @@ def test_split_is_stable_and_disjoint(spark):
     assert 350 < dev < 650 and a.count() == 5000
 
 
-def test_exact_split_sizes_and_hash_rank(spark):
+def test_exact_split_sizes(spark):
     df = spark.range(0, 1001).withColumnRenamed("id", "item_id")
     s = S.train_dev_split_exact(df, 10)
     assert s.filter("split = 'dev'").count() == 101 and s.count() == 1001
-    r = S.hash_rank(df).agg(F.min("hash_rank"), F.max("hash_rank"), F.countDistinct("hash_rank")).first()
-    assert tuple(r) == (1, 1001, 1001)
 
 
 def test_losses_match_python(spark):

@@ -93,7 +93,7 @@ def test_slots_match_plain_ranking_under_skew(spark):
     # one group holds ~90% of the rows
     rows = [(i, "hot" if i % 10 else f"g{i % 7}") for i in range(4000)]
     df = spark.createDataFrame(rows, "item_id long, g string")
-    got = {(r.g, r.item_id): r.slot for r in S.dense_slots(df, "g", "item_id").collect()}
+    got = {(r.g, r.item_id): r.slot for r in S.slot_tables(df, "g", "item_id")[0].collect()}
     by_group = {}
     for k, g in rows:
         by_group.setdefault(g, []).append(k)

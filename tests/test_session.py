@@ -26,3 +26,23 @@ def test_scratch_under_checkpoint_dir_and_materialize(spark):
     assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString()
     c = session.cut_lineage(df.filter("item_id > 2"))
     assert c.count() == 2
+
+
+def test_python_stages_from_a_foreign_folder(tmp_path):
+    """Workers get the package although neither their folder nor PYTHONPATH has it."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from qualmark.operators import completion
+from qualmark.session import build_session
+spark = build_session("local[2]", 2)
+df = spark.sql("select 1L as item_id, array(named_struct('role', 'user', 'content', 'abc')) as messages")
+print("GOT", completion.complete_batch(df, completion.length_rule_evaluator).first().response.split()[1])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "GOT 1" in out.stdout, out.stderr[-2000:]
