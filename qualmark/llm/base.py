@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from qualmark.session import materialize
+from qualmark.session import materialize, ship_package
 
-__all__ = ["Memo", "documents", "id_text", "map_batches", "map_rows", "materialize", "sha_hex", "step"]
+__all__ = ["Memo", "documents", "id_text", "in_python", "map_batches", "map_rows", "materialize", "sha_hex", "step"]
 
 #: Rows and bytes gathered before a batch goes back to the JVM.
 FLUSH_ROWS = 4096
@@ -78,6 +78,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
         if out:
             yield flush()
 
+    return in_python(df, run, kind)
+
+
+def in_python(df: DataFrame, run: Callable, kind: str | StructType) -> DataFrame:
+    """``mapInArrow`` with this package on the workers; all Python stages of the
+    operators go through here."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, kind)
 
 
@@ -88,7 +95,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             yield fn(batch)
 
-    return df.mapInArrow(run, df.schema)
+    return in_python(df, run, df.schema)
 
 
 class Memo(dict):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, id_text
+from .base import Memo, id_text, in_python
 
 #: Entries kept in each worker's memos before they are emptied.
 PIECE_MEMO = 300_000
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             [pa.array(keys, pa.int64()), lists, pa.array(decoded, pa.binary())],
             names=["doc_id", "ids", "decoded"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return in_python(id_text(docs), run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

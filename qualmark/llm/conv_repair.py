@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .base import materialize
+from .base import in_python, materialize
 
 BLANK = " \t\n\x0b\x0c\r"
 ENDS = (".", "!", "?")
@@ -276,7 +275,8 @@ def borders(rows: DataFrame) -> dict[tuple, tuple[int, Vector, bool]]:
                  pa.array([[x for row in m for x in row]], pa.list_(pa.int64()))],
                 names=["part", "first", "conv_id", "m"])
 
-    edge = _in_order(rows, "symbol", "n").mapInArrow(outer, "part int, first long, conv_id long, m array<long>").collect()
+    edge = in_python(_in_order(rows, "symbol", "n"), outer,
+                     "part int, first long, conv_id long, m array<long>").collect()
     edge.sort(key=lambda r: r["first"])
     blocks = [((r["part"], r["conv_id"]), tuple(tuple(r["m"][4 * s:4 * s + 4]) for s in STATES)) for r in edge]
     ends_here = [i + 1 == len(blocks) or blocks[i + 1][0][1] != key[1] for i, (key, _) in enumerate(blocks)]
@@ -315,14 +315,13 @@ def _ends(rows: DataFrame, behind: dict[tuple, Vector]) -> dict[tuple, list[int]
                 [pa.array([part], pa.int32()), pa.array([conv], pa.int64()), pa.array([last], pa.list_(pa.int32()))],
                 names=["part", "conv_id", "last"])
 
-    got = _in_order(mine, "symbol", "n").mapInArrow(walk, "part int, conv_id long, last array<int>").collect()
+    got = in_python(_in_order(mine, "symbol", "n"), walk, "part int, conv_id long, last array<int>").collect()
     return {(r["part"], r["conv_id"]): r["last"] for r in got}
 
 
 def plan_edits(rows: DataFrame) -> DataFrame:
     """(ord, letters, wrote) of every row of ``ordered_turns``: the edits of the
     turn and its repeats, with insertions before and, at the end, behind."""
-    ship_package(rows.sparkSession)
     known = borders(rows)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +342,7 @@ def plan_edits(rows: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return _in_order(rows, "symbol", "n").mapInArrow(solve, "ord long, letters string, wrote string")
+    return in_python(_in_order(rows, "symbol", "n"), solve, "ord long, letters string, wrote string")
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
@@ -395,7 +394,6 @@ COST_OF = {"K": KEEP, "R": REROLE, "D": DELETE, "I": INSERT}
 def summaries(repaired: DataFrame) -> DataFrame:
     """One row per conversation. Rows stream past in order: a conversation's
     text is hashed as it comes, only its audit is held."""
-    ship_package(repaired.sparkSession)
     piece = F.array_join(F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
     rows = repaired.select("conv_id", "ord", F.substring("role", 1, 1).alias("initial"), "n", "fault", "letters",
                            F.when(F.size("repaired") > 0, piece).alias("piece"))
@@ -438,7 +436,7 @@ def summaries(repaired: DataFrame) -> DataFrame:
         if out:
             yield _table(out)
 
-    return rows.mapInArrow(sum_up, SUMMARY)
+    return in_python(rows, sum_up, SUMMARY)
 
 
 def _table(out: list[tuple]) -> pa.RecordBatch:

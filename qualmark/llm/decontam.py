@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, map_batches, map_rows, materialize
+from .base import id_text, in_python, map_batches, map_rows, materialize
 
 WINDOW = 13
 SHINGLE = 3
@@ -132,7 +132,7 @@ def _count(docs: DataFrame, block) -> dict[tuple[int, int], int]:
                 [pa.array(np.full(len(at), s)), pa.array(at), pa.array(total[s][at])],
                 names=["s", "at", "n"])
 
-    rows = (docs.mapInArrow(run, "s long, at long, n long")
+    rows = (in_python(docs, run, "s long, at long, n long")
             .groupBy("s", "at").agg(F.sum("n").alias("n")))
     return {(r.s, r.at): r.n for r in rows.toLocalIterator()}
 

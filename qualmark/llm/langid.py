@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_rows
+from .base import in_python, map_rows
 from .ftrl import Ftrl, scores, softmax, temperature
 
 BUCKETS = 1 << 15
@@ -83,7 +83,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["at", "n"])
 
-    sums = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = in_python(texts.select("text"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     df = np.zeros(BUCKETS + 1, np.int64)
     for r in sums.toLocalIterator():  # one row per bucket
         df[r.at] = r.n

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from qualmark.session import discard
 
-from .base import id_text, map_rows, step
+from .base import id_text, in_python, map_rows, step
 
 #: Classes of one key that are compared in one go.
 LIMIT = 256
@@ -150,7 +150,7 @@ def _emit(df: DataFrame, make: Callable[[], Callable[..., list[np.ndarray] | Non
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*got), schema)],
                         names=[n for n, _ in schema])
-    return df.mapInArrow(run, spark_schema)
+    return in_python(df, run, spark_schema)
 
 
 def _seeds(docs: DataFrame, spec: Spec, times: bool) -> DataFrame:

@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .base import materialize
+from .base import in_python, materialize
 
 PARTS = 4
 ENTRIES = 256
@@ -150,7 +149,6 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def sums(ints: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
     """(part, entry, pos, total) of all parts assigned to an entry; pos -1 counts them."""
-    ship_package(ints.sparkSession)
     kind = "part int, entry int, pos int, total long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +168,7 @@ def sums(ints: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
              pa.array(np.tile(np.arange(-1, width, dtype=np.int32), len(part))), pa.array(found.reshape(-1))],
             names=["part", "entry", "pos", "total"])
 
-    return (ints.select("ints").mapInArrow(run, kind).groupBy("part", "entry", "pos")
+    return (in_python(ints.select("ints"), run, kind).groupBy("part", "entry", "pos")
             .agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")))
 
 
@@ -187,7 +185,6 @@ def moved(ints: DataFrame, books: list[np.ndarray], width: int) -> list[np.ndarr
 
 def encode(ints: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
     """(vec_id, label, code, error) of every row."""
-    ship_package(ints.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [Book(b) for b in books]
@@ -200,7 +197,7 @@ def encode(ints: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(sum(f[1] for f in found))],
                 names=["vec_id", "label", "code", "error"])
 
-    return ints.select("vec_id", "label", "ints").mapInArrow(run, CODED)
+    return in_python(ints.select("vec_id", "label", "ints"), run, CODED)
 
 
 def train(ints: DataFrame, width: int, rounds: int = ROUNDS, entries: int = ENTRIES) -> list[np.ndarray]:
@@ -212,7 +209,6 @@ def train(ints: DataFrame, width: int, rounds: int = ROUNDS, entries: int = ENTR
 
 def decode(coded: DataFrame, books: list[np.ndarray], dim: int) -> DataFrame:
     """(vec_id, approx) of every row: the vector that its code stands for."""
-    ship_package(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +217,7 @@ def decode(coded: DataFrame, books: list[np.ndarray], dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))],
                                              names=["vec_id", "approx"])
 
-    return coded.select("vec_id", "code").mapInArrow(run, "vec_id long, approx array<double>")
+    return in_python(coded.select("vec_id", "code"), run, "vec_id long, approx array<double>")
 
 
 def books_sha(books: list[np.ndarray]) -> str:
