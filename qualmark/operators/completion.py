@@ -1,18 +1,23 @@
 """Pluggable model calls: a batch function applied with ``mapInPandas``.
 
-``fn(batch: list[list[dict]]) -> list[str]`` receives the chat messages of a
-batch of rows (Arrow-sized) and returns one reply per row. A failing batch is
-retried; if it keeps failing, rows are retried one by one and a row that
-still fails gets ``''`` (later parsed as score 999). Output depends only on
-the row, so a Spark task retry recomputes the same replies.
+``fn(batch: list[list[dict]]) -> list[str]`` receives the chat messages of some
+rows and returns one reply per row. A task keeps up to ``in_flight`` calls running
+in threads and puts the replies back in row order; ``calls_per_second`` spaces the
+calls of each model over the whole job. A failing batch is retried; if it keeps
+failing, rows are retried one by one and a row that still fails gets ``''`` (later
+parsed as score 999). Output depends only on the row, so a Spark task retry
+recomputes the same replies; ``partitions`` bounds how many calls it repeats.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,14 +28,35 @@ from ..session import ship_package
 
 BatchFn = Callable[[list], list]
 
+#: Calls that a task keeps running at a time; ``fn`` is called from several threads.
+IN_FLIGHT = 8
+#: Arrow batches whose calls run ahead of the one that is being returned.
+AHEAD = 2
+
 log = logging.getLogger(__name__)
 
 
-def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> tuple[list[str] | None, str | None]:
+class Pace:
+    """Starts of calls at least ``1 / per_second`` apart, over all threads of a task."""
+
+    def __init__(self, per_second: float | None) -> None:
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            at = max(self.next, time.monotonic())
+            self.next = at + self.gap
+        time.sleep(max(0.0, at - time.monotonic()))
+
+
+def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float, pace: Pace) -> tuple[list[str] | None, str | None]:
     """The replies, or the reason of the last failure."""
     reason = None
     for attempt in range(max_tries):
         try:
+            pace.wait()
             out = list(fn(batch))
             if len(out) != len(batch):
                 raise ValueError("completion function returned a wrong number of replies")
@@ -43,53 +69,53 @@ def _call(fn: BatchFn, batch: list, max_tries: int, wait_s: float) -> tuple[list
     return None, reason
 
 
-def _replies(fn: BatchFn, msgs: list, max_tries: int, wait_s: float,
-             batch_size: int) -> list[tuple[str, str | None]]:
-    """Reply and failure per row: in chunks, and row by row where a chunk fails."""
-    out: list[tuple[str, str | None]] = []
-    for i in range(0, len(msgs), batch_size):
-        chunk = msgs[i:i + batch_size]
-        got, _ = _call(fn, chunk, max_tries, wait_s)
-        if got is not None:
-            out += [(r, None) for r in got]
-            continue
-        for m in chunk:
-            one, reason = _call(fn, [m], max_tries, wait_s)
-            out.append((one[0], None) if one else ("", reason))
+def _replies(fn: BatchFn, chunk: list, max_tries: int, wait_s: float, pace: Pace) -> list[tuple[str, str | None]]:
+    """Reply and failure per row of a chunk: all at once, and row by row where that fails."""
+    got, reason = _call(fn, chunk, max_tries, wait_s, pace)
+    if got is not None:
+        return [(r, None) for r in got]
+    if len(chunk) == 1:
+        return [("", reason)]
+    out = []
+    for m in chunk:
+        one, reason = _call(fn, [m], max_tries, wait_s, pace)
+        out.append((one[0], None) if one else ("", reason))
     return out
 
 
 def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
                    out_col: str = "response", max_tries: int = 3, wait_s: float = 0.5,
                    keep: Sequence[str] | None = None, batch_size: int = 32,
-                   partitions: int | None = None, failure_col: str | None = None) -> DataFrame:
+                   partitions: int | None = None, failure_col: str | None = None,
+                   in_flight: int = IN_FLIGHT, calls_per_second: float | None = None) -> DataFrame:
     """Adds ``out_col`` with the model reply for each row's messages, and with
     ``failure_col`` the reason why a row has none.
 
     The (wide) messages column is serialised to JSON on the JVM side and not
     returned; ``keep`` picks the columns to carry (default: all others).
-    Each Arrow batch is handed to ``fn`` in chunks of ``batch_size`` rows.
-    ``partitions`` spreads the rows over that many tasks, which bounds the
-    number of concurrent calls to a rate-limited model."""
+    Rows are handed to ``fn`` in chunks of ``batch_size``. ``partitions`` spreads
+    them over that many tasks: a retried task repeats only its own calls."""
     return _complete(df, lambda model: ("all", fn), None, messages_col, out_col, max_tries, wait_s, keep,
-                     batch_size, partitions, failure_col)
+                     batch_size, partitions, failure_col, in_flight, calls_per_second)
 
 
 def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
                     messages_col: str = "messages", out_col: str = "response",
                     max_tries: int = 3, wait_s: float = 0.5, batch_size: int = 32,
-                    failure_col: str | None = None) -> DataFrame:
+                    failure_col: str | None = None, in_flight: int = IN_FLIGHT,
+                    calls_per_second: float | dict | None = None) -> DataFrame:
     """Like ``complete_batch`` but each row goes to the function registered
     for its ``model_col`` value (matched by substring of the model id, first
-    registered name wins). Rows for an unknown model get ``''``."""
+    registered name wins). Rows for an unknown model get ``''``.
+    ``calls_per_second`` may be given by registered name."""
     def route(model):
         return next(((n, f) for n, f in fns.items() if model is not None and n in model), None)
     return _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, None, batch_size, None,
-                     failure_col)
+                     failure_col, in_flight, calls_per_second)
 
 
 def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, keep, batch_size, partitions,
-              failure_col) -> DataFrame:
+              failure_col, in_flight, calls_per_second) -> DataFrame:
     ship_package(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c != messages_col]
     src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
@@ -98,83 +124,49 @@ def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, ke
     fields = [df.schema[c] for c in keep]  # same order as the yielded columns
     added = [out_col, *([failure_col] if failure_col else [])]
     schema = T.StructType(fields + [T.StructField(c, T.StringType(), True) for c in added])
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(partitions, slots) if partitions else slots  # that share a model's rate
+
+    def rate_of(name: str) -> float | None:
+        rate = calls_per_second.get(name) if isinstance(calls_per_second, dict) else calls_per_second
+        return rate / tasks if rate else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        paces: dict[str, Pace] = {}
+        waiting: deque[tuple[pd.DataFrame, list[tuple[list[int], Future]]]] = deque()
+
+        def start(pool: ThreadPoolExecutor, pdf: pd.DataFrame) -> list[tuple[list[int], Future]]:
             msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
-            models = pdf[model_col] if model_col else [None] * len(msgs)
-            replies: list[tuple[str, str | None]] = [("", "no model for this row")] * len(msgs)
-            rows_of: dict[str, list[int]] = {}
-            fn_of: dict[str, BatchFn] = {}
-            for i, model in enumerate(models):
+            rows_of: dict[str, tuple[BatchFn, list[int]]] = {}
+            for i, model in enumerate(pdf[model_col] if model_col else [None] * len(msgs)):
                 found = route(model)
                 if found is not None:
-                    fn_of[found[0]] = found[1]
-                    rows_of.setdefault(found[0], []).append(i)
-            for name, at in rows_of.items():
-                for i, r in zip(at, _replies(fn_of[name], [msgs[i] for i in at], max_tries, wait_s, batch_size)):
+                    rows_of.setdefault(found[0], (found[1], []))[1].append(i)
+            out = []
+            for name, (fn, at) in rows_of.items():
+                pace = paces.setdefault(name, Pace(rate_of(name)))
+                for k in range(0, len(at), batch_size):
+                    some = at[k:k + batch_size]
+                    out.append((some, pool.submit(_replies, fn, [msgs[i] for i in some], max_tries, wait_s, pace)))
+            return out
+
+        def finish(pdf: pd.DataFrame, calls: list[tuple[list[int], Future]]) -> pd.DataFrame:
+            replies: list[tuple[str, str | None]] = [("", "no model for this row")] * len(pdf)
+            for at, call in calls:
+                for i, r in zip(at, call.result()):
                     replies[i] = r
             out = pdf.drop(columns=["_msgs"])
             out[out_col] = [r for r, _ in replies]
             if failure_col:
                 out[failure_col] = [f for _, f in replies]
-            yield out
-
-    return src.mapInPandas(run, schema)
+            return out
 
+        with ThreadPoolExecutor(max_workers=in_flight) as pool:
+            for pdf in batches:
+                waiting.append((pdf, start(pool, pdf)))
+                if len(waiting) > AHEAD:
+                    yield finish(*waiting.popleft())
+            while waiting:
+                yield finish(*waiting.popleft())
 
-def length_rule_evaluator(batch: list) -> list[str]:
-    """Deterministic stand-in evaluator: grade = 1 + (characters of the last
-    user message mod 3). For tests and offline runs only."""
-    out = []
-    for msgs in batch:
-        user = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
-        out.append(f"score: {1 + len(user) % 3}\nreason: rule of thumb")
-    return out
-
-
-def thinking_evaluator(batch: list) -> list[str]:
-    """Stand-in evaluator that reasons first and names a wrong score there."""
-    return ["maybe score: 9\n</think>\n" + r for r in length_rule_evaluator(batch)]
-
-
-def failing_evaluator(batch: list) -> list[str]:
-    """Stand-in evaluator that gives no reply to prompts of certain lengths."""
-    replies = length_rule_evaluator(batch)
-    return ["" if len(m[-1]["content"]) % 5 == 0 else r for m, r in zip(batch, replies)]
-
-
-def label_echo_generator(attempt: int = 1):
-    """Deterministic stand-in generator for one attempt: writes a question and
-    copies the labels listed as evidence lines (``* Label -- ...``) in the
-    prompt; on the first attempt, prompts of odd length get an unparseable
-    reply."""
-    import re
-
-    def generate(batch: list) -> list[str]:
-        out = []
-        for msgs in batch:
-            user = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
-            section = user.split("## Problems the new question must have", 1)[-1].split("## Material", 1)[0]
-            labels = re.findall(r"^\* (.+?) -- ", section, flags=re.M)
-            if attempt == 1 and len(user) % 2 == 1:
-                out.append("I cannot do that.")
-                continue
-            q = f"What is said about item {len(user) % 97}?"
-            out.append(json.dumps({"question": q, "error_label": "; ".join(labels)}))
-        return out
-    return generate
-
-
-def hashed_reviewer(name: str):
-    """Deterministic stand-in reviewer: confidence from a hash of the prompt."""
-    import hashlib
-
-    def review(batch: list) -> list[str]:
-        out = []
-        for msgs in batch:
-            user = next((m.get("content") or "" for m in reversed(msgs) if m.get("role") == "user"), "")
-            h = int(hashlib.md5((name + "|" + user).encode("utf-8")).hexdigest()[:8], 16)
-            out.append(f"{(h % 101) / 100:.2f}")
-        return out
-    return review
+    return src.mapInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import parse
 from ..operators import metrics
-from ..sources import views
+from ..sources import standins, views
 from . import sqlviews as V
 from .registry import query
 
@@ -1213,7 +1213,7 @@ def q_complete_batch(spark, sf_dir):
     x = prompts.all_dimensions(qa_view(spark, sf_dir))
     x = prompts.with_messages(prompts.render_prompt(x, templates_df(spark)))
     return completion.complete_batch(x.select("item_id", "dimension", "messages"),
-                                     completion.length_rule_evaluator)
+                                     standins.length_rule_evaluator)
 
 
 @query("complete_routed", "WITH dp AS (" + _direct_prompt_sql() + f"""), m AS (
@@ -1230,7 +1230,7 @@ def q_complete_routed(spark, sf_dir):
                          (F.col("item_id") % 3 + 1).cast("int"))
     return completion.complete_routed(
         x.select("item_id", "dimension", model.alias("model"), "messages"),
-        {"fail": completion.failing_evaluator, "rule": completion.length_rule_evaluator}, failure_col="failure")
+        {"fail": standins.failing_evaluator, "rule": standins.length_rule_evaluator}, failure_col="failure")
 
 
 @query("evaluate_thinking", "WITH dp AS (" + _direct_prompt_sql() + """)
@@ -1239,9 +1239,8 @@ SELECT item_id, dimension, 'thinker' AS model, CAST(1 + length(prompt) % 3 AS IN
 def q_evaluate_thinking(spark, sf_dir):
     """A model that names another score while reasoning: only the text behind
     the marker is scored, the reasoning is kept."""
-    from ..operators import completion
     from . import jobs
-    out = jobs.evaluate(qa_view(spark, sf_dir), templates_df(spark), completion.thinking_evaluator, "thinker",
+    out = jobs.evaluate(qa_view(spark, sf_dir), templates_df(spark), standins.thinking_evaluator, "thinker",
                         error_aware=False, thinking="thinking")
     return out.select("item_id", "dimension", "model", "score", "thinking")
 
@@ -1251,11 +1250,10 @@ def q_evaluate_thinking(spark, sf_dir):
   JOIN tpl t ON t.kind = 'error' AND t.dimension = q.dimension)
 SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score FROM ep""")
 def q_evaluate(spark, sf_dir):
-    from ..operators import completion
     from . import jobs
     lab = lab_view(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "error_label")
     qa = qa_view(spark, sf_dir).join(lab, "doc_id", "left")
-    out = jobs.evaluate(qa, templates_df(spark), completion.length_rule_evaluator, "rule")
+    out = jobs.evaluate(qa, templates_df(spark), standins.length_rule_evaluator, "rule")
     return out.select("item_id", "dimension", "model", "score")
 
 
@@ -1329,13 +1327,12 @@ FROM rv WHERE {votes} >= {vocab.DEFAULT_VOTES}"""
 
 @query("build_training_set", _training_set_sql())
 def q_build_training_set(spark, sf_dir):
-    from ..operators import completion
     from . import jobs
     seeds = seed_view(spark, sf_dir).select("item_id", "passage", "answer", "question", "error_label")
     cands = qa_view(spark, sf_dir).select("item_id", "passage", "answer", "source")
-    reviewers = {r: completion.hashed_reviewer(r) for r in vocab.REVIEWERS}
+    reviewers = {r: standins.hashed_reviewer(r) for r in vocab.REVIEWERS}
     return jobs.build_training_set(
-        cands, seeds, templates_df(spark), completion.label_echo_generator, reviewers,
+        cands, seeds, templates_df(spark), standins.label_echo_generator, reviewers,
         vocab.DEFAULT_DIFFICULTY, vocab.DEFAULT_IMPORTANCE, vocab.LOW_PRECISION_LABELS,
         threshold=0.5, by="threshold")
 
@@ -1384,18 +1381,38 @@ def q_bce_loss_weighted(spark, sf_dir):
 def q_resume_scoring(spark, sf_dir):
     """The first run covers three dimensions with a model that fails for some
     prompts; the rerun scores the rest and asks the failed ones again."""
-    from ..operators import completion, prompts
+    from ..operators import prompts
     from . import jobs
     x = prompts.all_dimensions(qa_view(spark, sf_dir))
     req = prompts.with_messages(prompts.render_prompt(x, templates_df(spark))) \
         .withColumn("model", F.lit("rule")).select("item_id", "dimension", "model", "messages")
     sink = _scratch(spark, "resume")
     jobs.resume_scoring(req.filter(F.col("dimension").isin(vocab.DIMENSIONS[:3])), sink,
-                        completion.failing_evaluator)
-    out = jobs.resume_scoring(req, sink, completion.length_rule_evaluator)
+                        standins.failing_evaluator)
+    out = jobs.resume_scoring(req, sink, standins.length_rule_evaluator)
     return out.select("item_id", "dimension", "model", "score")
 
 
+@query("score_in_stream", "WITH dp AS (" + _direct_prompt_sql() + ")\n" +
+       "SELECT item_id, dimension, 'rule' AS model, CAST(1 + length(prompt) % 3 AS INTEGER) AS score, "
+       "CAST(1 AS BIGINT) AS n_replies FROM dp")
+def q_score_in_stream(spark, sf_dir):
+    """Requests in three files, scored in three micro-batches by a model that
+    fails for some prompts; the queue is asked again, one reply per key."""
+    from ..operators import prompts
+    from ..streaming import scoring
+    x = prompts.all_dimensions(qa_view(spark, sf_dir))
+    req = prompts.with_messages(prompts.render_prompt(x, templates_df(spark))) \
+        .withColumn("model", F.lit("rule")).select("item_id", "dimension", "model", "messages")
+    source, sink, check = (_scratch(spark, n) for n in ("requests", "replies", "stream"))
+    req.repartition(3).write.parquet(source)
+    scoring.run_scoring(spark, source, sink, check, standins.failing_evaluator, max_files_per_trigger=1)
+    scoring.retry_failed(spark, sink, standins.length_rule_evaluator)
+    got = scoring.ScoringSink(spark, sink).replies()
+    return got.groupBy("item_id", "dimension", "model").agg(F.max("score").alias("score"),
+                                                            F.count(F.lit(1)).alias("n_replies"))
+
+
 def _registry_views():
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE

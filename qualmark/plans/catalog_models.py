@@ -14,7 +14,7 @@ from .. import vocab
 from ..functions import labels as lb
 from ..operators import metrics, ml, prompts, sampling
 from ..session import materialize, scratch_path
-from ..sources import views
+from ..sources import standins, views
 from . import catalog as C
 from . import jobs, rounds
 from . import sqlviews as V
@@ -207,10 +207,9 @@ def q_identifier_report(spark, sf_dir):
 def q_evaluate_with_identifier(spark, sf_dir):
     """Error-aware evaluation with labels from a freshly trained identifier:
     every row and dimension gets a grade."""
-    from ..operators import completion
     m, d = trained_identifier(spark, sf_dir)
     qa = d.select("item_id", "passage", "question", "answer")
-    out = jobs.evaluate(qa, C.templates_df(spark), completion.length_rule_evaluator, "rule", identifier=m)
+    out = jobs.evaluate(qa, C.templates_df(spark), standins.length_rule_evaluator, "rule", identifier=m)
     return out.select("item_id", "dimension", "model", F.col("score").between(1, 3).alias("graded"))
 
 

@@ -140,24 +140,33 @@ def build_training_set(candidates: DataFrame, seeds: DataFrame, templates: DataF
 
 
 def resume_scoring(requests: DataFrame, sink_dir: str, complete_fn,
-                   keys=("item_id", "dimension", "model")) -> DataFrame:
+                   keys=("item_id", "dimension", "model"), waves: int = 1, **calls) -> DataFrame:
     """Score the requests without a reply in ``sink_dir`` and append them.
 
     ``requests``: keys + ``messages``. The sink holds keys, ``response``,
     ``score``, ``failure`` and ``run``. A row whose calls all failed is kept with
-    its reason and asked again by the next run; a finished run adds nothing.
-    Returns the sink with one row per key: a reply before a failure, then the
-    latest run."""
+    its reason and asked again by the next run; a finished run adds nothing. The
+    pending rows are dealt by key into ``waves``, each appended on its own, so a
+    killed run repeats the calls of one wave at most; ``calls`` go to
+    ``complete_batch``. Returns the sink with one row per key: a reply before a
+    failure, then the latest run."""
     from ..operators import completion
-    from ..session import path_exists
+    from ..session import discard, materialize, path_exists
     spark = requests.sparkSession
     run, pending = 1, requests
     if path_exists(spark, sink_dir):
         sink = spark.read.parquet(sink_dir)
         run = (sink.agg(F.max("run")).first()[0] or 0) + 1
         pending = rows.pending_rows(requests, sink.filter(F.col("response") != ""), list(keys))
-    replies = completion.complete_batch(pending.select(*keys, "messages"), complete_fn, failure_col="failure")
-    rows.with_score(replies).withColumn("run", F.lit(run)).write.mode("append").parquet(sink_dir)
+    pending = pending.select(*keys, "messages")
+    if waves > 1:  # read once, not once a wave
+        pending = materialize(pending.withColumn("_wave", F.pmod(F.xxhash64(*keys), F.lit(waves))), "pending")
+    for k in range(waves):
+        part = pending.filter(F.col("_wave") == k).drop("_wave") if waves > 1 else pending
+        replies = completion.complete_batch(part, complete_fn, failure_col="failure", **calls)
+        rows.with_score(replies).withColumn("run", F.lit(run)).write.mode("append").parquet(sink_dir)
+    if waves > 1:
+        discard(pending)
     return latest_scores(spark.read.parquet(sink_dir), keys)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF0001
 from qualmark import vocab
-from qualmark.operators import completion, voting
+from qualmark.operators import voting
 from qualmark.plans import catalog, jobs
+from qualmark.sources import standins
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF0001), reason="test data missing")
 
@@ -32,7 +33,7 @@ def test_evaluate_direct_mode(spark):
     def fn(batch):
         # direct prompts carry no checker evidence section
         assert all("Checker labels" not in m[-1]["content"] for m in batch)
-        return completion.length_rule_evaluator(batch)
+        return standins.length_rule_evaluator(batch)
 
     out = jobs.evaluate(qa, catalog.templates_df(spark), fn, "rule", error_aware=False,
                         dimensions=["fluency", "clarity"])

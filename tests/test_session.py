@@ -38,10 +38,11 @@ def test_python_stages_from_a_foreign_folder(tmp_path):
 import sys
 sys.path.insert(0, {root!r})
 from qualmark.operators import completion
+from qualmark.sources import standins
 from qualmark.session import build_session
 spark = build_session("local[2]", 2)
 df = spark.sql("select 1L as item_id, array(named_struct('role', 'user', 'content', 'abc')) as messages")
-print("GOT", completion.complete_batch(df, completion.length_rule_evaluator).first().response.split()[1])
+print("GOT", completion.complete_batch(df, standins.length_rule_evaluator).first().response.split()[1])
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
