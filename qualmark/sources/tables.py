@@ -40,9 +40,11 @@ def scan_table(spark: SparkSession, path: str,
 def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
               json_array: bool = False) -> DataFrame:
     """JSON records. ``json_array=True`` reads files that each hold one JSON
-    array (one task per file: such files cannot be split); the default reads
-    splittable JSON lines."""
-    reader = spark.read.option("multiLine", "true" if json_array else "false")
+    array, by byte ranges (``ranges``); the default reads JSON lines."""
+    if json_array:
+        from .ranges import read_json
+        return read_json(spark, path, schema)
+    reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
@@ -65,14 +67,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
                fmt: str | None = None) -> DataFrame:
     """Pick the reader by file extension, or by ``fmt`` for a folder without
     one; raise on an unknown extension. JSON may be lines or one array per file
-    (``.json`` only; an array is read by one task per file)."""
+    (``.json`` only). Arrays and CSV are split by byte ranges."""
     fmt = fmt or format_for(path)
     if fmt == "json":
         array = path.rstrip("/").lower().endswith(".json") and is_json_array(spark, path)
         return scan_json(spark, path, schema, json_array=array)
-    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+        from .ranges import read_csv
+        return read_csv(spark, path, schema)
+    reader = spark.read.format(fmt)
     if schema is not None and fmt != "text":
         reader = reader.schema(schema)
     return reader.load(path)
