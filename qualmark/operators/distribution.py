@@ -2,13 +2,13 @@
 
 The distribution is one ``groupBy(label)`` with a partial aggregate, so a
 label that holds a third of all tokens costs one partial row per task. Totals
-and means are scalar subqueries over the (small) aggregated table instead of
+and means come from the aggregated table (one row per label), never from
 un-partitioned windows over the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -57,21 +57,18 @@ def label_weights(dist: DataFrame, difficulty: dict | None = None,
                   importance: dict | None = None,
                   min_boost: float = vocab.DEFAULT_MIN_BOOST,
                   max_boost: float = vocab.DEFAULT_MAX_BOOST,
-                  seed: int = vocab.SPLIT_SEED, materialize: bool = True) -> DataFrame:
+                  seed: int = vocab.SPLIT_SEED) -> DataFrame:
     """Sampling weight per label: proportion x difficulty x importance x boost.
 
     A label rarer than the mean count gets a boost drawn uniformly from
     [min_boost, max_boost) — seeded from ``md5(seed|label)`` so reruns agree —
     and weights are normalised to sum to 1.
 
-    ``materialize`` checkpoints the distribution (one row per label) so the
-    mean/total subqueries read it instead of re-running the scan and the
-    aggregation over the labeled data each time.
+    The mean and the total are windows over the distribution, one row per label, so
+    the labeled data are scanned once and no job runs while the plan is built.
     """
     spark = dist.sparkSession
-    if materialize:
-        from ..session import cut_lineage
-        dist = cut_lineage(dist)
+    whole = Window.partitionBy()
     factors = vocab.factor_table(spark, difficulty, importance)
     # the factor table has at most one row per named label: safe to broadcast
     w = dist.join(F.broadcast(factors), "label", "left").select(
@@ -81,15 +78,14 @@ def label_weights(dist: DataFrame, difficulty: dict | None = None,
         F.coalesce("difficulty", F.lit(1.0)).alias("difficulty"),
         F.coalesce("importance", F.lit(1.0)).alias("importance"),
     )
-    mean_count = dist.agg(F.avg("count")).scalar()
+    mean_count = F.avg("count").over(whole)
     u = md5_uniform(seed, F.col("label"))
     boost = F.when(F.col("count") < mean_count,
                    F.lit(min_boost) + F.lit(max_boost - min_boost) * u).otherwise(F.lit(1.0))
     w = w.withColumn("freq_boost", boost)
     w = w.withColumn("final_weight_raw", F.col("base_proportion") * F.col("difficulty")
                      * F.col("importance") * F.col("freq_boost"))
-    total = w.agg(F.sum("final_weight_raw")).scalar()
-    return w.withColumn("final_weight_norm", F.col("final_weight_raw") / total)
+    return w.withColumn("final_weight_norm", F.col("final_weight_raw") / F.sum("final_weight_raw").over(whole))
 
 
 def sort_weights(weights: DataFrame) -> DataFrame:

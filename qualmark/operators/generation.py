@@ -17,26 +17,31 @@ def parse_attempts(attempts: DataFrame, response: str = "response") -> DataFrame
         .withColumn("gen_label", F.col("_j.error_label")).drop("_j")
 
 
+def _ok(target: str):
+    return ((F.coalesce(F.col("gen_question"), F.lit("")) != "")
+            & (F.coalesce(F.col("gen_label"), F.lit("")) != "")
+            & F.coalesce(lb.labels_equal(F.col(target), lb.parse_labels_raw(F.col("gen_label"))),
+                         F.lit(False)))
+
+
 def accepted(attempts: DataFrame, target: str = "target_labels") -> DataFrame:
     """Attempts whose question and label are present and whose labels equal
     the target labels (case-insensitive sets of equal length)."""
-    x = parse_attempts(attempts)
-    ok = ((F.coalesce(F.col("gen_question"), F.lit("")) != "")
-          & (F.coalesce(F.col("gen_label"), F.lit("")) != "")
-          & F.coalesce(lb.labels_equal(F.col(target), lb.parse_labels_raw(F.col("gen_label"))),
-                       F.lit(False)))
-    return x.filter(ok)
+    return parse_attempts(attempts).filter(_ok(target))
 
 
-def first_accepted(attempts: DataFrame, key: str = "item_id",
-                   attempt: str = "attempt") -> DataFrame:
+def first_accepted(attempts: DataFrame, key: str = "item_id", attempt: str = "attempt",
+                   target: str = "target_labels", response: str = "response") -> DataFrame:
     """The lowest-numbered accepted attempt per item; items with none drop out.
-
-    The choice runs on (key, attempt) alone, in hash buffers; the passages meet
-    it in one join."""
-    ok = accepted(attempts)
-    best = ok.groupBy(key).agg(F.min(attempt).alias(attempt))
-    return ok.join(best, [key, attempt], "left_semi")
+    (An item has one row per attempt.)
+
+    Replies are parsed once, on narrow rows: the verdict is an aggregate's argument,
+    since a filter would be pushed below the parsing and repeat it. The other columns
+    meet the chosen attempt in one join."""
+    got = parse_attempts(attempts.select(key, attempt, target, response), response)
+    chosen = F.when(_ok(target), F.struct(attempt, "gen_question", "gen_label"))
+    best = got.groupBy(key).agg(F.min(chosen).alias("_best")).filter(F.col("_best").isNotNull())
+    return attempts.join(best.select(key, "_best.*"), [key, attempt])
 
 
 def make_training_row(acc: DataFrame, suffix: str = "_GPT-4") -> DataFrame:

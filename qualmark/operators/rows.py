@@ -105,12 +105,6 @@ def count_unmatched(ratings: DataFrame, preds: DataFrame, by: str = "dimension",
             .agg(F.count(F.lit(1)).alias("n_rated"), F.count_if(F.col("_found").isNull()).alias("n_unmatched")))
 
 
-def unmatched(ratings: DataFrame, preds: DataFrame,
-              keys: Sequence[str] = ("item_id", "dimension")) -> DataFrame:
-    """Rated rows that have no prediction (``left_anti``)."""
-    return ratings.join(preds.select(*keys), list(keys), "left_anti")
-
-
 def pending_rows(requests: DataFrame, done: DataFrame,
                  keys: Sequence[str] = RESPONSE_KEYS) -> DataFrame:
     """Requests not yet answered: the resume set of an incremental run.

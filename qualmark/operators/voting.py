@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.labels import parse_labels_raw
+from ..functions.parse import parse_confidence
 
 
 def _q(name: str) -> Column:
@@ -93,3 +94,66 @@ def merge_reviews(base: DataFrame, reviews: DataFrame,
             .agg(F.max(score_col)))
     wide = wide.select(key, *[F.col(r).alias(f"check-{r}") for r in reviewers])
     return base.join(wide, key, "left")
+
+
+# ---- reviewers that are not known beforehand -----------------------------------
+
+PREFIX = "check-"
+
+
+def read_reviews(spark: SparkSession, root: str, key: str = "item_id", run: str = "run") -> DataFrame:
+    """Review tables under ``root`` (``run=n`` folders) whose columns grow: every
+    ``check-<reviewer>`` column that any of the files has, as (key, reviewer, run,
+    confidence). Replies may be numbers or text; what is no number is left out."""
+    table = spark.read.option("mergeSchema", "true").parquet(root)
+    return long_reviews(table, key, run)
+
+
+def long_reviews(table: DataFrame, key: str = "item_id", run: str = "run") -> DataFrame:
+    """``check-<reviewer>`` columns, whatever their names, as rows."""
+    found = [c for c in table.columns if c.startswith(PREFIX)]
+    order = F.col(run) if run in table.columns else F.lit(0)
+    if not found:
+        return table.limit(0).select(key, F.lit("").alias("reviewer"), order.cast("long").alias(run),
+                                     F.lit(0.0).alias("confidence"))
+    cells = [F.struct(F.lit(c[len(PREFIX):]).alias("reviewer"),
+                      parse_confidence(_q(c).cast("string")).alias("confidence")) for c in found]
+    rows = table.select(key, order.cast("long").alias(run), F.explode(F.array(*cells)).alias("r"))
+    rows = rows.select(key, "r.reviewer", run, "r.confidence")
+    return rows.filter(F.col("confidence").isNotNull() & ~F.isnan("confidence"))
+
+
+def review_map(reviews: DataFrame, rule: str = "last", key: str = "item_id", run: str = "run",
+               out_col: str = "reviews") -> DataFrame:
+    """One map reviewer -> confidence per item. Of several replies of one reviewer
+    ``rule`` takes the ``last`` run's (the greatest of that run), the ``max`` or the
+    ``mean``. A map holds as many entries as the item has reviewers."""
+    of = {"last": F.max_by("confidence", F.struct(run, "confidence")), "max": F.max("confidence"),
+          "mean": F.avg("confidence")}
+    if rule not in of:
+        raise ValueError("rule must be 'last', 'max' or 'mean'")
+    one = reviews.groupBy(key, "reviewer").agg(of[rule].alias("confidence"))
+    entries = F.array_sort(F.collect_list(F.struct("reviewer", "confidence")))
+    return one.groupBy(key).agg(F.map_from_entries(entries).alias(out_col))
+
+
+def vote_filter_map(df: DataFrame, strategy: str = "vote", threshold: float = vocab.DEFAULT_REVIEW_THRESHOLD,
+                    low_precision: Sequence[str] = (), by: str = "vote", label_col: str = "error_label",
+                    reviews: str = "reviews", of_present: bool = False, return_with_score: bool = False) -> DataFrame:
+    """``vote_filter`` over a map of reviewers instead of fixed columns.
+    ``of_present``: an item with fewer reviewers than votes required needs all of
+    them (at least one)."""
+    scores = F.coalesce(F.map_values(reviews), F.array().cast("array<double>"))
+    if strategy == "vote":
+        x = required_thresholds(df, label_col, by, threshold, low_precision)
+        if of_present:
+            x = x.withColumn("required_vote", F.least("required_vote", F.greatest(F.size(scores), F.lit(1))))
+        x = x.withColumn("vote", F.size(F.filter(scores, lambda s: s >= F.col("required_thres"))))
+        x, helpers = x.filter(F.col("vote") >= F.col("required_vote")), ["vote", "required_vote", "required_thres"]
+    elif strategy == "avg":
+        total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
+        x = df.withColumn("avg_score", F.try_divide(total, F.size(scores).cast("double")))
+        x, helpers = x.filter(F.col("avg_score") >= F.lit(float(threshold))), ["avg_score"]
+    else:
+        raise ValueError("strategy must be 'vote' or 'avg'")
+    return x if return_with_score else x.drop(*helpers)

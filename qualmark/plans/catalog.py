@@ -1406,7 +1406,7 @@ def q_score_in_stream(spark, sf_dir):
         .withColumn("model", F.lit("rule")).select("item_id", "dimension", "model", "messages")
     source, sink, check = (_scratch(spark, n) for n in ("requests", "replies", "stream"))
     req.repartition(3).write.parquet(source)
-    scoring.run_scoring(spark, source, sink, check, standins.failing_evaluator, max_files_per_trigger=1)
+    scoring.run_scoring(spark, source, sink, check, standins.failing_evaluator, max_files_per_trigger=1, max_tries=9)
     scoring.retry_failed(spark, sink, standins.length_rule_evaluator)
     got = scoring.ScoringSink(spark, sink).replies()
     return got.groupBy("item_id", "dimension", "model").agg(F.max("score").alias("score"),

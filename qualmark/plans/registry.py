@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import catalog, catalog_models  # noqa: F401
+    from . import catalog, catalog_models, catalog_tables  # noqa: F401
