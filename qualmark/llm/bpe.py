@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut by the tokenizer's pattern; each piece is encoded alone. Bytes
-are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary
-lists every token that starts at each byte of the piece. The encoder takes the
-longest one and backtracks to shorter ones. A step is allowed only if the new
-token and the one before it would come out of the merges as exactly that pair
-(memoised). A prefix has one valid encoding, so a position found to have no
-way on is never tried again and the search is linear in the piece.
+are mapped to Latin-1 so that an Aho-Corasick automaton over the vocabulary finds
+the longest token at a byte of the piece. The encoder takes that one and
+backtracks to shorter ones, each the longest token that begins the one before. A
+step is allowed only if the new token and the one before it would come out of the
+merges as exactly that pair (memoised): the merges of both are undone, latest
+first, and no merge across their border may come before the next one undone. A
+prefix has one valid encoding, so a position found to have no way on is never
+tried again and the search is linear in the piece. Beside the piece the search
+holds its path and the positions it gave up.
 
 Defined results: NULL text is treated as empty and gives no ids; equal rows
 give equal rows; an empty table gives an empty table.
@@ -47,23 +50,58 @@ class Codec:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.trie = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            self.trie.add_word(token.decode("latin-1"), (i, len(token)))
+        for token in ranks:
+            self.trie.add_word(token.decode("latin-1"), True)
         self.trie.make_automaton()
+        self.longest = max(map(len, ranks), default=0)
+        self.size_of = {i: len(t) for t, i in ranks.items()}
+        #: By a text that begins a token: the longest token that begins the text.
+        self.begins: dict[str, int] = {}
+        for token in sorted(ranks, key=len):
+            text = token.decode("latin-1")
+            for size in range(1, len(text)):
+                self.begins.setdefault(text[:size], self.begins.get(text[:size - 1], -1))
+            self.begins[text] = ranks[token]
+        self.shorter: dict[int, int] = {}
+        self.edges: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces = Memo(lambda piece: self.encode_piece(piece.encode()), PIECE_MEMO)
 
-    def merges(self, data: bytes) -> list[int]:
-        """Merging by definition: the lowest-ranked adjacent pair first."""
+    def merges(self, data: bytes, below: int = 1 << 60) -> list[int]:
+        """Merging by definition: the lowest-ranked adjacent pair first, up to
+        a rank."""
         parts = [data[i:i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min((self.ranks.get(a + b, 1 << 60), i)
                            for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def next_shorter(self, token: int) -> int:
+        """The longest token that begins ``token`` and is shorter; -1 for none."""
+        found = self.shorter.get(token)
+        if found is None:
+            found = self.begins.get(self.bytes_of[token][:-1].decode("latin-1"), -1)
+            self.shorter[token] = found
+        return found
+
+    def edge(self, token: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+        """The tokens that stand at the left and at the right end of ``token`` while
+        it is merged, last first; None if the merges never make it."""
+        if token in self.edges:
+            return self.edges[token]
+        data = self.bytes_of[token]
+        found: tuple | None = ((token,), (token,))
+        if len(data) > 1:
+            parts = self.merges(data, token)
+            ends = [self.edge(p) for p in parts]
+            found = None if len(parts) != 2 or None in ends else (
+                (token, *ends[0][0]), (token, *ends[1][1]))
+        self.edges[token] = found
+        return found
+
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` then ``right`` is what the merges make of their bytes."""
         key = left << 32 | right
@@ -71,50 +109,66 @@ class Codec:
         if known is None:
             if len(self.pairs) >= PAIR_MEMO:
                 self.pairs.clear()
-            known = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[key] = known
+            known = self.pairs[key] = self._fits(left, right)
         return known
 
+    def _fits(self, left: int, right: int) -> bool:
+        ends, begins = self.edge(left), self.edge(right)
+        if ends is None or begins is None:
+            return self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        a, b = ends[1], begins[0]
+        i = j = 0
+        before = 1 << 60  # a merge across the border below this rank would have come first
+        while True:
+            across = self.ranks.get(self.bytes_of[a[i]] + self.bytes_of[b[j]])
+            if across is not None and across < before:
+                return False
+            # single bytes are there from the start; of equal merges the left one comes first
+            made_a = a[i] if i + 1 < len(a) else -1
+            made_b = b[j] if j + 1 < len(b) else -1
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                before, i = made_a, i + 1
+            else:
+                before, j = made_b + 1, j + 1
+
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        n = len(data)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, size) in self.trie.iter(data.decode("latin-1")):
-            starts[end - size + 1].append((token, size))  # shorter ones come first
-        dead = bytearray(n + 1)
-        path: list[tuple[int, int]] = []
-        tried = [len(starts[0])]
-        known = self.pairs.get
+        text, n, span = data.decode("latin-1"), len(data), self.longest
+        begins, reach, size_of = self.begins, self.trie.longest_prefix, self.size_of
+        known, shorter = self.pairs.get, self.shorter.get
+        dead: set[int] = set()
+        path: list[int] = []
         at, last = 0, -1
-        while at < n:
-            options, i = starts[at], tried[-1]
-            while i:
-                i -= 1
-                token, size = options[i]
-                if dead[at + size]:
-                    continue
-                if path:
+        token = begins.get(text[:reach(text[:span])], -1)
+        while True:
+            while token >= 0:
+                end = at + size_of[token]
+                if end not in dead:
+                    if last < 0:
+                        break
                     fit = known(last << 32 | token)
-                    if fit is None:
-                        fit = self.fits(last, token)
-                    if not fit:
-                        continue
-                tried[-1] = i
-                path.append((token, size))
-                last = token
-                at += size
-                tried.append(len(starts[at]) if at < n else 0)
-                break
+                    if fit or fit is None and self.fits(last, token):
+                        break
+                found = shorter(token)
+                token = self.next_shorter(token) if found is None else found
+            if token >= 0:
+                path.append(token)
+                if end == n:
+                    return tuple(path)
+                at, last = end, token
+                token = begins.get(text[at:at + reach(text[at:at + span])], -1)
+            elif path:
+                dead.add(at)
+                token = path.pop()
+                at -= size_of[token]
+                last = path[-1] if path else -1
+                token = self.next_shorter(token)
             else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the text")
-                dead[at] = 1
-                tried.pop()
-                at -= path.pop()[1]
-                last = path[-1][0] if path else -1
-        return tuple([t for t, _ in path])
+                raise ValueError("the vocabulary lacks a byte of the text")
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) > LONG_TEXT:
