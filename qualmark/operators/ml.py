@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import labels as lb
 from . import passes
-from .metrics import f1_from_counts, multilabel_metrics
+from .metrics import best_thresholds, f1_from_counts, multilabel_metrics, threshold_list
 from .passes import NUM_FEATURES, LinearModel
 
 
@@ -77,6 +77,14 @@ def identify_errors(model: TextModel, df: DataFrame,
     return x.select(*keep)
 
 
+def tune_thresholds(model: TextModel, dev: DataFrame, labels_col: str = "labels") -> list[float]:
+    """The best cutoff of each label on dev rows (``metrics.best_thresholds``), as
+    ``identify_errors`` takes them. The comparison there is strict, as here."""
+    scored = model.logits(dev).select(lb.sigmoid(F.col("logits")).alias("probs"),
+                                      lb.binarize(F.col(labels_col)).alias("y_true"))
+    return threshold_list(best_thresholds(scored.filter(F.col("y_true").isNotNull())))
+
+
 def identify_row(model: TextModel, question: str, answer: str, passage: str, model_type: str = "roberta",
                  thresholds: float | Sequence[float] | None = None) -> tuple[str, list[float]]:
     """Label string and probabilities of one triple, without a job."""

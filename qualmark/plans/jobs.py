@@ -36,21 +36,22 @@ def meta_evaluate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate(qa: DataFrame, templates: DataFrame, complete_fn, model_name: str,
              error_aware: bool = True, dimensions=None, label_col: str = "error_label",
-             identifier=None, model_type: str = "roberta", thinking: str | None = None) -> DataFrame:
+             identifier=None, model_type: str = "roberta", thinking: str | None = None,
+             thresholds=None, **calls) -> DataFrame:
     """Rows -> (error-aware or direct) prompts per dimension -> evaluator
     replies -> scores. With ``error_aware``, labels come from ``label_col``
     (a recorded identifier run) or, if ``identifier`` is given, from that
-    model applied to the rows first. Scores are read behind the reasoning;
-    ``thinking`` names a column that keeps it."""
+    model (with its ``thresholds``) applied to the rows first. Scores are read
+    behind the reasoning; ``thinking`` names a column that keeps it. ``calls`` go
+    to ``complete_batch``."""
     from ..operators import completion, ml, prompts
     dims = dimensions or vocab.DIMENSIONS
     if error_aware and identifier is not None:
         text = prompts.identifier_text(F.col("question"), F.col("answer"), F.col("passage"), model_type)
-        qa = ml.identify_errors(identifier, qa.withColumn("text", text), out_col=label_col) \
-            .drop("text")
+        qa = ml.identify_errors(identifier, qa.withColumn("text", text), thresholds, label_col).drop("text")
     cols = ["item_id", "passage", "question", "answer"] + ([label_col] if error_aware else [])
     msgs = prompts.render_batch(qa.select(*cols), templates, error_aware, dims, label_col)
-    replies = completion.complete_batch(msgs.select("item_id", "dimension", "messages"), complete_fn)
+    replies = completion.complete_batch(msgs.select("item_id", "dimension", "messages"), complete_fn, **calls)
     return rows.with_score(replies.withColumn("model", F.lit(model_name)), thinking=thinking)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qualmark import vocab
+from qualmark.functions import labels as lb
 from qualmark.operators import metrics, ml, passes, sampling
 from qualmark.plans import rounds
 
@@ -96,6 +97,19 @@ def test_thresholds_against_every_cutoff(spark):
         assert round(got[name].threshold * 1000) == min(k for k in range(1000) if f1(k) == best)
 
 
+def test_tuned_thresholds_do_not_lose(spark, noisy):
+    train, dev = noisy
+    m = ml.train_identifier(train, max_passes=2)
+    limits = ml.tune_thresholds(m, dev)
+    y = lb.binarize(F.col("labels"))
+    scored = m.logits(dev.select("text", y.alias("y")))
+    per_label = [metrics.multilabel_report(scored.select(F.col("y").alias("y_true"), lb.above(
+        lb.sigmoid(F.col("logits")), lb.thresholds(t)).alias("y_pred"))).collect() for t in (None, limits)]
+    for plain, tuned in zip(*(sorted(r, key=str) for r in per_label)):
+        if plain[0] in vocab.LABELS:
+            assert dict(zip(plain.__fields__, plain))["f1"] <= {t[0]: t.f1 for t in per_label[1]}[plain[0]]
+
+
 def test_grouped_split(spark):
     rng = random.Random(8)
     rows = []
