@@ -20,7 +20,8 @@ from . import jobs, rounds
 from . import sqlviews as V
 from .registry import query
 
-QA = (F.col("question"), F.col("answer"), F.col("passage"))
+def qa_columns():
+    return F.col("question"), F.col("answer"), F.col("passage")
 
 
 # ---- V6: splits by passage -----------------------------------------------------
@@ -95,7 +96,7 @@ def planted_rows(spark, sf_dir):
     x = x.withColumn("error_label", by_kind(lambda n: F.lit("; ".join(n)))).withColumn(
         "labels", by_kind(lambda n: F.array(*map(F.lit, n)))).withColumn("question", F.concat(
             "question", F.lit(" "), by_kind(lambda n: F.lit(" ".join(map(_planted_words, n))))))
-    x = x.withColumn("text", prompts.identifier_text(*QA))
+    x = x.withColumn("text", prompts.identifier_text(*qa_columns()))
     return materialize(sampling.grouped_split(x, dev_percent=PLANTED_SHARE), "planted-rows")
 
 
@@ -109,7 +110,7 @@ def planted_verdicts(spark, sf_dir):
     label = ((F.col("item_id") / 2).cast("long") % 5 < 2).cast("int")
     x = x.withColumn("label", label).withColumn("pred_error", F.lit("Vague")).withColumn("question", F.concat(
         "question", F.lit(" "), F.when(F.col("label") == 1, _planted_words("agreed")).otherwise(_planted_words("denied"))))
-    x = x.withColumn("text", prompts.verifier_text(F.col("pred_error"), *QA)).withColumn("side", F.col("label").cast("string"))
+    x = x.withColumn("text", prompts.verifier_text(F.col("pred_error"), *qa_columns())).withColumn("side", F.col("label").cast("string"))
     return materialize(sampling.grouped_split(x, label="side", dev_percent=PLANTED_SHARE), "planted-verdicts")
 
 
