@@ -59,3 +59,14 @@ def test_every_query_plans(spark):
             continue
         df = fn(spark, SF0001)
         assert len(df.schema.fields) > 0, name
+
+
+def test_registry_loads_without_a_session(tmp_path):
+    """The driver may list queries and SQL before it starts Spark."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.split()[0]) >= 100
