@@ -1,4 +1,4 @@
-"""Pluggable model calls: a batch function applied with ``mapInPandas``.
+"""Pluggable model calls: a batch function applied with ``mapInArrow``.
 
 ``fn(batch: list[list[dict]]) -> list[str]`` receives the chat messages of some
 rows and returns one reply per row. A task keeps up to ``in_flight`` calls running
@@ -7,6 +7,10 @@ calls of each model over the whole job. A failing batch is retried; if it keeps
 failing, rows are retried one by one and a row that still fails gets ``''`` (later
 parsed as score 999). Output depends only on the row, so a Spark task retry
 recomputes the same replies; ``partitions`` bounds how many calls it repeats.
+
+A task walks each Arrow batch in pieces, parses a call's messages when the call
+starts, and hands the kept columns on as they came, so its memory is bounded by
+the Arrow batch and the calls in flight, whatever the size of its partition.
 """
 
 from __future__ import annotations
@@ -19,19 +23,21 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import arrow_pieces, ship_package
 
 BatchFn = Callable[[list], list]
 
 #: Calls that a task keeps running at a time; ``fn`` is called from several threads.
 IN_FLIGHT = 8
-#: Arrow batches whose calls run ahead of the one that is being returned.
+#: Pieces of a batch whose calls run ahead of the one that is being returned.
 AHEAD = 2
+#: Rows of a piece, in rounds of calls in flight.
+ROUNDS = 4
 
 log = logging.getLogger(__name__)
 
@@ -131,14 +137,18 @@ def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, ke
         rate = calls_per_second.get(name) if isinstance(calls_per_second, dict) else calls_per_second
         return rate / tasks if rate else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paces: dict[str, Pace] = {}
-        waiting: deque[tuple[pd.DataFrame, list[tuple[list[int], Future]]]] = deque()
+        waiting: deque[tuple[pa.RecordBatch, list[tuple[list[int], Future]]]] = deque()
+
+        def ask(fn: BatchFn, texts: pa.Array, at: list[int], pace: Pace) -> list[tuple[str, str | None]]:
+            msgs = [texts[i].as_py() for i in at]
+            return _replies(fn, [json.loads(m) if m is not None else [] for m in msgs], max_tries, wait_s, pace)
 
-        def start(pool: ThreadPoolExecutor, pdf: pd.DataFrame) -> list[tuple[list[int], Future]]:
-            msgs = [json.loads(m) if m is not None else [] for m in pdf["_msgs"]]
+        def start(pool: ThreadPoolExecutor, piece: pa.RecordBatch) -> list[tuple[list[int], Future]]:
+            texts = piece.column("_msgs")
             rows_of: dict[str, tuple[BatchFn, list[int]]] = {}
-            for i, model in enumerate(pdf[model_col] if model_col else [None] * len(msgs)):
+            for i, model in enumerate(piece.column(model_col).to_pylist() if model_col else [None] * piece.num_rows):
                 found = route(model)
                 if found is not None:
                     rows_of.setdefault(found[0], (found[1], []))[1].append(i)
@@ -146,27 +156,24 @@ def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, ke
             for name, (fn, at) in rows_of.items():
                 pace = paces.setdefault(name, Pace(rate_of(name)))
                 for k in range(0, len(at), batch_size):
-                    some = at[k:k + batch_size]
-                    out.append((some, pool.submit(_replies, fn, [msgs[i] for i in some], max_tries, wait_s, pace)))
+                    out.append((at[k:k + batch_size], pool.submit(ask, fn, texts, at[k:k + batch_size], pace)))
             return out
 
-        def finish(pdf: pd.DataFrame, calls: list[tuple[list[int], Future]]) -> pd.DataFrame:
-            replies: list[tuple[str, str | None]] = [("", "no model for this row")] * len(pdf)
+        def finish(piece: pa.RecordBatch, calls: list[tuple[list[int], Future]]) -> pa.RecordBatch:
+            replies: list[tuple[str, str | None]] = [("", "no model for this row")] * piece.num_rows
             for at, call in calls:
                 for i, r in zip(at, call.result()):
                     replies[i] = r
-            out = pdf.drop(columns=["_msgs"])
-            out[out_col] = [r for r, _ in replies]
-            if failure_col:
-                out[failure_col] = [f for _, f in replies]
-            return out
+            new = [pa.array([r[k] for r in replies], pa.string()) for k in range(len(added))]
+            return pa.RecordBatch.from_arrays([*piece.columns[:len(keep)], *new], names=[*keep, *added])
 
         with ThreadPoolExecutor(max_workers=in_flight) as pool:
-            for pdf in batches:
-                waiting.append((pdf, start(pool, pdf)))
-                if len(waiting) > AHEAD:
-                    yield finish(*waiting.popleft())
+            for batch in batches:
+                for piece in arrow_pieces(batch, ROUNDS * in_flight * batch_size):
+                    waiting.append((piece, start(pool, piece)))
+                    if len(waiting) > AHEAD:
+                        yield finish(*waiting.popleft())
             while waiting:
                 yield finish(*waiting.popleft())
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)

@@ -97,6 +97,31 @@ def test_killed_run_repeats_one_wave_at_most(spark, tmp_path):
     assert again <= 30 - saved + 2 * C.IN_FLIGHT and len(asked(notes)) == 60
 
 
+def test_calls_run_a_bounded_piece_ahead(spark, monkeypatch):
+    """However large the Arrow batch, a task asks for a few rounds of calls ahead and
+    returns pieces as small; rows and their order are kept, columns as they came."""
+    import json
+    import pyarrow as pa
+    df, asked_for = requests(spark, range(2)).drop("model"), []
+
+    def fn(batch):
+        asked_for.extend(int(m[-1]["content"][1:]) for m in batch)
+        return [m[-1]["content"].upper() for m in batch]
+
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = C.complete_batch(df, fn, batch_size=2, in_flight=2)
+    n, most = 10_000, C.ROUNDS * 2 * 2
+    messages = [json.dumps([{"role": "user", "content": f"p{i}"}]) for i in range(n)]
+    got = run(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["fluency", None] * (n // 2)), pa.array(messages)],
+                                               names=["item_id", "dimension", "_msgs"])]))
+    first = next(got)
+    assert first.num_rows <= most and len(asked_for) <= (C.AHEAD + 1) * most
+    pieces = [first, *got]
+    assert pa.Table.from_batches(pieces).to_pydict() == {
+        "item_id": list(range(n)), "dimension": ["fluency", None] * (n // 2), "response": [f"P{i}" for i in range(n)]}
+    assert max(p.num_rows for p in pieces) <= most
+
+
 def land(df, folder, n):
     for k in range(n):
         df.filter(F.col("item_id") % n == k).coalesce(1).write.mode("append").parquet(str(folder))
