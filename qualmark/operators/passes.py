@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import md5_u32
-from ..session import discard, materialize, ship_package
+from ..session import arrow_pieces, discard, materialize, ship_package
 
 NUM_FEATURES = 1 << 18
 MAX_PASSES = 30
@@ -40,6 +40,8 @@ PATIENCE = 3
 PASSES = 10
 SHARD_ROWS = 1024
 STEP_ROWS = 16
+#: Features of a shard's result that a task hands on at a time.
+MOVED_ROWS = 1 << 14
 RATE = 4.0
 DECAY = 0.1
 
@@ -86,8 +88,9 @@ class LinearModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = model.dense()
             for batch in batches:
-                got = Rows.of_texts(batch.column(text_col), model.num_features).margins(weights) + model.bias
-                yield pa.RecordBatch.from_arrays([*map(batch.column, keep), _lists(got)], names=[*keep, out_col])
+                for piece in arrow_pieces(batch):
+                    got = Rows.of_texts(piece.column(text_col), model.num_features).margins(weights) + model.bias
+                    yield pa.RecordBatch.from_arrays([*map(piece.column, keep), _lists(got)], names=[*keep, out_col])
 
         return df.mapInArrow(run, kind)
 
@@ -98,8 +101,9 @@ class LinearModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = model.dense()
             for batch in batches:
-                got = Rows.of_lists(batch.column(1), batch.column(2)).margins(weights) + model.bias
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(got)], names=["y", "logits"])
+                for piece in arrow_pieces(batch):
+                    got = Rows.of_lists(piece.column(1), piece.column(2)).margins(weights) + model.bias
+                    yield pa.RecordBatch.from_arrays([piece.column(0), _lists(got)], names=["y", "logits"])
 
         return rows.select("y", "feature", "value").mapInArrow(run, "y array<int>, logits array<double>")
 
@@ -193,8 +197,9 @@ def _features(df: DataFrame, text_col: str, target: Column, key: str, num_featur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *Rows.of_texts(batch.column(2), num_features).lists()],
-                                             names=["key", "y", "feature", "value"])
+            for piece in arrow_pieces(batch):
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], *Rows.of_texts(piece.column(2), num_features).lists()],
+                                                 names=["key", "y", "feature", "value"])
 
     return rows.mapInArrow(run, "key string, y array<int>, feature array<int>, value array<double>")
 
@@ -209,15 +214,21 @@ def one_pass(rows: DataFrame, model: LinearModel, rate: float, reg: float) -> Li
         base = model.dense()
         shard, state = None, None
 
-        def result() -> pa.RecordBatch:
+        def result() -> Iterator[pa.RecordBatch]:
+            """The moved features in order, the biases as -1 behind them; ``weights``
+            are the state's again."""
             weights, bias, touched, n = state
-            f = np.nonzero(touched)[0]
-            moved = (weights[f] - base[f]) * touched[f][:, None]
-            feature = np.append(f, -1).astype(np.int32)
-            count = np.append(touched[f], n).astype(np.int64)
-            delta = np.vstack([moved, (bias - model.bias) * n])
-            return pa.RecordBatch.from_arrays([pa.array(feature), pa.array(count), *map(pa.array, delta.T)],
-                                              names=["feature", "n", *[f"d{h}" for h in range(heads)]])
+            moved = np.nonzero(touched)[0]
+            for lo in range(0, len(moved), MOVED_ROWS):
+                f = moved[lo:lo + MOVED_ROWS]
+                yield record(f, touched[f], (weights[f] - base[f]) * touched[f][:, None])
+                weights[f], touched[f] = base[f], 0
+            yield record(np.array([-1]), np.array([n]), ((bias - model.bias) * n)[None, :])
+
+        def record(feature: np.ndarray, n: np.ndarray, delta: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(feature.astype(np.int32)), pa.array(n.astype(np.int64)), *map(pa.array, np.ascontiguousarray(delta.T))],
+                names=["feature", "n", *[f"d{h}" for h in range(heads)]])
 
         for batch in batches:
             x = Rows.of_lists(batch.column(1), batch.column(2))
@@ -227,8 +238,9 @@ def one_pass(rows: DataFrame, model: LinearModel, rate: float, reg: float) -> Li
                 now = batch.column(0)[int(lo)].as_py()
                 if now != shard:
                     if state is not None:
-                        yield result()
-                    shard, state = now, [base.copy(), model.bias.copy(), np.zeros(len(base)), 0]
+                        yield from result()
+                    weights, touched = (base.copy(), np.zeros(len(base))) if state is None else (state[0], state[2])
+                    shard, state = now, [weights, model.bias.copy(), touched, 0]
                 weights, bias, touched, _ = state
                 state[3] += hi - lo
                 touched += np.bincount(x.feature[x.start[lo]:x.start[hi]], minlength=len(base))
@@ -240,7 +252,7 @@ def one_pass(rows: DataFrame, model: LinearModel, rate: float, reg: float) -> Li
                     x.step(weights, a, b, rate * off)
                     bias += rate / STEP_ROWS * off.sum(0)
         if state is not None:
-            yield result()
+            yield from result()
 
     moved = rows.select("shard", "feature", "value", "y").mapInArrow(run, kind).groupBy("feature").agg(
         F.sum("n").alias("n"), *[F.sum(f"d{h}").alias(f"d{h}") for h in range(heads)]).toArrow()

@@ -172,3 +172,40 @@ def test_killed_run_trains_no_round_again(spark, tmp_path):
     log = rounds.round_log(spark, state).orderBy("round").collect()
     assert [r.n_added for r in log] == [13, 14, 13, 0]
     assert rounds.self_train(pool, train_set, limited, state, max_rounds=9).count() == 60 and len(trained) == 8
+
+
+def test_batches_are_walked_in_pieces(spark, monkeypatch):
+    """Texts of a large Arrow batch become words and logits piece by piece, and long
+    rows make smaller pieces."""
+    import numpy as np
+    import pyarrow as pa
+    from qualmark import session
+    texts = [f"w{i % 7} fog" if i % 5 else None for i in range(4 * session.PIECE_ROWS + 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["item_id", "text"])
+    model = passes.LinearModel(2, 64, np.arange(64), np.arange(128.0).reshape(64, 2), np.array([1.0, 2.0]))
+    df = spark.createDataFrame([], "item_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    got = list(model.logits(df)(iter([batch])))
+    assert max(p.num_rows for p in got) <= session.PIECE_ROWS
+    table = pa.Table.from_batches(got).to_pydict()
+    assert table["item_id"] == list(range(len(texts))) and table["text"] == texts
+    assert np.allclose(table["logits"], [model.score_text(t) for t in texts])
+    wide = pa.RecordBatch.from_arrays([pa.array(["x" * (session.PIECE_BYTES // 4)] * 9)], names=["text"])
+    assert [p.num_rows for p in session.arrow_pieces(wide)] == [3, 3, 3]
+
+
+def test_shards_of_one_task_do_not_mix(spark):
+    """A task that walks several shards starts each from the pass's weights: as many
+    tasks as shards give the same move."""
+    rows = spark.createDataFrame([(s, [s, 5], [0.6, 0.8], [int(i % 3 == 0)]) for s in range(4) for i in range(20)],
+                                 "shard int, feature array<int>, value array<double>, y array<int>")
+    start = passes.LinearModel(1, 8, np_range(8))
+    one = passes.one_pass(rows.coalesce(1).sortWithinPartitions("shard"), start, 4.0, 0.1)
+    many = passes.one_pass(rows.repartition(4, "shard").sortWithinPartitions("shard"), start, 4.0, 0.1)
+    assert abs(one.weights - many.weights).max() < 1e-12 and abs(one.bias - many.bias).max() < 1e-12
+    assert one.weights[5, 0] != 0
+
+
+def np_range(n):
+    import numpy as np
+    return np.arange(n)
