@@ -61,3 +61,24 @@ def test_self_train_round_is_whole(spark):
     judged = [r for r in ml.verify_labels(ver, pred).collect() if r.item_id not in seen]
     assert judged
     assert sorted(got, key=repr) == sorted(seed + [(r.item_id, r.pred_error) for r in judged if r.verify_label == 1], key=repr)
+
+
+@needs_data
+def test_registered_round_trains_both_models(spark, monkeypatch):
+    """The query's round is judged by models trained on its training rows."""
+    from qualmark.operators import ml
+    from qualmark.plans import catalog_models as M
+    trained, rounds = {}, []
+    for name in ("train_identifier", "train_verifier"):
+        def train(rows, *args, _name=name, _train=getattr(ml, name), **options):
+            trained[_name] = (_train(rows, *args, **options), rows.count())
+            return trained[_name][0]
+        monkeypatch.setattr(ml, name, train)
+    whole = jobs.self_train_round
+    monkeypatch.setattr(jobs, "self_train_round", lambda *args: rounds.append(args) or whole(*args))
+    got = [r.item_id for r in M.q_self_train_round(spark, SF0001).collect()]
+    seeds = [r.item_id for r in catalog.seed_view(spark, SF0001).select("item_id").collect()]
+    assert {n for _, n in trained.values()} == {len(seeds)} and len(trained) == 2
+    assert [m for m in rounds[0][:2]] == [trained["train_identifier"][0], trained["train_verifier"][0]]
+    assert all(m.model.weights.any() for m, _ in trained.values())
+    assert set(seeds) < set(got) and len(got) == len(set(got))
