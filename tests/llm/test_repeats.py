@@ -94,6 +94,26 @@ def test_every_key_split(frame, monkeypatch):
     same(suffix_dedup.removal_digest(frame(rows)), expected_bytes(rows))
 
 
+@pytest.mark.parametrize("operator, expected", [(seed_dedup, expected_words), (suffix_dedup, expected_bytes)])
+def test_splits_read_the_texts_of_split_runs_only(frame, monkeypatch, operator, expected):
+    """All texts that share a passage are read once to compare; what a split and
+    the steps behind it read are the texts of the large group."""
+    monkeypatch.setattr(repeats, "LIMIT", 4)
+    read, with_text = [], repeats._with_text
+
+    def noted(classes, kept):
+        read.append(kept.count())
+        return with_text(classes, kept)
+
+    monkeypatch.setattr(repeats, "_with_text", noted)
+    passage, rows = prose(7, 80), []
+    for i in range(42):
+        shared = passage if i < 12 else prose(100 + i // 2, 80)
+        rows.append(row(i, prose(1000 + i, 30) + " " + shared + " " + prose(2000 + i, 30)))
+    same(operator.removal_digest(frame(rows)), expected(rows))
+    assert len(read) >= 2 and read[0] == 42 and max(read[1:]) <= 12
+
+
 @pytest.mark.parametrize("limit", [repeats.LIMIT, 1])
 def test_words_twice_in_the_later_document(frame, monkeypatch, limit):
     """Equal runs of one document, of which only a part occurs in an earlier one:
