@@ -98,7 +98,9 @@ def complete_batch(df: DataFrame, fn: BatchFn, messages_col: str = "messages",
     ``failure_col`` the reason why a row has none.
 
     The (wide) messages column is serialised to JSON on the JVM side and not
-    returned; ``keep`` picks the columns to carry (default: all others).
+    returned; ``keep`` picks the columns to carry (default: all others). If it names
+    the messages column too, that is carried as it is, and the calls read it: a
+    prompt reaches Python once either way.
     Rows are handed to ``fn`` in chunks of ``batch_size``. ``partitions`` spreads
     them over that many tasks: a retried task repeats only its own calls."""
     return _complete(df, lambda model: ("all", fn), None, messages_col, out_col, max_tries, wait_s, keep,
@@ -120,11 +122,17 @@ def complete_routed(df: DataFrame, fns: dict, model_col: str = "model",
                      failure_col, in_flight, calls_per_second)
 
 
+def _filled(messages: list) -> list:
+    """Messages as their JSON has them: fields without a value are left out."""
+    return [{k: v for k, v in m.items() if v is not None} if m is not None else None for m in messages]
+
+
 def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, keep, batch_size, partitions,
               failure_col, in_flight, calls_per_second) -> DataFrame:
     ship_package(df.sparkSession)
-    keep = [c for c in (keep or df.columns) if c != messages_col]
-    src = df.select(*keep, F.to_json(F.col(messages_col)).alias("_msgs"))
+    whole = messages_col in (keep or ())
+    keep = list(keep) if whole else [c for c in (keep or df.columns) if c != messages_col]
+    src = df.select(*keep, *([] if whole else [F.to_json(F.col(messages_col)).alias("_msgs")]))
     if partitions:
         src = src.repartition(partitions)
     fields = [df.schema[c] for c in keep]  # same order as the yielded columns
@@ -143,10 +151,14 @@ def _complete(df, route, model_col, messages_col, out_col, max_tries, wait_s, ke
 
         def ask(fn: BatchFn, texts: pa.Array, at: list[int], pace: Pace) -> list[tuple[str, str | None]]:
             msgs = [texts[i].as_py() for i in at]
-            return _replies(fn, [json.loads(m) if m is not None else [] for m in msgs], max_tries, wait_s, pace)
+            if whole:
+                chats = [_filled(m or []) for m in msgs]
+            else:
+                chats = [json.loads(m) if m is not None else [] for m in msgs]
+            return _replies(fn, chats, max_tries, wait_s, pace)
 
         def start(pool: ThreadPoolExecutor, piece: pa.RecordBatch) -> list[tuple[list[int], Future]]:
-            texts = piece.column("_msgs")
+            texts = piece.column(messages_col if whole else "_msgs")
             rows_of: dict[str, tuple[BatchFn, list[int]]] = {}
             for i, model in enumerate(piece.column(model_col).to_pylist() if model_col else [None] * piece.num_rows):
                 found = route(model)

@@ -89,9 +89,8 @@ class ScoringSink:
         waiting = self.queue()
         new = new.join(waiting.select(*self.keys), self.keys, "left_anti")
         todo = waiting.unionByName(new).join(self.replies().select(*self.keys), self.keys, "left_anti")
-        # the messages go along once more, as the queue keeps them
-        asked = todo.withColumn("_ask", F.col("messages"))
-        got = completion.complete_batch(asked, fn, messages_col="_ask", failure_col="failure", **calls)
+        # the messages are carried along, as the queue keeps them
+        got = completion.complete_batch(todo, fn, keep=todo.columns, failure_col="failure", **calls)
         failure = F.when(F.col("response") == "", F.coalesce("failure", F.lit("empty reply")))
         got = got.withColumn("failure", failure).withColumn("tries", F.col("tries") + 1)
         got.write.mode("overwrite").parquet(self._at("calls", k))

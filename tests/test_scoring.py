@@ -122,6 +122,32 @@ def test_calls_run_a_bounded_piece_ahead(spark, monkeypatch):
     assert max(p.num_rows for p in pieces) <= most
 
 
+def test_kept_messages_reach_python_once(spark, tmp_path, monkeypatch):
+    """Where messages are kept, as in the stream's steps, calls read the kept column;
+    they see the same messages as from JSON, and kept ones come back as they were."""
+    import json
+    kind = spark.createDataFrame([], scoring.REQUEST_SCHEMA).schema
+    chats = [[("system", "s"), ("user", "é\n\"x")], [("user", None)], [(None, "p")], [], None, [None, ("user", "")]]
+    df = spark.createDataFrame([(i, "fluency", "m", c) for i, c in enumerate(chats)], kind).coalesce(1)
+    went, real = [], type(df).mapInArrow
+
+    def noted(self, *args, **kw):
+        went.append([f.name for f in self.schema.fields if f.name not in ("item_id", "dimension", "model", "tries")])
+        return real(self, *args, **kw)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+
+    def echo(batch):
+        return [json.dumps(m, sort_keys=True) for m in batch]
+
+    plain = C.complete_batch(df, echo).orderBy("item_id").collect()
+    kept = C.complete_batch(df, echo, keep=df.columns).orderBy("item_id").collect()
+    assert [r.response for r in kept] == [r.response for r in plain]
+    assert [r.messages and [m and tuple(m) for m in r.messages] for r in kept] == chats
+    scoring.ScoringSink(spark, str(tmp_path / "sink")).step("a", df.limit(1), echo)
+    assert went == [["_msgs"], ["messages"], ["messages"]]
+
+
 def land(df, folder, n):
     for k in range(n):
         df.filter(F.col("item_id") % n == k).coalesce(1).write.mode("append").parquet(str(folder))
