@@ -22,7 +22,8 @@ over what is still apart:
    two such places are compared as matrices of their sets' ``LOWEST`` smallest
    hashes. That is exact for sets of this size, and an upper bound for larger.
 
-Steps 4 and 5 see at most two chunks of ``CHUNK`` rows in a task.
+Steps 4 and 5 see at most two chunks of ``CHUNK`` rows in a task. Rows reach
+Python in small Arrow batches, as a candidate pair carries two whole texts.
 
 Every candidate pair is confirmed on the full sets. The only way to miss a link
 is that no band agrees: under 1e-9 per pair by the choice of the band width.
@@ -43,11 +44,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualmark.session import small_batches
+
 from .base import Memo, id_text, map_rows, materialize, step
 
 BINS = 200
 CHUNK = 1024
 LOWEST = 512
+#: Rows of a comparison matrix that are judged in one go.
+STRIP = 128
 #: Rounds in which a row is compared with its nearest row of another component only.
 NEAREST = 2
 #: Six standard deviations of the share of equal bins at the threshold.
@@ -298,8 +303,8 @@ def common_counts(rows: list[np.ndarray]) -> np.ndarray:
                 np.add.at(out, (owner[first + x], owner[first + y]), 1)
     out += out.T
     wide = np.flatnonzero(count >= 16)
-    for lo in range(0, len(wide), 4096):
-        part = wide[lo:lo + 4096]
+    for lo in range(0, len(wide), 1024):
+        part = wide[lo:lo + 1024]
         column = np.repeat(np.arange(len(part)), count[part])
         table = np.zeros((size, len(part)), np.float32)
         table[np.concatenate([owner[s:s + c] for s, c in zip(start[part], count[part])]), column] = 1
@@ -319,12 +324,15 @@ def _between(meetings: DataFrame, places: DataFrame, percent: int) -> DataFrame:
             rep, comp, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n_shingles"))
             common = common_counts([np.frombuffer(m["low"], np.uint32) for m in members])
             j = percent / 100
-            # of whole sets a share of the union; else so many of the union's lowest, which are in both
-            need = np.where(np.maximum(n[:, None], n) <= LOWEST, j / (1 + j) * (n[:, None] + n) - 1,
-                            LOWEST * j - MARGIN * (LOWEST * j * (1 - j)) ** 0.5)
-            fit = (common >= need) & (comp[:, None] != comp) & (rep[:, None] < rep)
-            for a, b in zip(*np.nonzero(fit)):
-                yield int(rep[a]), int(rep[b])
+            for lo in range(0, len(rep), STRIP):
+                part = slice(lo, lo + STRIP)
+                m, c, r = n[part, None], comp[part, None], rep[part, None]
+                # of whole sets a share of the union; else so many of the union's lowest, which are in both
+                need = np.where(np.maximum(m, n) <= LOWEST, j / (1 + j) * (m + n) - 1,
+                                LOWEST * j - MARGIN * (LOWEST * j * (1 - j)) ** 0.5)
+                fit = (common[part] >= need) & (c != comp) & (r < rep)
+                for a, b in zip(*np.nonzero(fit)):
+                    yield int(rep[lo + a]), int(rep[b])
         return one
     return map_rows(groups.select("m"), make, "a long, b long").distinct()
 
@@ -382,7 +390,13 @@ def keep_single(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The rows of ``near_duplicates`` with their text_key."""
+    """The rows of ``near_duplicates`` with their text_key. All Python runs in here;
+    what is returned only joins tables."""
+    with small_batches(docs.sparkSession):
+        return _placed(docs, shingle, percent)
+
+
+def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = band_rows(percent / 100)
     sketched = materialize(sketch(docs, shingle, rows), "sketch")
     known = sketched.filter("doc_id is not null and n_shingles > 0")

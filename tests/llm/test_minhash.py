@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_rows import edge, frame, prose, row  # noqa: F401
 
-from qualmark.llm import minhash
+from qualmark.llm import base, minhash
 
 
 def expected(rows, k, percent):
@@ -135,3 +138,31 @@ def test_densified_bins_agree_as_often_as_sets():
             a, b = np.unique(h[:size]), np.unique(np.concatenate([h[:common], h[size:]]))
             share.append((minhash.signature(a, order) == minhash.signature(b, order)).mean())
         assert abs(np.mean(share) - common / (2 * size - common)) < 0.05
+
+
+def test_python_gets_small_batches(spark, frame, monkeypatch):
+    """A pair carries two whole texts: batches of the session's 10,000 rows filled workers and JVM."""
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    rows, seen, write = crowd(), [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: (
+        seen.append(spark.conf.get(names[0])), write(df, name))[1])
+    before = [spark.conf.get(n) for n in names]
+    same(minhash.near_duplicates(frame(rows), 3, 85), expected(rows, 3, 85))
+    assert set(seen) == {"1024"}
+    assert [spark.conf.get(n) for n in names] == before
+    monkeypatch.setattr(minhash, "_placed", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        minhash.near_duplicates(frame(rows), 3, 85)
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_rows_become_objects_in_pieces(spark, monkeypatch):
+    """A batch of long lists was turned into Python objects 256 rows at a time, whatever their size."""
+    batch = pa.RecordBatch.from_pydict({"members": [[b"x" * 1000] * 1000] * 40})
+    monkeypatch.setattr(base, "in_python", lambda df, run, kind: run)
+    run = base.map_rows(None, lambda: lambda members: [(len(members),)], "n long")
+    tracemalloc.start()
+    got = [n for b in run(iter([batch])) for n in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [1000] * 40 and peak < 10 << 20
