@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..operators import completion
 from ..operators.rows import RESPONSE_KEYS, with_score
-from ..session import path_exists
+from ..session import path_exists, small_batches
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 REQUEST_SCHEMA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("dimension", T.StringType()),
@@ -93,7 +93,8 @@ class ScoringSink:
         got = completion.complete_batch(todo, fn, keep=todo.columns, failure_col="failure", **calls)
         failure = F.when(F.col("response") == "", F.coalesce("failure", F.lit("empty reply")))
         got = got.withColumn("failure", failure).withColumn("tries", F.col("tries") + 1)
-        got.write.mode("overwrite").parquet(self._at("calls", k))
+        with small_batches(self.spark):  # a row is a whole prompt
+            got.write.mode("overwrite").parquet(self._at("calls", k))
 
     def _commit(self, k: int, name: str) -> None:
         self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(self._at("log", k))

@@ -148,6 +148,47 @@ def test_kept_messages_reach_python_once(spark, tmp_path, monkeypatch):
     assert went == [["_msgs"], ["messages"], ["messages"]]
 
 
+def test_steps_send_small_batches(spark, tmp_path, monkeypatch):
+    """Prompts reached a step's workers 10,000 at a time; the caller's settings come back, also after a failure."""
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before, sizes, real = [spark.conf.get(n) for n in names], tmp_path / "sizes", type(spark.range(1)).mapInArrow
+    folder = str(sizes)
+    sizes.mkdir()
+
+    def noted(self, run, schema):
+        def counting(batches):
+            def seen():
+                for b in batches:
+                    open(os.path.join(folder, f"{b.num_rows}-{time.time_ns()}"), "w").close()
+                    yield b
+            yield from run(seen())
+        return real(self, counting, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", noted)
+    number = numbers()
+    # one partition on the way to the workers, whatever the session's settings
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        land(requests(spark, range(2500)), tmp_path / "in", 1)
+        args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+        scoring.run_scoring(*args, lambda batch: [f"score: {number(m) % 3 + 1}" for m in batch])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = [int(f.split("-")[0]) for f in os.listdir(folder)]
+    assert sum(rows) == 2500 and max(rows) <= 1024
+    assert [spark.conf.get(n) for n in names] == before
+    got = scoring.ScoringSink(spark, str(tmp_path / "out")).replies().collect()
+    assert {r.item_id: r.score for r in got} == {i: i % 3 + 1 for i in range(2500)}
+
+    def dies(batch):
+        raise KeyboardInterrupt
+
+    with pytest.raises(Exception):
+        scoring.ScoringSink(spark, str(tmp_path / "sink")).step("a", requests(spark, range(2)), dies)
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def land(df, folder, n):
     for k in range(n):
         df.filter(F.col("item_id") % n == k).coalesce(1).write.mode("append").parquet(str(folder))
